@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 
 from labelscope.functions.stopwords import STOP_WORDS_EN
 
+# --- fixed values: Unicode whitespace as Python's str.split() sees it ---
+# (ASCII controls 9-13 and 28-31, space, NEL, NBSP, ogham space, the
+# U+2000-U+200A spaces, line / paragraph separators, narrow NBSP, medium
+# mathematical space, ideographic space).  The same text works in Java and RE2.
+WHITESPACE = (r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+              r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+")
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
-WHITESPACE = r"(?U)\s+"
 
 
 def _c(col) -> Column:

@@ -115,3 +115,166 @@ def q_group_pct_rank(spark, sf):
 def q_group_size_on_row(spark, sf):
     s = stats.group_size(fx.labelled_vectors(spark, sf).drop("embedding"), "label", "n_label")
     return s.select("vec_id", "label", F.col("n_label").cast("long").alias("n_label"))
+
+
+# ------------------------------------------------- prep / quality / profile (F-A, F-C)
+
+from labelscope.functions.text import normalize_text, word_count  # noqa: E402
+from labelscope.operators import prep, profile, quality  # noqa: E402
+
+SEED = 6740
+
+
+def analysis_table(spark, sf):
+    """Bridge enriched and reduced to one row per (item, label) (make step)."""
+    return prep.build_analysis(fx.bridge(spark, sf), fx.occupations(spark, sf),
+                               fx.label_titles(spark, sf), fx.item_texts(spark, sf),
+                               fx.BRIDGE_ORDER)
+
+
+def deduped_analysis(spark, sf):
+    return prep.dedupe_label_text(analysis_table(spark, sf))
+
+
+_ANALYSIS_COLS = ["soc_code", "occ_title", "task_id", "task_text", "task_len", "dwa_id", "dwa_title"]
+
+
+@query("enrich_bridge")
+def q_enrich_bridge(spark, sf):
+    out = prep.enrich(fx.bridge(spark, sf),
+                      [(fx.occupations(spark, sf), "soc_code"), (fx.label_titles(spark, sf), "dwa_id"),
+                       (fx.item_texts(spark, sf), "task_id")], validate=True)
+    return out.select("soc_code", "task_id", "dwa_id", "l_linenumber", "occ_title",
+                      "occ_description", "dwa_title", "task_text")
+
+
+@query("analysis_table")
+def q_analysis_table(spark, sf):
+    return analysis_table(spark, sf).select(*_ANALYSIS_COLS)
+
+
+@query("dedupe_label_text")
+def q_dedupe_label_text(spark, sf):
+    return deduped_analysis(spark, sf).select(*_ANALYSIS_COLS)
+
+
+@query("text_normalize")
+def q_text_normalize(spark, sf):
+    d = fx.labelled_text(spark, sf)
+    return d.select("doc_id", normalize_text("text").alias("text_norm"))
+
+
+@query("text_word_count")
+def q_text_word_count(spark, sf):
+    d = fx.labelled_text(spark, sf)
+    return d.select("doc_id", F.col("lang"), word_count(normalize_text("text")).cast("long").alias("n_words"))
+
+
+@query("short_texts")
+def q_short_texts(spark, sf):
+    d = fx.labelled_text(spark, sf).withColumn("text", normalize_text("text"))
+    return quality.short_texts(d, "text", 6).select(
+        "doc_id", "text", F.col("n_words").cast("long").alias("n_words"))
+
+
+@query("duplicate_keys")
+def q_duplicate_keys(spark, sf):
+    return quality.duplicate_keys(fx.bridge(spark, sf), ["task_id", "dwa_id"])
+
+
+@query("null_profile")
+def q_null_profile(spark, sf):
+    out = prep.enrich(fx.bridge(spark, sf),
+                      [(fx.occupations(spark, sf), "soc_code"), (fx.label_titles(spark, sf), "dwa_id"),
+                       (fx.item_texts(spark, sf), "task_id")], validate=False)
+    return quality.null_profile(out.select("soc_code", "task_id", "dwa_id", "occ_title",
+                                           "occ_description", "dwa_title", "task_text"))
+
+
+@query("describe_word_count")
+def q_describe_word_count(spark, sf):
+    return rnd(quality.describe(analysis_table(spark, sf), "task_len"))
+
+
+@query("one_to_one_violations")
+def q_one_to_one_violations(spark, sf):
+    return quality.one_to_one_violations(analysis_table(spark, sf), "task_id", "task_text")
+
+
+@query("label_title_one_to_one")
+def q_label_title_one_to_one(spark, sf):
+    ok = quality.one_to_one_violations(analysis_table(spark, sf), "dwa_id", "dwa_title")
+    return ok.agg((F.count(F.lit(1)) == 0).alias("is_one_to_one"),
+                  F.count(F.lit(1)).alias("n_violations"))
+
+
+@query("text_purity")
+def q_text_purity(spark, sf):
+    p = profile.text_purity(analysis_table(spark, sf), "task_text", "task_id", "dwa_id")
+    return p.select("task_text", "n_rows", "n_items", "n_labels",
+                    F.array_join("labels", "|").alias("labels"), "pure")
+
+
+@query("text_purity_share")
+def q_text_purity_share(spark, sf):
+    p = profile.text_purity(analysis_table(spark, sf), "task_text", "task_id", "dwa_id")
+    return rnd(profile.purity_share(p))
+
+
+@query("ambiguous_texts_topn")
+def q_ambiguous_texts_topn(spark, sf):
+    p = profile.text_purity(analysis_table(spark, sf), "task_text", "task_id", "dwa_id")
+    return quality.top_ambiguous(p, "task_text", 5).select(
+        "task_text", "n_rows", "n_items", "n_labels", F.array_join("labels", "|").alias("labels"))
+
+
+@query("table_profile")
+def q_table_profile(spark, sf):
+    return profile.table_profile(deduped_analysis(spark, sf), "task_id", "dwa_id", "task_text")
+
+
+@query("texts_per_label")
+def q_texts_per_label(spark, sf):
+    return profile.distinct_per_group(deduped_analysis(spark, sf), "dwa_id", "task_text", "n_texts")
+
+
+@query("labels_per_text_hist")
+def q_labels_per_text_hist(spark, sf):
+    return profile.count_histogram(deduped_analysis(spark, sf), "task_text", "dwa_id",
+                                   out="n_texts", value="n_labels")
+
+
+@query("small_label_counts")
+def q_small_label_counts(spark, sf):
+    sizes = profile.distinct_per_group(deduped_analysis(spark, sf), "dwa_id", "task_text", "n_texts")
+    return profile.small_group_counts(sizes, "n_texts")
+
+
+@query("group_sizes_topn")
+def q_group_sizes_topn(spark, sf):
+    return profile.group_sizes_top_bottom(deduped_analysis(spark, sf), "dwa_id", 10)
+
+
+@query("hist_word_count")
+def q_hist_word_count(spark, sf):
+    d = fx.labelled_text(spark, sf).withColumn("n_words", word_count("text"))
+    return rnd(profile.histogram(d, "n_words", 20))
+
+
+@query("hist_label_sizes")
+def q_hist_label_sizes(spark, sf):
+    sizes = profile.distinct_per_group(deduped_analysis(spark, sf), "dwa_id", "task_text", "n_texts")
+    return rnd(profile.histogram(sizes, "n_texts", 20))
+
+
+@query("sample_rows")
+def q_sample_rows(spark, sf):
+    a = deduped_analysis(spark, sf)
+    return profile.sample_rows(a, 5, SEED, ["dwa_id", "task_text"]).select(
+        "occ_title", "dwa_title", "task_text")
+
+
+@query("sample_per_group")
+def q_sample_per_group(spark, sf):
+    d = fx.labelled_text(spark, sf)
+    return profile.sample_per_group(d, "source", "doc_id", 20, SEED, ["doc_id"], sep=",")
