@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelscope.sources import fixtures as fx
+from labelscope.sources.tables import read_table
 from labelscope.operators import dense, stats
 from labelscope.plans.label_quality import dense_label_quality
 
@@ -278,3 +279,78 @@ def q_sample_rows(spark, sf):
 def q_sample_per_group(spark, sf):
     d = fx.labelled_text(spark, sf)
     return profile.sample_per_group(d, "source", "doc_id", 20, SEED, ["doc_id"], sep=",")
+
+
+# ------------------------------------------------------------- sparse text (F-C)
+
+from labelscope.operators import sparse  # noqa: E402
+
+TFIDF_MIN_DF, TFIDF_MAX_DF = 3, 0.8      # item-level vectoriser
+TOPN_MIN_DF, TOPN_MAX_DF, TOPN_K = 2, 0.9, 7   # group-level top n-grams
+
+
+def doc_tfidf(spark, sf):
+    d = fx.labelled_text(spark, sf)
+    return sparse.tfidf_fit_transform(d, "doc_id", "text", TFIDF_MIN_DF, TFIDF_MAX_DF)
+
+
+@query("tokens")
+def q_tokens(spark, sf):
+    t = sparse.doc_tokens(fx.labelled_text(spark, sf), "doc_id", "text")
+    return t.select("doc_id", F.col("pos").cast("long").alias("pos"), "token")
+
+
+@query("ngrams")
+def q_ngrams(spark, sf):
+    return sparse.term_counts(fx.labelled_text(spark, sf), "doc_id", "text")
+
+
+@query("vocabulary")
+def q_vocabulary(spark, sf):
+    _, vocab = doc_tfidf(spark, sf)
+    return rnd(vocab)
+
+
+@query("tfidf_items")
+def q_tfidf_items(spark, sf):
+    w, _ = doc_tfidf(spark, sf)
+    return rnd(w)
+
+
+@query("tfidf_transform_new")
+def q_tfidf_transform_new(spark, sf):
+    _, vocab = doc_tfidf(spark, sf)
+    bench = read_table(spark, sf, "benchmark")
+    return rnd(sparse.tfidf_transform(bench, vocab, "item_id", "text"))
+
+
+@query("top_ngrams_by_group")
+def q_top_ngrams_by_group(spark, sf):
+    d = fx.labelled_text(spark, sf)
+    out = sparse.top_ngrams(d, "source", "text", "doc_id", TOPN_K, titles=d, title="source_title",
+                            min_df=TOPN_MIN_DF, max_df=TOPN_MAX_DF)
+    return rnd(out.select("source", "term", "score", F.col("rank").cast("long").alias("rank"),
+                          "source_title"))
+
+
+@query("sparse_centroids")
+def q_sparse_centroids(spark, sf):
+    w, _ = doc_tfidf(spark, sf)
+    lab = fx.labelled_text(spark, sf).select("doc_id", "source")
+    return rnd(sparse.sparse_centroids(w, lab, "doc_id", "source"))
+
+
+@query("own_distance_sparse")
+def q_own_distance_sparse(spark, sf):
+    w, _ = doc_tfidf(spark, sf)
+    lab = fx.labelled_text(spark, sf).select("doc_id", "source")
+    c = sparse.sparse_centroids(w, lab, "doc_id", "source")
+    return rnd(sparse.own_distance_sparse(w, lab, c, "doc_id", "source"))
+
+
+@query("nearest_centroid_sparse")
+def q_nearest_centroid_sparse(spark, sf):
+    w, _ = doc_tfidf(spark, sf)
+    lab = fx.labelled_text(spark, sf).select("doc_id", "source")
+    c = sparse.sparse_centroids(w, lab, "doc_id", "source")
+    return rnd(sparse.nearest_centroid_sparse(w, lab, c, "doc_id", "source"))

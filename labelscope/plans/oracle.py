@@ -237,3 +237,92 @@ WITH h AS (SELECT source, doc_id, md5(concat_ws('|', '6740', CAST(doc_id AS VARC
 p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h) AS rn FROM h) WHERE rn <= 20)
 SELECT source, count(*) AS n_sampled, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY h) AS sampled
 FROM p GROUP BY source"""
+
+# ------------------------------------------------------------- sparse text (F-C)
+
+from labelscope.functions.text import TOKEN_PATTERN as _TP  # noqa: E402
+
+_STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS_EN) + "]"
+
+
+def _toks(c: str) -> str:
+    return ("list_filter(regexp_extract_all(lower(coalesce(" + c + ", '')), '" + _TP + "'), "
+            "lambda t: NOT list_contains(" + _STOP + ", t))")
+
+
+_GRAMS = "toks || list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])"
+
+
+def _tfidf(src: str, min_df: float, max_df: float, item: str = "item") -> str:
+    """CTEs tok, tf, n, vocab, w over ``src`` (item, text): w(item, term, weight)."""
+    return f"""
+src AS ({src}),
+tok AS (SELECT {item}, {_toks('text')} AS toks FROM src),
+terms AS (SELECT {item}, unnest({_GRAMS}) AS term FROM tok),
+tf AS (SELECT {item}, term, count(*) AS tf FROM terms GROUP BY ALL),
+nd AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM src),
+dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+vocab AS (SELECT term, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM dfs, nd
+          WHERE df >= {min_df} AND df <= {max_df} * n),
+w0 AS (SELECT tf.{item}, tf.term, (1 + ln(tf.tf)) * vocab.idf AS w FROM tf JOIN vocab ON tf.term = vocab.term),
+w AS (SELECT {item}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {item})) AS weight FROM w0)"""
+
+
+_DOCS = "SELECT doc_id, source, text FROM documents"
+
+SQL["tokens"] = f"""
+WITH tok AS (SELECT doc_id, {_toks('text')} AS toks FROM documents)
+SELECT doc_id, CAST(generate_subscripts(toks, 1) - 1 AS BIGINT) AS pos, unnest(toks) AS token FROM tok"""
+
+SQL["ngrams"] = f"""
+WITH tok AS (SELECT doc_id, {_toks('text')} AS toks FROM documents),
+terms AS (SELECT doc_id, unnest({_GRAMS}) AS term FROM tok)
+SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL"""
+
+SQL["vocabulary"] = "WITH" + _tfidf(_DOCS, 3, 0.8, "doc_id") + """
+SELECT term, df, round(idf, 6) AS idf FROM vocab"""
+
+SQL["tfidf_items"] = "WITH" + _tfidf(_DOCS, 3, 0.8, "doc_id") + """
+SELECT doc_id, term, round(weight, 6) AS weight FROM w"""
+
+SQL["tfidf_transform_new"] = "WITH" + _tfidf(_DOCS, 3, 0.8, "doc_id") + f""",
+btok AS (SELECT item_id, {_toks('text')} AS toks FROM benchmark),
+bterms AS (SELECT item_id, unnest({_GRAMS}) AS term FROM btok),
+btf AS (SELECT item_id, term, count(*) AS tf FROM bterms GROUP BY ALL),
+bw0 AS (SELECT item_id, btf.term, (1 + ln(btf.tf)) * vocab.idf AS w FROM btf JOIN vocab ON btf.term = vocab.term)
+SELECT item_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM bw0"""
+
+SQL["top_ngrams_by_group"] = "WITH" + _tfidf(
+    "SELECT source AS grp, string_agg(coalesce(text, ''), ' ' ORDER BY doc_id) AS text "
+    "FROM documents GROUP BY source", 2, 0.9, "grp") + """,
+ranked AS (SELECT grp, term, weight, row_number() OVER (PARTITION BY grp
+           ORDER BY round(weight, 9) DESC, term) AS rk FROM w WHERE weight > 0)
+SELECT grp AS source, term, round(weight, 6) AS score, CAST(rk AS BIGINT) AS rank,
+       'title_' || grp AS source_title FROM ranked WHERE rk <= 7"""
+
+_SPARSE_CENT = "WITH" + _tfidf(_DOCS, 3, 0.8, "doc_id") + """,
+lab AS (SELECT doc_id, source FROM documents),
+nl AS (SELECT source, count(*) AS n FROM lab GROUP BY source),
+cs AS (SELECT lab.source, w.term, sum(w.weight) AS s FROM w JOIN lab ON w.doc_id = lab.doc_id GROUP BY ALL),
+cm AS (SELECT cs.source, cs.term, s / n AS m FROM cs JOIN nl ON cs.source = nl.source),
+cent AS (SELECT source, term, m / (sqrt(sum(m * m) OVER (PARTITION BY source)) + 1e-12) AS centroid FROM cm)"""
+
+SQL["sparse_centroids"] = _SPARSE_CENT + """
+SELECT source, term, round(centroid, 6) AS centroid FROM cent"""
+
+SQL["own_distance_sparse"] = _SPARSE_CENT + """,
+dots AS (SELECT w.doc_id, lab.source, sum(w.weight * cent.centroid) AS d
+         FROM w JOIN lab ON w.doc_id = lab.doc_id JOIN cent ON cent.source = lab.source AND cent.term = w.term
+         GROUP BY ALL)
+SELECT lab.doc_id, lab.source, round(1 - coalesce(dots.d, 0), 6) AS dist_tfidf
+FROM lab LEFT JOIN dots ON lab.doc_id = dots.doc_id AND lab.source = dots.source"""
+
+SQL["nearest_centroid_sparse"] = _SPARSE_CENT + """,
+sims AS (SELECT w.doc_id, cent.source, sum(w.weight * cent.centroid) AS s
+         FROM w JOIN cent ON cent.term = w.term GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, source) AS rn
+         FROM sims) WHERE rn = 1),
+first_label AS (SELECT min(source) AS f FROM cent)
+SELECT lab.doc_id, coalesce(best.source, first_label.f) AS nearest_label,
+       round(1 - coalesce(best.s, 0), 6) AS nearest_dist
+FROM (SELECT DISTINCT doc_id FROM lab) lab LEFT JOIN best ON lab.doc_id = best.doc_id, first_label"""
