@@ -52,6 +52,12 @@ def arrow_matrix(col) -> np.ndarray:
     return vals.astype(np.float64).reshape(n, d)
 
 
+def to_batch(pdf, schema) -> pa.RecordBatch:
+    """pandas frame -> Arrow batch with exactly the declared Spark schema."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    return pa.RecordBatch.from_pandas(pdf, schema=to_arrow_schema(schema), preserve_index=False)
+
+
 def pandas_matrix(series) -> np.ndarray:
     if len(series) == 0:
         return np.zeros((0, 0))

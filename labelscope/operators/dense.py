@@ -78,8 +78,9 @@ def nearest_centroid(df: DataFrame, centroids: DataFrame, item: str, label: str
     item_type = df.schema[item].dataType
     schema = T.StructType([T.StructField(item, item_type), T.StructField(out_label, label_type),
                            T.StructField(out_dist, T.DoubleType())])
-    n_lab = centroids.count()
-    width = len(centroids.select("centroid").first()[0]) if n_lab else 0
+    # size check first (one aggregate), then at most that many rows are collected
+    n_lab, width = centroids.agg(F.count(F.lit(1)), F.max(F.size("centroid"))).first()
+    width = width or 0
     if n_lab * max(width, 1) * 8 <= blocks.broadcast_limit(spark):
         labels, C = _centroid_matrix(centroids, label)
         bc = spark.sparkContext.broadcast((labels, C))
@@ -93,9 +94,9 @@ def nearest_centroid(df: DataFrame, centroids: DataFrame, item: str, label: str
                 S = V @ Cm.T
                 j = np.argmax(S, axis=1)
                 best = S[np.arange(len(j)), j]
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({
+                yield blocks.to_batch(pd.DataFrame({
                     item: b.column(0).to_pandas(), out_label: labs[j],
-                    out_dist: 1.0 - best}), schema=None, preserve_index=False)
+                    out_dist: 1.0 - best}), schema)
 
         return (df.select(item, as_double_array(vec).alias("_v"))
                   .mapInArrow(kern, schema))

@@ -16,6 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,9 +35,9 @@ def doc_ngrams(df: DataFrame, item: str, text: str, stop_words=STOP_WORDS_EN,
                bigrams: bool = True) -> DataFrame:
     """(item, term) rows: unigrams and adjacent bigrams formed after stop-word
     removal (X3), one row per occurrence."""
-    t = tokens(text, stop_words)
-    terms = ngrams(t) if bigrams else t
-    return df.select(item, F.explode(terms).alias("term"))
+    toks = df.select(item, tokens(text, stop_words).alias("_t"))
+    terms = ngrams("_t") if bigrams else F.col("_t")
+    return toks.select(item, F.explode(terms).alias("term"))
 
 
 def term_counts(df: DataFrame, item: str, text: str, stop_words=STOP_WORDS_EN,
@@ -79,7 +80,8 @@ def tfidf_fit_transform(df: DataFrame, item: str, text: str, min_df=1, max_df=1.
     """Fit a vocabulary on ``df`` and weight its rows (X7).  Returns
     ``(weights, vocab)``; ``n`` is the number of input rows (documents)."""
     n_docs = df.count()
-    tf = term_counts(df, item, text, stop_words, bigrams)
+    # read twice (document frequencies, then weights): materialise once
+    tf = term_counts(df, item, text, stop_words, bigrams).persist(StorageLevel.MEMORY_AND_DISK)
     vocab = fit_vocabulary(tf, n_docs, min_df, max_df)
     return weigh(tf, vocab, item, sublinear), vocab
 
@@ -124,7 +126,7 @@ def top_ngrams(df: DataFrame, group: str, text: str, order_by: str, k: int = 7,
     (group, term, score, rank[, title]).  Groups whose text has no kept term
     are skipped; scores are never padded with zero-score terms."""
     n_groups = df.select(group).distinct().count()
-    tf = group_term_counts(df, group, text, order_by, stop_words)
+    tf = group_term_counts(df, group, text, order_by, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
     vocab = fit_vocabulary(tf, n_groups, min_df, max_df)
     w = weigh(tf, vocab, group).withColumnRenamed("weight", "score")
     top = top_terms(w, group, k, "score")
@@ -173,14 +175,15 @@ def nearest_centroid_sparse(weights: DataFrame, items: DataFrame, centroids: Dat
     that limit the same result comes from the distributed term join.
     """
     spark = weights.sparkSession
-    nnz = centroids.count()
-    lab_sorted = [r[0] for r in centroids.select(label).distinct().orderBy(label).collect()]
-    if not lab_sorted:
-        raise ValueError("no centroids")
-    first = lab_sorted[0]
     label_type = centroids.schema[label].dataType
-    if nnz * 64 <= blocks.broadcast_limit(spark):
-        cpdf = centroids.select(label, "term", "centroid").toPandas()
+    # one bounded collect: at most cap + 1 rows ever reach the driver
+    cap = blocks.broadcast_limit(spark) // 64
+    cpdf = centroids.select(label, "term", "centroid").limit(cap + 1).toPandas()
+    if len(cpdf) == 0:
+        raise ValueError("no centroids")
+    if len(cpdf) <= cap:
+        lab_sorted = sorted(cpdf[label].unique().tolist())
+        first = lab_sorted[0]
         pos = {v: i for i, v in enumerate(lab_sorted)}
         cpdf["_li"] = cpdf[label].map(pos).astype(np.int64)
         bc = spark.sparkContext.broadcast((cpdf[["term", "_li", "centroid"]], np.array(lab_sorted, dtype=object)))
@@ -215,13 +218,14 @@ def nearest_centroid_sparse(weights: DataFrame, items: DataFrame, centroids: Dat
                     j = np.argmax(S, axis=1)
                     best_i[s0:s0 + len(j)] = j
                     best_s[s0:s0 + len(j)] = S[np.arange(len(j)), j]
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({
-                    item: ids, out_label: labs[best_i], out_dist: 1.0 - best_s}), preserve_index=False)
+                yield blocks.to_batch(pd.DataFrame({
+                    item: ids, out_label: labs[best_i], out_dist: 1.0 - best_s}), schema)
 
         vecs = weights.groupBy(item).agg(F.collect_list("term").alias("_t"),
                                          F.collect_list("weight").alias("_w"))
         best = vecs.mapInArrow(kern, schema)
     else:
+        first = centroids.agg(F.min(label)).first()[0]
         prods = (weights.join(centroids, "term", "inner")
                         .groupBy(item, label).agg(F.sum(F.col("weight") * F.col("centroid")).alias("_s")))
         b = prods.groupBy(item).agg(F.min(F.struct((-F.col("_s")).alias("s"), F.col(label).alias("l"))).alias("_b"))

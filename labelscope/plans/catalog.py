@@ -354,3 +354,92 @@ def q_nearest_centroid_sparse(spark, sf):
     lab = fx.labelled_text(spark, sf).select("doc_id", "source")
     c = sparse.sparse_centroids(w, lab, "doc_id", "source")
     return rnd(sparse.nearest_centroid_sparse(w, lab, c, "doc_id", "source"))
+
+
+# -------------------------------------------- flags, cross-tabs, summaries (F-D)
+
+from labelscope.plans.label_quality import both_measures_quality  # noqa: E402
+
+SMALL_LABEL_MAX = 46   # label-size threshold for the F-D fixture (labels of 44-59 rows)
+
+
+def quality_table(spark, sf):
+    return both_measures_quality(fx.both_measures(spark, sf), small_max=SMALL_LABEL_MAX)
+
+
+_FLAG_OUT = ["small", "flag_tfidf", "flag_dense", "flag_both", "flag_either", "flag_disagree",
+             "mismatch_tfidf", "mismatch_dense", "mismatch_either"]
+
+
+@query("outlier_flags")
+def q_outlier_flags(spark, sf):
+    q = quality_table(spark, sf)
+    return rnd(q.select("vec_id", "label", F.col("n_label").cast("long").alias("n_label"),
+                        "dist_dense", "z_dense", "dist_tfidf", "z_tfidf", *_FLAG_OUT),
+               four=("z_dense", "z_tfidf"))
+
+
+@query("nearest_label_title")
+def q_nearest_label_title(spark, sf):
+    q = quality_table(spark, sf)
+    return rnd(q.select("vec_id", "label", "nearest_label_tfidf", "nearest_dist_tfidf", "nearest_title_tfidf",
+                        "nearest_label_dense", "nearest_title_dense"))
+
+
+@query("flag_counts")
+def q_flag_counts(spark, sf):
+    return stats.flag_counts(quality_table(spark, sf), "label")
+
+
+@query("flag_crosstab_margins")
+def q_flag_crosstab_margins(spark, sf):
+    return stats.crosstab_margins(quality_table(spark, sf), "flag_tfidf", "flag_dense")
+
+
+@query("flag_crosstab_large_only")
+def q_flag_crosstab_large_only(spark, sf):
+    return stats.crosstab_margins(quality_table(spark, sf).filter(~F.col("small")), "flag_tfidf", "flag_dense")
+
+
+@query("mismatch_crosstab_margins")
+def q_mismatch_crosstab_margins(spark, sf):
+    return stats.crosstab_margins(quality_table(spark, sf), "mismatch_tfidf", "mismatch_dense")
+
+
+@query("label_distance_summary")
+def q_label_distance_summary(spark, sf):
+    return rnd(stats.label_summary(quality_table(spark, sf), "label", "label_title", "vec_id"),
+               four=("p95_tfidf", "p95_dense"))
+
+
+_REPORT_COLS = ["label", "label_title", "n_label", "vec_id", "dist_dense", "z_dense", "dist_tfidf", "z_tfidf",
+                "nearest_label_tfidf", "nearest_title_tfidf", "nearest_label_dense", "nearest_title_dense",
+                "flag_tfidf", "flag_dense", "flag_either", "flag_both", "mismatch_tfidf", "mismatch_dense",
+                "mismatch_either"]
+
+
+@query("outlier_report")
+def q_outlier_report(spark, sf):
+    r = stats.outlier_report(quality_table(spark, sf), "label", _REPORT_COLS)
+    return rnd(r.withColumn("n_label", F.col("n_label").cast("long")), four=("z_dense", "z_tfidf"))
+
+
+@query("flagged_label_rows")
+def q_flagged_label_rows(spark, sf):
+    r = stats.flagged_label_rows(quality_table(spark, sf), "label")
+    return r.select("vec_id", "label", "flag_either")
+
+
+@query("hist_mean_distance")
+def q_hist_mean_distance(spark, sf):
+    s = stats.label_summary(quality_table(spark, sf), "label", "label_title", "vec_id").persist()
+    a = profile.histogram(s, "mean_dist_tfidf", 30).withColumn("measure", F.lit("tfidf"))
+    b = profile.histogram(s, "mean_dist_dense", 30).withColumn("measure", F.lit("dense"))
+    return rnd(a.unionByName(b))
+
+
+@query("distance_ranges")
+def q_distance_ranges(spark, sf):
+    q = quality_table(spark, sf)
+    return rnd(stats.ranges(q, ["dist_dense", "dist_tfidf", "z_dense", "z_tfidf"],
+                            ["mismatch_dense", "mismatch_tfidf"]))

@@ -27,3 +27,34 @@ def dense_label_quality(df: DataFrame, item: str = "vec_id", label: str = "label
     out = (with_s.join(near, item, "left")
                  .withColumn(f"mismatch_{prefix}", F.col(f"nearest_label_{prefix}") != F.col(label)))
     return out
+
+
+def both_measures_quality(df: DataFrame, item: str = "vec_id", label: str = "label",
+                          title: str = "label_title", text: str = "text", vec: str = "embedding",
+                          small_max: int = 7, high_z: float = 1.5, disagree_z: float = 1.5,
+                          min_df=3, max_df=0.8) -> DataFrame:
+    """The full distance table: for every (item, label) row the dense and the
+    TF-IDF own-centroid distances with their label statistics, the nearest
+    label under each measure with its title, and the outlier flags."""
+    from labelscope.operators import sparse
+
+    base = df.select(item, label, title, text, vec).persist(StorageLevel.MEMORY_AND_DISK)
+    dq = dense_label_quality(base.select(item, label, vec), item, label, vec, "dense")
+    labs = base.select(item, label)
+    w, _ = sparse.tfidf_fit_transform(base.select(item, text), item, text, min_df, max_df)
+    w = w.persist(StorageLevel.MEMORY_AND_DISK)
+    cents = sparse.sparse_centroids(w, labs, item, label).persist(StorageLevel.MEMORY_AND_DISK)
+    ds = sparse.own_distance_sparse(w, labs, cents, item, label, "dist_tfidf")
+    ds = stats.add_group_stats(ds, label, "dist_tfidf", "tfidf").drop(label)
+    ns = sparse.nearest_centroid_sparse(w, labs, cents, item, label,
+                                        "nearest_label_tfidf", "nearest_dist_tfidf")
+    titles = base.select(label, title).filter(F.col(title).isNotNull()).distinct()
+    from labelscope.operators.prep import dedupe_keep
+    titles = dedupe_keep(titles, [label], [title])
+    out = (dq.join(ds, item).join(ns, item)
+             .withColumn("mismatch_tfidf", F.col("nearest_label_tfidf") != F.col(label))
+             .join(base.select(item, title), item))
+    for m in ("dense", "tfidf"):
+        t = titles.select(F.col(label).alias(f"nearest_label_{m}"), F.col(title).alias(f"nearest_title_{m}"))
+        out = out.join(t, f"nearest_label_{m}", "left")
+    return stats.add_flags(out, f"n_{label}", small_max, high_z, disagree_z)

@@ -14,8 +14,8 @@ SQL: dict[str, str] = {}
 
 # ---------------------------------------------------------------- dense (F-B)
 
-_UNIT = """
-e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+_UNIT_T = """
+e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM ({src})),
 en AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS nv FROM e),
 u AS (SELECT vec_id, label, list_transform(v, lambda x: x / nv) AS v FROM en),
 ux AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM u),
@@ -31,6 +31,13 @@ near AS (SELECT vec_id, clabel AS nearest_label, 1 - sim AS nearest_dist FROM (
          WHERE rn = 1)
 """
 
+
+def _unit(src: str) -> str:
+    return _UNIT_T.replace("{src}", src)
+
+
+_UNIT = _unit("SELECT vec_id, label, embedding FROM embeddings")
+
 _STATS = """
 d AS (SELECT vec_id, label, dist, round(dist, 9) AS rk FROM own),
 gs AS (SELECT label, avg(dist) AS mu, stddev_samp(dist) AS sd, quantile_cont(dist, 0.5) AS med,
@@ -326,3 +333,131 @@ first_label AS (SELECT min(source) AS f FROM cent)
 SELECT lab.doc_id, coalesce(best.source, first_label.f) AS nearest_label,
        round(1 - coalesce(best.s, 0), 6) AS nearest_dist
 FROM (SELECT DISTINCT doc_id FROM lab) lab LEFT JOIN best ON lab.doc_id = best.doc_id, first_label"""
+
+# -------------------------------------------- flags, cross-tabs, summaries (F-D)
+
+_FD_SRC = ("SELECT e.vec_id, e.label, e.embedding, d.text, 'label_' || CAST(e.label AS VARCHAR) AS label_title "
+           "FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id")
+
+_FD = "WITH fd AS (" + _FD_SRC + ")," + _unit("SELECT vec_id, label, embedding FROM fd") + "," + _STATS + "," \
+    + _tfidf("SELECT vec_id, text FROM fd", 3, 0.8, "vec_id") + """,
+lab AS (SELECT vec_id, label FROM fd),
+snl AS (SELECT label, count(*) AS n FROM lab GROUP BY label),
+scs AS (SELECT lab.label, w.term, sum(w.weight) AS s FROM w JOIN lab ON w.vec_id = lab.vec_id GROUP BY ALL),
+scm AS (SELECT scs.label, scs.term, s / n AS m FROM scs JOIN snl ON scs.label = snl.label),
+scent AS (SELECT label, term, m / (sqrt(sum(m * m) OVER (PARTITION BY label)) + 1e-12) AS centroid FROM scm),
+sdots AS (SELECT w.vec_id, lab.label, sum(w.weight * scent.centroid) AS dd
+          FROM w JOIN lab ON w.vec_id = lab.vec_id JOIN scent ON scent.label = lab.label AND scent.term = w.term
+          GROUP BY ALL),
+sown AS (SELECT lab.vec_id, lab.label, 1 - coalesce(sdots.dd, 0) AS dist, round(1 - coalesce(sdots.dd, 0), 9) AS rk
+         FROM lab LEFT JOIN sdots ON lab.vec_id = sdots.vec_id AND lab.label = sdots.label),
+sgs AS (SELECT label, avg(dist) AS mu, stddev_samp(dist) AS sd, quantile_cont(dist, 0.5) AS med FROM sown GROUP BY label),
+sst AS (SELECT sown.*, sgs.mu, sgs.med, nullif(sgs.sd, 0) AS sd0,
+               (rank() OVER (PARTITION BY sown.label ORDER BY sown.rk)
+                + (count(*) OVER (PARTITION BY sown.label, sown.rk) - 1) / 2.0)
+                / count(*) OVER (PARTITION BY sown.label) AS pct
+        FROM sown JOIN sgs USING (label)),
+ssims AS (SELECT w.vec_id, scent.label AS clabel, sum(w.weight * scent.centroid) AS s
+          FROM w JOIN scent ON scent.term = w.term GROUP BY ALL),
+sbest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, clabel) AS rn
+          FROM ssims) WHERE rn = 1),
+sfirst AS (SELECT min(label) AS f FROM scent),
+snear AS (SELECT lab.vec_id, coalesce(sbest.clabel, sfirst.f) AS nearest_label, 1 - coalesce(sbest.s, 0) AS nearest_dist
+          FROM lab LEFT JOIN sbest ON lab.vec_id = sbest.vec_id, sfirst),
+titles AS (SELECT label, min(label_title) AS title FROM fd WHERE label_title IS NOT NULL GROUP BY label),
+q0 AS (SELECT st.vec_id, st.label, fd.label_title, st.n AS n_label,
+              st.dist AS dist_dense, coalesce((st.dist - st.mu) / st.sd0, 0) AS z_dense,
+              near.nearest_label AS nearest_label_dense, near.nearest_dist AS nearest_dist_dense,
+              near.nearest_label <> st.label AS mismatch_dense,
+              sst.dist AS dist_tfidf, coalesce((sst.dist - sst.mu) / sst.sd0, 0) AS z_tfidf,
+              snear.nearest_label AS nearest_label_tfidf, snear.nearest_dist AS nearest_dist_tfidf,
+              snear.nearest_label <> st.label AS mismatch_tfidf,
+              td.title AS nearest_title_dense, tt.title AS nearest_title_tfidf
+       FROM st JOIN near ON st.vec_id = near.vec_id JOIN sst ON st.vec_id = sst.vec_id
+            JOIN snear ON st.vec_id = snear.vec_id JOIN fd ON st.vec_id = fd.vec_id
+            LEFT JOIN titles td ON td.label = near.nearest_label
+            LEFT JOIN titles tt ON tt.label = snear.nearest_label),
+q AS (SELECT *, n_label <= 46 AS small, z_tfidf >= 1.5 AS flag_tfidf, z_dense >= 1.5 AS flag_dense,
+             z_tfidf >= 1.5 AND z_dense >= 1.5 AS flag_both, z_tfidf >= 1.5 OR z_dense >= 1.5 AS flag_either,
+             abs(z_tfidf - z_dense) >= 1.5 AS flag_disagree, mismatch_tfidf OR mismatch_dense AS mismatch_either
+      FROM q0)
+"""
+
+SQL["outlier_flags"] = _FD + """
+SELECT vec_id, label, n_label, round(dist_dense, 6) AS dist_dense, round(z_dense, 4) AS z_dense,
+       round(dist_tfidf, 6) AS dist_tfidf, round(z_tfidf, 4) AS z_tfidf, small, flag_tfidf, flag_dense,
+       flag_both, flag_either, flag_disagree, mismatch_tfidf, mismatch_dense, mismatch_either FROM q"""
+
+SQL["nearest_label_title"] = _FD + """
+SELECT vec_id, label, nearest_label_tfidf, round(nearest_dist_tfidf, 6) AS nearest_dist_tfidf,
+       nearest_title_tfidf, nearest_label_dense, nearest_title_dense FROM q"""
+
+SQL["flag_counts"] = _FD + """
+SELECT count(*) AS n_rows, count(DISTINCT label) AS n_labels,
+       count(*) FILTER (WHERE small) AS small, count(*) FILTER (WHERE flag_tfidf) AS flag_tfidf,
+       count(*) FILTER (WHERE flag_dense) AS flag_dense, count(*) FILTER (WHERE flag_both) AS flag_both,
+       count(*) FILTER (WHERE flag_either) AS flag_either, count(*) FILTER (WHERE flag_disagree) AS flag_disagree,
+       count(*) FILTER (WHERE mismatch_dense) AS mismatch_dense,
+       count(*) FILTER (WHERE mismatch_tfidf) AS mismatch_tfidf,
+       count(*) FILTER (WHERE mismatch_either) AS mismatch_either FROM q"""
+
+
+def _crosstab(a: str, b: str, where: str = "TRUE") -> str:
+    return _FD + f"""
+SELECT CASE WHEN grouping({a}) = 1 THEN 'All' ELSE CAST({a} AS VARCHAR) END AS {a},
+       CASE WHEN grouping({b}) = 1 THEN 'All' ELSE CAST({b} AS VARCHAR) END AS {b},
+       count(*) AS n
+FROM q WHERE {where} GROUP BY CUBE ({a}, {b})"""
+
+
+SQL["flag_crosstab_margins"] = _crosstab("flag_tfidf", "flag_dense")
+SQL["flag_crosstab_large_only"] = _crosstab("flag_tfidf", "flag_dense", "NOT small")
+SQL["mismatch_crosstab_margins"] = _crosstab("mismatch_tfidf", "mismatch_dense")
+
+_SUMMARY = """,
+summ AS (SELECT label, arg_min(label_title, vec_id) AS label_title, count(*) AS n,
+       count(*) FILTER (WHERE small) AS small_flag, count(*) FILTER (WHERE flag_tfidf) AS tfidf_flag,
+       count(*) FILTER (WHERE flag_dense) AS dense_flag, count(*) FILTER (WHERE flag_either) AS either_flag,
+       count(*) FILTER (WHERE flag_both) AS both_flag, count(*) FILTER (WHERE flag_disagree) AS disagree,
+       avg(dist_tfidf) AS mean_dist_tfidf, avg(dist_dense) AS mean_dist_dense,
+       quantile_cont(dist_tfidf, 0.95) AS p95_tfidf, quantile_cont(dist_dense, 0.95) AS p95_dense,
+       count(*) FILTER (WHERE mismatch_tfidf) AS mismatch_tfidf,
+       count(*) FILTER (WHERE mismatch_dense) AS mismatch_dense,
+       count(*) FILTER (WHERE mismatch_either) AS mismatch_either
+FROM q GROUP BY label)
+"""
+
+SQL["label_distance_summary"] = _FD + _SUMMARY + """
+SELECT label, label_title, n, small_flag, tfidf_flag, dense_flag, either_flag, both_flag, disagree,
+       round(mean_dist_tfidf, 6) AS mean_dist_tfidf, round(mean_dist_dense, 6) AS mean_dist_dense,
+       round(p95_tfidf, 4) AS p95_tfidf, round(p95_dense, 4) AS p95_dense,
+       mismatch_tfidf, mismatch_dense, mismatch_either,
+       round(tfidf_flag / n, 6) AS rate_tfidf, round(dense_flag / n, 6) AS rate_dense,
+       round(both_flag / n, 6) AS rate_both, round(either_flag / n, 6) AS rate_either,
+       round(disagree / n, 6) AS rate_disagree, round(mismatch_tfidf / n, 6) AS rate_mismatch_tfidf,
+       round(mismatch_dense / n, 6) AS rate_mismatch_dense, round(mismatch_either / n, 6) AS rate_mismatch_either
+FROM summ"""
+
+SQL["outlier_report"] = _FD + """
+SELECT label, label_title, n_label, vec_id, round(dist_dense, 6) AS dist_dense, round(z_dense, 4) AS z_dense,
+       round(dist_tfidf, 6) AS dist_tfidf, round(z_tfidf, 4) AS z_tfidf, nearest_label_tfidf, nearest_title_tfidf,
+       nearest_label_dense, nearest_title_dense, flag_tfidf, flag_dense, flag_either, flag_both,
+       mismatch_tfidf, mismatch_dense, mismatch_either
+FROM q WHERE label IN (SELECT label FROM q WHERE flag_either)
+ORDER BY label, flag_both DESC, flag_either DESC, z_dense DESC, z_tfidf DESC"""
+
+SQL["flagged_label_rows"] = _FD + """
+SELECT vec_id, label, flag_either FROM q WHERE label IN (SELECT label FROM q WHERE flag_either)"""
+
+SQL["hist_mean_distance"] = _FD + _SUMMARY + ", ha AS (" + ("WITH" + _hist_sql(
+    "SELECT mean_dist_tfidf FROM summ", "mean_dist_tfidf", 30)) + "), hb AS (" + ("WITH" + _hist_sql(
+    "SELECT mean_dist_dense FROM summ", "mean_dist_dense", 30)) + """)
+SELECT *, 'tfidf' AS measure FROM ha UNION ALL SELECT *, 'dense' AS measure FROM hb"""
+
+SQL["distance_ranges"] = _FD + """
+SELECT round(min(dist_dense), 6) AS min_dist_dense, round(max(dist_dense), 6) AS max_dist_dense,
+       round(min(dist_tfidf), 6) AS min_dist_tfidf, round(max(dist_tfidf), 6) AS max_dist_tfidf,
+       round(min(z_dense), 6) AS min_z_dense, round(max(z_dense), 6) AS max_z_dense,
+       round(min(z_tfidf), 6) AS min_z_tfidf, round(max(z_tfidf), 6) AS max_z_tfidf,
+       round(avg(CASE WHEN mismatch_dense THEN 1.0 ELSE 0.0 END), 6) AS rate_mismatch_dense,
+       round(avg(CASE WHEN mismatch_tfidf THEN 1.0 ELSE 0.0 END), 6) AS rate_mismatch_tfidf FROM q"""

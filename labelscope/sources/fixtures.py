@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscope.sources.tables import read_table
+from labelscope.sources.tables import read_table, spread
 
 BRIDGE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -47,7 +47,7 @@ def labelled_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def labelled_text(spark: SparkSession, sf: str) -> DataFrame:
     """F-C: (doc_id, source, text, lang) with a title per source."""
-    d = read_table(spark, sf, "documents")
+    d = spread(read_table(spark, sf, "documents"))
     return d.select("doc_id", "source", "text", "lang",
                     F.concat(F.lit("title_"), F.col("source")).alias("source_title"))
 
@@ -55,7 +55,7 @@ def labelled_text(spark: SparkSession, sf: str) -> DataFrame:
 def both_measures(spark: SparkSession, sf: str) -> DataFrame:
     """F-D: vectors joined to texts on id; label title = 'label_' || label."""
     e = labelled_vectors(spark, sf)
-    d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    d = spread(read_table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text"))
     return (e.join(d, "vec_id", "inner")
              .withColumn("label_title", F.concat(F.lit("label_"), F.col("label").cast("string"))))
 
@@ -63,7 +63,7 @@ def both_measures(spark: SparkSession, sf: str) -> DataFrame:
 def multilabel_long(spark: SparkSession, sf: str) -> DataFrame:
     """F-E as long (doc_id, text, label) rows: quality / toxic flags and 'lang_' || lang."""
     lab = read_table(spark, sf, "labels")
-    docs = read_table(spark, sf, "documents").select("doc_id", "text", "lang")
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "text", "lang"))
     j = lab.join(docs, "doc_id", "inner")
     sets = F.array_compact(F.array(
         F.when(F.col("quality") == 1, F.lit("quality")),

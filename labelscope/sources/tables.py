@@ -24,6 +24,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when a scan yields fewer partitions than the
+    cluster can run at once (one small file = one row group = one task).
+    On a large multi-file input this is a no-op, so no extra shuffle."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def read_tsv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Tab-separated file with a header; all strings; '' never becomes null."""
     reader = (spark.read.option("header", True).option("sep", "\t")
