@@ -443,3 +443,110 @@ def q_distance_ranges(spark, sf):
     q = quality_table(spark, sf)
     return rnd(stats.ranges(q, ["dist_dense", "dist_tfidf", "z_dense", "z_tfidf"],
                             ["mismatch_dense", "mismatch_tfidf"]))
+
+
+# ------------------------------------------------ clustering and composition
+
+from labelscope.operators import cluster, compose  # noqa: E402
+
+
+def _vectors(spark, sf):
+    return fx.labelled_vectors(spark, sf)
+
+
+@query("cluster_inertia")
+def q_cluster_inertia(spark, sf):
+    return rnd(cluster.inertia(_vectors(spark, sf), "label", "embedding"))
+
+
+@query("calinski_harabasz")
+def q_calinski_harabasz(spark, sf):
+    return rnd(cluster.calinski_harabasz(_vectors(spark, sf), "label", "embedding"))
+
+
+@query("davies_bouldin")
+def q_davies_bouldin(spark, sf):
+    return rnd(cluster.davies_bouldin(_vectors(spark, sf), "label", "embedding"))
+
+
+@query("silhouette_rows")
+def q_silhouette_rows(spark, sf):
+    return rnd(cluster.silhouette_rows(_vectors(spark, sf), "vec_id", "label", "embedding"))
+
+
+@query("silhouette_mean")
+def q_silhouette_mean(spark, sf):
+    return rnd(cluster.silhouette_mean(_vectors(spark, sf), "vec_id", "label", "embedding"))
+
+
+@query("dist_to_center")
+def q_dist_to_center(spark, sf):
+    d = cluster.dist_to_center(_vectors(spark, sf), "label", "embedding")
+    return rnd(d.select("vec_id", "label", "dist_to_center"))
+
+
+@query("pca_project")
+def q_pca_project(spark, sf):
+    proj, ratio = cluster.pca(_vectors(spark, sf), "embedding", 20)
+    return rnd(proj.select("vec_id", F.col("pcs")[0].alias("pc1"), F.col("pcs")[1].alias("pc2")))
+
+
+@query("kmeans_assign")
+def q_kmeans_assign(spark, sf):
+    proj, _ = cluster.pca(_vectors(spark, sf), "embedding", 20)
+    fitted, _, _ = cluster.kmeans_fit(proj, "pcs", 10, seed=SEED)
+    sil = cluster.silhouette_rows(fitted, "vec_id", "cluster", "pcs")
+    d = cluster.dist_to_center(fitted, "cluster", "pcs")
+    return rnd(d.select("vec_id", "label", "cluster", "dist_to_center").join(sil.drop("cluster"), "vec_id"))
+
+
+@query("kmeans_sweep")
+def q_kmeans_sweep(spark, sf):
+    return rnd(cluster.kmeans_sweep(_vectors(spark, sf), "vec_id", "embedding", ks=[5, 10], dims=[20],
+                                    seed=SEED))
+
+
+@query("cluster_composition")
+def q_cluster_composition(spark, sf):
+    return rnd(compose.composition(fx.labelled_text(spark, sf), "lang", "source"))
+
+
+@query("label_composition")
+def q_label_composition(spark, sf):
+    return rnd(compose.composition(fx.labelled_text(spark, sf), "source", "lang"))
+
+
+@query("weighted_purity")
+def q_weighted_purity(spark, sf):
+    d = fx.labelled_text(spark, sf)
+    a = compose.weighted_purity(compose.composition(d, "lang", "source"), "source").select(
+        F.lit("cluster_by_label").alias("direction"), "weighted_purity",
+        F.col("mean_distinct_source").alias("mean_distinct"))
+    b = compose.weighted_purity(compose.composition(d, "source", "lang"), "lang").select(
+        F.lit("label_by_cluster").alias("direction"), "weighted_purity",
+        F.col("mean_distinct_lang").alias("mean_distinct"))
+    return rnd(a.unionByName(b))
+
+
+@query("crosstab_top_log1p")
+def q_crosstab_top_log1p(spark, sf):
+    return rnd(compose.crosstab_top(fx.labelled_text(spark, sf), "lang", "source", 25))
+
+
+def item_clusters(spark, sf):
+    """Item-level cluster ids for F-A: the item's brand."""
+    p = read_table(spark, sf, "part")
+    return p.select(F.col("p_partkey").cast("string").alias("task_id"), F.col("p_brand").alias("cluster_id"))
+
+
+@query("clusters_joined_back")
+def q_clusters_joined_back(spark, sf):
+    a = deduped_analysis(spark, sf).select("dwa_id", "task_text", "task_id")
+    return compose.join_back(a, item_clusters(spark, sf), "task_id", ["cluster_id"])
+
+
+@query("item_level_rollup")
+def q_item_level_rollup(spark, sf):
+    a = deduped_analysis(spark, sf)
+    first = dense.first_vector_per_item(a, "task_id", ["dwa_id", "task_text"])
+    return first.select("task_id", "dwa_id", "task_text")

@@ -461,3 +461,84 @@ SELECT round(min(dist_dense), 6) AS min_dist_dense, round(max(dist_dense), 6) AS
        round(min(z_tfidf), 6) AS min_z_tfidf, round(max(z_tfidf), 6) AS max_z_tfidf,
        round(avg(CASE WHEN mismatch_dense THEN 1.0 ELSE 0.0 END), 6) AS rate_mismatch_dense,
        round(avg(CASE WHEN mismatch_tfidf THEN 1.0 ELSE 0.0 END), 6) AS rate_mismatch_tfidf FROM q"""
+
+# ------------------------------------------------ clustering and composition
+
+_PTS = """
+p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+px AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM p),
+cc AS (SELECT label, i, avg(x) AS c FROM px GROUP BY label, i),
+cn AS (SELECT label, count(*) AS n FROM p GROUP BY label),
+sqd AS (SELECT px.vec_id, px.label, sum((px.x - cc.c) * (px.x - cc.c)) AS d2
+        FROM px JOIN cc ON px.label = cc.label AND px.i = cc.i GROUP BY ALL)
+"""
+
+SQL["cluster_inertia"] = "WITH" + _PTS + "SELECT round(sum(d2), 6) AS inertia FROM sqd"
+
+SQL["calinski_harabasz"] = "WITH" + _PTS + """,
+g AS (SELECT i, avg(x) AS m FROM px GROUP BY i),
+b AS (SELECT sum(cn.n * t.s) AS b FROM (SELECT cc.label, sum((cc.c - g.m) * (cc.c - g.m)) AS s
+      FROM cc JOIN g ON cc.i = g.i GROUP BY cc.label) t JOIN cn ON t.label = cn.label),
+w AS (SELECT sum(d2) AS w FROM sqd),
+kn AS (SELECT count(*) AS k, sum(n) AS n FROM cn)
+SELECT round(CASE WHEN w = 0 THEN 1.0 ELSE b * (n - k) / (w * (k - 1.0)) END, 6) AS calinski_harabasz,
+       k, CAST(n AS BIGINT) AS n FROM b, w, kn"""
+
+SQL["davies_bouldin"] = "WITH" + _PTS + """,
+s AS (SELECT label, avg(sqrt(d2)) AS s FROM sqd GROUP BY label),
+cd AS (SELECT a.label AS la, b.label AS lb, sqrt(sum((a.c - b.c) * (a.c - b.c))) AS d
+       FROM cc a JOIN cc b ON a.i = b.i AND a.label <> b.label GROUP BY ALL),
+r AS (SELECT la, max((sa.s + sb.s) / d) AS r FROM cd JOIN s sa ON sa.label = la JOIN s sb ON sb.label = lb GROUP BY la)
+SELECT round(avg(r), 6) AS davies_bouldin, (SELECT count(*) FROM cn) AS k FROM r"""
+
+_SIL = """
+p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+pr AS (SELECT a.vec_id, a.label AS c, b.label AS o, sum(list_distance(a.v, b.v)) AS s, count(*) AS n
+       FROM p a JOIN p b ON a.vec_id <> b.vec_id GROUP BY ALL),
+per AS (SELECT p.vec_id, p.label, max(CASE WHEN pr.c = pr.o THEN pr.s / pr.n END) AS a,
+               min(CASE WHEN pr.c <> pr.o THEN pr.s / pr.n END) AS b
+        FROM p LEFT JOIN pr ON p.vec_id = pr.vec_id GROUP BY ALL),
+sil AS (SELECT vec_id, label, CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END AS s
+        FROM per)
+"""
+
+SQL["silhouette_rows"] = "WITH" + _SIL + "SELECT vec_id, label, round(s, 6) AS silhouette FROM sil"
+SQL["silhouette_mean"] = "WITH" + _SIL + "SELECT round(avg(s), 6) AS silhouette FROM sil"
+
+SQL["dist_to_center"] = "WITH" + _PTS + "SELECT vec_id, label, round(sqrt(d2), 6) AS dist_to_center FROM sqd"
+
+
+def _composition(a: str, b: str) -> str:
+    return f"""
+WITH pairs AS (SELECT {a}, {b}, count(*) AS c FROM documents WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY {a} ORDER BY c DESC, {b}) AS rn,
+             sum(c) OVER (PARTITION BY {a}) AS n_rows, count(*) OVER (PARTITION BY {a}) AS nd FROM pairs)
+SELECT {a}, CAST(n_rows AS BIGINT) AS n_rows, nd AS n_distinct_{b}, {b} AS dominant_{b}, c AS dominant_count,
+       round(c / n_rows, 6) AS dominant_share FROM r WHERE rn = 1"""
+
+
+SQL["cluster_composition"] = _composition("lang", "source")
+SQL["label_composition"] = _composition("source", "lang")
+
+SQL["weighted_purity"] = ("WITH ca AS (" + _composition("lang", "source") + "), cb AS ("
+                          + _composition("source", "lang") + """)
+SELECT 'cluster_by_label' AS direction, round(sum(dominant_share * n_rows) / sum(n_rows), 6) AS weighted_purity,
+       round(avg(n_distinct_source), 6) AS mean_distinct FROM ca
+UNION ALL
+SELECT 'label_by_cluster', round(sum(dominant_share * n_rows) / sum(n_rows), 6), round(avg(n_distinct_lang), 6)
+FROM cb""")
+
+SQL["crosstab_top_log1p"] = """
+WITH top AS (SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 25),
+rows_ AS (SELECT DISTINCT lang FROM documents WHERE source IN (SELECT source FROM top)),
+cnt AS (SELECT lang, source, count(*) AS n FROM documents WHERE source IN (SELECT source FROM top) GROUP BY ALL)
+SELECT rows_.lang, top.source, coalesce(cnt.n, 0) AS n, round(ln(1 + coalesce(cnt.n, 0)), 6) AS log1p_n
+FROM rows_ CROSS JOIN top LEFT JOIN cnt ON cnt.lang = rows_.lang AND cnt.source = top.source"""
+
+SQL["clusters_joined_back"] = "WITH" + _ANALYSIS + """
+SELECT dd.dwa_id, dd.task_text, dd.task_id, p.p_brand AS cluster_id
+FROM dd LEFT JOIN part p ON CAST(p.p_partkey AS VARCHAR) = dd.task_id"""
+
+SQL["item_level_rollup"] = "WITH" + _ANALYSIS + """
+SELECT task_id, dwa_id, task_text FROM (SELECT *, row_number() OVER (PARTITION BY task_id
+       ORDER BY dwa_id, task_text) AS r FROM dd) WHERE r = 1"""
