@@ -81,6 +81,9 @@ def replicate(df: DataFrame, id_col: str, own: str, other: str, n_own: int, n_ot
 def cogroup_blocks(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
                    n_left: int, n_right: int, kernel, schema) -> DataFrame:
     """Run ``kernel(left_pdf, right_pdf) -> pdf`` once per (left block, right block)."""
+    # fresh attribute ids on both sides: the two inputs often share lineage
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     lrep = replicate(left, left_id, "_lb", "_rb", n_left, n_right)
     rrep = replicate(right, right_id, "_rb", "_lb", n_right, n_left)
 

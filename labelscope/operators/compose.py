@@ -48,3 +48,54 @@ def crosstab_top(df: DataFrame, row: str, col: str, top_n: int = 25) -> DataFram
 def join_back(rows: DataFrame, item_level: DataFrame, item: str, cols: list[str]) -> DataFrame:
     """Left join item-level columns (cluster id, description) back to rows."""
     return rows.join(item_level.select(item, *cols), item, "left")
+
+
+# Default prompt around the sampled texts; any template with the same two
+# parts can be passed instead.
+USER_PROMPT_HEAD = """
+You are given example texts that all belong to the same group.
+Write ONE short summary sentence that best represents this group.
+
+Example texts:
+"""
+
+USER_PROMPT_TAIL = """
+
+Now write the single summary statement:
+"""
+
+
+def group_prompts(df: DataFrame, group: str, text: str, n: int, seed: int, key_cols: list[str],
+                  head: str = USER_PROMPT_HEAD, tail: str = USER_PROMPT_TAIL) -> DataFrame:
+    """Per group: up to ``n`` sampled texts as a bullet list inside the user
+    prompt (X10): (group, n_sampled, prompt).  Sampling is the md5-ordered
+    per-group sample (O5), so at most n rows per group are ever gathered."""
+    from labelscope.operators.profile import sample_per_group
+    s = sample_per_group(df, group, text, n, seed, key_cols, sep="\n- ")
+    return s.select(group, "n_sampled",
+                    F.concat(F.lit(head + "- "), F.col("sampled"), F.lit(tail)).alias("prompt"))
+
+
+def summarize_groups(prompts: DataFrame, group: str, summarizer=None, out: str = "summary") -> DataFrame:
+    """One summary per group (X12).  ``summarizer(list[str]) -> list[str]``
+    runs on the executors over Arrow batches (e.g. a call to a hosted model);
+    with none, the summary is the group's top terms, computed in Spark."""
+    if summarizer is None:
+        raise ValueError("pass a summarizer, or use top_terms_summary")
+    import pandas as pd
+    from pyspark.sql import types as T
+    gtype = prompts.schema[group].dataType
+    schema = T.StructType([T.StructField(group, gtype), T.StructField(out, T.StringType())])
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({group: pdf[group].values, out: list(summarizer(pdf["prompt"].tolist()))})
+
+    return prompts.select(group, "prompt").mapInPandas(run, schema)
+
+
+def top_terms_summary(top_terms: DataFrame, group: str, out: str = "summary") -> DataFrame:
+    """Default summariser: the group's ranked top n-grams joined by ', '."""
+    return top_terms.groupBy(group).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]),
+                     ", ").alias(out))

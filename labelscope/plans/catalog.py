@@ -550,3 +550,178 @@ def q_item_level_rollup(spark, sf):
     a = deduped_analysis(spark, sf)
     first = dense.first_vector_per_item(a, "task_id", ["dwa_id", "task_text"])
     return first.select("task_id", "dwa_id", "task_text")
+
+
+# ------------------------------------------------------------ multi-label (F-E)
+
+from labelscope.operators import embed as embed_ops  # noqa: E402
+from labelscope.operators import multilabel as ml  # noqa: E402
+
+MIN_PER_LABEL = 20
+N_SPLITS = 5
+KNN_K = 3
+
+
+def ml_dataset(spark, sf):
+    long_ = fx.multilabel_long(spark, sf)
+    return ml.multilabel_dataset(long_, "doc_id", "text", "label", MIN_PER_LABEL)
+
+
+def _joined(col):
+    return F.array_join(col, "|")
+
+
+@query("item_label_sets")
+def q_item_label_sets(spark, sf):
+    s = ml.item_label_sets(fx.multilabel_long(spark, sf), "doc_id", "text", "label")
+    return s.select("doc_id", _joined("labels").alias("labels"))
+
+
+@query("kept_labels")
+def q_kept_labels(spark, sf):
+    s = ml.item_label_sets(fx.multilabel_long(spark, sf), "doc_id", "text", "label")
+    return ml.label_support(s, MIN_PER_LABEL)
+
+
+@query("multilabel_items")
+def q_multilabel_items(spark, sf):
+    items, _ = ml_dataset(spark, sf)
+    return items.select("doc_id", _joined("labels").alias("labels"))
+
+
+@query("multi_hot")
+def q_multi_hot(spark, sf):
+    items, kept = ml_dataset(spark, sf)
+    classes = [r[0] for r in kept.select("label").collect()]   # label-sized
+    return ml.multi_hot(items, classes).select("doc_id", F.array_join(F.col("y").cast("array<string>"), "|").alias("y"))
+
+
+@query("group_folds")
+def q_group_folds(spark, sf):
+    items, _ = ml_dataset(spark, sf)
+    return ml.group_folds(items.select("doc_id"), "doc_id", N_SPLITS, SEED).withColumn(
+        "fold", F.col("fold").cast("long"))
+
+
+@query("knn_neighbors")
+def q_knn_neighbors(spark, sf):
+    v = ml.group_folds(_vectors(spark, sf), "vec_id", N_SPLITS, SEED)
+    return rnd(ml.knn_dense(v, v, "vec_id", "embedding", KNN_K, fold="fold"))
+
+
+def knn_fold_predictions(spark, sf):
+    """Per fold: TF-IDF fitted on the training items only, brute-force cosine
+    3-NN, distance-weighted vote.  Returns (predictions, truth, folds, kept)."""
+    from labelscope.operators import sparse
+    items, kept = ml_dataset(spark, sf)
+    fitems = ml.group_folds(items, "doc_id", N_SPLITS, SEED).persist()
+    truth = fitems.select("doc_id", "fold", F.explode("labels").alias("label"))
+    preds = []
+    for f in range(N_SPLITS):
+        train = fitems.filter(F.col("fold") != f)
+        test = fitems.filter(F.col("fold") == f)
+        w_tr, vocab = sparse.tfidf_fit_transform(train, "doc_id", "text", TFIDF_MIN_DF, TFIDF_MAX_DF)
+        w_te = sparse.tfidf_transform(test, vocab, "doc_id", "text")
+        nb = ml.knn_sparse(w_te, w_tr, "doc_id", KNN_K, test_items=test.select("doc_id"),
+                           train_items=train.select("doc_id"))
+        pr = ml.knn_vote(nb, truth.filter(F.col("fold") != f), "doc_id")
+        preds.append(pr.withColumn("fold", F.lit(f)))
+    pred = preds[0]
+    for p in preds[1:]:
+        pred = pred.unionByName(p)
+    return pred, truth, fitems, kept
+
+
+@query("knn_predict")
+def q_knn_predict(spark, sf):
+    pred, _, _, _ = knn_fold_predictions(spark, sf)
+    return pred.select("doc_id", "label")
+
+
+@query("knn_crossval")
+def q_knn_crossval(spark, sf):
+    pred, truth, fitems, kept = knn_fold_predictions(spark, sf)
+    pred = pred.persist()
+    rows = []
+    for f in range(N_SPLITS):
+        s = ml.multilabel_scores(truth.filter(F.col("fold") == f), pred.filter(F.col("fold") == f), "doc_id",
+                                 kept, items=fitems.filter(F.col("fold") == f)).first()
+        rows.append(s)
+    n = len(rows)
+    out = [(sum(r["f1_macro"] for r in rows) / n, sum(r["f1_micro"] for r in rows) / n,
+            sum(r["jaccard_samples"] for r in rows) / n)]
+    return rnd(spark.createDataFrame(out, "f1_macro double, f1_micro double, jaccard_samples double"))
+
+
+@query("random_baseline")
+def q_random_baseline(spark, sf):
+    items, kept = ml_dataset(spark, sf)
+    truth = items.select("doc_id", F.explode("labels").alias("label"))
+    pred = ml.random_prevalence(truth, items, "doc_id", SEED)
+    return rnd(ml.multilabel_scores(truth, pred, "doc_id", kept, items=items))
+
+
+@query("embed_hashing")
+def q_embed_hashing(spark, sf):
+    e = embed_ops.embed(fx.labelled_text(spark, sf), "doc_id", "text")
+    return e.select("doc_id", F.size("embedding").alias("dim"))
+
+
+def _dense_features(spark, sf):
+    items, kept = ml_dataset(spark, sf)
+    emb = embed_ops.embed(items, "doc_id", "text")
+    from pyspark.ml.functions import array_to_vector
+    feats = items.join(emb, "doc_id").withColumn("features", array_to_vector("embedding"))
+    return feats, kept
+
+
+@query("ovr_logistic_predict")
+def q_ovr_logistic_predict(spark, sf):
+    feats, kept = _dense_features(spark, sf)
+    classes = sorted(r[0] for r in kept.select("label").collect())
+    fitems = ml.group_folds(feats, "doc_id", N_SPLITS, SEED).persist()
+    truth = fitems.select("doc_id", "fold", F.explode("labels").alias("label"))
+    train, test = fitems.filter(F.col("fold") != 0), fitems.filter(F.col("fold") == 0)
+    return ml.ovr_logistic(train, test, "doc_id", "features", truth.filter(F.col("fold") != 0), classes)
+
+
+@query("ovr_crossval")
+def q_ovr_crossval(spark, sf):
+    feats, kept = _dense_features(spark, sf)
+    classes = sorted(r[0] for r in kept.select("label").collect())
+    fitems = ml.group_folds(feats, "doc_id", N_SPLITS, SEED).persist()
+    truth = fitems.select("doc_id", "fold", F.explode("labels").alias("label"))
+
+    def one_fold(f):
+        train, test = fitems.filter(F.col("fold") != f), fitems.filter(F.col("fold") == f)
+        pred = ml.ovr_logistic(train, test, "doc_id", "features", truth.filter(F.col("fold") != f), classes)
+        return ml.multilabel_scores(truth.filter(F.col("fold") == f), pred, "doc_id", kept,
+                                    items=test).first()
+
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=N_SPLITS) as ex:   # folds run as concurrent Spark jobs
+        rows = list(ex.map(one_fold, range(N_SPLITS)))
+    n = len(rows)
+    out = [(sum(r["f1_macro"] for r in rows) / n, sum(r["f1_micro"] for r in rows) / n,
+            sum(r["jaccard_samples"] for r in rows) / n)]
+    return rnd(spark.createDataFrame(out, "f1_macro double, f1_micro double, jaccard_samples double"))
+
+
+# ------------------------------------------------- prompts and descriptions
+
+SAMPLE_PER_GROUP = 20
+
+
+@query("group_prompts")
+def q_group_prompts(spark, sf):
+    d = fx.labelled_text(spark, sf)
+    return compose.group_prompts(d.withColumn("text", normalize_text("text")), "source", "text",
+                                 SAMPLE_PER_GROUP, SEED, ["doc_id"])
+
+
+@query("group_descriptions")
+def q_group_descriptions(spark, sf):
+    d = fx.labelled_text(spark, sf)
+    top = sparse.top_ngrams(d, "source", "text", "doc_id", TOPN_K, min_df=TOPN_MIN_DF, max_df=TOPN_MAX_DF)
+    desc = compose.top_terms_summary(top, "source", "cluster_summary")
+    return compose.join_back(d.select("doc_id", "source"), desc, "source", ["cluster_summary"])

@@ -542,3 +542,143 @@ FROM dd LEFT JOIN part p ON CAST(p.p_partkey AS VARCHAR) = dd.task_id"""
 SQL["item_level_rollup"] = "WITH" + _ANALYSIS + """
 SELECT task_id, dwa_id, task_text FROM (SELECT *, row_number() OVER (PARTITION BY task_id
        ORDER BY dwa_id, task_text) AS r FROM dd) WHERE r = 1"""
+
+# ------------------------------------------------------------ multi-label (F-E)
+
+_ML = """
+lab AS (SELECT l.doc_id, d.text, l.quality, l.toxic, d.lang FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+lng AS (SELECT doc_id, 'quality' AS label FROM lab WHERE quality = 1
+        UNION ALL SELECT doc_id, 'toxic' FROM lab WHERE toxic = 1
+        UNION ALL SELECT doc_id, 'lang_' || lang FROM lab WHERE lang IS NOT NULL),
+sets AS (SELECT doc_id, list_sort(list_distinct(list(label))) AS labels FROM lng GROUP BY doc_id),
+support AS (SELECT label, count(DISTINCT doc_id) AS n_items FROM lng GROUP BY label),
+kept AS (SELECT label, n_items FROM support WHERE n_items >= 20),
+kl AS (SELECT DISTINCT lng.doc_id, lng.label FROM lng JOIN kept ON lng.label = kept.label),
+items AS (SELECT DISTINCT kl.doc_id, lab.text FROM kl JOIN lab ON kl.doc_id = lab.doc_id),
+fitems AS (SELECT doc_id, text, CAST(floor(CAST(('0x' || substr(md5(concat_ws('|', '6740', CAST(doc_id AS VARCHAR))),
+           1, 8)) AS BIGINT) / 4294967296.0 * 5) AS BIGINT) AS fold FROM items)
+"""
+
+SQL["item_label_sets"] = "WITH" + _ML + "SELECT doc_id, array_to_string(labels, '|') AS labels FROM sets"
+SQL["kept_labels"] = "WITH" + _ML + "SELECT label, n_items FROM kept"
+SQL["multilabel_items"] = "WITH" + _ML + """
+SELECT doc_id, array_to_string(list_sort(list(label)), '|') AS labels FROM kl GROUP BY doc_id"""
+SQL["multi_hot"] = "WITH" + _ML + """,
+cls AS (SELECT list_sort(list(label)) AS c FROM kept),
+ys AS (SELECT doc_id, list(label) AS ls FROM kl GROUP BY doc_id)
+SELECT doc_id, array_to_string(list_transform(c, lambda x: CASE WHEN list_contains(ls, x) THEN '1' ELSE '0' END), '|') AS y
+FROM ys, cls"""
+SQL["group_folds"] = "WITH" + _ML + "SELECT doc_id, fold FROM fitems"
+
+SQL["knn_neighbors"] = """
+WITH p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
+                  CAST(floor(CAST(('0x' || substr(md5(concat_ws('|', '6740', CAST(vec_id AS VARCHAR))), 1, 8)) AS BIGINT)
+                       / 4294967296.0 * 5) AS BIGINT) AS fold FROM embeddings),
+s AS (SELECT a.vec_id, b.vec_id AS neighbor,
+             list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS sim
+      FROM p a JOIN p b ON a.fold <> b.fold)
+SELECT vec_id, neighbor, round(sim, 6) AS sim FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, neighbor) AS rn FROM s) WHERE rn <= 3"""
+
+_KNN = "WITH" + _ML + f""",
+folds AS (SELECT range AS f FROM range(5)),
+tok AS (SELECT doc_id, {_toks('text')} AS toks FROM fitems),
+terms AS (SELECT doc_id, unnest({_GRAMS}) AS term FROM tok),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+ftr AS (SELECT folds.f, fitems.doc_id FROM folds JOIN fitems ON fitems.fold <> folds.f),
+fte AS (SELECT folds.f, fitems.doc_id FROM folds JOIN fitems ON fitems.fold = folds.f),
+ntr AS (SELECT f, CAST(count(*) AS DOUBLE) AS n FROM ftr GROUP BY f),
+dfs AS (SELECT ftr.f, tf.term, count(*) AS df FROM ftr JOIN tf ON ftr.doc_id = tf.doc_id GROUP BY ALL),
+vocab AS (SELECT dfs.f, dfs.term, ln((1 + n) / (1 + df)) + 1 AS idf FROM dfs JOIN ntr ON dfs.f = ntr.f
+          WHERE df >= 3 AND df <= 0.8 * n),
+wtr0 AS (SELECT ftr.f, tf.doc_id, tf.term, (1 + ln(tf.tf)) * vocab.idf AS w
+         FROM ftr JOIN tf ON ftr.doc_id = tf.doc_id JOIN vocab ON vocab.f = ftr.f AND vocab.term = tf.term),
+wtr AS (SELECT f, doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY f, doc_id)) AS w FROM wtr0),
+wte0 AS (SELECT fte.f, tf.doc_id, tf.term, (1 + ln(tf.tf)) * vocab.idf AS w
+         FROM fte JOIN tf ON fte.doc_id = tf.doc_id JOIN vocab ON vocab.f = fte.f AND vocab.term = tf.term),
+wte AS (SELECT f, doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY f, doc_id)) AS w FROM wte0),
+sims AS (SELECT wte.f, wte.doc_id AS q, wtr.doc_id AS r, sum(wte.w * wtr.w) AS s
+         FROM wte JOIN wtr ON wte.f = wtr.f AND wte.term = wtr.term GROUP BY ALL),
+pairs AS (SELECT fte.f, fte.doc_id AS q, ftr.doc_id AS r, coalesce(sims.s, 0) AS s
+          FROM fte JOIN ftr ON fte.f = ftr.f LEFT JOIN sims ON sims.f = fte.f AND sims.q = fte.doc_id AND sims.r = ftr.doc_id),
+nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY f, q ORDER BY round(s, 12) DESC, r) AS rn FROM pairs)
+       WHERE rn <= 3),
+nbw AS (SELECT *, round(1 - s, 12) AS d FROM nb),
+nbz AS (SELECT *, max(CASE WHEN d <= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY f, q) AS z FROM nbw),
+nbwt AS (SELECT *, CASE WHEN z = 1 THEN (CASE WHEN d <= 0 THEN 1.0 ELSE 0.0 END) ELSE 1.0 / d END AS wt FROM nbz),
+tot AS (SELECT f, q, sum(wt) AS tot FROM nbwt GROUP BY ALL),
+pos AS (SELECT nbwt.f, nbwt.q, kl.label, sum(wt) AS pos FROM nbwt JOIN kl ON kl.doc_id = nbwt.r GROUP BY ALL),
+pred AS (SELECT pos.f, pos.q AS doc_id, pos.label FROM pos JOIN tot ON pos.f = tot.f AND pos.q = tot.q
+         WHERE pos > tot - pos),
+truth AS (SELECT fte.f, fte.doc_id, kl.label FROM fte JOIN kl ON fte.doc_id = kl.doc_id),
+j AS (SELECT coalesce(t.f, p.f) AS f, coalesce(t.doc_id, p.doc_id) AS doc_id, coalesce(t.label, p.label) AS label,
+             t.label IS NOT NULL AS ti, p.label IS NOT NULL AS pi
+      FROM truth t FULL OUTER JOIN pred p ON t.f = p.f AND t.doc_id = p.doc_id AND t.label = p.label),
+pl AS (SELECT folds.f, kept.label,
+              coalesce(sum(CASE WHEN ti AND pi THEN 1 ELSE 0 END), 0) AS tp,
+              coalesce(sum(CASE WHEN pi AND NOT ti THEN 1 ELSE 0 END), 0) AS fp,
+              coalesce(sum(CASE WHEN ti AND NOT pi THEN 1 ELSE 0 END), 0) AS fn
+       FROM folds CROSS JOIN kept LEFT JOIN j ON j.f = folds.f AND j.label = kept.label GROUP BY ALL),
+macro AS (SELECT f, avg(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + fp + fn) END) AS macro,
+                 sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM pl GROUP BY f),
+jac AS (SELECT fte.f, avg(CASE WHEN coalesce(u, 0) = 0 THEN 0 ELSE i / u END) AS jac
+        FROM fte LEFT JOIN (SELECT f, doc_id, sum(CASE WHEN ti AND pi THEN 1 ELSE 0 END) AS i, count(*) AS u
+                            FROM j GROUP BY ALL) x ON x.f = fte.f AND x.doc_id = fte.doc_id GROUP BY fte.f)
+"""
+
+SQL["knn_predict"] = _KNN + "SELECT doc_id, label FROM pred"
+
+SQL["knn_crossval"] = _KNN + """
+SELECT round(avg(macro), 6) AS f1_macro,
+       round(avg(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + fp + fn) END), 6) AS f1_micro,
+       round(avg(jac), 6) AS jaccard_samples
+FROM macro JOIN jac ON macro.f = jac.f"""
+
+SQL["random_baseline"] = "WITH" + _ML + """,
+nitems AS (SELECT CAST(count(DISTINCT doc_id) AS DOUBLE) AS n FROM kl),
+prev AS (SELECT label, count(*) / n AS p FROM kl, nitems GROUP BY label, n),
+ids AS (SELECT DISTINCT doc_id FROM kl),
+pred AS (SELECT ids.doc_id, prev.label FROM ids CROSS JOIN prev
+         WHERE CAST(('0x' || substr(md5(concat_ws('|', '6740', CAST(ids.doc_id AS VARCHAR), prev.label)), 1, 8)) AS BIGINT)
+               / 4294967296.0 < prev.p),
+j AS (SELECT coalesce(t.doc_id, p.doc_id) AS doc_id, coalesce(t.label, p.label) AS label,
+             t.label IS NOT NULL AS ti, p.label IS NOT NULL AS pi
+      FROM kl t FULL OUTER JOIN pred p ON t.doc_id = p.doc_id AND t.label = p.label),
+pl AS (SELECT kept.label, coalesce(sum(CASE WHEN ti AND pi THEN 1 ELSE 0 END), 0) AS tp,
+              coalesce(sum(CASE WHEN pi AND NOT ti THEN 1 ELSE 0 END), 0) AS fp,
+              coalesce(sum(CASE WHEN ti AND NOT pi THEN 1 ELSE 0 END), 0) AS fn
+       FROM kept LEFT JOIN j ON j.label = kept.label GROUP BY ALL),
+m AS (SELECT avg(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + fp + fn) END) AS macro,
+             sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM pl),
+jac AS (SELECT avg(CASE WHEN coalesce(u, 0) = 0 THEN 0 ELSE i / u END) AS jac
+        FROM ids LEFT JOIN (SELECT doc_id, sum(CASE WHEN ti AND pi THEN 1 ELSE 0 END) AS i, count(*) AS u
+                            FROM j GROUP BY ALL) x ON x.doc_id = ids.doc_id)
+SELECT round(macro, 6) AS f1_macro,
+       round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS f1_micro,
+       round(jac, 6) AS jaccard_samples FROM m, jac"""
+
+# ------------------------------------------------- prompts and descriptions
+
+from labelscope.operators.compose import USER_PROMPT_HEAD as _PH, USER_PROMPT_TAIL as _PT  # noqa: E402
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+SQL["group_prompts"] = """
+WITH h AS (SELECT source, """ + _norm("text") + """ AS text,
+                  md5(concat_ws('|', '6740', CAST(doc_id AS VARCHAR))) AS h FROM documents),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h) AS rn FROM h) WHERE rn <= 20)
+SELECT source, count(*) AS n_sampled,
+       """ + _lit(_PH + "- ") + """ || string_agg(text, '
+- ' ORDER BY h) || """ + _lit(_PT) + """ AS prompt
+FROM p GROUP BY source"""
+
+SQL["group_descriptions"] = "WITH" + _tfidf(
+    "SELECT source AS grp, string_agg(coalesce(text, ''), ' ' ORDER BY doc_id) AS text "
+    "FROM documents GROUP BY source", 2, 0.9, "grp") + """,
+ranked AS (SELECT grp, term, weight, row_number() OVER (PARTITION BY grp
+           ORDER BY round(weight, 9) DESC, term) AS rk FROM w WHERE weight > 0),
+descr AS (SELECT grp, string_agg(term, ', ' ORDER BY rk) AS cluster_summary FROM ranked WHERE rk <= 7 GROUP BY grp)
+SELECT d.doc_id, d.source, descr.cluster_summary FROM documents d LEFT JOIN descr ON descr.grp = d.source"""
