@@ -70,6 +70,14 @@ def blocks_for(n_rows: int, width: int, spark) -> int:
     return max(1, math.ceil(total / block_bytes(spark)))
 
 
+def left_blocks(spark, n_left_rows: int, n_right_blocks: int, rows_per_block: int = 512) -> int:
+    """Blocks for the query side: enough for the cluster's cores, never
+    fewer than the right side needs, and not so many that tiny blocks each
+    re-read the whole right side."""
+    want = max(1, math.ceil(n_left_rows / rows_per_block))
+    return max(n_right_blocks, min(spark.sparkContext.defaultParallelism, want))
+
+
 def replicate(df: DataFrame, id_col: str, own: str, other: str, n_own: int, n_other: int) -> DataFrame:
     """Hash rows into ``n_own`` blocks and copy each row once per block of the other side."""
     out = df.withColumn(own, F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_own)).cast("int"))

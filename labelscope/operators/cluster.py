@@ -105,7 +105,7 @@ def silhouette_rows(df: DataFrame, item: str, cluster: str, vec: str,
     pts = df.select(item, cluster, as_double_array(vec).alias("_v")).persist(StorageLevel.MEMORY_AND_DISK)
     n, width = pts.agg(F.count(F.lit(1)), F.max(F.size("_v"))).first()
     nb = blocks.blocks_for(n, width or 1, spark)
-    n_left = max(nb, spark.sparkContext.defaultParallelism)
+    n_left = blocks.left_blocks(spark, n, nb)
     ctype = df.schema[cluster].dataType
     itype = df.schema[item].dataType
     schema = T.StructType([T.StructField(item, itype), T.StructField("_c", ctype),

@@ -121,7 +121,7 @@ def knn_dense(test: DataFrame, train: DataFrame, item: str, vec: str, k: int = 3
     lt, rt = test.select(*cols), train.select(*cols)
     n, width = rt.agg(F.count(F.lit(1)), F.max(F.size("_v"))).first()
     nb = blocks.blocks_for(n, width or 1, spark)
-    n_left = max(nb, spark.sparkContext.defaultParallelism)
+    n_left = blocks.left_blocks(spark, lt.count(), nb)
     schema = T.StructType([T.StructField(item, ttype), T.StructField("neighbor", ttype),
                            T.StructField("sim", T.DoubleType())])
 
@@ -164,31 +164,51 @@ def knn_sparse(test_w: DataFrame, train_w: DataFrame, item: str, k: int = 3,
     if train_items is not None:
         rt = (train_items.select(item).distinct().join(rt, item, "left")
               .select(item, F.coalesce("_t", empty_t).alias("_t"), F.coalesce("_w", empty_w).alias("_w")))
-    n_train, nnz = train_w.agg(F.count_distinct(item), F.count(F.lit(1))).first()
+    nnz = train_w.count()
     nb = max(1, int(np.ceil(nnz * 64 / blocks.block_bytes(spark))))
-    n_left = max(nb, spark.sparkContext.defaultParallelism)
+    n_left = blocks.left_blocks(spark, lt.count(), nb)
     schema = T.StructType([T.StructField(item, ttype), T.StructField("neighbor", ttype),
                            T.StructField("sim", T.DoubleType())])
 
-    def flat(pdf, key):
-        lens = pdf["_t"].map(len).to_numpy()
-        terms = [t for ts in pdf["_t"] for t in ts]
-        ws = np.fromiter((w for wl in pdf["_w"] for w in wl), dtype=float, count=int(lens.sum()))
-        return pd.DataFrame({key: np.repeat(pdf[item].to_numpy(), lens), "term": terms, "w": ws})
+    budget = blocks.block_bytes(spark)
 
     def kern(lp, rp):
-        a, b = flat(lp, "_q"), flat(rp, "_r")
-        m = a.merge(b, on="term")
-        m["_s"] = m["w_x"] * m["w_y"]
-        sims = m.groupby(["_q", "_r"], sort=False)["_s"].sum().reset_index()
-        smallest = np.sort(rp[item].to_numpy())[:k]
-        fill = pd.DataFrame({"_q": np.repeat(lp[item].to_numpy(), len(smallest)),
-                             "_r": np.tile(smallest, len(lp)), "_s": 0.0})
-        allc = pd.concat([sims, fill]).sort_values("_s", ascending=False, kind="stable") \
-                 .drop_duplicates(["_q", "_r"], keep="first")
-        top = _topk_frame(allc["_q"].to_numpy(), allc["_r"].to_numpy(), allc["_s"].to_numpy(), k)
-        return pd.DataFrame({item: top["_q"].to_numpy(), "neighbor": top["_r"].to_numpy(),
-                             "sim": top["_s"].to_numpy()})
+        rp = rp.sort_values(item, kind="stable")          # ties at equal similarity -> smaller id
+        lq = lp["_t"].map(len).to_numpy()
+        lr = rp["_t"].map(len).to_numpy()
+        tq = np.array([t for ts in lp["_t"] for t in ts], dtype=object)
+        tr = np.array([t for ts in rp["_t"] for t in ts], dtype=object)
+        wq = np.fromiter((w for wl in lp["_w"] for w in wl), dtype=float, count=int(lq.sum()))
+        wr = np.fromiter((w for wl in rp["_w"] for w in wl), dtype=float, count=int(lr.sum()))
+        nq, nr = len(lp), len(rp)
+        S = np.zeros((nq, nr))
+        if len(tq) and len(tr):
+            codes, _ = pd.factorize(np.concatenate([tq, tr]))
+            cq, cr = codes[:len(tq)], codes[len(tq):]
+            shared = np.intersect1d(cq, cr)                 # only shared terms can contribute
+            remap = np.full(codes.max() + 1, -1)
+            remap[shared] = np.arange(len(shared))
+            cq, cr = remap[cq], remap[cr]
+            rq, rr = np.repeat(np.arange(nq), lq), np.repeat(np.arange(nr), lr)
+            mq, mr = cq >= 0, cr >= 0
+            rq, cq, wq2 = rq[mq], cq[mq], wq[mq]
+            rr, cr, wr2 = rr[mr], cr[mr], wr[mr]
+            step = max(1, budget // (8 * (nq + nr)))
+            for c0 in range(0, len(shared), step):
+                sq = (cq >= c0) & (cq < c0 + step)
+                sr = (cr >= c0) & (cr < c0 + step)
+                width = min(step, len(shared) - c0)
+                X = np.zeros((nq, width))
+                Y = np.zeros((nr, width))
+                X[rq[sq], cq[sq] - c0] = wq2[sq]
+                Y[rr[sr], cr[sr] - c0] = wr2[sr]
+                S += X @ Y.T
+        kk = min(k, nr)
+        order = np.argsort(-np.round(S, 12), axis=1, kind="stable")[:, :kk]
+        qi = np.repeat(np.arange(nq), kk)
+        ri = order.ravel()
+        return pd.DataFrame({item: lp[item].to_numpy()[qi], "neighbor": rp[item].to_numpy()[ri],
+                             "sim": S[qi, ri]})
 
     part = blocks.cogroup_blocks(lt, rt, item, item, n_left, nb, kern, schema)
     w = Window.partitionBy(item).orderBy(F.round(F.col("sim"), 12).desc(), F.col("neighbor").asc())

@@ -80,10 +80,16 @@ def tfidf_fit_transform(df: DataFrame, item: str, text: str, min_df=1, max_df=1.
     """Fit a vocabulary on ``df`` and weight its rows (X7).  Returns
     ``(weights, vocab)``; ``n`` is the number of input rows (documents)."""
     n_docs = df.count()
-    # read twice (document frequencies, then weights): materialise once
-    tf = term_counts(df, item, text, stop_words, bigrams).persist(StorageLevel.MEMORY_AND_DISK)
+    # tf is read twice (document frequencies, then weights).  It is not
+    # cached: with the documents hash-partitioned by item, recomputing it
+    # costs one extra tokenisation but no exchange, while a cached copy
+    # would lose its partitioning and force a re-shuffle of every
+    # (item, term) row before the per-item norm.
+    tf = term_counts(df, item, text, stop_words, bigrams)
     vocab = fit_vocabulary(tf, n_docs, min_df, max_df)
-    return weigh(tf, vocab, item, sublinear), vocab
+    # the weights are the fitted matrix: callers read them several times
+    # (centroids, distances, nearest label), so they are kept once
+    return weigh(tf, vocab, item, sublinear).persist(StorageLevel.MEMORY_AND_DISK), vocab
 
 
 def tfidf_transform(df: DataFrame, vocab: DataFrame, item: str, text: str,
