@@ -105,3 +105,22 @@ def test_pca_centred_and_uncorrelated(spark):
     cov = np.cov(P.T)
     assert np.allclose(cov - np.diag(np.diag(cov)), 0, atol=1e-6)
     assert 0 < sum(ratio) <= 1 + 1e-9
+
+
+def test_stream_scoring_matches_batch(spark, tmp_path):
+    from labelscope.operators import dense
+    from labelscope.sources import fixtures as fx
+    from labelscope.streaming.scoring import score_stream
+    sf = "/root/testdata/sf0.001"
+    vecs = fx.labelled_vectors(spark, sf)
+    cents = dense.dense_centroids(dense.unit_vectors(vecs))
+    batch = {r.vec_id: r.dist for r in dense.own_distance(dense.unit_vectors(vecs), cents, out="dist").collect()}
+    stream = (spark.readStream.schema(vecs.schema).option("pathGlobFilter", "embeddings.parquet")
+              .parquet(sf))
+    q = (score_stream(stream, cents).select("vec_id", "dist").writeStream.format("memory")
+         .queryName("scored").option("checkpointLocation", str(tmp_path / "ck")).start())
+    q.processAllAvailable()
+    q.stop()
+    got = {r.vec_id: r.dist for r in spark.sql("SELECT * FROM scored").collect()}
+    assert got.keys() == batch.keys()
+    assert all(abs(got[k] - batch[k]) < 1e-9 for k in got)
