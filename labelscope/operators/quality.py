@@ -43,13 +43,14 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, col: str) -> DataFrame:
     """count / mean / sample std / min / exact quartiles / max of one column (Q5)."""
+    from labelscope.operators.order_stats import quantiles, rank_table
     x = F.col(col).cast("double")
-    return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
-                  F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                  F.percentile(x, F.lit(0.25)).alias("p25"),
-                  F.percentile(x, F.lit(0.5)).alias("p50"),
-                  F.percentile(x, F.lit(0.75)).alias("p75"),
-                  F.max(x).alias("max"))
+    v = df.select(x.alias("_x"))
+    mom = v.agg(F.count("_x").alias("count"), F.avg("_x").alias("mean"),
+                F.stddev_samp("_x").alias("std"), F.min("_x").alias("min"), F.max("_x").alias("max"),
+                F.lit(0).alias("_all"))
+    q = quantiles(rank_table(v, None, "_x"), None, "_x", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return mom.join(q, "_all", "left").select("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def one_to_one_violations(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -14,38 +14,38 @@ def group_size(df: DataFrame, key: str, out: str = "n_group") -> DataFrame:
 
 
 def add_group_stats(df: DataFrame, key: str, col: str, prefix: str,
-                    exact_median: bool = True, rank_digits: int | None = 9) -> DataFrame:
+                    rank_digits: int | None = 9) -> DataFrame:
     """Group mean / sample std / median of ``col`` on each row, z-score and
     average-rank percentile (W1, W2).
 
-    * mean, std and median: one ``groupBy`` (map-side partial aggregation
-      for mean/std) joined back on the key -- not a window, so a hot group
-      is combined like any other before the shuffle;
-    * z = (x - mean) / std, 0 when std is 0 or undefined (one row);
-      the std column is 0 then too;
+    * mean and std: one partial-aggregating ``groupBy``;
+    * median and ranks: the exact rank table of ``order_stats`` (no window
+      over a whole group, no buffer of a group's values);
+    * z = (x - mean) / std, 0 when std is 0 or undefined (one row); the std
+      column is 0 then too;
     * pct = average rank / n (ties share the mean of their positions);
       ranks compare ``col`` rounded to ``rank_digits`` so that values equal
       in exact arithmetic tie whatever the summation order.
+    Group-level results are key-sized and joined back (AQE broadcasts them
+    when small).
     """
+    from labelscope.operators.order_stats import quantiles, rank_table
     x = F.col(col)
     rk = F.round(x, rank_digits) if rank_digits is not None else x
-    med = (F.percentile(x, F.lit(0.5)) if exact_median
-           else F.percentile_approx(x, F.lit(0.5), 100000))
-    stats = (df.groupBy(key)
-               .agg(F.avg(x).alias("_mu"), F.stddev_samp(x).alias("_sd"), med.alias("_med")))
-    w_grp = Window.partitionBy(key)
-    w_ord = Window.partitionBy(key).orderBy(rk)
-    w_tie = Window.partitionBy(key, rk)
-    out = (df.join(stats, key, "left")
-             .withColumn("_sd0", F.when(F.col("_sd") == 0, F.lit(None)).otherwise(F.col("_sd")))
-             .withColumn(f"z_{prefix}", F.coalesce((x - F.col("_mu")) / F.col("_sd0"), F.lit(0.0)))
-             .withColumn(f"pct_{prefix}",
-                         (F.rank().over(w_ord) + (F.count(F.lit(1)).over(w_tie) - F.lit(1)) / F.lit(2.0))
-                         / F.count(F.lit(1)).over(w_grp))
-             .withColumn(f"{prefix}_mean", F.col("_mu"))
-             .withColumn(f"{prefix}_std", F.coalesce(F.col("_sd0"), F.lit(0.0)))
-             .withColumn(f"{prefix}_med", F.col("_med"))
-             .drop("_mu", "_sd", "_sd0", "_med"))
+    base = df.withColumn("_rk", rk)
+    rt = rank_table(base, key, "_rk", rep=col)
+    med = quantiles(rt.withColumn("_rk", F.col("rep")), key, "_rk", {"_med": 0.5})
+    mom = df.groupBy(key).agg(F.avg(x).alias("_mu"), F.stddev_samp(x).alias("_sd"))
+    pct = rt.select(key, "_rk", ((F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)) / F.col("n")).alias("_pct"))
+    out = (base.join(mom.join(med, key), key, "left")
+               .join(pct, [key, "_rk"], "left")
+               .withColumn("_sd0", F.when(F.col("_sd") == 0, F.lit(None)).otherwise(F.col("_sd")))
+               .withColumn(f"z_{prefix}", F.coalesce((x - F.col("_mu")) / F.col("_sd0"), F.lit(0.0)))
+               .withColumn(f"pct_{prefix}", F.col("_pct"))
+               .withColumn(f"{prefix}_mean", F.col("_mu"))
+               .withColumn(f"{prefix}_std", F.coalesce(F.col("_sd0"), F.lit(0.0)))
+               .withColumn(f"{prefix}_med", F.col("_med"))
+               .drop("_mu", "_sd", "_sd0", "_med", "_pct", "_rk"))
     return out
 
 
@@ -100,11 +100,14 @@ def label_summary(df: DataFrame, label: str, title: str, item: str) -> DataFrame
                 F.count_if("flag_disagree").alias("disagree"),
                 F.avg("dist_tfidf").alias("mean_dist_tfidf"),
                 F.avg("dist_dense").alias("mean_dist_dense"),
-                F.percentile("dist_tfidf", F.lit(0.95)).alias("p95_tfidf"),
-                F.percentile("dist_dense", F.lit(0.95)).alias("p95_dense"),
                 F.count_if("mismatch_tfidf").alias("mismatch_tfidf"),
                 F.count_if("mismatch_dense").alias("mismatch_dense"),
                 F.count_if("mismatch_either").alias("mismatch_either")))
+    # exact p95 (linear interpolation) from rank tables: no group buffered in one task
+    from labelscope.operators.order_stats import quantiles, rank_table
+    for m in ("tfidf", "dense"):
+        q = quantiles(rank_table(df, label, f"dist_{m}"), label, f"dist_{m}", {f"p95_{m}": 0.95})
+        s = s.join(q, label, "left")
     for rate, num in [("rate_tfidf", "tfidf_flag"), ("rate_dense", "dense_flag"),
                       ("rate_both", "both_flag"), ("rate_either", "either_flag"),
                       ("rate_disagree", "disagree"), ("rate_mismatch_tfidf", "mismatch_tfidf"),

@@ -57,4 +57,7 @@ def both_measures_quality(df: DataFrame, item: str = "vec_id", label: str = "lab
     for m in ("dense", "tfidf"):
         t = titles.select(F.col(label).alias(f"nearest_label_{m}"), F.col(title).alias(f"nearest_title_{m}"))
         out = out.join(t, f"nearest_label_{m}", "left")
-    return stats.add_flags(out, f"n_{label}", small_max, high_z, disagree_z)
+    # the distance table is the artifact every report reads (summary, flags,
+    # cross-tabs, ranks): materialise it once
+    return stats.add_flags(out, f"n_{label}", small_max, high_z, disagree_z).persist(
+        StorageLevel.MEMORY_AND_DISK)

@@ -64,3 +64,20 @@ def test_crosstab_margins_add_up(spark):
     assert cells[("All", "All")] == 4
     assert cells[("true", "All")] == 2 and cells[("false", "All")] == 2
     assert cells[("All", "false")] == 3 and cells[("false", "false")] == 2
+
+
+def test_rank_table_split_equals_single_window(spark):
+    from labelscope.operators.order_stats import quantiles, rank_table
+    import random
+    rnd = random.Random(3)
+    rows = [("hot", float(rnd.randint(0, 300))) for _ in range(3000)] + \
+           [("cold", float(rnd.randint(0, 5))) for _ in range(40)] + [("one", 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    a = {(r.k, r.x): (r.cnt, r.before, r.n) for r in rank_table(df, "k", "x", split_above=10 ** 9).collect()}
+    b = {(r.k, r.x): (r.cnt, r.before, r.n) for r in rank_table(df, "k", "x", buckets=8, split_above=1).collect()}
+    assert a == b
+    qa = {r.k: r.p for r in quantiles(rank_table(df, "k", "x", split_above=1, buckets=8), "k", "x", {"p": 0.95}).collect()}
+    import numpy as np
+    for k in ("hot", "cold", "one"):
+        xs = np.array([x for kk, x in rows if kk == k])
+        assert abs(qa[k] - np.quantile(xs, 0.95)) < 1e-9
