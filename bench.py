@@ -27,7 +27,7 @@ HEADLINE = [
     "label_distance_summary",   # per-label summary with exact p95
     "silhouette_rows",          # all-pairs silhouette (blocked kernel)
     "knn_neighbors",            # cosine 3-NN across folds (blocked kernel)
-    "knn_crossval",             # per-fold tf-idf + sparse 3-NN + vote + metrics
+    "knn_predict",              # per-fold tf-idf (train-only vocabulary) + sparse 3-NN + vote
 ]
 
 

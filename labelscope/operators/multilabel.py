@@ -59,30 +59,42 @@ def multi_hot(items: DataFrame, classes: list, out: str = "y") -> DataFrame:
 # ------------------------------------------------------------- metrics (M3)
 
 def multilabel_scores(truth: DataFrame, pred: DataFrame, item: str, labels: DataFrame,
-                      items: DataFrame | None = None) -> DataFrame:
+                      items: DataFrame | None = None, by: str | None = None,
+                      groups: list | None = None) -> DataFrame:
     """macro-F1 (over every label of ``labels``), micro-F1 and sample-averaged
-    Jaccard over ``items`` (default: the truth items); 0 where undefined."""
-    t = truth.select(item, "label").distinct().withColumn("_t", F.lit(1))
-    p = pred.select(item, "label").distinct().withColumn("_p", F.lit(1))
-    j = t.join(p, [item, "label"], "full_outer").na.fill(0, ["_t", "_p"])
+    Jaccard over ``items`` (default: the truth items); 0 where undefined.
+
+    With ``by`` (e.g. a fold column present in truth, pred and items) the
+    three scores are computed for every value in ``groups`` in one plan."""
+    g = [by] if by else []
+    t = truth.select(*g, item, "label").distinct().withColumn("_t", F.lit(1))
+    p = pred.select(*g, item, "label").distinct().withColumn("_p", F.lit(1))
+    j = t.join(p, [*g, item, "label"], "full_outer").na.fill(0, ["_t", "_p"])
     j = j.withColumn("tp", (F.col("_t") * F.col("_p")).cast("long")) \
          .withColumn("fp", ((1 - F.col("_t")) * F.col("_p")).cast("long")) \
          .withColumn("fn", (F.col("_t") * (1 - F.col("_p"))).cast("long"))
-    per_label = j.groupBy("label").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
-    per_label = labels.select("label").join(per_label, "label", "left").na.fill(0, ["tp", "fp", "fn"])
+    per_label = j.groupBy(*g, "label").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"),
+                                           F.sum("fn").alias("fn"))
+    lab = labels.select("label")
+    if by:   # every label in every group: a generator over the (small) group list
+        lab = lab.select("label", F.explode(F.array(*[F.lit(v) for v in groups])).alias(by))
+    per_label = lab.join(per_label, [*g, "label"], "left").na.fill(0, ["tp", "fp", "fn"])
     f1 = F.when((2 * F.col("tp") + F.col("fp") + F.col("fn")) == 0, F.lit(0.0)).otherwise(
         2.0 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))
-    macro = per_label.agg(F.avg(f1).alias("f1_macro"),
-                          F.sum("tp").alias("_tp"), F.sum("fp").alias("_fp"), F.sum("fn").alias("_fn"))
-    per_item = j.groupBy(item).agg(F.sum("tp").alias("_i"), F.sum((F.col("_t") + F.col("_p") > 0).cast("long"))
-                                   .alias("_u"))
-    base_items = (items if items is not None else truth).select(item).distinct()
-    jac = (base_items.join(per_item, item, "left").na.fill(0, ["_i", "_u"])
-           .agg(F.avg(F.when(F.col("_u") == 0, F.lit(0.0)).otherwise(F.col("_i") / F.col("_u"))).alias("jaccard_samples")))
+    macro = per_label.groupBy(*g).agg(F.avg(f1).alias("f1_macro"), F.sum("tp").alias("_tp"),
+                                      F.sum("fp").alias("_fp"), F.sum("fn").alias("_fn"))
+    per_item = j.groupBy(*g, item).agg(F.sum("tp").alias("_i"),
+                                       F.sum((F.col("_t") + F.col("_p") > 0).cast("long")).alias("_u"))
+    base_items = (items if items is not None else truth).select(*g, item).distinct()
+    jac = (base_items.join(per_item, [*g, item], "left").na.fill(0, ["_i", "_u"])
+           .groupBy(*g).agg(F.avg(F.when(F.col("_u") == 0, F.lit(0.0)).otherwise(F.col("_i") / F.col("_u")))
+                            .alias("jaccard_samples")))
     micro = F.when((2 * F.col("_tp") + F.col("_fp") + F.col("_fn")) == 0, F.lit(0.0)).otherwise(
         2.0 * F.col("_tp") / (2 * F.col("_tp") + F.col("_fp") + F.col("_fn")))
-    m = macro.select("f1_macro", micro.alias("f1_micro"))
-    # two one-row frames: zip them by a constant key (equi-join of one row each)
+    m = macro.select(*g, "f1_macro", micro.alias("f1_micro"))
+    if by:
+        return m.join(jac, by)
+    # two one-row frames: joined on a constant key (an equi-join of one row each)
     return m.withColumn("_k", F.lit(1)).join(jac.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 

@@ -31,11 +31,23 @@ def select_present(df: DataFrame, cols: list[str]) -> DataFrame:
 def dedupe_keep(df: DataFrame, keys: list[str], order_by: list) -> DataFrame:
     """First row per key under an explicit order (``order_by`` is mandatory).
 
-    ``row_number() == 1``: Spark plans it as a window group limit, so each
-    map task keeps only its local first row per key before the shuffle.
+    With ascending column names the first row is ``min(struct(order...,
+    rest...))`` per key: a hash aggregate with map-side partial aggregation,
+    so a key holding a third of the rows is reduced before the shuffle and
+    nothing is sorted.  Other orderings use ``row_number() == 1`` (a window
+    group limit: local first rows per key before the shuffle).
     """
     if not order_by:
         raise ValueError("dedupe_keep needs an explicit order")
+    if all(isinstance(o, str) for o in order_by):
+        rest = [c for c in df.columns if c not in keys and c not in order_by]
+        packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_by)],
+                          *[F.col(c) for c in rest])
+        first = df.groupBy(*keys).agg(F.min(packed).alias("_first"))
+        cols = {c: F.col(c) for c in keys}
+        cols.update({c: F.col(f"_first._o{i}").alias(c) for i, c in enumerate(order_by)})
+        cols.update({c: F.col(f"_first.{c}").alias(c) for c in rest})
+        return first.select(*[cols[c] for c in df.columns])
     w = Window.partitionBy(*keys).orderBy(*order_by)
     return (df.withColumn("_rn", F.row_number().over(w))
               .filter(F.col("_rn") == 1).drop("_rn"))

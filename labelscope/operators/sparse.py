@@ -92,6 +92,14 @@ def tfidf_fit_transform(df: DataFrame, item: str, text: str, min_df=1, max_df=1.
     return weigh(tf, vocab, item, sublinear).persist(StorageLevel.MEMORY_AND_DISK), vocab
 
 
+def tfidf_fit_counts(tf: DataFrame, n_docs: int, item: str, min_df=1, max_df=1.0,
+                     sublinear: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Fit and weight from precomputed ``(item, term, tf)`` counts (lets
+    cross-validation tokenise every document once for all folds)."""
+    vocab = fit_vocabulary(tf, n_docs, min_df, max_df)
+    return weigh(tf, vocab, item, sublinear).persist(StorageLevel.MEMORY_AND_DISK), vocab
+
+
 def tfidf_transform(df: DataFrame, vocab: DataFrame, item: str, text: str,
                     stop_words=STOP_WORDS_EN, sublinear: bool = True,
                     bigrams: bool = True) -> DataFrame:

@@ -616,12 +616,19 @@ def knn_fold_predictions(spark, sf):
     items, kept = ml_dataset(spark, sf)
     fitems = ml.group_folds(items, "doc_id", N_SPLITS, SEED).persist()
     truth = fitems.select("doc_id", "fold", F.explode("labels").alias("label"))
+    # every document is tokenised once; each fold fits its vocabulary on the
+    # counts of its training documents only
+    tf_all = (sparse.term_counts(fitems, "doc_id", "text")
+              .join(fitems.select("doc_id", "fold"), "doc_id").persist())
+    fold_sizes = {r["fold"]: r["count"] for r in fitems.groupBy("fold").count().collect()}
     preds = []
     for f in range(N_SPLITS):
+        n_train = sum(v for k, v in fold_sizes.items() if k != f)
         train = fitems.filter(F.col("fold") != f)
         test = fitems.filter(F.col("fold") == f)
-        w_tr, vocab = sparse.tfidf_fit_transform(train, "doc_id", "text", TFIDF_MIN_DF, TFIDF_MAX_DF)
-        w_te = sparse.tfidf_transform(test, vocab, "doc_id", "text")
+        w_tr, vocab = sparse.tfidf_fit_counts(tf_all.filter(F.col("fold") != f).drop("fold"), n_train,
+                                              "doc_id", TFIDF_MIN_DF, TFIDF_MAX_DF)
+        w_te = sparse.weigh(tf_all.filter(F.col("fold") == f).drop("fold"), vocab, "doc_id")
         nb = ml.knn_sparse(w_te, w_tr, "doc_id", KNN_K, test_items=test.select("doc_id"),
                            train_items=train.select("doc_id"))
         pr = ml.knn_vote(nb, truth.filter(F.col("fold") != f), "doc_id")
@@ -641,16 +648,10 @@ def q_knn_predict(spark, sf):
 @query("knn_crossval")
 def q_knn_crossval(spark, sf):
     pred, truth, fitems, kept = knn_fold_predictions(spark, sf)
-    pred = pred.persist()
-    rows = []
-    for f in range(N_SPLITS):
-        s = ml.multilabel_scores(truth.filter(F.col("fold") == f), pred.filter(F.col("fold") == f), "doc_id",
-                                 kept, items=fitems.filter(F.col("fold") == f)).first()
-        rows.append(s)
-    n = len(rows)
-    out = [(sum(r["f1_macro"] for r in rows) / n, sum(r["f1_micro"] for r in rows) / n,
-            sum(r["jaccard_samples"] for r in rows) / n)]
-    return rnd(spark.createDataFrame(out, "f1_macro double, f1_micro double, jaccard_samples double"))
+    per_fold = ml.multilabel_scores(truth, pred, "doc_id", kept, items=fitems.select("doc_id", "fold"),
+                                    by="fold", groups=list(range(N_SPLITS)))
+    return rnd(per_fold.agg(F.avg("f1_macro").alias("f1_macro"), F.avg("f1_micro").alias("f1_micro"),
+                            F.avg("jaccard_samples").alias("jaccard_samples")))
 
 
 @query("random_baseline")
@@ -725,3 +726,19 @@ def q_group_descriptions(spark, sf):
     top = sparse.top_ngrams(d, "source", "text", "doc_id", TOPN_K, min_df=TOPN_MIN_DF, max_df=TOPN_MAX_DF)
     desc = compose.top_terms_summary(top, "source", "cluster_summary")
     return compose.join_back(d.select("doc_id", "source"), desc, "source", ["cluster_summary"])
+
+
+# ------------------------------------------------- alignment of rows and vectors
+
+@query("unmatched_vectors")
+def q_unmatched_vectors(spark, sf):
+    docs = fx.labelled_text(spark, sf).select("doc_id")
+    vecs = fx.labelled_vectors(spark, sf)
+    return quality.unmatched_vectors(docs, vecs, "doc_id", "vec_id")
+
+
+@query("vectors_aligned")
+def q_vectors_aligned(spark, sf):
+    docs = fx.labelled_text(spark, sf).select(F.col("doc_id").alias("vec_id"), "source")
+    aligned = dense.align_vectors(docs, fx.labelled_vectors(spark, sf).select("vec_id", "embedding"), "vec_id")
+    return long_vectors(aligned, "vec_id", "embedding")

@@ -682,3 +682,12 @@ ranked AS (SELECT grp, term, weight, row_number() OVER (PARTITION BY grp
            ORDER BY round(weight, 9) DESC, term) AS rk FROM w WHERE weight > 0),
 descr AS (SELECT grp, string_agg(term, ', ' ORDER BY rk) AS cluster_summary FROM ranked WHERE rk <= 7 GROUP BY grp)
 SELECT d.doc_id, d.source, descr.cluster_summary FROM documents d LEFT JOIN descr ON descr.grp = d.source"""
+
+# ------------------------------------------------- alignment of rows and vectors
+
+SQL["unmatched_vectors"] = """
+SELECT DISTINCT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)"""
+
+SQL["vectors_aligned"] = "WITH" + _unit(
+    "SELECT e.vec_id, 0 AS label, e.embedding FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id") + """
+SELECT vec_id, CAST(i AS BIGINT) AS dim, round(x, 6) AS value FROM ux"""

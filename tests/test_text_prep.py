@@ -76,3 +76,14 @@ def test_alignment_guard(spark):
     assert [r.id for r in quality.unmatched_vectors(rows, vecs, "id", "id").collect()] == [2]
     with pytest.raises(prep.ValidationError):
         quality.assert_aligned(rows, vecs, "id", "id")
+
+
+def test_parquet_and_csv_sinks_round_trip(spark, tmp_path):
+    from labelscope.sources.tables import write_csv_report, write_parquet
+    df = spark.createDataFrame([(1, ["a", "b"], 0.5), (2, [], None)], "id int, labels array<string>, x double")
+    write_parquet(df, str(tmp_path / "p"))
+    back = spark.read.parquet(str(tmp_path / "p")).orderBy("id").collect()
+    assert back[0].labels == ["a", "b"] and back[1].x is None
+    write_csv_report(df, str(tmp_path / "c"))
+    rows = spark.read.option("header", True).csv(str(tmp_path / "c")).orderBy("id").collect()
+    assert rows[0].labels == "a|b"
