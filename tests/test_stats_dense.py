@@ -81,3 +81,33 @@ def test_rank_table_split_equals_single_window(spark):
     for k in ("hot", "cold", "one"):
         xs = np.array([x for kk, x in rows if kk == k])
         assert abs(qa[k] - np.quantile(xs, 0.95)) < 1e-9
+
+
+def test_nearest_fallbacks_equal_broadcast(spark):
+    """Past the broadcast limit the blocked / relational forms give the same answer."""
+    from labelscope.operators import sparse
+    from labelscope.sources import fixtures as fx
+    sf = "/root/testdata/sf0.001"
+    u = dense.unit_vectors(fx.labelled_vectors(spark, sf))
+    c = dense.dense_centroids(u)
+    docs = fx.labelled_text(spark, sf)
+    w, _ = sparse.tfidf_fit_transform(docs, "doc_id", "text", 3, 0.8)
+    lab = docs.select("doc_id", "source")
+    sc = sparse.sparse_centroids(w, lab, "doc_id", "source")
+
+    def run():
+        a = {r.vec_id: (r.nearest_label, round(r.nearest_dist, 9))
+             for r in dense.nearest_centroid(u, c, "vec_id").collect()}
+        b = {r.doc_id: (r.nearest_label, round(r.nearest_dist, 9))
+             for r in sparse.nearest_centroid_sparse(w, lab, sc, "doc_id", "source").collect()}
+        return a, b
+
+    wide = run()
+    spark.conf.set("labelscope.kernel.broadcastBytes", "64")
+    spark.conf.set("labelscope.kernel.blockBytes", "4096")
+    try:
+        narrow = run()
+    finally:
+        spark.conf.unset("labelscope.kernel.broadcastBytes")
+        spark.conf.unset("labelscope.kernel.blockBytes")
+    assert wide == narrow
