@@ -87,3 +87,37 @@ def quantiles(rt: DataFrame, key: str | None, value: str, probs: dict[str, float
         lo_v, hi_v, fr = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_f")
         out.append((lo_v + fr * (hi_v - lo_v)).alias(name))
     return q.select(*out)
+
+
+def next_in_group(df: DataFrame, group: str, order: str, cols: list[str], buckets: int = DEFAULT_BUCKETS,
+                  split_above: int | None = None, prefix: str = "next_") -> DataFrame:
+    """Each row with the ``cols`` of the following row of its group in
+    ``order`` (null for the last row): ``lead`` without one task per group.
+
+    Groups up to ``split_above`` rows use one window each.  Beyond that the
+    group's (numeric) order range is cut into buckets by quantile sketches,
+    ``lead`` runs inside each bucket, and a bucket's last row takes the first
+    row of the next non-empty bucket from a (group x bucket) table."""
+    limit = split_above if split_above is not None else int(df.sparkSession.conf.get(
+        "labelscope.orderstats.splitAbove", str(DEFAULT_SPLIT_ABOVE)))
+    widest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    if widest <= limit:
+        w = Window.partitionBy(group).orderBy(order)
+        for c in cols:
+            df = df.withColumn(prefix + c, F.lead(c).over(w))
+        return df
+    pcts = [i / buckets for i in range(1, buckets)]
+    bounds = df.groupBy(group).agg(F.percentile_approx(order, pcts, 10000).alias("_b"))
+    d = (df.join(bounds, group)
+           .withColumn("_bk", F.size(F.filter("_b", lambda b: b < F.col(order)))).drop("_b"))
+    w = Window.partitionBy(group, "_bk").orderBy(order)
+    d = d.withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
+    for c in cols:
+        d = d.withColumn(prefix + c, F.lead(c).over(w))
+    firsts = d.groupBy(group, "_bk").agg(F.min(F.struct(F.col(order).alias("_o"), *[F.col(c) for c in cols]))
+                                         .alias("_f"))
+    firsts = firsts.withColumn("_nf", F.lead("_f").over(Window.partitionBy(group).orderBy("_bk")))
+    d = d.join(firsts.select(group, "_bk", "_nf"), [group, "_bk"], "left")
+    for c in cols:
+        d = d.withColumn(prefix + c, F.when(F.col("_last"), F.col("_nf").getField(c)).otherwise(F.col(prefix + c)))
+    return d.drop("_bk", "_last", "_nf")

@@ -117,9 +117,10 @@ def group_term_counts(df: DataFrame, group: str, text: str, order_by: str,
     ends = (toks.filter(F.size("_t") > 0)
                 .select(group, order_by, F.element_at("_t", 1).alias("_first"),
                         F.element_at("_t", -1).alias("_last")))
-    nxt = F.lead("_first").over(Window.partitionBy(group).orderBy(order_by))
-    border = (ends.withColumn("_next", nxt).filter(F.col("_next").isNotNull())
-                  .select(group, F.concat("_last", F.lit(" "), "_next").alias("term")))
+    from labelscope.operators.order_stats import next_in_group
+    border = (next_in_group(ends, group, order_by, ["_first"], prefix="_next")
+              .filter(F.col("_next_first").isNotNull())
+              .select(group, F.concat("_last", F.lit(" "), "_next_first").alias("term")))
     return inner.unionByName(border).groupBy(group, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

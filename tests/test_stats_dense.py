@@ -111,3 +111,13 @@ def test_nearest_fallbacks_equal_broadcast(spark):
         spark.conf.unset("labelscope.kernel.broadcastBytes")
         spark.conf.unset("labelscope.kernel.blockBytes")
     assert wide == narrow
+
+
+def test_next_in_group_split_equals_window(spark):
+    from labelscope.operators.order_stats import next_in_group
+    rows = [("hot", i * 3, f"t{i}") for i in range(400)] + [("cold", 5, "a"), ("cold", 9, "b"), ("one", 1, "z")]
+    df = spark.createDataFrame(rows, "g string, o long, v string")
+    a = {(r.g, r.o): r.next_v for r in next_in_group(df, "g", "o", ["v"], split_above=10 ** 9).collect()}
+    b = {(r.g, r.o): r.next_v for r in next_in_group(df, "g", "o", ["v"], buckets=7, split_above=1).collect()}
+    assert a == b
+    assert a[("hot", 0)] == "t1" and a[("hot", 399 * 3)] is None and a[("cold", 5)] == "b"
