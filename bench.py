@@ -44,6 +44,7 @@ def main() -> None:
              .config("spark.sql.adaptive.skewJoin.enabled", "true")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", "16g")
+             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     from labelscope.session import checkpoint_dir
