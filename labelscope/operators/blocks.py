@@ -87,8 +87,11 @@ def replicate(df: DataFrame, id_col: str, own: str, other: str, n_own: int, n_ot
 
 
 def cogroup_blocks(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
-                   n_left: int, n_right: int, kernel, schema) -> DataFrame:
-    """Run ``kernel(left_pdf, right_pdf) -> pdf`` once per (left block, right block)."""
+                   n_left: int, n_right: int, kernel, schema, keys: list[str] | None = None) -> DataFrame:
+    """Run ``kernel(left_pdf, right_pdf) -> pdf`` once per (left block, right
+    block) -- per value of ``keys`` too when given (e.g. a fold: only rows of
+    the same key meet)."""
+    keys = keys or []
     # fresh attribute ids on both sides: the two inputs often share lineage
     left = left.select(*[F.col(c).alias(c) for c in left.columns])
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
@@ -101,6 +104,6 @@ def cogroup_blocks(left: DataFrame, right: DataFrame, left_id: str, right_id: st
             return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
         return kernel(lp.drop(columns=["_lb", "_rb"]), rp.drop(columns=["_lb", "_rb"]))
 
-    return (lrep.groupBy("_lb", "_rb")
-            .cogroup(rrep.groupBy("_lb", "_rb"))
+    return (lrep.groupBy(*keys, "_lb", "_rb")
+            .cogroup(rrep.groupBy(*keys, "_lb", "_rb"))
             .applyInPandas(fn, schema))

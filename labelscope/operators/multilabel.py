@@ -157,7 +157,8 @@ def knn_dense(test: DataFrame, train: DataFrame, item: str, vec: str, k: int = 3
 
 
 def knn_sparse(test_w: DataFrame, train_w: DataFrame, item: str, k: int = 3,
-               test_items: DataFrame | None = None, train_items: DataFrame | None = None) -> DataFrame:
+               test_items: DataFrame | None = None, train_items: DataFrame | None = None,
+               by: str | None = None) -> DataFrame:
     """k nearest training items for sparse unit vectors ``(item, term, weight)``
     (J10): cosine = dot product.  Per block pair the shared-term products are
     summed in pandas and only the k best per test row (plus the k smallest
@@ -165,17 +166,18 @@ def knn_sparse(test_w: DataFrame, train_w: DataFrame, item: str, k: int = 3,
     smallest ids exactly) leave the task."""
     spark = test_w.sparkSession
     ttype = test_w.schema[item].dataType
-    lt = test_w.groupBy(item).agg(F.collect_list("term").alias("_t"), F.collect_list("weight").alias("_w"))
-    rt = train_w.groupBy(item).agg(F.collect_list("term").alias("_t"), F.collect_list("weight").alias("_w"))
+    g = [by] if by else []
+    lt = test_w.groupBy(*g, item).agg(F.collect_list("term").alias("_t"), F.collect_list("weight").alias("_w"))
+    rt = train_w.groupBy(*g, item).agg(F.collect_list("term").alias("_t"), F.collect_list("weight").alias("_w"))
     # rows without any kept term are still queries / candidates (similarity 0)
     empty_t = F.array().cast("array<string>")
     empty_w = F.array().cast("array<double>")
     if test_items is not None:
-        lt = (test_items.select(item).distinct().join(lt, item, "left")
-              .select(item, F.coalesce("_t", empty_t).alias("_t"), F.coalesce("_w", empty_w).alias("_w")))
+        lt = (test_items.select(*g, item).distinct().join(lt, [*g, item], "left")
+              .select(*g, item, F.coalesce("_t", empty_t).alias("_t"), F.coalesce("_w", empty_w).alias("_w")))
     if train_items is not None:
-        rt = (train_items.select(item).distinct().join(rt, item, "left")
-              .select(item, F.coalesce("_t", empty_t).alias("_t"), F.coalesce("_w", empty_w).alias("_w")))
+        rt = (train_items.select(*g, item).distinct().join(rt, [*g, item], "left")
+              .select(*g, item, F.coalesce("_t", empty_t).alias("_t"), F.coalesce("_w", empty_w).alias("_w")))
     nnz = train_w.count()
     nb = max(1, int(np.ceil(nnz * 64 / blocks.block_bytes(spark))))
     n_left = blocks.left_blocks(spark, lt.count(), nb)
@@ -222,7 +224,7 @@ def knn_sparse(test_w: DataFrame, train_w: DataFrame, item: str, k: int = 3,
         return pd.DataFrame({item: lp[item].to_numpy()[qi], "neighbor": rp[item].to_numpy()[ri],
                              "sim": S[qi, ri]})
 
-    part = blocks.cogroup_blocks(lt, rt, item, item, n_left, nb, kern, schema)
+    part = blocks.cogroup_blocks(lt, rt, item, item, n_left, nb, kern, schema, keys=g)
     w = Window.partitionBy(item).orderBy(F.round(F.col("sim"), 12).desc(), F.col("neighbor").asc())
     return part.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 

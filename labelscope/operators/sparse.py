@@ -249,3 +249,41 @@ def nearest_centroid_sparse(weights: DataFrame, items: DataFrame, centroids: Dat
     return (items.select(item).distinct().join(best, item, "left")
                  .select(item, F.coalesce(F.col(out_label), F.lit(first).cast(label_type)).alias(out_label),
                          F.coalesce(F.col(out_dist), F.lit(1.0)).alias(out_dist)))
+
+
+def tfidf_folds(tf: DataFrame, item: str, fold: str, fold_sizes: dict, min_df=1, max_df=1.0,
+                sublinear: bool = True) -> tuple[DataFrame, DataFrame]:
+    """TF-IDF for every cross-validation fold in one plan.
+
+    ``tf`` is ``(item, fold, term, tf)`` with each item in one fold.  For fold
+    f the vocabulary is fitted on the items of the other folds only:
+    df_train(f, t) = df_all(t) - df_in(f, t), both partial aggregates.
+    Returns ``(train_w, test_w)`` as ``(_f, item, term, weight)``: training
+    rows are repeated for each fold they train (k - 1 copies), test rows
+    appear once, under their own fold.
+    """
+    folds = sorted(fold_sizes)
+    n_all = sum(fold_sizes.values())
+    fl = F.array(*[F.lit(f) for f in folds])
+    n_train = F.create_map(*[x for f in folds for x in (F.lit(f), F.lit(float(n_all - fold_sizes[f])))])
+    d_in = tf.groupBy(fold, "term").agg(F.count(F.lit(1)).alias("_dfi"))
+    d_all = d_in.groupBy("term").agg(F.sum("_dfi").alias("_dfa"))
+    per = (d_all.select("term", "_dfa", F.explode(fl).alias("_f"))
+                .join(d_in.withColumnRenamed(fold, "_f"), ["_f", "term"], "left")
+                .withColumn("df", F.col("_dfa") - F.coalesce(F.col("_dfi"), F.lit(0)))
+                .withColumn("_n", n_train[F.col("_f")]))
+    lo = F.col("_n") * float(min_df) if isinstance(min_df, float) else F.lit(float(min_df))
+    hi = F.col("_n") * float(max_df) if isinstance(max_df, float) else F.lit(float(max_df))
+    vocab = (per.filter((F.col("df") > 0) & (F.col("df") >= lo) & (F.col("df") <= hi))
+                .select("_f", "term", (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + 1.0)
+                        .alias("idf")))
+    tfw = F.lit(1.0) + F.log(F.col("tf")) if sublinear else F.col("tf").cast("double")
+
+    def weights(rows):
+        w = rows.join(vocab, ["_f", "term"], "inner").select("_f", item, "term", (tfw * F.col("idf")).alias("weight"))
+        nrm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("_f", item)))
+        return w.withColumn("weight", F.col("weight") / nrm)
+
+    train_rows = tf.select(item, "term", "tf", F.explode(F.array_remove(fl, F.col(fold))).alias("_f"))
+    test_rows = tf.select(item, "term", "tf", F.col(fold).alias("_f"))
+    return weights(train_rows), weights(test_rows)

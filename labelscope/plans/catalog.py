@@ -610,32 +610,25 @@ def q_knn_neighbors(spark, sf):
 
 
 def knn_fold_predictions(spark, sf):
-    """Per fold: TF-IDF fitted on the training items only, brute-force cosine
-    3-NN, distance-weighted vote.  Returns (predictions, truth, folds, kept)."""
+    """All folds in one plan: per-fold TF-IDF fitted on the training items
+    only (fold-wise document frequencies), brute-force cosine 3-NN inside
+    each fold, distance-weighted vote.  Returns (predictions, truth, folds, kept)."""
     from labelscope.operators import sparse
     items, kept = ml_dataset(spark, sf)
     fitems = ml.group_folds(items, "doc_id", N_SPLITS, SEED).persist()
     truth = fitems.select("doc_id", "fold", F.explode("labels").alias("label"))
-    # every document is tokenised once; each fold fits its vocabulary on the
-    # counts of its training documents only
-    tf_all = (sparse.term_counts(fitems, "doc_id", "text")
-              .join(fitems.select("doc_id", "fold"), "doc_id").persist())
-    fold_sizes = {r["fold"]: r["count"] for r in fitems.groupBy("fold").count().collect()}
-    preds = []
+    sizes = {r["fold"]: r["count"] for r in fitems.groupBy("fold").count().collect()}   # <= N_SPLITS rows
     for f in range(N_SPLITS):
-        n_train = sum(v for k, v in fold_sizes.items() if k != f)
-        train = fitems.filter(F.col("fold") != f)
-        test = fitems.filter(F.col("fold") == f)
-        w_tr, vocab = sparse.tfidf_fit_counts(tf_all.filter(F.col("fold") != f).drop("fold"), n_train,
-                                              "doc_id", TFIDF_MIN_DF, TFIDF_MAX_DF)
-        w_te = sparse.weigh(tf_all.filter(F.col("fold") == f).drop("fold"), vocab, "doc_id")
-        nb = ml.knn_sparse(w_te, w_tr, "doc_id", KNN_K, test_items=test.select("doc_id"),
-                           train_items=train.select("doc_id"))
-        pr = ml.knn_vote(nb, truth.filter(F.col("fold") != f), "doc_id")
-        preds.append(pr.withColumn("fold", F.lit(f)))
-    pred = preds[0]
-    for p in preds[1:]:
-        pred = pred.unionByName(p)
+        sizes.setdefault(f, 0)
+    tf_all = (sparse.term_counts(fitems, "doc_id", "text")
+              .join(fitems.select("doc_id", "fold"), "doc_id"))
+    w_tr, w_te = sparse.tfidf_folds(tf_all, "doc_id", "fold", sizes, TFIDF_MIN_DF, TFIDF_MAX_DF)
+    fl = F.array(*[F.lit(f) for f in range(N_SPLITS)])
+    test_items = fitems.select(F.col("fold").alias("_f"), "doc_id")
+    train_items = fitems.select("doc_id", F.explode(F.array_remove(fl, F.col("fold"))).alias("_f"))
+    nb = ml.knn_sparse(w_te, w_tr, "doc_id", KNN_K, test_items=test_items, train_items=train_items, by="_f")
+    pred = ml.knn_vote(nb, truth.select("doc_id", "label"), "doc_id")
+    pred = pred.join(fitems.select("doc_id", "fold"), "doc_id")
     return pred, truth, fitems, kept
 
 
