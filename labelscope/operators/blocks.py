@@ -107,3 +107,72 @@ def cogroup_blocks(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     return (lrep.groupBy(*keys, "_lb", "_rb")
             .cogroup(rrep.groupBy(*keys, "_lb", "_rb"))
             .applyInPandas(fn, schema))
+
+
+def sparse_dot_block(rq, cq, wq, nq, rr, cr, wr, nr, budget_bytes: int = DEFAULT_BLOCK_BYTES,
+                     dense_ratio: float = 1 / 16) -> np.ndarray:
+    """S = Q @ R.T for two sparse row sets given as (row, term code, weight)
+    triples (term codes shared between the sides).
+
+    Terms frequent enough in this block pair (``df_q * df_r >= dense_ratio *
+    nq * nr``) go through one BLAS product over those columns; the others
+    are expanded exactly into their (q, r) pairs -- vectorised with
+    ``repeat`` and accumulated with ``bincount`` in bounded chunks.
+    """
+    S = np.zeros((nq, nr))
+    if len(cq) == 0 or len(cr) == 0:
+        return S
+    V = int(max(cq.max(), cr.max())) + 1
+    dfq = np.bincount(cq, minlength=V)
+    dfr = np.bincount(cr, minlength=V)
+    shared = (dfq > 0) & (dfr > 0)
+    dense = shared & (dfq.astype(float) * dfr >= dense_ratio * nq * nr)
+    # dense part
+    dt = np.flatnonzero(dense)
+    if len(dt):
+        col = np.full(V, -1)
+        col[dt] = np.arange(len(dt))
+        step = max(1, budget_bytes // (8 * (nq + nr)))
+        mq, mr = dense[cq], dense[cr]
+        qr, qc, qw = rq[mq], col[cq[mq]], wq[mq]
+        rr_, rc, rw = rr[mr], col[cr[mr]], wr[mr]
+        for c0 in range(0, len(dt), step):
+            width = min(step, len(dt) - c0)
+            sq = (qc >= c0) & (qc < c0 + width)
+            sr = (rc >= c0) & (rc < c0 + width)
+            X = np.zeros((nq, width))
+            Y = np.zeros((nr, width))
+            X[qr[sq], qc[sq] - c0] = qw[sq]
+            Y[rr_[sr], rc[sr] - c0] = rw[sr]
+            S += X @ Y.T
+    # sparse part: exact pair expansion over the remaining shared terms
+    rare = shared & ~dense
+    mq, mr = rare[cq], rare[cr]
+    if not mq.any() or not mr.any():
+        return S
+    q_r, q_c, q_w = rq[mq], cq[mq], wq[mq]
+    oq = np.argsort(q_c, kind="stable")
+    q_r, q_c, q_w = q_r[oq], q_c[oq], q_w[oq]
+    r_r, r_c, r_w = rr[mr], cr[mr], wr[mr]
+    orr = np.argsort(r_c, kind="stable")
+    r_r, r_c, r_w = r_r[orr], r_c[orr], r_w[orr]
+    cnt_r = np.bincount(r_c, minlength=V)
+    start_r = np.concatenate([[0], np.cumsum(cnt_r)[:-1]])
+    rep = cnt_r[q_c]
+    max_pairs = max(1, budget_bytes // 32)
+    csum = np.cumsum(rep)
+    lo = 0
+    while lo < len(rep):
+        base_sum = csum[lo - 1] if lo else 0
+        hi = int(np.searchsorted(csum, base_sum + max_pairs, side="right"))
+        hi = max(hi, lo + 1)
+        rp_ = rep[lo:hi]
+        tot = int(rp_.sum())
+        if tot:
+            within = np.arange(tot) - np.repeat(np.cumsum(rp_) - rp_, rp_)
+            ridx = np.repeat(start_r[q_c[lo:hi]], rp_) + within
+            qi = np.repeat(q_r[lo:hi], rp_)
+            prod = np.repeat(q_w[lo:hi], rp_) * r_w[ridx]
+            S += np.bincount(qi * nr + r_r[ridx], weights=prod, minlength=nq * nr).reshape(nq, nr)
+        lo = hi
+    return S

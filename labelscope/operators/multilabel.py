@@ -178,9 +178,19 @@ def knn_sparse(test_w: DataFrame, train_w: DataFrame, item: str, k: int = 3,
     if train_items is not None:
         rt = (train_items.select(*g, item).distinct().join(rt, [*g, item], "left")
               .select(*g, item, F.coalesce("_t", empty_t).alias("_t"), F.coalesce("_w", empty_w).alias("_w")))
-    nnz = train_w.count()
+    # the size check below reads both sides once; keep them for the cogroup
+    lt = lt.persist(StorageLevel.MEMORY_AND_DISK)
+    rt = rt.persist(StorageLevel.MEMORY_AND_DISK)
+    # block sizes per key value (e.g. per fold): only rows of one key ever meet
+    nnz_col = F.sum(F.size("_t"))
+    if by:
+        nnz = rt.groupBy(by).agg(nnz_col.alias("c")).agg(F.max("c")).first()[0] or 0
+        n_q = lt.groupBy(by).count().agg(F.max("count")).first()[0] or 0
+    else:
+        nnz = rt.agg(nnz_col).first()[0] or 0
+        n_q = lt.count()
     nb = max(1, int(np.ceil(nnz * 64 / blocks.block_bytes(spark))))
-    n_left = blocks.left_blocks(spark, lt.count(), nb)
+    n_left = blocks.left_blocks(spark, n_q, nb)
     schema = T.StructType([T.StructField(item, ttype), T.StructField("neighbor", ttype),
                            T.StructField("sim", T.DoubleType())])
 
@@ -195,28 +205,13 @@ def knn_sparse(test_w: DataFrame, train_w: DataFrame, item: str, k: int = 3,
         wq = np.fromiter((w for wl in lp["_w"] for w in wl), dtype=float, count=int(lq.sum()))
         wr = np.fromiter((w for wl in rp["_w"] for w in wl), dtype=float, count=int(lr.sum()))
         nq, nr = len(lp), len(rp)
-        S = np.zeros((nq, nr))
         if len(tq) and len(tr):
             codes, _ = pd.factorize(np.concatenate([tq, tr]))
             cq, cr = codes[:len(tq)], codes[len(tq):]
-            shared = np.intersect1d(cq, cr)                 # only shared terms can contribute
-            remap = np.full(codes.max() + 1, -1)
-            remap[shared] = np.arange(len(shared))
-            cq, cr = remap[cq], remap[cr]
-            rq, rr = np.repeat(np.arange(nq), lq), np.repeat(np.arange(nr), lr)
-            mq, mr = cq >= 0, cr >= 0
-            rq, cq, wq2 = rq[mq], cq[mq], wq[mq]
-            rr, cr, wr2 = rr[mr], cr[mr], wr[mr]
-            step = max(1, budget // (8 * (nq + nr)))
-            for c0 in range(0, len(shared), step):
-                sq = (cq >= c0) & (cq < c0 + step)
-                sr = (cr >= c0) & (cr < c0 + step)
-                width = min(step, len(shared) - c0)
-                X = np.zeros((nq, width))
-                Y = np.zeros((nr, width))
-                X[rq[sq], cq[sq] - c0] = wq2[sq]
-                Y[rr[sr], cr[sr] - c0] = wr2[sr]
-                S += X @ Y.T
+            S = blocks.sparse_dot_block(np.repeat(np.arange(nq), lq), cq, wq, nq,
+                                        np.repeat(np.arange(nr), lr), cr, wr, nr, budget)
+        else:
+            S = np.zeros((nq, nr))
         kk = min(k, nr)
         order = np.argsort(-np.round(S, 12), axis=1, kind="stable")[:, :kk]
         qi = np.repeat(np.arange(nq), kk)

@@ -255,35 +255,45 @@ def tfidf_folds(tf: DataFrame, item: str, fold: str, fold_sizes: dict, min_df=1,
                 sublinear: bool = True) -> tuple[DataFrame, DataFrame]:
     """TF-IDF for every cross-validation fold in one plan.
 
-    ``tf`` is ``(item, fold, term, tf)`` with each item in one fold.  For fold
-    f the vocabulary is fitted on the items of the other folds only:
-    df_train(f, t) = df_all(t) - df_in(f, t), both partial aggregates.
-    Returns ``(train_w, test_w)`` as ``(_f, item, term, weight)``: training
-    rows are repeated for each fold they train (k - 1 copies), test rows
-    appear once, under their own fold.
+    ``tf`` is ``(item, fold, term, tf)`` with each item in one fold and folds
+    numbered 0..k-1.  For fold f the vocabulary is fitted on the items of the
+    other folds only: df_train(f, t) = df_all(t) - df_in(f, t), from one
+    partial aggregate per (fold, term).  Every term gets one row with the
+    array of its k fold idfs (null where the term is not in that fold's
+    vocabulary), so each (item, term) row is joined once and then fanned
+    out to the folds it trains.  Returns ``(train_w, test_w)`` as
+    ``(_f, item, term, weight)``.
     """
     folds = sorted(fold_sizes)
+    if folds != list(range(len(folds))):
+        raise ValueError("folds must be numbered 0..k-1")
     n_all = sum(fold_sizes.values())
     fl = F.array(*[F.lit(f) for f in folds])
-    n_train = F.create_map(*[x for f in folds for x in (F.lit(f), F.lit(float(n_all - fold_sizes[f])))])
+    n_train = F.array(*[F.lit(float(n_all - fold_sizes[f])) for f in folds])
     d_in = tf.groupBy(fold, "term").agg(F.count(F.lit(1)).alias("_dfi"))
-    d_all = d_in.groupBy("term").agg(F.sum("_dfi").alias("_dfa"))
-    per = (d_all.select("term", "_dfa", F.explode(fl).alias("_f"))
-                .join(d_in.withColumnRenamed(fold, "_f"), ["_f", "term"], "left")
-                .withColumn("df", F.col("_dfa") - F.coalesce(F.col("_dfi"), F.lit(0)))
-                .withColumn("_n", n_train[F.col("_f")]))
-    lo = F.col("_n") * float(min_df) if isinstance(min_df, float) else F.lit(float(min_df))
-    hi = F.col("_n") * float(max_df) if isinstance(max_df, float) else F.lit(float(max_df))
-    vocab = (per.filter((F.col("df") > 0) & (F.col("df") >= lo) & (F.col("df") <= hi))
-                .select("_f", "term", (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + 1.0)
-                        .alias("idf")))
+    per_term = d_in.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct(fold, "_dfi"))).alias("_m"))
+    dfa = F.aggregate(F.map_values("_m"), F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def idf_of(f):
+        n = F.element_at(n_train, f + 1)
+        d = F.col("_dfa") - F.coalesce(F.element_at(F.col("_m"), f), F.lit(0).cast("long"))
+        lo = n * float(min_df) if isinstance(min_df, float) else F.lit(float(min_df))
+        hi = n * float(max_df) if isinstance(max_df, float) else F.lit(float(max_df))
+        return F.when((d > 0) & (d >= lo) & (d <= hi),
+                      F.log((F.lit(1.0) + n) / (F.lit(1.0) + d)) + 1.0)
+
+    vocab = (per_term.withColumn("_dfa", dfa)
+                     .select("term", F.transform(fl, idf_of).alias("_idfs")))
     tfw = F.lit(1.0) + F.log(F.col("tf")) if sublinear else F.col("tf").cast("double")
+    j = tf.join(vocab, "term", "inner")
 
     def weights(rows):
-        w = rows.join(vocab, ["_f", "term"], "inner").select("_f", item, "term", (tfw * F.col("idf")).alias("weight"))
+        w = (rows.withColumn("_idf", F.element_at("_idfs", F.col("_f") + 1))
+                 .filter(F.col("_idf").isNotNull())
+                 .select("_f", item, "term", (tfw * F.col("_idf")).alias("weight")))
         nrm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("_f", item)))
         return w.withColumn("weight", F.col("weight") / nrm)
 
-    train_rows = tf.select(item, "term", "tf", F.explode(F.array_remove(fl, F.col(fold))).alias("_f"))
-    test_rows = tf.select(item, "term", "tf", F.col(fold).alias("_f"))
+    train_rows = j.withColumn("_f", F.explode(F.array_remove(fl, F.col(fold))))
+    test_rows = j.withColumn("_f", F.col(fold))
     return weights(train_rows), weights(test_rows)

@@ -124,3 +124,19 @@ def test_stream_scoring_matches_batch(spark, tmp_path):
     got = {r.vec_id: r.dist for r in spark.sql("SELECT * FROM scored").collect()}
     assert got.keys() == batch.keys()
     assert all(abs(got[k] - batch[k]) < 1e-9 for k in got)
+
+
+def test_sparse_dot_block_matches_dense():
+    from labelscope.operators.blocks import sparse_dot_block
+    rng = np.random.default_rng(1)
+    nq, nr, V = 7, 11, 30
+    Q = (rng.random((nq, V)) < 0.3) * rng.random((nq, V))
+    R = (rng.random((nr, V)) < 0.3) * rng.random((nr, V))
+    Q[:, 0] = 1.0
+    R[:, 0] = 2.0                      # one term in every row: goes the dense way
+    rq, cq = np.nonzero(Q)
+    rr, cr = np.nonzero(R)
+    for ratio in (1 / 16, 2.0, 0.0):   # mixed, all sparse, all dense
+        S = sparse_dot_block(rq, cq, Q[rq, cq], nq, rr, cr, R[rr, cr], nr, budget_bytes=4096,
+                             dense_ratio=ratio)
+        assert np.allclose(S, Q @ R.T)
