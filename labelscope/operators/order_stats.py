@@ -30,7 +30,8 @@ DEFAULT_SPLIT_ABOVE = 2_000_000   # distinct values per group handled by one win
 
 
 def rank_table(df: DataFrame, key: str | None, value: str, buckets: int = DEFAULT_BUCKETS,
-               rep: str | None = None, split_above: int | None = None) -> DataFrame:
+               rep: str | None = None, split_above: int | None = None,
+               widest: int | None = None) -> DataFrame:
     """(key, value, cnt, before, n[, rep]) per distinct value of each group.
     ``rep`` (optional) carries min(rep) per distinct value (e.g. the raw
     measure behind a rounded ranking value).  ``key=None`` ranks the whole
@@ -44,7 +45,9 @@ def rank_table(df: DataFrame, key: str | None, value: str, buckets: int = DEFAUL
     cols_out = [k, value, F.col("_cnt").alias("cnt")]
     limit = split_above if split_above is not None else int(df.sparkSession.conf.get(
         "labelscope.orderstats.splitAbove", str(DEFAULT_SPLIT_ABOVE)))
-    widest = g.groupBy(k).count().agg(F.max("count")).first()[0] or 0
+    if widest is None:
+        # rows per group bound its distinct values; counting rows needs no measure column
+        widest = base.groupBy(k).count().agg(F.max("count")).first()[0] or 0
     if widest <= limit:
         # every group's distinct values fit one task: one running sum per group
         w = Window.partitionBy(k).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -90,7 +93,7 @@ def quantiles(rt: DataFrame, key: str | None, value: str, probs: dict[str, float
 
 
 def next_in_group(df: DataFrame, group: str, order: str, cols: list[str], buckets: int = DEFAULT_BUCKETS,
-                  split_above: int | None = None, prefix: str = "next_") -> DataFrame:
+                  split_above: int | None = None, prefix: str = "next_", widest: int | None = None) -> DataFrame:
     """Each row with the ``cols`` of the following row of its group in
     ``order`` (null for the last row): ``lead`` without one task per group.
 
@@ -100,7 +103,8 @@ def next_in_group(df: DataFrame, group: str, order: str, cols: list[str], bucket
     row of the next non-empty bucket from a (group x bucket) table."""
     limit = split_above if split_above is not None else int(df.sparkSession.conf.get(
         "labelscope.orderstats.splitAbove", str(DEFAULT_SPLIT_ABOVE)))
-    widest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    if widest is None:
+        widest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
     if widest <= limit:
         w = Window.partitionBy(group).orderBy(order)
         for c in cols:

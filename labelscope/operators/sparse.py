@@ -118,7 +118,9 @@ def group_term_counts(df: DataFrame, group: str, text: str, order_by: str,
                 .select(group, order_by, F.element_at("_t", 1).alias("_first"),
                         F.element_at("_t", -1).alias("_last")))
     from labelscope.operators.order_stats import next_in_group
-    border = (next_in_group(ends, group, order_by, ["_first"], prefix="_next")
+    # texts per group (a scan of the group column) bound the rows per group
+    widest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    border = (next_in_group(ends, group, order_by, ["_first"], prefix="_next", widest=widest)
               .filter(F.col("_next_first").isNotNull())
               .select(group, F.concat("_last", F.lit(" "), "_next_first").alias("term")))
     return inner.unionByName(border).groupBy(group, "term").agg(F.count(F.lit(1)).alias("tf"))
