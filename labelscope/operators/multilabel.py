@@ -270,23 +270,28 @@ def ovr_logistic(train: DataFrame, test: DataFrame, item: str, features: str, tr
     from a small thread pool over one cached feature table."""
     from pyspark.ml.classification import LogisticRegression
 
-    tr = train.select(item, features).persist(StorageLevel.MEMORY_AND_DISK)
-    n = tr.count()
-    tl = train_labels.select(item, "label").persist(StorageLevel.MEMORY_AND_DISK)
+    # one cached table: features plus a 0/1 target column per class
+    ycol = {c: f"_y{i}" for i, c in enumerate(classes)}
+    sets = train_labels.groupBy(item).agg(F.collect_set("label").alias("_ls"))   # per item: its few labels
+    tr = train.select(item, features).join(sets, item, "left")
+    for c, y in ycol.items():
+        tr = tr.withColumn(y, F.coalesce(F.array_contains("_ls", F.lit(c)), F.lit(False)).cast("double"))
+    tr = tr.drop("_ls").persist(StorageLevel.MEMORY_AND_DISK)
+    counts = tr.agg(F.count(F.lit(1)), *[F.sum(y) for y in ycol.values()]).first()   # one pass, all classes
+    n = counts[0]
+    n_pos = {c: int(counts[i + 1] or 0) for i, c in enumerate(classes)}
 
     def fit_one(c):
-        y = tr.join(tl.filter(F.col("label") == c).select(item, F.lit(1.0).alias("y")), item, "left") \
-              .na.fill(0.0, ["y"])
-        n_pos = y.filter(F.col("y") == 1.0).count()
-        if n_pos == 0 or n_pos == n:
-            const = 1.0 if n_pos == n else 0.0
-            return c, None, const
-        w_pos, w_neg = n / (2.0 * n_pos), n / (2.0 * (n - n_pos))
-        y = y.withColumn("w", F.when(F.col("y") == 1.0, w_pos).otherwise(w_neg))
+        y, p = ycol[c], n_pos[c]
+        if p == 0 or p == n:
+            return c, None, (1.0 if p == n else 0.0)
+        w_pos, w_neg = n / (2.0 * p), n / (2.0 * (n - p))
+        data = tr.select(features, F.col(y).alias("y"),
+                         F.when(F.col(y) == 1.0, w_pos).otherwise(w_neg).alias("w"))
         lr = LogisticRegression(featuresCol=features, labelCol="y", weightCol="w", regParam=1.0 / n,
                                 elasticNetParam=0.0, standardization=False, maxIter=1000,
                                 threshold=threshold)
-        return c, lr.fit(y), None
+        return c, lr.fit(data), None
 
     with ThreadPoolExecutor(max_workers=threads) as ex:
         fitted = list(ex.map(fit_one, classes))
