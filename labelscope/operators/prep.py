@@ -39,7 +39,9 @@ def dedupe_keep(df: DataFrame, keys: list[str], order_by: list) -> DataFrame:
     """
     if not order_by:
         raise ValueError("dedupe_keep needs an explicit order")
-    if all(isinstance(o, str) for o in order_by):
+    from pyspark.sql.types import MapType
+    orderable = not any(isinstance(f.dataType, MapType) for f in df.schema.fields)
+    if orderable and all(isinstance(o, str) for o in order_by):
         rest = [c for c in df.columns if c not in keys and c not in order_by]
         packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_by)],
                           *[F.col(c) for c in rest])

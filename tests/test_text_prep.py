@@ -87,3 +87,12 @@ def test_parquet_and_csv_sinks_round_trip(spark, tmp_path):
     write_csv_report(df, str(tmp_path / "c"))
     rows = spark.read.option("header", True).csv(str(tmp_path / "c")).orderBy("id").collect()
     assert rows[0].labels == "a|b"
+
+
+def test_dedupe_keep_with_map_column_and_desc_order(spark):
+    df = spark.createDataFrame([("k", 1, {"a": 1}), ("k", 2, {"b": 2}), ("j", 5, {"c": 3})],
+                               "key string, o int, m map<string,int>")
+    got = {r.key: r.o for r in prep.dedupe_keep(df, ["key"], ["o"]).collect()}
+    assert got == {"k": 1, "j": 5}
+    got = {r.key: r.o for r in prep.dedupe_keep(df.drop("m"), ["key"], [F.col("o").desc()]).collect()}
+    assert got == {"k": 2, "j": 5}
