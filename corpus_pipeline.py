@@ -14,7 +14,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return filter_documents(docs, read_table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality_rules", quality)]
+def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    from labelscope.llm.near_dups import filter_documents
+    return filter_documents(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    from labelscope.llm.decontam import filter_documents
+    return filter_documents(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+STAGES = [("quality_rules", quality), ("near_dups", near_dups), ("decontaminate", decontaminate)]
 
 ORACLE_SQL = None
 

@@ -15,6 +15,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "n_repeat_words", "base_failed", "kept", "score", "threshold")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules,)}
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from labelscope.llm.decontam import leaks
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from labelscope.llm.near_dups import near_duplicates
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_decontamination, op8_near_duplicates)}
 
 SQL: dict[str, str] = {}
