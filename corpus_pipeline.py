@@ -26,7 +26,15 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return filter_documents(docs, read_table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality_rules", quality), ("near_dups", near_dups), ("decontaminate", decontaminate)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document in the coded token files, in ascending id order; the digest read back from them."""
+    import public_tokenizers
+    from labelscope.llm.token_output import tokenized
+    return tokenized(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality_rules", quality), ("near_dups", near_dups), ("decontaminate", decontaminate),
+          ("tokens", tokens)]
 
 ORACLE_SQL = None
 

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from labelscope.sources.tables import read_table
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from labelscope.llm.token_output import tokenized
+    return tokenized(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from labelscope.llm import quality_rules as q
     judged = q.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -25,6 +31,6 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_decontamination, op8_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op2_token_output, op3_quality_rules, op4_decontamination, op8_near_duplicates)}
 
 SQL: dict[str, str] = {}
