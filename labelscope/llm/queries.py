@@ -26,11 +26,34 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from labelscope.llm.secret_scan import report
+    return report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from labelscope.llm.near_dups import near_duplicates
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_output, op3_quality_rules, op4_decontamination, op8_near_duplicates)}
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from labelscope.llm import chat_format as c
+    from labelscope.llm.scratch import parked
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    written = parked(c.format_conversations(turns), "chats")
+    return c.digest(c.read_back(written))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from labelscope.llm.token_counts import count_tokens
+    return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_output, op3_quality_rules, op4_decontamination, op7_secret_scan,
+                                  op8_near_duplicates, op9_chat_format, op10_token_counts)}
 
 SQL: dict[str, str] = {}
