@@ -26,6 +26,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return filter_documents(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in their target shares: documents left out go, repeated ones stay as often as they are taken."""
+    from labelscope.llm.mixing import mix_documents
+    return mix_documents(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document in the coded token files, in ascending id order; the digest read back from them."""
     import public_tokenizers
@@ -34,7 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality), ("near_dups", near_dups), ("decontaminate", decontaminate),
-          ("tokens", tokens)]
+          ("mix", mix), ("tokens", tokens)]
 
 ORACLE_SQL = None
 

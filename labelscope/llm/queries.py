@@ -26,6 +26,21 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/doc_id.txt`` of a tree."""
+    from labelscope.llm.licenses import scan
+    docs = read_table(spark, sf_dir, "documents")
+    path = F.concat(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), F.lit(".txt"))
+    return scan(docs.select(path.alias("path"), "text")).withColumn(
+        "doc_id", F.regexp_extract("path", "([0-9]+)[.]txt$", 1).cast("long")).select(
+        "doc_id", "path", "license", "cosine", "origin", "licence_path")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from labelscope.llm.mixing import report
+    return report(read_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from labelscope.llm.secret_scan import report
     return report(read_table(spark, sf_dir, "documents"))
@@ -53,7 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_output, op3_quality_rules, op4_decontamination, op7_secret_scan,
-                                  op8_near_duplicates, op9_chat_format, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_token_output, op3_quality_rules, op4_decontamination, op5_license_scan,
+                                  op6_mixing, op7_secret_scan, op8_near_duplicates, op9_chat_format, op10_token_counts)}
 
 SQL: dict[str, str] = {}
