@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from labelscope.sources.tables import read_table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from labelscope.llm.lm_scoring import perplexity_report
+    return perplexity_report(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from labelscope.llm.token_output import tokenized
@@ -68,7 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_output, op3_quality_rules, op4_decontamination, op5_license_scan,
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_token_output, op3_quality_rules, op4_decontamination, op5_license_scan,
                                   op6_mixing, op7_secret_scan, op8_near_duplicates, op9_chat_format, op10_token_counts)}
 
 SQL: dict[str, str] = {}
