@@ -158,7 +158,8 @@ def confirmed_links(docs: DataFrame, families: DataFrame, k: int, size: int, per
                         np.stack([np.frombuffer(x, np.uint8) for x in table["sig"].to_pylist()]), percent, bound)
         return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
 
-    full = texts.join(placed, "rep").select("rep", "text", "family", "blocks", "mine").mapInArrow(
+    # the families grow with the documents: the same shuffled join at every size
+    full = texts.join(placed.hint("merge"), "rep").select("rep", "text", "family", "blocks", "mine").mapInArrow(
         sets, "rep long, family long, blocks int, mine int, shingles binary, sig binary")
     pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "family", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "rep", "mine", "shingles", "sig")
