@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.llm import text_kernel as tk
-from labelscope.llm.scratch import parked, scratch_path, shared_file_path
+from labelscope.llm.scratch import parked, save, scratch_path, shared_file_path
 
 BEGIN, END = np.uint64(0x5BD1E995A3C59AC3), np.uint64(0xC2B2AE3D27D4EB4F)
 HELD = 3_000_000  # n-grams that a counting task holds before it passes runs on
@@ -137,13 +137,6 @@ def count_runs(docs: DataFrame, order: int, bits: int, hot: np.ndarray) -> DataF
     return docs.select("text").mapInArrow(run, "kind string, bucket int, run binary")
 
 
-def save(path: str, array: np.ndarray) -> None:
-    temporary = f"{path}.{os.getpid()}.{np.random.default_rng().integers(1 << 60)}"
-    with open(temporary, "wb") as f:
-        np.save(f, array)
-    os.replace(temporary, path)
-
-
 def merge_buckets(counted: DataFrame, order: int, folder: str, bits: int, hot: np.ndarray, name: str) -> DataFrame:
     """Merge each bucket's runs, write its arrays, and return what other steps
     need: (kind, bucket, run, hot, numbers) with the runs of the next lower

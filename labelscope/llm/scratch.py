@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from urllib.parse import unquote, urlparse
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,14 @@ def shared_file_path(uri: str) -> str:
     return unquote(u.path) if u.scheme else uri
 
 
+def save(path: str, array: np.ndarray) -> None:
+    """Write an array under a temporary name and rename it: a repeated task leaves one whole file."""
+    temporary = f"{path}.{uuid.uuid4().hex}"
+    with open(temporary, "wb") as f:
+        np.save(f, array)
+    os.replace(temporary, path)
+
+
 def parked(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the
     lineage ends there and a lost executor costs nothing."""

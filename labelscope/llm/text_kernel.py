@@ -1,7 +1,7 @@
 """Word and n-gram hashes of whole Arrow batches with numpy.
 
 A batch's UTF-8 bytes are hashed in one pass: every byte stands for a random
-64-bit value (A-Z for those of a-z), words are the runs between the bytes
+64-bit value (where asked, A-Z those of a-z), words are the runs between the bytes
 0x20 and 0x09-0x0D, and a word's hash is the polynomial of its bytes taken
 from running sums.  Work goes in slabs of about ``SLAB`` bytes, cut between
 documents, so memory does not follow the batch size.
@@ -34,7 +34,6 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     got = store.get("byte_tables")
     if got is None or len(got[2]) < n:
         value = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-        value[65:91] = value[97:123]
         space = np.zeros(256, bool)
         space[[9, 10, 11, 12, 13, 32]] = True
         size = max(n, SLAB * 2)
@@ -67,27 +66,51 @@ def text_slabs(column: pa.Array, slab: int = SLAB) -> Iterator[tuple[int, np.nda
         a = b
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word in order, index of each document's first word, with the end)."""
+def word_spans(data: np.ndarray, starts: np.ndarray, split_stops: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last byte) of every word.  ``split_stops``: a full stop or comma
+    between a letter a-z and the word's end is a word of its own."""
     n = len(data)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
-    value, space, power, back = _tables(n + 1)
-    inside = ~space[data]
-    begins = inside.copy()
+    inside = ~_tables(n + 1)[1][data]
+    begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
-    ends = inside.copy()
     ends[:-1] &= ~inside[1:]
     inner = starts[(starts > 0) & (starts < n)]
     begins[inner] = inside[inner]
     ends[inner - 1] = inside[inner - 1]
-    first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+    if split_stops:
+        stop = np.flatnonzero(ends & ((data == 46) | (data == 44)) & ~begins)
+        stop = stop[(data[stop - 1] >= 97) & (data[stop - 1] <= 122)]
+        begins[stop] = True
+        ends[stop - 1] = True
+    return np.flatnonzero(begins), np.flatnonzero(ends)
+
+
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Hash of the bytes of every span; ``fold``: A-Z as a-z."""
+    n = len(data)
+    value, _, power, back = _tables(n + 1)
+    if fold:
+        value = value.copy()
+        value[65:91] = value[97:123]
     total = np.cumsum(value[data] * power[:n], dtype=np.uint64)
     h = total[last]
     nz = first > 0
     h[nz] -= total[first[nz] - 1]
     h *= back[first]
-    return mix(h + (last - first + 1).astype(np.uint64) * np.uint64(ODD)), np.searchsorted(first, starts)
+    return mix(h + (last - first + 1).astype(np.uint64) * np.uint64(ODD))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word in order, index of each document's first word, with the end)."""
+    if len(data) == 0:
+        return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
+    first, last = word_spans(data, starts)
+    return span_hashes(data, first, last), np.searchsorted(first, starts)
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Index that takes the runs [start, start + size) one after another."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
 def windows(words: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

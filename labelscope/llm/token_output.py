@@ -14,10 +14,16 @@ File format: a folder with three Parquet tables.
   each ``EVERY``-th token inside it, so decoding starts anywhere and many lanes
   run at once through one lookup table.
 
-Writing: texts are encoded once and the ids parked in the shared folder; global
-counts (one row per id crosses the shuffle per task) give the code on the
-driver, whose size is the vocabulary's; the coded documents -- not the ids --
-are shuffled into ascending ``doc_id`` order.
+Writing.  A text's ids are those of its pieces between white space, one after
+another (the file's pipeline drops white space before merging; a full stop or
+comma after a letter is a piece of its own to it as well).  Tasks collect their
+distinct pieces with counts, Spark shuffles them by hash, and each is encoded
+once by the library.  That gives the global counts of the ids -- one row per id
+and bucket -- from which the driver makes the code, whose size is the
+vocabulary's; and a dictionary of sorted arrays in the shared folder, which
+workers memory-map to code whole texts.  The coded documents are shuffled into
+ascending ``doc_id`` order.  Pieces of over ``LONGEST`` bytes stay out of the
+dictionary and are encoded where they stand.
 
 Defined results: a null text has just the end id; a null ``doc_id`` sorts
 first; repeated rows follow one another; an empty table gives empty tables;
@@ -26,8 +32,9 @@ extra columns are ignored; a document of any length is one block at least.
 
 from __future__ import annotations
 
-import zlib
+import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,67 +43,150 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.llm import encoding
-from labelscope.llm.scratch import parked, scratch_path
+from labelscope.llm import text_kernel as tk
+from labelscope.llm.scratch import parked, save, scratch_path, shared_file_path
 
 EVERY = 128
 LIMIT = 18
-SLAB_CHARS = 2_000_000
-SLAB_TOKENS = 1 << 19
-
-
-def word_ids(path: str, texts: list[str], end_id: int, dtype) -> list[bytes]:
-    """Ids of each text with the end id, as bytes.  The file's pipeline drops
-    white space before merging, so a text's ids are those of its pieces
-    between blanks and line ends, one after another."""
-    tokenizer = encoding.load(path)
-
-    def encode(pieces: list[str]) -> list[bytes]:
-        # a sentence's full stop or comma after a lower-case letter is a piece of its own to the file's split
-        stems = [p[:-1] if len(p) > 1 and p[-1] in ".," and "a" <= p[-2] <= "z" else p for p in pieces]
-        stems = [s.lower() if s.isascii() and s.isalpha() else s for s in stems]
-        each = list({*stems, ".", ","})
-        got = {s: np.array(e.ids, dtype).tobytes() for s, e in
-               zip(each, tokenizer.encode_batch_fast(each, add_special_tokens=False))}
-        return [got[s] + got[p[-1]] if len(s) < len(p) else got[s] for s, p in zip(stems, pieces)]
-
-    pieces = [t.replace("\n", " ").split(" ") for t in texts]
-    memo = encoding.remembered(("word_ids", path, np.dtype(dtype).str), pieces, encode)
-    end = np.array([end_id], dtype).tobytes()
-    return [b"".join(map(memo.__getitem__, p)) + end for p in pieces]
-
-
-def encode_documents(docs: DataFrame, path: str, end_id: int, wide: bool) -> DataFrame:
-    """(doc_id, ids) with ids as bytes of 2 or 4 each."""
-    dtype = np.uint32 if wide else np.uint16
-
+LONGEST = 256
+HELD = 1_500_000  # pieces that a task holds before it passes them on
+SLAB = 1 << 21
+
+
+def encode_pieces(path: str, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all pieces in a row, number of ids of each) by the library."""
+    tokenizer, ids, sizes = encoding.load(path), [], []
+    for s in range(0, len(pieces), 4096):
+        got = tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces[s:s + 4096]], add_special_tokens=False)
+        each = [e.ids for e in got]
+        sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+        ids.append(np.fromiter(chain.from_iterable(each), np.uint32, int(sizes[-1].sum())))
+    return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), (np.concatenate(sizes) if sizes else np.zeros(0, np.int64))
+
+
+def merge_pieces(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, count, size, bytes) of the distinct pieces, by hash, from parts of the same form."""
+    h, n, size, data = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(h)
+    sorted_h = h[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    total = np.add.reduceat(n[order], first) if len(h) else n
+    one = order[first]
+    begin = np.cumsum(size) - size
+    return h[one], total, size[one], data[tk.ragged(begin[one], size[one])]
+
+
+def distinct_pieces(docs: DataFrame, path: str, bits: int, end_id: int) -> DataFrame:
+    """(bucket, run, ids, n): runs of distinct pieces by hash bucket; counts of ids known at once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False))
-            a = 0
-            while a < batch.num_rows:
-                b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + SLAB_CHARS, "right")))
-                texts = [t or "" for t in batch["text"].slice(a, b - a).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(a, b - a).cast(pa.int64()), pa.array(word_ids(path, texts, end_id, dtype), pa.binary())],
-                    ["doc_id", "ids"])
-                a = b
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
-
+        held, n_held, n_docs, known = [], 0, 0, []
 
-def count_ids(encoded: DataFrame, size: int, wide: bool) -> DataFrame:
-    """(id, n) over all documents."""
-    dtype = np.uint32 if wide else np.uint16
+        def flush() -> pa.RecordBatch:
+            h, n, size, data = merge_pieces(held)
+            edges = np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            edges = np.concatenate([[0], edges, [len(h)]])
+            at = np.concatenate([[0], np.cumsum(size)])
+            rows = [(b, np.int64(e - s).tobytes() + h[s:e].tobytes() + n[s:e].tobytes() + size[s:e].astype(np.uint16).tobytes()
+                     + data[at[s]:at[e]].tobytes()) for b, (s, e) in enumerate(zip(edges, edges[1:])) if e > s]
+            k = len(rows)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()),
+                 pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int64()))], ["bucket", "run", "ids", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch["ids"]:
-                total += np.bincount(np.frombuffer(x.as_buffer(), dtype), minlength=size) if len(x.as_buffer()) > size else 0
-            short = [x.as_py() for x in batch["ids"] if len(x.as_buffer()) <= size]
-            total += np.bincount(np.frombuffer(b"".join(short), dtype), minlength=size)
-        i = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(total[i])], ["id", "n"])
-    return encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+            n_docs += batch.num_rows
+            for _, data, starts in tk.text_slabs(batch["text"], SLAB):
+                if not len(data):
+                    continue
+                first, last = tk.word_spans(data, starts, split_stops=True)
+                long = np.flatnonzero(last - first >= LONGEST)
+                if len(long):
+                    known.append(encode_pieces(path, [data[first[i]:last[i] + 1].tobytes() for i in long])[0])
+                h, at, n = np.unique(tk.span_hashes(data, first, last, fold=False), return_index=True, return_counts=True)
+                size = (last - first + 1)[at]
+                ok = size <= LONGEST
+                h, at, n, size = h[ok], at[ok], n[ok], size[ok]
+                held.append((h, n, size, data[tk.ragged(first[at], size)]))
+                n_held += len(h)
+                if n_held > HELD:
+                    yield flush()
+                    held, n_held = [], 0
+        if held:
+            yield flush()
+        ids, n = np.unique(np.concatenate(known), return_counts=True) if known else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([-1], pa.int32()), pa.array([None], pa.binary()), pa.array([[end_id, *ids.tolist()]], pa.list_(pa.int64())),
+             pa.array([[n_docs, *n.tolist()]], pa.list_(pa.int64()))], ["bucket", "run", "ids", "n"])
+    return docs.select("text").mapInArrow(run, "bucket int, run binary, ids array<long>, n array<long>")
+
+
+def read_pieces(run: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    k = int(np.frombuffer(run, np.int64, 1)[0])
+    return (np.frombuffer(run, np.uint64, k, 8), np.frombuffer(run, np.int64, k, 8 + 8 * k),
+            np.frombuffer(run, np.uint16, k, 8 + 16 * k).astype(np.int64), np.frombuffer(run, np.uint8, -1, 8 + 18 * k))
+
+
+def dictionary(pieces: DataFrame, path: str, files: str) -> DataFrame:
+    """Encode each bucket's pieces, write its arrays, and return (id, n) over all texts."""
+    def group(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        if bucket < 0:
+            return table.select(["ids", "n"])
+        h, n, size, data = merge_pieces([read_pieces(x) for x in table["run"].to_pylist()])
+        at = np.concatenate([[0], np.cumsum(size)])
+        raw = data.tobytes()
+        ids, sizes = encode_pieces(path, [raw[a:b] for a, b in zip(at, at[1:])])
+        base = f"{files}/pieces-{bucket:05d}"
+        save(f"{base}.start", np.concatenate([[0], np.cumsum(sizes)])), save(f"{base}.ids", ids), save(f"{base}.hash", h)
+        count = np.bincount(ids, weights=np.repeat(n, sizes)).astype(np.int64)
+        seen = np.flatnonzero(count)
+        return pa.table([pa.array([seen.tolist()], pa.list_(pa.int64())), pa.array([count[seen].tolist()], pa.list_(pa.int64()))],
+                        names=["ids", "n"])
+    counted = parked(pieces.groupBy("bucket").applyInArrow(group, "ids array<long>, n array<long>"), "counts")
+    return counted.select(F.explode(F.arrays_zip("ids", "n")).alias("x")).groupBy(F.col("x.ids").alias("id")).agg(F.sum("x.n").alias("n"))
+
+
+class Dictionary:
+    """The memory-mapped pieces; turns slabs of text into ids."""
+
+    def __init__(self, files: str, bits: int, path: str, end_id: int):
+        self.path, self.end_id, self.bits, self.parts = path, end_id, bits, []
+        for b in range(1 << bits):
+            base = f"{files}/pieces-{b:05d}"
+            self.parts.append([np.load(f"{base}.{x}", mmap_mode="r") for x in ("hash", "start", "ids")]
+                              if os.path.exists(f"{base}.hash") else None)
+
+    def ids(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents with their end ids, number of each)."""
+        n_docs = len(starts) - 1
+        if not len(data):
+            return np.full(n_docs, self.end_id, np.int64), np.ones(n_docs, np.int64)
+        first, last = tk.word_spans(data, starts, split_stops=True)
+        h, one, back = np.unique(tk.span_hashes(data, first, last, fold=False), return_index=True, return_inverse=True)
+        size = np.full(len(h), -1, np.int64)
+        edges = np.searchsorted(h, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
+        flat, begin, total = [], np.zeros(len(h), np.int64), 0
+        for part, a, b in zip(self.parts, [0, *edges], [*edges, len(h)]):
+            if part is None or a == b:
+                continue
+            at = np.minimum(np.searchsorted(part[0], h[a:b]), len(part[0]) - 1)
+            hit = np.flatnonzero(part[0][at] == h[a:b])
+            at = at[hit]
+            start, stop = part[1][at], part[1][at + 1]
+            size[a + hit] = stop - start
+            begin[a + hit] = total + np.cumsum(stop - start) - (stop - start)
+            flat.append(part[2][tk.ragged(start, stop - start)])
+            total += len(flat[-1])
+        for i in np.flatnonzero(size < 0):
+            ids, _ = encode_pieces(self.path, [data[first[one[i]]:last[one[i]] + 1].tobytes()])
+            size[i], begin[i] = len(ids), total
+            flat.append(ids)
+            total += len(ids)
+        flat = np.concatenate([*flat, [self.end_id]]).astype(np.int64)
+        ends = np.searchsorted(first, starts[1:])  # a document's end id follows its last piece
+        begin, size = np.insert(begin[back], ends, total), np.insert(size[back], ends, 1)
+        upto = np.cumsum(size)[ends + np.arange(n_docs)]
+        return flat[tk.ragged(begin, size)], np.diff(upto, prepend=0)
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -157,28 +247,29 @@ def pack(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, bits: np.ndarray
     return words.astype(">u8").view(np.uint8)[:begin[-1]], begin, offset
 
 
-def code_documents(encoded: DataFrame, ids: np.ndarray, bits: np.ndarray, size: int, wide: bool) -> DataFrame:
-    """(doc_id, n_tokens, payload, checkpoints): every document in the code."""
-    dtype = np.uint32 if wide else np.uint16
+def code_documents(docs: DataFrame, path: str, files: str, dict_bits: int, end_id: int, ids: np.ndarray, bits: np.ndarray,
+                   borders: np.ndarray) -> DataFrame:
+    """(doc_id, n_tokens, payload, checkpoints, shard): every document in the code."""
+    size = int(ids.max(initial=end_id)) + 1
+    names = ["doc_id", "n_tokens", "payload", "checkpoints", "shard"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length, code = np.zeros(size, np.int64), np.zeros(size, np.uint64)
         length[ids], code[ids] = bits, canonical(ids, bits)
+        pieces = Dictionary(files, dict_bits, path, end_id)
         for batch in batches:
-            n = pc.binary_length(batch["ids"]).to_numpy(zero_copy_only=False) // np.dtype(dtype).itemsize
-            so_far, a = np.cumsum(n), 0
-            while a < batch.num_rows:
-                b = max(a + 1, int(np.searchsorted(so_far, (so_far[a - 1] if a else 0) + SLAB_TOKENS, "right")))
-                x = np.frombuffer(b"".join(batch["ids"].slice(a, b - a).to_pylist()), dtype).astype(np.int64)
-                data, begin, offset = pack(x, n[a:b], code, length)
-                stop = np.cumsum(n[a:b])
+            for row, text, starts in tk.text_slabs(batch["text"], SLAB):
+                x, n = pieces.ids(text, starts)
+                data, begin, offset = pack(x, n, code, length)
+                stop = np.cumsum(n)
+                doc = batch["doc_id"].slice(row, len(n)).cast(pa.int64())
+                shard = np.searchsorted(borders, pc.fill_null(doc, -(1 << 63)).to_numpy(zero_copy_only=False), "right")
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(a, b - a), pa.array(n[a:b], pa.int64()),
-                     pa.array([data[s:e].tobytes() for s, e in zip(begin, begin[1:])], pa.binary()),
-                     pa.array([offset[s:e:EVERY].astype(np.uint64).tobytes() for s, e in zip(stop - n[a:b], stop)], pa.binary())],
-                    ["doc_id", "n_tokens", "payload", "checkpoints"])
-                a = b
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, payload binary, checkpoints binary")
+                    [doc, pa.array(n, pa.int64()), pa.array([data[s:e].tobytes() for s, e in zip(begin, begin[1:])], pa.binary()),
+                     pa.array([offset[s:e:EVERY].astype(np.uint64).tobytes() for s, e in zip(stop - n, stop)], pa.binary()),
+                     pa.array(shard, pa.int32())], names)
+    return docs.select("doc_id", "text").mapInArrow(
+        run, "doc_id long, n_tokens long, payload binary, checkpoints binary, shard int")
 
 
 def assemble(coded: DataFrame, shards: int, block_tokens: int) -> DataFrame:
@@ -218,27 +309,25 @@ def assemble(coded: DataFrame, shards: int, block_tokens: int) -> DataFrame:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_tokens: int = 1 << 16,
-                 shard_tokens: int = 1 << 22, max_shards: int = 8192) -> None:
+                 shard_tokens: int = 1 << 22, max_shards: int = 8192, bucket_bytes: int = 16 << 20) -> None:
     """Encode ``docs`` (doc_id, text) into the folder ``path``."""
     spark = docs.sparkSession
-    size = max(encoding.load(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1)
-    wide = size > 1 << 16
-    encoded = parked(encode_documents(docs, tokenizer, end_id, wide), "ids")
-    counts = count_ids(encoded, size, wide).orderBy("id").collect()  # one row per id of the vocabulary
-    ids, n = np.array([r["id"] for r in counts], np.int64), np.array([r["n"] for r in counts], np.int64)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dict_bits = max(3, min(16, (chars // bucket_bytes).bit_length()))
+    files = shared_file_path(scratch_path(spark, "pieces"))
+    os.makedirs(files, exist_ok=True)
+    counts = dictionary(distinct_pieces(docs, tokenizer, dict_bits, end_id), tokenizer, files).orderBy("id").collect()  # a row per id
+    ids, n = np.array([r["id"] for r in counts if r["n"]], np.int64), np.array([r["n"] for r in counts if r["n"]], np.int64)
     bits = code_lengths(n, max(LIMIT, int(len(n)).bit_length() + 1))
     spark.createDataFrame([(int(i), int(b)) for i, b in zip(ids, bits)], "id long, bits int").coalesce(1) \
         .write.parquet(f"{path}/codes")
     shards = int(min(max_shards, max(1, n.sum() // shard_tokens, spark.sparkContext.defaultParallelism * 2)))
     # range borders of doc_id; a border only moves documents between neighbouring shards
-    borders = encoded.select("doc_id").agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 10 * shards)
-                                           .alias("b")).first()["b"]
+    borders = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 10 * shards).alias("b")).first()["b"]
     borders = np.unique(np.array(borders or [], np.int64))
-    placed = code_documents(encoded, ids, bits, size, wide).mapInArrow(
-        lambda batches: (b.append_column("shard", pa.array(np.searchsorted(
-            borders, pc.fill_null(b["doc_id"], -(1 << 63)).to_numpy(zero_copy_only=False), "right"), pa.int32())) for b in batches),
-        "doc_id long, n_tokens long, payload binary, checkpoints binary, shard int")
-    assemble(placed, shards, block_tokens).write.option("compression", "none").parquet(f"{path}/blocks")
+    coded = code_documents(docs, tokenizer, files, dict_bits, end_id, ids, bits, borders)
+    assemble(coded, shards, block_tokens).write.option("compression", "none").parquet(f"{path}/blocks")
     totals = spark.read.parquet(f"{path}/blocks").select("shard", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("t")) \
         .groupBy("shard").agg(F.sum("t").alias("t")).orderBy("shard").collect()  # at most max_shards rows
     first = np.cumsum([0] + [r["t"] for r in totals])
