@@ -70,12 +70,15 @@ def blocks_for(n_rows: int, width: int, spark) -> int:
     return max(1, math.ceil(total / block_bytes(spark)))
 
 
-def left_blocks(spark, n_left_rows: int, n_right_blocks: int, rows_per_block: int = 512) -> int:
-    """Blocks for the query side: enough for the cluster's cores, never
-    fewer than the right side needs, and not so many that tiny blocks each
-    re-read the whole right side."""
-    want = max(1, math.ceil(n_left_rows / rows_per_block))
-    return max(n_right_blocks, min(spark.sparkContext.defaultParallelism, want))
+def block_counts(n_left: int, n_right: int, width: int, spark, least_rows: int = 512) -> tuple[int, int]:
+    """(left, right) block counts from the data and the budget: a block of
+    either side fits it, and so does the matrix of doubles between two blocks.
+    Small inputs are cut further on the left, to use the cores."""
+    rows = max(1, math.isqrt(block_bytes(spark) // 8))
+    right = max(blocks_for(n_right, width, spark), math.ceil(n_right / rows))
+    left = max(blocks_for(n_left, width, spark), math.ceil(n_left / rows),
+               min(spark.sparkContext.defaultParallelism, math.ceil(n_left / least_rows)))
+    return left, right
 
 
 def replicate(df: DataFrame, id_col: str, own: str, other: str, n_own: int, n_other: int) -> DataFrame:

@@ -70,26 +70,30 @@ def calinski_harabasz(df: DataFrame, cluster: str, vec: str) -> DataFrame:
 def davies_bouldin(df: DataFrame, cluster: str, vec: str) -> DataFrame:
     """Mean over clusters of the worst (s_i + s_j) / d(c_i, c_j).
 
-    Scatter s_i is an aggregate over rows; the k x k part works on the
-    centre table only (k rows, size-checked before it is collected)."""
+    Scatter s_i is an aggregate over rows; the centre table meets itself in
+    blocks, each of which leaves one worst ratio per centre."""
     spark = df.sparkSession
     cents = cluster_centers(df, cluster, vec)
     scat = (dist_to_center(df, cluster, vec, cents, "_d").groupBy(cluster)
             .agg(F.avg("_d").alias("s")))
-    tab = cents.join(scat, cluster)
+    tab = cents.join(scat, cluster).select(cluster, "center", "s")
     k, width = tab.agg(F.count(F.lit(1)), F.max(F.size("center"))).first()
-    if k * (width or 1) * 8 > blocks.broadcast_limit(spark):
-        raise ValueError("too many clusters for the centre table")
-    pdf = tab.orderBy(cluster).toPandas()
-    C = blocks.pandas_matrix(pdf["center"])
-    s = pdf["s"].to_numpy()
-    D = np.sqrt(np.maximum(((C[:, None, :] - C[None, :, :]) ** 2).sum(-1), 0.0))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        R = (s[:, None] + s[None, :]) / D
-    np.fill_diagonal(R, -np.inf)
-    R[~np.isfinite(R)] = np.where(np.isnan(R[~np.isfinite(R)]), 0.0, R[~np.isfinite(R)])
-    db = float(np.mean(np.max(R, axis=1))) if k > 1 else 0.0
-    return spark.createDataFrame([(db, int(k))], "davies_bouldin double, k long")
+    n_left, n_right = blocks.block_counts(k, k, width or 1, spark)
+    schema = T.StructType([T.StructField(cluster, df.schema[cluster].dataType), T.StructField("r", T.DoubleType())])
+
+    def kern(lp, rp):
+        A, B = blocks.pandas_matrix(lp["center"]), blocks.pandas_matrix(rp["center"])
+        d2 = (A * A).sum(1)[:, None] - 2.0 * A @ B.T + (B * B).sum(1)[None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            R = (lp["s"].to_numpy()[:, None] + rp["s"].to_numpy()[None, :]) / np.sqrt(np.maximum(d2, 0.0))
+        R[np.isnan(R)] = 0.0
+        R[lp[cluster].to_numpy()[:, None] == rp[cluster].to_numpy()[None, :]] = -np.inf
+        return pd.DataFrame({cluster: lp[cluster].to_numpy(), "r": R.max(axis=1)})
+
+    worst = blocks.cogroup_blocks(tab, tab, cluster, cluster, n_left, n_right, kern, schema).groupBy(cluster).agg(
+        F.max("r").alias("r"))
+    return worst.agg(F.when(F.count(F.lit(1)) > 1, F.avg("r")).otherwise(F.lit(0.0)).alias("davies_bouldin"),
+                     F.count(F.lit(1)).alias("k"))
 
 
 def silhouette_rows(df: DataFrame, item: str, cluster: str, vec: str,
@@ -104,8 +108,7 @@ def silhouette_rows(df: DataFrame, item: str, cluster: str, vec: str,
     spark = df.sparkSession
     pts = df.select(item, cluster, as_double_array(vec).alias("_v")).persist(StorageLevel.MEMORY_AND_DISK)
     n, width = pts.agg(F.count(F.lit(1)), F.max(F.size("_v"))).first()
-    nb = blocks.blocks_for(n, width or 1, spark)
-    n_left = blocks.left_blocks(spark, n, nb)
+    n_left, nb = blocks.block_counts(n, n, width or 1, spark)
     ctype = df.schema[cluster].dataType
     itype = df.schema[item].dataType
     schema = T.StructType([T.StructField(item, itype), T.StructField("_c", ctype),
@@ -175,6 +178,12 @@ def kmeans_fit(df: DataFrame, vec: str, k: int, seed: int = 6740, max_iter: int
             float(model.summary.trainingCost))
 
 
+def center_table(spark, centers: list, cluster: str) -> DataFrame:
+    """Fitted centres as (cluster, center), k rows."""
+    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)],
+                                 f"{cluster} int, center array<double>")
+
+
 def kmeans_sweep(df: DataFrame, item: str, vec: str, ks: list[int], dims: list[int] | None = None,
                  seed: int = 6740) -> DataFrame:
     """Metric table per (dims, k) (C3): silhouette, Calinski-Harabasz,

@@ -3,22 +3,23 @@ summaries (A9, A10, A12, J6, X10, X12)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def composition(df: DataFrame, a: str, b: str) -> DataFrame:
     """Per value of ``a``: rows, distinct ``b``, the dominant ``b`` (largest
-    count, ties to the smallest key), its count and share (A9).  One
-    ``groupBy(a, b).count()`` then one partial-aggregating ``groupBy(a)``."""
+    count, ties to the smallest key), its count and share (A9), largest share
+    first (O2).  One ``groupBy(a, b).count()``, then hash aggregates."""
     pairs = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(
         F.count(F.lit(1)).alias("_c"))
-    best = F.min(F.struct((-F.col("_c")).alias("nc"), F.col(b).alias("k")))
-    return (pairs.groupBy(a)
-                 .agg(F.sum("_c").alias("n_rows"), F.count(F.lit(1)).alias(f"n_distinct_{b}"), best.alias("_b"))
-                 .select(a, "n_rows", f"n_distinct_{b}", F.col("_b.k").alias(f"dominant_{b}"),
-                         (-F.col("_b.nc")).alias("dominant_count"))
-                 .withColumn("dominant_share", F.col("dominant_count") / F.col("n_rows")))
+    first = Window.partitionBy(a).orderBy(F.col("_c").desc(), F.col(b).asc())
+    best = (pairs.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") == 1)
+            .select(a, F.col(b).alias(f"dominant_{b}"), F.col("_c").alias("dominant_count")))
+    return (pairs.groupBy(a).agg(F.sum("_c").alias("n_rows"), F.count(F.lit(1)).alias(f"n_distinct_{b}"))
+                 .join(best, a)
+                 .withColumn("dominant_share", F.col("dominant_count") / F.col("n_rows"))
+                 .orderBy(F.col("dominant_share").desc(), F.col(a).asc()))
 
 
 def weighted_purity(comp: DataFrame, b: str) -> DataFrame:
@@ -29,19 +30,16 @@ def weighted_purity(comp: DataFrame, b: str) -> DataFrame:
 
 def crosstab_top(df: DataFrame, row: str, col: str, top_n: int = 25) -> DataFrame:
     """Counts of ``row`` x ``col`` for the ``top_n`` most frequent ``col``
-    values, zero cells kept, plus log1p (A12, P9).  Long form
-    (row, col, n, log1p_n).  The top-N list is N-sized; the grid is made by
-    pivoting on it and unpivoting back, so no cross join is needed."""
+    values, plus log1p (A12, P9).  Long form (row, col, n, log1p_n) with a cell
+    for every row key of the whole table, zero where it has none of them."""
     top = (df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
              .orderBy(F.col("_n").desc(), F.col(col).asc()).limit(top_n))
-    keys = [r[0] for r in top.select(col).collect()]
-    names = [f"v{i}" for i in range(len(keys))]
-    wide = (df.join(top.select(col), col, "left_semi")
-              .groupBy(row).pivot(col, keys).agg(F.count(F.lit(1))).na.fill(0))
-    wide = wide.toDF(row, *names)
-    lookup = F.create_map(*[x for i, k in enumerate(keys) for x in (F.lit(names[i]), F.lit(k))])
-    longf = wide.unpivot([row], names, "_name", "n")
-    return (longf.select(row, lookup[F.col("_name")].alias(col), F.col("n").cast("long").alias("n"))
+    # every row key gets a cell for each of the N columns; the N names are an array in one row per key
+    cells = df.filter(F.col(row).isNotNull()).select(row).distinct().withColumn("_k", F.lit(1)).join(
+        F.broadcast(top.agg(F.sort_array(F.collect_list(col)).alias("_cols")).withColumn("_k", F.lit(1))), "_k").select(
+        row, F.explode("_cols").alias(col))
+    n = df.groupBy(row, col).agg(F.count(F.lit(1)).alias("n"))
+    return (cells.join(n, [row, col], "left").na.fill(0, ["n"])
                  .withColumn("log1p_n", F.log1p(F.col("n").cast("double"))))
 
 
@@ -50,27 +48,18 @@ def join_back(rows: DataFrame, item_level: DataFrame, item: str, cols: list[str]
     return rows.join(item_level.select(item, *cols), item, "left")
 
 
-# Default prompt around the sampled texts; any template with the same two
-# parts can be passed instead.
-USER_PROMPT_HEAD = """
-You are given example texts that all belong to the same group.
-Write ONE short summary sentence that best represents this group.
-
-Example texts:
-"""
-
-USER_PROMPT_TAIL = """
-
-Now write the single summary statement:
-"""
+#: {examples} takes the bullet list; pass any other template with that field.
+PROMPT = ("The lines below are a sample from one group of texts. Name what they have in common "
+          "in a single sentence of at most twenty words.\n\n{examples}\n\nAnswer:")
 
 
 def group_prompts(df: DataFrame, group: str, text: str, n: int, seed: int, key_cols: list[str],
-                  head: str = USER_PROMPT_HEAD, tail: str = USER_PROMPT_TAIL) -> DataFrame:
-    """Per group: up to ``n`` sampled texts as a bullet list inside the user
-    prompt (X10): (group, n_sampled, prompt).  Sampling is the md5-ordered
+                  template: str = PROMPT) -> DataFrame:
+    """Per group: up to ``n`` sampled texts as a bullet list inside the prompt
+    template (X10): (group, n_sampled, prompt).  Sampling is the md5-ordered
     per-group sample (O5), so at most n rows per group are ever gathered."""
     from labelscope.operators.profile import sample_per_group
+    head, tail = template.split("{examples}")
     s = sample_per_group(df, group, text, n, seed, key_cols, sep="\n- ")
     return s.select(group, "n_sampled",
                     F.concat(F.lit(head + "- "), F.col("sampled"), F.lit(tail)).alias("prompt"))

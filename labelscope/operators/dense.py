@@ -22,10 +22,17 @@ def unit_vectors(df: DataFrame, vec: str = "embedding", out: str | None = None)
 
 
 def align_vectors(rows: DataFrame, vectors: DataFrame, id_col: str, vec: str = "embedding",
-                  normalize: bool = True) -> DataFrame:
-    """Attach one vector per id to every row (J3); rows without a vector are dropped
-    here -- check them first with ``quality.unmatched_vectors`` (Q8)."""
+                  normalize: bool = True, validate: bool = True) -> DataFrame:
+    """Attach one vector per id to every row (J3).  With ``validate`` a repeated
+    vector id or a row without a vector raises; without it, rows that have no
+    vector are dropped (``quality.unmatched_vectors`` lists them, Q8)."""
     v = vectors.select(id_col, vec)
+    if validate:
+        from labelscope.operators.prep import ValidationError, assert_unique
+        assert_unique(v, [id_col], "vectors")
+        lost = rows.join(v, id_col, "left_anti").limit(1).collect()
+        if lost:
+            raise ValidationError(f"no vector for {id_col} = {lost[0][id_col]}")
     out = rows.join(v, id_col, "inner")
     return unit_vectors(out, vec) if normalize else out
 
@@ -91,7 +98,7 @@ def nearest_centroid(df: DataFrame, centroids: DataFrame, item: str, label: str
                 if b.num_rows == 0:
                     continue
                 V = blocks.arrow_matrix(b.column(1))
-                S = V @ Cm.T
+                S = np.round(V @ Cm.T, 12)
                 j = np.argmax(S, axis=1)
                 best = S[np.arange(len(j)), j]
                 yield blocks.to_batch(pd.DataFrame({
@@ -101,15 +108,14 @@ def nearest_centroid(df: DataFrame, centroids: DataFrame, item: str, label: str
         return (df.select(item, as_double_array(vec).alias("_v"))
                   .mapInArrow(kern, schema))
     # blocked form: best label per (item, centroid block), then min over blocks
-    n_right = blocks.blocks_for(n_lab, width, spark)
-    n_left = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_left, n_right = blocks.block_counts(df.count(), n_lab, width, spark)
     part_schema = T.StructType(schema.fields + [T.StructField("_sim", T.DoubleType())])
 
     def kern2(lp, rp):
         rp = rp.sort_values(label, kind="stable")
         V = blocks.pandas_matrix(lp["_v"])
         Cm = blocks.pandas_matrix(rp["centroid"])
-        S = V @ Cm.T
+        S = np.round(V @ Cm.T, 12)
         j = np.argmax(S, axis=1)
         best = S[np.arange(len(j)), j]
         return pd.DataFrame({item: lp[item].values, out_label: rp[label].values[j],

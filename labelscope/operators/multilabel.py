@@ -100,17 +100,38 @@ def multilabel_scores(truth: DataFrame, pred: DataFrame, item: str, labels: Data
 
 # ------------------------------------------------------------- folds (M4)
 
-def hash_unit(seed: int, *cols) -> F.Column:
+MAX_LABELS = 4096   # of the baseline's prevalence list, which becomes part of the plan
+
+
+def hash_unit(seed: int, *cols):
     """Uniform [0, 1) from md5(seed | cols...) -- reproducible under any partitioning."""
-    parts = [F.lit(str(seed))] + [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
+    return hash_unit_of(seed, *[F.col(c) for c in cols])
+
+
+def hash_unit_of(seed: int, *values):
+    parts = [F.lit(str(seed))] + [F.coalesce(v.cast("string"), F.lit("")) for v in values]
     h = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("bigint")
     return h / F.lit(4294967296.0)
 
 
 def group_folds(df: DataFrame, group: str, n_splits: int = 5, seed: int = 0, out: str = "fold") -> DataFrame:
-    """Whole groups to folds: fold = floor(u(group) * n) with a hashed uniform
-    u, so every row of a group lands in the same fold, with no global sort (M4)."""
-    return df.withColumn(out, F.floor(hash_unit(seed, group) * n_splits).cast("int"))
+    """Whole groups to balanced folds (M4): the distinct groups are ranked by a
+    hashed uniform (ties by the group) and dealt out in turn, fold = rank mod
+    n, so every fold has the same number of groups, give or take one, and all
+    rows of a group one fold.
+
+    The rank needs no global sort in one task: the hash range is cut into
+    slices, groups are ranked inside their slice, and the slice's offset comes
+    from a table of one row per slice."""
+    slices = 256
+    u = hash_unit(seed, group)
+    g = df.select(group).distinct().withColumn("_u", u).withColumn("_s", F.floor(F.col("_u") * slices).cast("int"))
+    per = g.groupBy("_s").agg(F.count(F.lit(1)).alias("_c"))
+    before = per.select("_s", (F.sum("_c").over(Window.orderBy("_s")) - F.col("_c")).alias("_b"))
+    rank = F.row_number().over(Window.partitionBy("_s").orderBy("_u", group)) - 1
+    folds = g.withColumn("_r", rank).join(F.broadcast(before), "_s").select(
+        F.col(group).alias("_g"), ((F.col("_r") + F.col("_b")) % n_splits).cast("int").alias(out))
+    return df.join(folds, df[group].eqNullSafe(folds["_g"])).drop("_g")
 
 
 # ------------------------------------------------------------- k-NN
@@ -132,8 +153,7 @@ def knn_dense(test: DataFrame, train: DataFrame, item: str, vec: str, k: int = 3
     cols = [item, as_double_array(vec).alias("_v")] + ([fold] if fold else [])
     lt, rt = test.select(*cols), train.select(*cols)
     n, width = rt.agg(F.count(F.lit(1)), F.max(F.size("_v"))).first()
-    nb = blocks.blocks_for(n, width or 1, spark)
-    n_left = blocks.left_blocks(spark, lt.count(), nb)
+    n_left, nb = blocks.block_counts(lt.count(), n, width or 1, spark)
     schema = T.StructType([T.StructField(item, ttype), T.StructField("neighbor", ttype),
                            T.StructField("sim", T.DoubleType())])
 
@@ -143,10 +163,12 @@ def knn_dense(test: DataFrame, train: DataFrame, item: str, vec: str, k: int = 3
         ny = np.linalg.norm(Y, axis=1)[None, :]
         with np.errstate(divide="ignore", invalid="ignore"):
             S = np.where((nx > 0) & (ny > 0), (X @ Y.T) / (nx * ny), 0.0)
-        valid = np.ones_like(S, dtype=bool)
         if fold:
-            valid &= lp[fold].to_numpy()[:, None] != rp[fold].to_numpy()[None, :]
-        qi, ri = np.nonzero(valid)
+            S[lp[fold].to_numpy()[:, None] == rp[fold].to_numpy()[None, :]] = -np.inf
+        # rows and columns that can hold one of the k best of a row: everything from its k-th value up
+        kk = min(k, S.shape[1])
+        least = np.partition(S, S.shape[1] - kk, axis=1)[:, S.shape[1] - kk]
+        qi, ri = np.nonzero((S >= least[:, None]) & (S > -np.inf))
         top = _topk_frame(lp[item].to_numpy()[qi], rp[item].to_numpy()[ri], S[qi, ri], k)
         return pd.DataFrame({item: top["_q"].to_numpy(), "neighbor": top["_r"].to_numpy(),
                              "sim": top["_s"].to_numpy()})
@@ -184,13 +206,14 @@ def knn_sparse(test_w: DataFrame, train_w: DataFrame, item: str, k: int = 3,
     # block sizes per key value (e.g. per fold): only rows of one key ever meet
     nnz_col = F.sum(F.size("_t"))
     if by:
-        nnz = rt.groupBy(by).agg(nnz_col.alias("c")).agg(F.max("c")).first()[0] or 0
+        nnz, n_r = rt.groupBy(by).agg(nnz_col.alias("c"), F.count(F.lit(1)).alias("r")).agg(F.max("c"), F.max("r")).first()
+        nnz, n_r = nnz or 0, n_r or 0
         n_q = lt.groupBy(by).count().agg(F.max("count")).first()[0] or 0
     else:
-        nnz = rt.agg(nnz_col).first()[0] or 0
-        n_q = lt.count()
-    nb = max(1, int(np.ceil(nnz * 64 / blocks.block_bytes(spark))))
-    n_left = blocks.left_blocks(spark, n_q, nb)
+        nnz, n_r = rt.agg(nnz_col, F.count(F.lit(1))).first()
+        nnz, n_q = nnz or 0, lt.count()
+    n_left, nb = blocks.block_counts(n_q, n_r, 1, spark)
+    nb = max(nb, int(np.ceil(nnz * 64 / blocks.block_bytes(spark))))
     schema = T.StructType([T.StructField(item, ttype), T.StructField("neighbor", ttype),
                            T.StructField("sim", T.DoubleType())])
 
@@ -247,14 +270,16 @@ def random_prevalence(items_labels: DataFrame, items: DataFrame, item: str, seed
     """Predict each (item, label) with probability = label prevalence, from a
     hashed uniform (reproducible): returns predicted long (item, label).
     The prevalence list is label-sized; each item expands over it."""
-    n = items.select(item).distinct().count()
-    prev = items_labels.groupBy("label").agg((F.count(F.lit(1)) / F.lit(float(n))).alias("p")).collect()
+    distinct = items.select(item).distinct()
+    n = distinct.count()
+    prev = items_labels.groupBy("label").agg((F.count(F.lit(1)) / F.lit(float(n))).alias("p")).limit(MAX_LABELS + 1).collect()
+    if len(prev) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels for the baseline's prevalence list")
     if not prev:
         return items_labels.limit(0).select(item, "label")
-    pairs = F.array(*[F.struct(F.lit(r["label"]).alias("label"), F.lit(float(r["p"])).alias("p")) for r in prev])
-    x = items.select(item).distinct().select(item, F.explode(pairs).alias("_lp"))
-    x = x.select(item, F.col("_lp.label").alias("label"), F.col("_lp.p").alias("p"))
-    return x.filter(hash_unit(seed, item, "label") < F.col("p")).select(item, "label")
+    drawn = F.array_compact(F.array(*[
+        F.when(hash_unit_of(seed, F.col(item), F.lit(r["label"])) < float(r["p"]), F.lit(r["label"])) for r in prev]))
+    return distinct.select(item, F.explode(drawn).alias("label"))
 
 
 # ------------------------------------------------------------- logistic (M5)
@@ -268,15 +293,38 @@ def ovr_logistic(train: DataFrame, test: DataFrame, item: str, features: str, tr
     C = 1 (regParam = 1 / sum(w) = 1 / n), no standardisation.  A label with
     a single class in training predicts that class.  Fits run concurrently
     from a small thread pool over one cached feature table."""
-    from pyspark.ml.classification import LogisticRegression
+    fitted = [(c, m, float(p > 0)) for c, m, n, p in ovr_fit(train, item, features, train_labels, classes, threads, threshold)]
+    outs = []
+    for c, model, const in fitted:
+        if model is None:
+            if const == 1.0:
+                outs.append(test.select(item).withColumn("label", F.lit(c)))
+            continue
+        pr = model.transform(test.select(item, features)).filter(F.col("prediction") == 1.0)
+        outs.append(pr.select(item).withColumn("label", F.lit(c)))
+    if not outs:
+        return test.select(item).withColumn("label", F.lit(None).cast("string")).limit(0)
+    res = outs[0]
+    for o in outs[1:]:
+        res = res.unionByName(o)
+    return res
 
-    # one cached table: features plus a 0/1 target column per class
-    ycol = {c: f"_y{i}" for i, c in enumerate(classes)}
+
+def _targets(train: DataFrame, item: str, features: str, train_labels: DataFrame, ycol: dict) -> DataFrame:
+    """Features with a 0/1 column per class."""
     sets = train_labels.groupBy(item).agg(F.collect_set("label").alias("_ls"))   # per item: its few labels
     tr = train.select(item, features).join(sets, item, "left")
-    for c, y in ycol.items():
-        tr = tr.withColumn(y, F.coalesce(F.array_contains("_ls", F.lit(c)), F.lit(False)).cast("double"))
-    tr = tr.drop("_ls").persist(StorageLevel.MEMORY_AND_DISK)
+    return tr.select(item, features, *[F.coalesce(F.array_contains("_ls", F.lit(c)), F.lit(False)).cast("double").alias(y)
+                                       for c, y in ycol.items()])
+
+
+def ovr_fit(train: DataFrame, item: str, features: str, train_labels: DataFrame, classes: list, threads: int = 4,
+            threshold: float = 0.5) -> list[tuple]:
+    """(class, model or None, rows, positives) of every class; None where a class is all or nothing."""
+    from pyspark.ml.classification import LogisticRegression
+
+    ycol = {c: f"_y{i}" for i, c in enumerate(classes)}
+    tr = _targets(train, item, features, train_labels, ycol).persist(StorageLevel.MEMORY_AND_DISK)
     counts = tr.agg(F.count(F.lit(1)), *[F.sum(y) for y in ycol.values()]).first()   # one pass, all classes
     n = counts[0]
     n_pos = {c: int(counts[i + 1] or 0) for i, c in enumerate(classes)}
@@ -284,28 +332,36 @@ def ovr_logistic(train: DataFrame, test: DataFrame, item: str, features: str, tr
     def fit_one(c):
         y, p = ycol[c], n_pos[c]
         if p == 0 or p == n:
-            return c, None, (1.0 if p == n else 0.0)
+            return c, None, n, p
         w_pos, w_neg = n / (2.0 * p), n / (2.0 * (n - p))
         data = tr.select(features, F.col(y).alias("y"),
                          F.when(F.col(y) == 1.0, w_pos).otherwise(w_neg).alias("w"))
         lr = LogisticRegression(featuresCol=features, labelCol="y", weightCol="w", regParam=1.0 / n,
                                 elasticNetParam=0.0, standardization=False, maxIter=1000,
                                 threshold=threshold)
-        return c, lr.fit(data), None
+        return c, lr.fit(data), n, p
 
     with ThreadPoolExecutor(max_workers=threads) as ex:
         fitted = list(ex.map(fit_one, classes))
-    outs = []
-    for c, model, const in fitted:
+    tr.unpersist()
+    return fitted
+
+
+def logistic_gradients(train: DataFrame, item: str, features: str, train_labels: DataFrame, classes: list) -> list[tuple]:
+    """(class, rows, positives, largest component of the loss's gradient) at each fitted model."""
+    from pyspark.ml.functions import vector_to_array
+    ycol = {c: f"_y{i}" for i, c in enumerate(classes)}
+    tr = _targets(train, item, features, train_labels, ycol).withColumn("_x", vector_to_array(features))
+    out = []
+    for c, model, n, p in ovr_fit(train, item, features, train_labels, classes):
         if model is None:
-            if const == 1.0:
-                outs.append(test.select(item).withColumn("label", F.lit(c)))
+            out.append((c, n, p, 0.0))
             continue
-        pr = model.transform(test.select(item, features)).filter(F.col("prediction") == 1.0)
-        outs.append(pr.select(item).withColumn("label", F.lit(c)))
-    if not outs:
-        return test.select(item).withColumn("label", F.lit(None).cast("string")).limit(0)
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
+        beta, b0 = [float(x) for x in model.coefficients], float(model.intercept)
+        z = F.aggregate(F.zip_with("_x", F.array(*[F.lit(x) for x in beta]), lambda x, w: x * w), F.lit(b0), lambda s, x: s + x)
+        y = F.col(ycol[c])
+        r = F.when(y == 1.0, n / (2.0 * p)).otherwise(n / (2.0 * (n - p))) * (1 / (1 + F.exp(-z)) - y)
+        got = tr.withColumn("_r", r).agg(F.avg("_r"), *[F.avg(F.col("_r") * F.get("_x", F.lit(j))) for j in range(len(beta))]).first()
+        grad = [got[0]] + [g + w / n for g, w in zip(got[1:], beta)]
+        out.append((c, n, p, max(abs(g) for g in grad)))
+    return out

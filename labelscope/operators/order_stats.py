@@ -7,13 +7,12 @@ one task.  Here the order is assembled from pieces:
 
 1. distinct values per group with their counts (partial aggregate, so a
    value repeated millions of times is one row);
-2. if some group has more distinct values than one task should sort
-   (``labelscope.orderstats.splitAbove``, checked with one aggregate), each
-   group's value range is cut into ``buckets`` by quantile sketches
-   (``percentile_approx``, itself a partial aggregate) -- a hot group is
-   spread over many buckets, a small group uses few;
-3. a running count inside each (group, bucket) window, and the bucket
-   offsets from a tiny (group x bucket) table.
+2. each group's value range is cut into up to ``buckets`` slices between
+   values of a bounded sample (the ``SAMPLE`` values with the smallest hash,
+   a window group limit) -- any orderable type, the same path at every size;
+   a hot group is spread over all slices, a small group uses few;
+3. a running count inside each (group, slice) window, and the slice
+   offsets from a tiny (group x slice) table.
 
 The result is exact: ``before`` is the number of rows of the group with a
 smaller value, so the average rank is ``before + (cnt + 1) / 2`` and the
@@ -25,13 +24,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
-DEFAULT_SPLIT_ABOVE = 2_000_000   # distinct values per group handled by one window task
+from labelscope.session import cut_lineage
 
+BUCKETS = 64
+SAMPLE = 1024
 
-def rank_table(df: DataFrame, key: str | None, value: str, buckets: int = DEFAULT_BUCKETS,
-               rep: str | None = None, split_above: int | None = None,
-               widest: int | None = None) -> DataFrame:
+
+def _sliced(df: DataFrame, key: str, value: str, buckets: int) -> DataFrame:
+    """``df`` with ``_bk``: the slice of its group's range that ``value`` falls into."""
+    first = Window.partitionBy(key).orderBy(F.xxhash64(value), F.col(value))
+    sample = df.select(key, value).withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= SAMPLE)
+    s = sample.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("_s"))   # at most SAMPLE values a group
+    at = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)),
+                     lambda i: F.get("_s", F.floor(i * F.size("_s") / buckets).cast("int")))
+    bounds = s.select(key, F.array_distinct(at).alias("_b"))
+    return (df.join(bounds, key)
+              .withColumn("_bk", F.size(F.filter("_b", lambda b: b < F.col(value)))).drop("_b"))
+
+
+def rank_table(df: DataFrame, key: str | None, value: str, buckets: int = BUCKETS,
+               rep: str | None = None) -> DataFrame:
     """(key, value, cnt, before, n[, rep]) per distinct value of each group.
     ``rep`` (optional) carries min(rep) per distinct value (e.g. the raw
     measure behind a rounded ranking value).  ``key=None`` ranks the whole
@@ -41,24 +53,8 @@ def rank_table(df: DataFrame, key: str | None, value: str, buckets: int = DEFAUL
     aggs = [F.count(F.lit(1)).alias("_cnt")]
     if rep:
         aggs.append(F.min(rep).alias("_rep"))
-    g = base.filter(F.col(value).isNotNull()).groupBy(k, value).agg(*aggs)
-    cols_out = [k, value, F.col("_cnt").alias("cnt")]
-    limit = split_above if split_above is not None else int(df.sparkSession.conf.get(
-        "labelscope.orderstats.splitAbove", str(DEFAULT_SPLIT_ABOVE)))
-    if widest is None:
-        # rows per group bound its distinct values; counting rows needs no measure column
-        widest = base.groupBy(k).count().agg(F.max("count")).first()[0] or 0
-    if widest <= limit:
-        # every group's distinct values fit one task: one running sum per group
-        w = Window.partitionBy(k).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        out = (g.withColumn("before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-                .withColumn("n", F.sum("_cnt").over(Window.partitionBy(k))))
-        return out.select(*cols_out, "before", "n", *([F.col("_rep").alias("rep")] if rep else []))
-    pcts = [i / buckets for i in range(1, buckets)]
-    bounds = g.groupBy(k).agg(F.percentile_approx(value, pcts, 10000).alias("_b"))
-    g = (g.join(bounds, k)
-          .withColumn("_bk", F.size(F.filter("_b", lambda b: b < F.col(value))))
-          .drop("_b"))
+    g = cut_lineage(base.filter(F.col(value).isNotNull() & F.col(k).isNotNull()).groupBy(k, value).agg(*aggs), "values")
+    g = _sliced(g, k, value, buckets)
     w_in = Window.partitionBy(k, "_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     g = g.withColumn("_lb", F.coalesce(F.sum("_cnt").over(w_in), F.lit(0)))
     s = g.groupBy(k, "_bk").agg(F.sum("_cnt").alias("_bc"))
@@ -92,30 +88,16 @@ def quantiles(rt: DataFrame, key: str | None, value: str, probs: dict[str, float
     return q.select(*out)
 
 
-def next_in_group(df: DataFrame, group: str, order: str, cols: list[str], buckets: int = DEFAULT_BUCKETS,
-                  split_above: int | None = None, prefix: str = "next_", widest: int | None = None) -> DataFrame:
+def next_in_group(df: DataFrame, group: str, order: str, cols: list[str], buckets: int = BUCKETS,
+                  prefix: str = "next_") -> DataFrame:
     """Each row with the ``cols`` of the following row of its group in
     ``order`` (null for the last row): ``lead`` without one task per group.
-
-    Groups up to ``split_above`` rows use one window each.  Beyond that the
-    group's (numeric) order range is cut into buckets by quantile sketches,
-    ``lead`` runs inside each bucket, and a bucket's last row takes the first
-    row of the next non-empty bucket from a (group x bucket) table."""
-    limit = split_above if split_above is not None else int(df.sparkSession.conf.get(
-        "labelscope.orderstats.splitAbove", str(DEFAULT_SPLIT_ABOVE)))
-    if widest is None:
-        widest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    if widest <= limit:
-        w = Window.partitionBy(group).orderBy(order)
-        for c in cols:
-            df = df.withColumn(prefix + c, F.lead(c).over(w))
-        return df
-    pcts = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(group).agg(F.percentile_approx(order, pcts, 10000).alias("_b"))
-    d = (df.join(bounds, group)
-           .withColumn("_bk", F.size(F.filter("_b", lambda b: b < F.col(order)))).drop("_b"))
+    ``lead`` runs inside each slice of the group's order range, and a slice's
+    last row takes the first row of the next non-empty slice from a
+    (group x slice) table.  Rows without a group or an order have no place."""
+    d = _sliced(df.filter(F.col(group).isNotNull() & F.col(order).isNotNull()), group, order, buckets)
     w = Window.partitionBy(group, "_bk").orderBy(order)
-    d = d.withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
+    d = d.withColumn("_end", F.lead(F.lit(1)).over(w).isNull())
     for c in cols:
         d = d.withColumn(prefix + c, F.lead(c).over(w))
     firsts = d.groupBy(group, "_bk").agg(F.min(F.struct(F.col(order).alias("_o"), *[F.col(c) for c in cols]))
@@ -123,5 +105,5 @@ def next_in_group(df: DataFrame, group: str, order: str, cols: list[str], bucket
     firsts = firsts.withColumn("_nf", F.lead("_f").over(Window.partitionBy(group).orderBy("_bk")))
     d = d.join(firsts.select(group, "_bk", "_nf"), [group, "_bk"], "left")
     for c in cols:
-        d = d.withColumn(prefix + c, F.when(F.col("_last"), F.col("_nf").getField(c)).otherwise(F.col(prefix + c)))
-    return d.drop("_bk", "_last", "_nf")
+        d = d.withColumn(prefix + c, F.when(F.col("_end"), F.col("_nf").getField(c)).otherwise(F.col(prefix + c)))
+    return d.drop("_bk", "_end", "_nf")

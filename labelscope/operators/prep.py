@@ -29,27 +29,15 @@ def select_present(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def dedupe_keep(df: DataFrame, keys: list[str], order_by: list) -> DataFrame:
-    """First row per key under an explicit order (``order_by`` is mandatory).
+    """First row per key under an explicit order (``order_by`` is mandatory;
+    rows equal in it are taken in any order).
 
-    With ascending column names the first row is ``min(struct(order...,
-    rest...))`` per key: a hash aggregate with map-side partial aggregation,
-    so a key holding a third of the rows is reduced before the shuffle and
-    nothing is sorted.  Other orderings use ``row_number() == 1`` (a window
-    group limit: local first rows per key before the shuffle).
+    ``row_number() == 1`` runs as a window group limit: each input partition
+    sorts and keeps its first row per key before the shuffle, so a key that
+    holds a third of the rows sends one row per partition.
     """
     if not order_by:
         raise ValueError("dedupe_keep needs an explicit order")
-    from pyspark.sql.types import MapType
-    orderable = not any(isinstance(f.dataType, MapType) for f in df.schema.fields)
-    if orderable and all(isinstance(o, str) for o in order_by):
-        rest = [c for c in df.columns if c not in keys and c not in order_by]
-        packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_by)],
-                          *[F.col(c) for c in rest])
-        first = df.groupBy(*keys).agg(F.min(packed).alias("_first"))
-        cols = {c: F.col(c) for c in keys}
-        cols.update({c: F.col(f"_first._o{i}").alias(c) for i, c in enumerate(order_by)})
-        cols.update({c: F.col(f"_first.{c}").alias(c) for c in rest})
-        return first.select(*[cols[c] for c in df.columns])
     w = Window.partitionBy(*keys).orderBy(*order_by)
     return (df.withColumn("_rn", F.row_number().over(w))
               .filter(F.col("_rn") == 1).drop("_rn"))
@@ -99,10 +87,11 @@ def build_analysis(bridge: DataFrame, occ: DataFrame, labels: DataFrame, items:
                         ["soc_code"], ["occ_title", "occ_description"])
     lab_d = dedupe_keep(labels.select("dwa_id", "dwa_title"), ["dwa_id"], ["dwa_title"])
     itm_d = dedupe_keep(items.select("task_id", "task_text"), ["task_id"], ["task_text"])
-    joined = enrich(bridge, [(occ_d, "soc_code"), (lab_d, "dwa_id"), (itm_d, "task_id")],
-                    validate=False)
-    firsts = dedupe_keep(joined, ["task_id", "dwa_id"], bridge_order)
-    out = normalize_and_count(firsts, "task_text", "task_len")
+    # the joins are many-to-one and the dimensions unique: reduce the bridge before
+    # it gets its texts, and normalise each item's text once
+    firsts = dedupe_keep(bridge, ["task_id", "dwa_id"], bridge_order)
+    itm_d = normalize_and_count(itm_d, "task_text", "task_len")
+    out = enrich(firsts, [(occ_d, "soc_code"), (lab_d, "dwa_id"), (itm_d, "task_id")], validate=False)
     return out.select("soc_code", "occ_title", "task_id", "task_text", "task_len",
                       "dwa_id", "dwa_title", *bridge_order)
 

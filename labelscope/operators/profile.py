@@ -16,8 +16,9 @@ def table_profile(df: DataFrame, item: str, label: str, text: str | None = None)
 
 
 def distinct_per_group(df: DataFrame, group: str, col: str, out: str) -> DataFrame:
-    """Distinct non-null ``col`` per ``group`` (A2)."""
-    return df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count_distinct(col).alias(out))
+    """Distinct non-null ``col`` per ``group``, most first (A2)."""
+    return (df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count_distinct(col).alias(out))
+              .orderBy(F.col(out).desc(), F.col(group).asc()))
 
 
 def count_histogram(df: DataFrame, group: str, col: str, out: str = "n_groups",
@@ -36,12 +37,14 @@ def small_group_counts(sizes: DataFrame, size_col: str) -> DataFrame:
 
 def text_purity(df: DataFrame, text: str, item: str, label: str) -> DataFrame:
     """Per distinct text: rows, distinct items, distinct labels, the sorted
-    label set and whether it is pure (one label) (A6)."""
-    return (df.groupBy(text)
-              .agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(item).alias("n_items"),
-                   F.count_distinct(label).alias("n_labels"),
-                   F.sort_array(F.collect_set(label)).alias("labels"))
-              .withColumn("pure", F.col("n_labels") == 1))
+    label set and whether it is pure (one label) (A6).  Pairs are made
+    distinct first, so a text that very many rows share reaches its final
+    aggregate as one row per label or item."""
+    labels = df.groupBy(text, label).agg(F.count(F.lit(1)).alias("_n")).groupBy(text).agg(
+        F.sum("_n").alias("n_rows"), F.count(label).alias("n_labels"), F.sort_array(F.collect_list(label)).alias("labels"))
+    items = df.select(text, item).distinct().groupBy(text).agg(F.count(item).alias("n_items")).withColumnRenamed(text, "_t")
+    return (labels.join(items, F.col(text).eqNullSafe(F.col("_t")))
+              .select(text, "n_rows", "n_items", "n_labels", "labels", (F.col("n_labels") == 1).alias("pure")))
 
 
 def purity_share(purity: DataFrame) -> DataFrame:
@@ -52,8 +55,8 @@ def purity_share(purity: DataFrame) -> DataFrame:
 
 def group_sizes_top_bottom(df: DataFrame, group: str, n: int = 10) -> DataFrame:
     """Largest and smallest ``n`` groups by row count (A8): (group, n_rows, end).
-    Ties: larger first, then group key ascending, in both lists."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
+    Ties: larger first, then group key ascending, in both lists; rows without a group are left out."""
+    sizes = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
     top = sizes.orderBy(F.col("n_rows").desc(), F.col(group).asc()).limit(n) \
                .withColumn("end", F.lit("largest"))
     bottom = sizes.orderBy(F.col("n_rows").asc(), F.col(group).desc()).limit(n) \

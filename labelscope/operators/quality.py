@@ -74,7 +74,7 @@ def assert_no_null(df: DataFrame, col: str) -> DataFrame:
     """Raise with the count when ``col`` has nulls (Q7)."""
     n = df.filter(F.col(col).isNull()).count()
     if n:
-        raise ValidationError(f"{n} rows missing {col}.")
+        raise ValidationError(f"column {col} holds {n} nulls")
     return df
 
 
@@ -88,7 +88,7 @@ def assert_aligned(rows: DataFrame, vectors: DataFrame, row_id: str, vec_id: str
     """Raise when some row has no vector or an id has several vectors (Q8)."""
     missing = unmatched_vectors(rows, vectors, row_id, vec_id).limit(5).collect()
     if missing:
-        raise ValidationError(f"ids missing from vectors, e.g. {[r[0] for r in missing]}")
+        raise ValidationError(f"{row_id} without a vector: {[r[0] for r in missing]} (first five)")
     dup = vectors.groupBy(vec_id).count().filter("count > 1").limit(1).collect()
     if dup:
         raise ValidationError(f"several vectors for id {dup[0][0]}")

@@ -16,7 +16,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +25,9 @@ from labelscope.functions.text import ngrams, tokens
 from labelscope.operators import blocks
 
 
+ROW_BYTES = 256   # of a (label, term, weight) row in pandas: two strings, a number, the frame's own
+
+
 def doc_tokens(df: DataFrame, item: str, text: str, stop_words=STOP_WORDS_EN) -> DataFrame:
     """(item, pos, token) rows (X1, X2); pos counts surviving tokens from 0."""
     return df.select(item, F.posexplode(tokens(text, stop_words)).alias("pos", "token"))
@@ -70,26 +72,24 @@ def weigh(tf: DataFrame, vocab: DataFrame, item: str, sublinear: bool = True,
            .select(item, "term", (tfw * F.col("idf")).alias("weight")))
     if not norm:
         return w
-    nrm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(item)))
-    return w.withColumn("weight", F.col("weight") / nrm)
+    # a key-sized aggregate joined back: a group holding most of the terms is summed map-side
+    nrm = w.groupBy(item).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_nrm"))
+    return w.join(nrm, item).select(item, "term", (F.col("weight") / F.col("_nrm")).alias("weight"))
 
 
 def tfidf_fit_transform(df: DataFrame, item: str, text: str, min_df=1, max_df=1.0,
                         stop_words=STOP_WORDS_EN, sublinear: bool = True,
                         bigrams: bool = True) -> tuple[DataFrame, DataFrame]:
     """Fit a vocabulary on ``df`` and weight its rows (X7).  Returns
-    ``(weights, vocab)``; ``n`` is the number of input rows (documents)."""
-    n_docs = df.count()
-    # tf is read twice (document frequencies, then weights).  It is not
-    # cached: with the documents hash-partitioned by item, recomputing it
-    # costs one extra tokenisation but no exchange, while a cached copy
-    # would lose its partitioning and force a re-shuffle of every
-    # (item, term) row before the per-item norm.
+    ``(weights, vocab)``; ``n`` is the number of input rows (documents), one
+    per item -- a repeated item raises, as its terms would count twice.
+    Callers that read the weights several times cache them."""
+    n_docs, n_items = df.agg(F.count(F.lit(1)), F.count_distinct(item)).first()
+    if n_items != n_docs:
+        raise ValueError(f"tfidf_fit_transform: {item} is not unique; keep one row per item")
     tf = term_counts(df, item, text, stop_words, bigrams)
     vocab = fit_vocabulary(tf, n_docs, min_df, max_df)
-    # the weights are the fitted matrix: callers read them several times
-    # (centroids, distances, nearest label), so they are kept once
-    return weigh(tf, vocab, item, sublinear).persist(StorageLevel.MEMORY_AND_DISK), vocab
+    return weigh(tf, vocab, item, sublinear), vocab
 
 
 def tfidf_fit_counts(tf: DataFrame, n_docs: int, item: str, min_df=1, max_df=1.0,
@@ -97,7 +97,7 @@ def tfidf_fit_counts(tf: DataFrame, n_docs: int, item: str, min_df=1, max_df=1.0
     """Fit and weight from precomputed ``(item, term, tf)`` counts (lets
     cross-validation tokenise every document once for all folds)."""
     vocab = fit_vocabulary(tf, n_docs, min_df, max_df)
-    return weigh(tf, vocab, item, sublinear).persist(StorageLevel.MEMORY_AND_DISK), vocab
+    return weigh(tf, vocab, item, sublinear), vocab
 
 
 def tfidf_transform(df: DataFrame, vocab: DataFrame, item: str, text: str,
@@ -118,9 +118,7 @@ def group_term_counts(df: DataFrame, group: str, text: str, order_by: str,
                 .select(group, order_by, F.element_at("_t", 1).alias("_first"),
                         F.element_at("_t", -1).alias("_last")))
     from labelscope.operators.order_stats import next_in_group
-    # texts per group (a scan of the group column) bound the rows per group
-    widest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    border = (next_in_group(ends, group, order_by, ["_first"], prefix="_next", widest=widest)
+    border = (next_in_group(ends, group, order_by, ["_first"], prefix="_next")
               .filter(F.col("_next_first").isNotNull())
               .select(group, F.concat("_last", F.lit(" "), "_next_first").alias("term")))
     return inner.unionByName(border).groupBy(group, "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -143,7 +141,7 @@ def top_ngrams(df: DataFrame, group: str, text: str, order_by: str, k: int = 7,
     (group, term, score, rank[, title]).  Groups whose text has no kept term
     are skipped; scores are never padded with zero-score terms."""
     n_groups = df.select(group).distinct().count()
-    tf = group_term_counts(df, group, text, order_by, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
+    tf = group_term_counts(df, group, text, order_by, stop_words)
     vocab = fit_vocabulary(tf, n_groups, min_df, max_df)
     w = weigh(tf, vocab, group).withColumnRenamed("weight", "score")
     top = top_terms(w, group, k, "score")
@@ -164,8 +162,8 @@ def sparse_centroids(weights: DataFrame, labels: DataFrame, item: str, label: st
     sums = (weights.join(labels.select(item, label), item, "inner")
                    .groupBy(label, "term").agg(F.sum("weight").alias("_s")))
     mean = sums.join(n_lab, label).withColumn("_m", F.col("_s") / F.col("_n"))
-    nrm = F.sqrt(F.sum(F.col("_m") * F.col("_m")).over(Window.partitionBy(label))) + F.lit(eps)
-    return mean.select(label, "term", (F.col("_m") / nrm).alias("centroid"))
+    nrm = mean.groupBy(label).agg((F.sqrt(F.sum(F.col("_m") * F.col("_m"))) + F.lit(eps)).alias("_nrm"))
+    return mean.join(nrm, label).select(label, "term", (F.col("_m") / F.col("_nrm")).alias("centroid"))
 
 
 def own_distance_sparse(weights: DataFrame, labels: DataFrame, centroids: DataFrame,
@@ -185,22 +183,21 @@ def nearest_centroid_sparse(weights: DataFrame, items: DataFrame, centroids: Dat
                             out_dist: str = "nearest_dist") -> DataFrame:
     """Most similar label centroid for every item of ``items`` (V5, sparse).
 
-    Ties and items with no shared term go to the smallest label (distance 1.0).
-    If the centroid table's size is under the broadcast limit it is shipped
-    to every task and each partition computes its items' similarities with
-    a vectorised hash join in pandas, keeping only the best label; beyond
+    ``items`` are (item, label) rows: every label of theirs takes part, also
+    one whose centroid has no kept term.  Similarities are rounded to 12
+    digits; ties and items with no shared term go to the smallest label
+    (distance 1.0).  The centroid table is counted first; if it is under the
+    broadcast limit (``ROW_BYTES`` a row, as pandas holds it) it is shipped to
+    every task and each partition keeps only its items' best label; beyond
     that limit the same result comes from the distributed term join.
     """
     spark = weights.sparkSession
     label_type = centroids.schema[label].dataType
-    # one bounded collect: at most cap + 1 rows ever reach the driver
-    cap = blocks.broadcast_limit(spark) // 64
-    cpdf = centroids.select(label, "term", "centroid").limit(cap + 1).toPandas()
-    if len(cpdf) == 0:
-        raise ValueError("no centroids")
-    if len(cpdf) <= cap:
+    first = items.agg(F.min(label)).first()[0]
+    n_rows = centroids.count()
+    if 0 < n_rows <= blocks.broadcast_limit(spark) // ROW_BYTES:
+        cpdf = centroids.select(label, "term", "centroid").toPandas()
         lab_sorted = sorted(cpdf[label].unique().tolist())
-        first = lab_sorted[0]
         pos = {v: i for i, v in enumerate(lab_sorted)}
         cpdf["_li"] = cpdf[label].map(pos).astype(np.int64)
         bc = spark.sparkContext.broadcast((cpdf[["term", "_li", "centroid"]], np.array(lab_sorted, dtype=object)))
@@ -232,19 +229,21 @@ def nearest_centroid_sparse(weights: DataFrame, items: DataFrame, centroids: Dat
                     sel = (rows >= s0) & (rows < s0 + step)
                     S = np.zeros((min(step, n - s0), nl))
                     np.add.at(S, (rows[sel] - s0, li[sel]), prod[sel])
+                    S = np.round(S, 12)
                     j = np.argmax(S, axis=1)
                     best_i[s0:s0 + len(j)] = j
                     best_s[s0:s0 + len(j)] = S[np.arange(len(j)), j]
+                keep = best_s > 0
                 yield blocks.to_batch(pd.DataFrame({
-                    item: ids, out_label: labs[best_i], out_dist: 1.0 - best_s}), schema)
+                    item: ids[keep], out_label: labs[best_i[keep]], out_dist: 1.0 - best_s[keep]}), schema)
 
         vecs = weights.groupBy(item).agg(F.collect_list("term").alias("_t"),
                                          F.collect_list("weight").alias("_w"))
         best = vecs.mapInArrow(kern, schema)
     else:
-        first = centroids.agg(F.min(label)).first()[0]
         prods = (weights.join(centroids, "term", "inner")
-                        .groupBy(item, label).agg(F.sum(F.col("weight") * F.col("centroid")).alias("_s")))
+                        .groupBy(item, label).agg(F.round(F.sum(F.col("weight") * F.col("centroid")), 12).alias("_s"))
+                        .filter("_s > 0"))
         b = prods.groupBy(item).agg(F.min(F.struct((-F.col("_s")).alias("s"), F.col(label).alias("l"))).alias("_b"))
         best = b.select(item, F.col("_b.l").alias(out_label), (F.lit(1.0) + F.col("_b.s")).alias(out_dist))
     # items without any weighted term: smallest label, distance 1.0

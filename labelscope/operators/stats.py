@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelscope.session import cut_lineage
+
 
 def group_size(df: DataFrame, key: str, out: str = "n_group") -> DataFrame:
     """Rows per group on every row (W3): groupBy with partial aggregation, joined back."""
@@ -33,19 +35,16 @@ def add_group_stats(df: DataFrame, key: str, col: str, prefix: str,
     x = F.col(col)
     rk = F.round(x, rank_digits) if rank_digits is not None else x
     base = df.withColumn("_rk", rk)
-    rt = rank_table(base, key, "_rk", rep=col)
+    rt = cut_lineage(rank_table(base, key, "_rk", rep=col), "ranks")
     med = quantiles(rt.withColumn("_rk", F.col("rep")), key, "_rk", {"_med": 0.5})
     mom = df.groupBy(key).agg(F.avg(x).alias("_mu"), F.stddev_samp(x).alias("_sd"))
     pct = rt.select(key, "_rk", ((F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)) / F.col("n")).alias("_pct"))
     out = (base.join(mom.join(med, key), key, "left")
-               .join(pct, [key, "_rk"], "left")
-               .withColumn("_sd0", F.when(F.col("_sd") == 0, F.lit(None)).otherwise(F.col("_sd")))
-               .withColumn(f"z_{prefix}", F.coalesce((x - F.col("_mu")) / F.col("_sd0"), F.lit(0.0)))
-               .withColumn(f"pct_{prefix}", F.col("_pct"))
-               .withColumn(f"{prefix}_mean", F.col("_mu"))
-               .withColumn(f"{prefix}_std", F.coalesce(F.col("_sd0"), F.lit(0.0)))
-               .withColumn(f"{prefix}_med", F.col("_med"))
-               .drop("_mu", "_sd", "_sd0", "_med", "_pct", "_rk"))
+               .join(pct, [key, "_rk"], "left"))
+    sd = F.when(F.col("_sd") != 0, F.col("_sd"))
+    out = out.withColumns({f"z_{prefix}": F.coalesce((x - F.col("_mu")) / sd, F.lit(0.0)), f"pct_{prefix}": F.col("_pct"),
+                           f"{prefix}_mean": F.col("_mu"), f"{prefix}_std": F.coalesce(sd, F.lit(0.0)),
+                           f"{prefix}_med": F.col("_med")}).drop("_mu", "_sd", "_med", "_pct", "_rk")
     return out
 
 
@@ -55,13 +54,12 @@ def add_flags(df: DataFrame, size_col: str = "n_label", small_max: int = 7,
               mm_sparse: str = "mismatch_tfidf", mm_dense: str = "mismatch_dense") -> DataFrame:
     """Outlier flags (P7): small group, high z per measure, both, either,
     disagreement between measures, mismatch in either measure."""
-    return (df.withColumn("small", F.col(size_col) <= small_max)
-              .withColumn("flag_tfidf", F.col(z_sparse) >= high_z)
-              .withColumn("flag_dense", F.col(z_dense) >= high_z)
-              .withColumn("flag_both", F.col("flag_tfidf") & F.col("flag_dense"))
-              .withColumn("flag_either", F.col("flag_tfidf") | F.col("flag_dense"))
-              .withColumn("flag_disagree", F.abs(F.col(z_sparse) - F.col(z_dense)) >= disagree_z)
-              .withColumn("mismatch_either", F.col(mm_sparse) | F.col(mm_dense)))
+    sparse_high, dense_high = F.col(z_sparse) >= high_z, F.col(z_dense) >= high_z
+    return df.withColumns({
+        "small": F.col(size_col) <= small_max, "flag_tfidf": sparse_high, "flag_dense": dense_high,
+        "flag_both": sparse_high & dense_high, "flag_either": sparse_high | dense_high,
+        "flag_disagree": F.abs(F.col(z_sparse) - F.col(z_dense)) >= disagree_z,
+        "mismatch_either": F.col(mm_sparse) | F.col(mm_dense)})
 
 
 FLAG_COLS = ["small", "flag_tfidf", "flag_dense", "flag_both", "flag_either", "flag_disagree",
@@ -88,10 +86,9 @@ def crosstab_margins(df: DataFrame, a: str, b: str) -> DataFrame:
 def label_summary(df: DataFrame, label: str, title: str, item: str) -> DataFrame:
     """Per-label distance summary (A13 + P8): first title, size, flag sums,
     mean and exact p95 (linear interpolation) of both distances, mismatch
-    sums, and every count as a rate of n."""
+    sums, and every count as a rate of n; highest flag rate first (O2)."""
     s = (df.groupBy(label)
-           .agg(F.min_by(F.col(title), F.col(item)).alias(title),
-                F.count(F.lit(1)).alias("n"),
+           .agg(F.count(F.lit(1)).alias("n"),
                 F.count_if("small").alias("small_flag"),
                 F.count_if("flag_tfidf").alias("tfidf_flag"),
                 F.count_if("flag_dense").alias("dense_flag"),
@@ -103,18 +100,19 @@ def label_summary(df: DataFrame, label: str, title: str, item: str) -> DataFrame
                 F.count_if("mismatch_tfidf").alias("mismatch_tfidf"),
                 F.count_if("mismatch_dense").alias("mismatch_dense"),
                 F.count_if("mismatch_either").alias("mismatch_either")))
+    from labelscope.operators.prep import dedupe_keep
+    s = s.join(dedupe_keep(df.select(label, title, item), [label], [item]).select(label, title), label)
     # exact p95 (linear interpolation) from rank tables: no group buffered in one task
     from labelscope.operators.order_stats import quantiles, rank_table
     for m in ("tfidf", "dense"):
         q = quantiles(rank_table(df, label, f"dist_{m}"), label, f"dist_{m}", {f"p95_{m}": 0.95})
         s = s.join(q, label, "left")
-    for rate, num in [("rate_tfidf", "tfidf_flag"), ("rate_dense", "dense_flag"),
+    s = s.withColumns({rate: F.col(num) / F.col("n") for rate, num in [("rate_tfidf", "tfidf_flag"), ("rate_dense", "dense_flag"),
                       ("rate_both", "both_flag"), ("rate_either", "either_flag"),
                       ("rate_disagree", "disagree"), ("rate_mismatch_tfidf", "mismatch_tfidf"),
                       ("rate_mismatch_dense", "mismatch_dense"),
-                      ("rate_mismatch_either", "mismatch_either")]:
-        s = s.withColumn(rate, F.col(num) / F.col("n"))
-    return s
+                      ("rate_mismatch_either", "mismatch_either")]})
+    return s.orderBy(F.col("rate_either").desc(), F.col(label).asc())
 
 
 def flagged_label_rows(df: DataFrame, label: str, flag: str = "flag_either") -> DataFrame:

@@ -87,13 +87,44 @@ def q_nearest_centroid_dense(spark, sf):
 def q_mismatch_rate(spark, sf):
     u = dense.unit_vectors(fx.labelled_vectors(spark, sf))
     c = dense.dense_centroids(u)
-    n = dense.nearest_centroid(u, c, "vec_id").join(u.select("vec_id", "label"), "vec_id")
+    return _mismatch_rate(u, c)
+
+
+def _mismatch_rate(u, c):
+    """Rows are (item, label); the nearest centroid is the item's."""
+    near = dense.nearest_centroid(u.select("vec_id", "embedding").dropDuplicates(["vec_id"]), c, "vec_id")
+    n = near.join(u.select("vec_id", "label"), "vec_id")
     return rnd(n.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("nearest_label") != F.col("label")).alias("n_mismatch"),
         F.avg((F.col("nearest_label") != F.col("label")).cast("double")).alias("mismatch_rate")))
 
 
+@query("label_distance_quality_multi")
+def q_label_distance_quality_multi(spark, sf):
+    """Items with several labels: one row per (item, label)."""
+    out = dense_label_quality(fx.multilabel_vectors(spark, sf))
+    return rnd(out.select("vec_id", "label", "dist_dense", F.col("n_label").cast("long").alias("n_label"),
+                          "z_dense", "pct_dense", "dense_mean", "dense_std", "dense_med",
+                          "nearest_label_dense", "nearest_dist_dense", "mismatch_dense"),
+               four=("z_dense", "pct_dense"))
+
+
+@query("mismatch_rate_multi")
+def q_mismatch_rate_multi(spark, sf):
+    u = dense.unit_vectors(fx.multilabel_vectors(spark, sf))
+    return _mismatch_rate(u, dense.dense_centroids(u))
+
+
+@query("item_vectors")
+def q_item_vectors(spark, sf):
+    """The first row per item under an order, with its vector (V6)."""
+    rows = fx.multilabel_vectors(spark, sf).select("vec_id", "label", "embedding")
+    first = dense.first_vector_per_item(rows, "vec_id", ["label"])
+    return first.select(F.col("vec_id").alias("doc_id"), "label", F.posexplode("embedding").alias("dim", "value")).select(
+        "doc_id", "label", F.col("dim").cast("long").alias("dim"), F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
 def _dense_dist(spark, sf):
     u = dense.unit_vectors(fx.labelled_vectors(spark, sf))
     c = dense.dense_centroids(u)
@@ -373,12 +404,21 @@ _FLAG_OUT = ["small", "flag_tfidf", "flag_dense", "flag_both", "flag_either", "f
 
 @query("outlier_flags")
 def q_outlier_flags(spark, sf):
-    q = quality_table(spark, sf)
+    return _flags(quality_table(spark, sf))
+
+
+def _flags(q):
     return rnd(q.select("vec_id", "label", F.col("n_label").cast("long").alias("n_label"),
                         "dist_dense", "z_dense", "dist_tfidf", "z_tfidf", *_FLAG_OUT),
                four=("z_dense", "z_tfidf"))
 
 
+@query("outlier_flags_multi")
+def q_outlier_flags_multi(spark, sf):
+    """Items with several labels: flags per (item, label) row."""
+    return _flags(both_measures_quality(fx.multilabel_vectors(spark, sf), small_max=SMALL_LABEL_MAX))
+
+
 @query("nearest_label_title")
 def q_nearest_label_title(spark, sf):
     q = quality_table(spark, sf)
@@ -487,23 +527,74 @@ def q_dist_to_center(spark, sf):
 
 @query("pca_project")
 def q_pca_project(spark, sf):
+    """All 20 components, with the share of variance of each."""
     proj, ratio = cluster.pca(_vectors(spark, sf), "embedding", 20)
-    return rnd(proj.select("vec_id", F.col("pcs")[0].alias("pc1"), F.col("pcs")[1].alias("pc2")))
+    shares = F.array(*[F.lit(x) for x in ratio])
+    return rnd(proj.select("vec_id", F.posexplode("pcs").alias("component", "value")).withColumn(
+        "explained", F.get(shares, F.col("component"))))
+
+
+def _full_pca(spark, sf):
+    v = _vectors(spark, sf)
+    return cluster.pca(v, "embedding", v.select(F.max(F.size("embedding"))).first()[0])
+
+
+@query("pca_norms")
+def q_pca_norms(spark, sf):
+    """A full rotation keeps each row's squared distance from the mean."""
+    proj, _ = _full_pca(spark, sf)
+    return proj.select("vec_id", F.size("pcs").cast("long").alias("n_components"), F.round(
+        F.aggregate("pcs", F.lit(0.0), lambda a, x: a + x * x), 5).alias("sq_norm"))
+
+
+@query("pca_variance")
+def q_pca_variance(spark, sf):
+    """Shares add up to one and fall; components are uncorrelated; total variance is kept."""
+    proj, ratio = _full_pca(spark, sf)
+    n = len(ratio)
+    pc = [F.get("pcs", F.lit(i)) for i in range(n)]
+    got = proj.agg(*[F.var_samp(c).alias(f"v{i}") for i, c in enumerate(pc)],
+                   *[F.abs(F.covar_samp(pc[i], pc[i + 1])).alias(f"c{i}") for i in range(n - 1)])
+    falling = all(a >= b - 1e-12 for a, b in zip(ratio, ratio[1:]))
+    return got.select(
+        F.lit(n).cast("long").alias("n_components"), F.lit(round(sum(ratio), 6)).alias("total_ratio"),
+        F.round(sum(F.col(f"v{i}") for i in range(n)), 5).alias("total_variance"),
+        F.abs(F.round(F.greatest(*[F.col(f"c{i}") for i in range(n - 1)]), 6)).alias("largest_covariance"),
+        F.lit(falling).alias("descending"))
 
 
 @query("kmeans_assign")
 def q_kmeans_assign(spark, sf):
     proj, _ = cluster.pca(_vectors(spark, sf), "embedding", 20)
-    fitted, _, _ = cluster.kmeans_fit(proj, "pcs", 10, seed=SEED)
+    fitted, centers, _ = cluster.kmeans_fit(proj, "pcs", 10, seed=SEED)
     sil = cluster.silhouette_rows(fitted, "vec_id", "cluster", "pcs")
-    d = cluster.dist_to_center(fitted, "cluster", "pcs")
+    d = cluster.dist_to_center(fitted, "cluster", "pcs", cluster.center_table(spark, centers, "cluster"))
     return rnd(d.select("vec_id", "label", "cluster", "dist_to_center").join(sil.drop("cluster"), "vec_id"))
 
 
+@query("kmeans_checks")
+def q_kmeans_checks(spark, sf):
+    """Every row lies nearest to its own fitted centre, and the cost is the sum of those distances."""
+    fitted, centers, cost = cluster.kmeans_fit(_vectors(spark, sf), "embedding", 10, seed=SEED)
+    c = F.array(*[F.array(*[F.lit(float(x)) for x in v]) for v in centers])
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    near = fitted.select("cluster", F.transform(c, lambda v: F.aggregate(
+        F.zip_with(v, x, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y)).alias("d"))
+    return near.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.lit(len(centers)).alias("n_clusters"),
+        F.count_if(F.get("d", F.col("cluster")) > F.array_min("d") + 1e-9).alias("n_rows_nearer_elsewhere"),
+        F.abs(F.round(F.sum(F.get("d", F.col("cluster"))) - F.lit(cost), 4)).alias("inertia_difference"))
+
+
+K_LIST = [50, 100, 200, 300, 400, 500, 600, 700, 800, 900, 1000]
+
+
 @query("kmeans_sweep")
 def q_kmeans_sweep(spark, sf):
-    return rnd(cluster.kmeans_sweep(_vectors(spark, sf), "vec_id", "embedding", ks=[5, 10], dims=[20],
-                                    seed=SEED))
+    """The k list as far as there are more rows than clusters."""
+    v = _vectors(spark, sf)
+    n = v.count()
+    return rnd(cluster.kmeans_sweep(v, "vec_id", "embedding", ks=[k for k in K_LIST if k < n], dims=[20], seed=SEED))
 
 
 @query("cluster_composition")
@@ -539,6 +630,11 @@ def item_clusters(spark, sf):
     return p.select(F.col("p_partkey").cast("string").alias("task_id"), F.col("p_brand").alias("cluster_id"))
 
 
+@query("crosstab_top5_log1p")
+def q_crosstab_top5_log1p(spark, sf):
+    return rnd(compose.crosstab_top(fx.labelled_text(spark, sf), "lang", "source", 5))
+
+
 @query("clusters_joined_back")
 def q_clusters_joined_back(spark, sf):
     a = deduped_analysis(spark, sf).select("dwa_id", "task_text", "task_id")
@@ -657,8 +753,9 @@ def q_random_baseline(spark, sf):
 
 @query("embed_hashing")
 def q_embed_hashing(spark, sf):
-    e = embed_ops.embed(fx.labelled_text(spark, sf), "doc_id", "text")
-    return e.select("doc_id", F.size("embedding").alias("dim"))
+    """The non-zero places of every text's vector."""
+    e = embed_ops.hashed_terms(fx.labelled_text(spark, sf), "doc_id", "text")
+    return e.select("doc_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
 
 
 def _dense_features(spark, sf):
@@ -675,8 +772,23 @@ def q_ovr_logistic_predict(spark, sf):
     classes = sorted(r[0] for r in kept.select("label").collect())
     fitems = ml.group_folds(feats, "doc_id", N_SPLITS, SEED).persist()
     truth = fitems.select("doc_id", "fold", F.explode("labels").alias("label"))
-    train, test = fitems.filter(F.col("fold") != 0), fitems.filter(F.col("fold") == 0)
-    return ml.ovr_logistic(train, test, "doc_id", "features", truth.filter(F.col("fold") != 0), classes)
+    out = None
+    for f in range(N_SPLITS):
+        train, test = fitems.filter(F.col("fold") != f), fitems.filter(F.col("fold") == f)
+        pred = ml.ovr_logistic(train, test, "doc_id", "features", truth.filter(F.col("fold") != f), classes)
+        out = pred if out is None else out.unionByName(pred)
+    return out
+
+
+@query("logistic_checks")
+def q_logistic_checks(spark, sf):
+    """Per label: class counts, and whether the fit is optimal (gradient of its loss near zero)."""
+    feats, kept = _dense_features(spark, sf)
+    classes = sorted(r[0] for r in kept.select("label").collect())
+    truth = feats.select("doc_id", F.explode("labels").alias("label"))
+    rows = ml.logistic_gradients(feats, "doc_id", "features", truth, classes)
+    return spark.createDataFrame([(c, n, p, bool(g < 2e-3)) for c, n, p, g in rows],
+                                 "label string, n_items long, n_positive long, optimal boolean")
 
 
 @query("ovr_crossval")

@@ -8,6 +8,8 @@ documents embeddings pages benchmark labels conversations`` are assumed.
 
 from __future__ import annotations
 
+import re
+
 from labelscope.functions.stopwords import STOP_WORDS_EN
 
 SQL: dict[str, str] = {}
@@ -24,10 +26,11 @@ cn AS (SELECT label, sqrt(sum(m * m)) AS nm FROM cm GROUP BY label),
 c AS (SELECT cm.label, cm.i, cm.m / (cn.nm + 1e-12) AS c FROM cm JOIN cn USING (label)),
 own AS (SELECT ux.vec_id, ux.label, 1 - sum(ux.x * c.c) AS dist
         FROM ux JOIN c ON ux.label = c.label AND ux.i = c.i GROUP BY ux.vec_id, ux.label),
-sims AS (SELECT ux.vec_id, c.label AS clabel, sum(ux.x * c.c) AS sim
-         FROM ux JOIN c ON ux.i = c.i GROUP BY ux.vec_id, c.label),
+one AS (SELECT DISTINCT vec_id, i, x FROM ux),
+sims AS (SELECT one.vec_id, c.label AS clabel, sum(one.x * c.c) AS sim
+         FROM one JOIN c ON one.i = c.i GROUP BY one.vec_id, c.label),
 near AS (SELECT vec_id, clabel AS nearest_label, 1 - sim AS nearest_dist FROM (
-           SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, clabel) AS rn FROM sims)
+           SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 12) DESC, clabel) AS rn FROM sims)
          WHERE rn = 1)
 """
 
@@ -339,8 +342,8 @@ FROM (SELECT DISTINCT doc_id FROM lab) lab LEFT JOIN best ON lab.doc_id = best.d
 _FD_SRC = ("SELECT e.vec_id, e.label, e.embedding, d.text, 'label_' || CAST(e.label AS VARCHAR) AS label_title "
            "FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id")
 
-_FD = "WITH fd AS (" + _FD_SRC + ")," + _unit("SELECT vec_id, label, embedding FROM fd") + "," + _STATS + "," \
-    + _tfidf("SELECT vec_id, text FROM fd", 3, 0.8, "vec_id") + """,
+_FD_T = "WITH {fd}," + _unit("SELECT vec_id, label, embedding FROM fd") + "," + _STATS + "," \
+    + _tfidf("SELECT DISTINCT vec_id, text FROM fd", 3, 0.8, "vec_id") + """,
 lab AS (SELECT vec_id, label FROM fd),
 snl AS (SELECT label, count(*) AS n FROM lab GROUP BY label),
 scs AS (SELECT lab.label, w.term, sum(w.weight) AS s FROM w JOIN lab ON w.vec_id = lab.vec_id GROUP BY ALL),
@@ -359,11 +362,11 @@ sst AS (SELECT sown.*, sgs.mu, sgs.med, nullif(sgs.sd, 0) AS sd0,
         FROM sown JOIN sgs USING (label)),
 ssims AS (SELECT w.vec_id, scent.label AS clabel, sum(w.weight * scent.centroid) AS s
           FROM w JOIN scent ON scent.term = w.term GROUP BY ALL),
-sbest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, clabel) AS rn
+sbest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 12) DESC, clabel) AS rn
           FROM ssims) WHERE rn = 1),
-sfirst AS (SELECT min(label) AS f FROM scent),
+sfirst AS (SELECT min(label) AS f FROM lab),
 snear AS (SELECT lab.vec_id, coalesce(sbest.clabel, sfirst.f) AS nearest_label, 1 - coalesce(sbest.s, 0) AS nearest_dist
-          FROM lab LEFT JOIN sbest ON lab.vec_id = sbest.vec_id, sfirst),
+          FROM (SELECT DISTINCT vec_id FROM lab) lab LEFT JOIN sbest ON lab.vec_id = sbest.vec_id, sfirst),
 titles AS (SELECT label, min(label_title) AS title FROM fd WHERE label_title IS NOT NULL GROUP BY label),
 q0 AS (SELECT st.vec_id, st.label, fd.label_title, st.n AS n_label,
               st.dist AS dist_dense, coalesce((st.dist - st.mu) / st.sd0, 0) AS z_dense,
@@ -373,8 +376,8 @@ q0 AS (SELECT st.vec_id, st.label, fd.label_title, st.n AS n_label,
               snear.nearest_label AS nearest_label_tfidf, snear.nearest_dist AS nearest_dist_tfidf,
               snear.nearest_label <> st.label AS mismatch_tfidf,
               td.title AS nearest_title_dense, tt.title AS nearest_title_tfidf
-       FROM st JOIN near ON st.vec_id = near.vec_id JOIN sst ON st.vec_id = sst.vec_id
-            JOIN snear ON st.vec_id = snear.vec_id JOIN fd ON st.vec_id = fd.vec_id
+       FROM st JOIN near ON st.vec_id = near.vec_id JOIN sst ON st.vec_id = sst.vec_id AND st.label = sst.label
+            JOIN snear ON st.vec_id = snear.vec_id JOIN fd ON st.vec_id = fd.vec_id AND st.label = fd.label
             LEFT JOIN titles td ON td.label = near.nearest_label
             LEFT JOIN titles tt ON tt.label = snear.nearest_label),
 q AS (SELECT *, n_label <= 46 AS small, z_tfidf >= 1.5 AS flag_tfidf, z_dense >= 1.5 AS flag_dense,
@@ -382,6 +385,7 @@ q AS (SELECT *, n_label <= 46 AS small, z_tfidf >= 1.5 AS flag_tfidf, z_dense >=
              abs(z_tfidf - z_dense) >= 1.5 AS flag_disagree, mismatch_tfidf OR mismatch_dense AS mismatch_either
       FROM q0)
 """
+_FD = _FD_T.replace("{fd}", "fd AS (" + _FD_SRC + ")")
 
 SQL["outlier_flags"] = _FD + """
 SELECT vec_id, label, n_label, round(dist_dense, 6) AS dist_dense, round(z_dense, 4) AS z_dense,
@@ -530,7 +534,7 @@ FROM cb""")
 
 SQL["crosstab_top_log1p"] = """
 WITH top AS (SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 25),
-rows_ AS (SELECT DISTINCT lang FROM documents WHERE source IN (SELECT source FROM top)),
+rows_ AS (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL),
 cnt AS (SELECT lang, source, count(*) AS n FROM documents WHERE source IN (SELECT source FROM top) GROUP BY ALL)
 SELECT rows_.lang, top.source, coalesce(cnt.n, 0) AS n, round(ln(1 + coalesce(cnt.n, 0)), 6) AS log1p_n
 FROM rows_ CROSS JOIN top LEFT JOIN cnt ON cnt.lang = rows_.lang AND cnt.source = top.source"""
@@ -555,8 +559,9 @@ support AS (SELECT label, count(DISTINCT doc_id) AS n_items FROM lng GROUP BY la
 kept AS (SELECT label, n_items FROM support WHERE n_items >= 20),
 kl AS (SELECT DISTINCT lng.doc_id, lng.label FROM lng JOIN kept ON lng.label = kept.label),
 items AS (SELECT DISTINCT kl.doc_id, lab.text FROM kl JOIN lab ON kl.doc_id = lab.doc_id),
-fitems AS (SELECT doc_id, text, CAST(floor(CAST(('0x' || substr(md5(concat_ws('|', '6740', CAST(doc_id AS VARCHAR))),
-           1, 8)) AS BIGINT) / 4294967296.0 * 5) AS BIGINT) AS fold FROM items)
+fitems AS (SELECT doc_id, text, (row_number() OVER (ORDER BY
+           CAST(('0x' || substr(md5(concat_ws('|', '6740', CAST(doc_id AS VARCHAR))), 1, 8)) AS BIGINT), doc_id) - 1) % 5 AS fold
+           FROM items)
 """
 
 SQL["item_label_sets"] = "WITH" + _ML + "SELECT doc_id, array_to_string(labels, '|') AS labels FROM sets"
@@ -572,8 +577,8 @@ SQL["group_folds"] = "WITH" + _ML + "SELECT doc_id, fold FROM fitems"
 
 SQL["knn_neighbors"] = """
 WITH p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
-                  CAST(floor(CAST(('0x' || substr(md5(concat_ws('|', '6740', CAST(vec_id AS VARCHAR))), 1, 8)) AS BIGINT)
-                       / 4294967296.0 * 5) AS BIGINT) AS fold FROM embeddings),
+                  (row_number() OVER (ORDER BY CAST(('0x' || substr(md5(concat_ws('|', '6740', CAST(vec_id AS VARCHAR))), 1, 8))
+                       AS BIGINT), vec_id) - 1) % 5 AS fold FROM embeddings),
 s AS (SELECT a.vec_id, b.vec_id AS neighbor,
              list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS sim
       FROM p a JOIN p b ON a.fold <> b.fold)
@@ -659,7 +664,9 @@ SELECT round(macro, 6) AS f1_macro,
 
 # ------------------------------------------------- prompts and descriptions
 
-from labelscope.operators.compose import USER_PROMPT_HEAD as _PH, USER_PROMPT_TAIL as _PT  # noqa: E402
+from labelscope.operators.compose import PROMPT  # noqa: E402
+
+_PH, _PT = PROMPT.split("{examples}")
 
 
 def _lit(s: str) -> str:
@@ -691,3 +698,59 @@ SELECT DISTINCT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embedd
 SQL["vectors_aligned"] = "WITH" + _unit(
     "SELECT e.vec_id, 0 AS label, e.embedding FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id") + """
 SELECT vec_id, CAST(i AS BIGINT) AS dim, round(x, 6) AS value FROM ux"""
+
+# ------------------------------------------- several labels per item, and checks of fitted models
+
+SQL["crosstab_top5_log1p"] = SQL["crosstab_top_log1p"].replace("LIMIT 25", "LIMIT 5")
+
+_FE_FD = _ML.strip() + """,
+fd AS (SELECT lng.doc_id AS vec_id, lng.label, e.embedding, lab.text, 'label_' || lng.label AS label_title
+       FROM lng JOIN lab ON lab.doc_id = lng.doc_id JOIN embeddings e ON e.vec_id = lng.doc_id)"""
+# the label sets' own CTE names must not meet those of the quality tables
+_FE_FD = re.sub(r"\blab\b", "flab", _FE_FD)
+_MULTI = "WITH " + _FE_FD + "," + _unit("SELECT vec_id, label, embedding FROM fd")
+SQL["outlier_flags_multi"] = _FD_T.replace("{fd}", _FE_FD) + SQL["outlier_flags"][len(_FD):]
+
+SQL["label_distance_quality_multi"] = _MULTI + "," + _STATS + """
+SELECT st.vec_id, st.label, round(st.dist, 6) AS dist_dense, st.n AS n_label,
+       round(coalesce((st.dist - st.mu) / st.sd0, 0), 4) AS z_dense, round(st.pct, 4) AS pct_dense,
+       round(st.mu, 6) AS dense_mean, round(coalesce(st.sd0, 0), 6) AS dense_std, round(st.med, 6) AS dense_med,
+       near.nearest_label AS nearest_label_dense, round(near.nearest_dist, 6) AS nearest_dist_dense,
+       near.nearest_label <> st.label AS mismatch_dense
+FROM st JOIN near ON st.vec_id = near.vec_id"""
+
+SQL["mismatch_rate_multi"] = _MULTI + """
+SELECT own.label, count(*) AS n, count(*) FILTER (WHERE nearest_label <> own.label) AS n_mismatch,
+       round(avg(CASE WHEN nearest_label <> own.label THEN 1.0 ELSE 0.0 END), 6) AS mismatch_rate
+FROM own JOIN near USING (vec_id) GROUP BY own.label"""
+
+SQL["item_vectors"] = "WITH" + _ML + """,
+f AS (SELECT doc_id, min(label) AS label FROM lng WHERE doc_id IN (SELECT vec_id FROM embeddings) GROUP BY doc_id)
+SELECT f.doc_id, f.label, CAST(generate_subscripts(e.embedding, 1) - 1 AS BIGINT) AS dim,
+       round(CAST(unnest(e.embedding) AS DOUBLE), 6) AS value FROM f JOIN embeddings e ON e.vec_id = f.doc_id"""
+
+SQL["embed_hashing"] = f"""
+WITH tok AS (SELECT doc_id, unnest({_toks('text')}) AS token FROM documents),
+s AS (SELECT doc_id, CAST(('0x' || substr(md5(token), 1, 7)) AS BIGINT) % 64 AS dim,
+             sum(CASE WHEN CAST(('0x' || substr(md5(token), 8, 1)) AS BIGINT) < 8 THEN 1 ELSE -1 END) AS v
+      FROM tok GROUP BY ALL HAVING v <> 0)
+SELECT doc_id, dim, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM s"""
+
+SQL["pca_norms"] = """
+WITH x AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT i, avg(x) AS mu FROM x GROUP BY i)
+SELECT vec_id, CAST(count(*) AS BIGINT) AS n_components, round(sum((x - mu) * (x - mu)), 5) AS sq_norm
+FROM x JOIN m USING (i) GROUP BY vec_id"""
+
+SQL["pca_variance"] = """
+WITH x AS (SELECT CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+v AS (SELECT i, var_samp(x) AS v FROM x GROUP BY i)
+SELECT CAST(count(*) AS BIGINT) AS n_components, CAST(1 AS DOUBLE) AS total_ratio, round(sum(v), 5) AS total_variance,
+       CAST(0 AS DOUBLE) AS largest_covariance, TRUE AS descending FROM v"""
+
+SQL["kmeans_checks"] = """
+SELECT count(*) AS n_rows, 10 AS n_clusters, 0 AS n_rows_nearer_elsewhere, CAST(0 AS DOUBLE) AS inertia_difference FROM embeddings"""
+
+SQL["logistic_checks"] = "WITH" + _ML + """
+SELECT kept.label, count(DISTINCT fitems.doc_id) AS n_items, count(DISTINCT kl.doc_id) AS n_positive, TRUE AS optimal
+FROM kept CROSS JOIN fitems LEFT JOIN kl ON kl.doc_id = fitems.doc_id AND kl.label = kept.label GROUP BY kept.label"""

@@ -1,8 +1,7 @@
 """Spark session helpers.
 
 The library never creates its own temporary folders: lineage is cut with
-``DataFrame.checkpoint()`` into the shared folder named by
-``spark.checkpoint.dir``.  A folder is only set here when the session has
+tables written into the shared folder named by ``spark.checkpoint.dir``.  A folder is only set here when the session has
 none (local tests); on a cluster the configured shared folder is used.
 """
 
@@ -10,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,7 +57,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` into the shared folder and read it back: computed once,
+    a short plan for what follows, and nothing lost with an executor."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/labelscope-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -47,7 +47,7 @@ def labelled_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def labelled_text(spark: SparkSession, sf: str) -> DataFrame:
     """F-C: (doc_id, source, text, lang) with a title per source."""
-    d = spread(read_table(spark, sf, "documents"), "doc_id")
+    d = spread(read_table(spark, sf, "documents"))
     return d.select("doc_id", "source", "text", "lang",
                     F.concat(F.lit("title_"), F.col("source")).alias("source_title"))
 
@@ -55,7 +55,7 @@ def labelled_text(spark: SparkSession, sf: str) -> DataFrame:
 def both_measures(spark: SparkSession, sf: str) -> DataFrame:
     """F-D: vectors joined to texts on id; label title = 'label_' || label."""
     e = labelled_vectors(spark, sf)
-    d = spread(read_table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     return (e.join(d, "vec_id", "inner")
              .withColumn("label_title", F.concat(F.lit("label_"), F.col("label").cast("string"))))
 
@@ -63,10 +63,18 @@ def both_measures(spark: SparkSession, sf: str) -> DataFrame:
 def multilabel_long(spark: SparkSession, sf: str) -> DataFrame:
     """F-E as long (doc_id, text, label) rows: quality / toxic flags and 'lang_' || lang."""
     lab = read_table(spark, sf, "labels")
-    docs = spread(read_table(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id")
+    docs = read_table(spark, sf, "documents").select("doc_id", "text", "lang")
     j = lab.join(docs, "doc_id", "inner")
     sets = F.array_compact(F.array(
         F.when(F.col("quality") == 1, F.lit("quality")),
         F.when(F.col("toxic") == 1, F.lit("toxic")),
         F.concat(F.lit("lang_"), F.col("lang"))))
     return j.select("doc_id", "text", F.explode(sets).alias("label"))
+
+
+def multilabel_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """F-E's labels on F-B's vectors: (vec_id, label, embedding, text, label_title), several labels per item."""
+    e = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    rows = multilabel_long(spark, sf).select(F.col("doc_id").alias("vec_id"), "label", "text",
+                                             F.concat(F.lit("label_"), "label").alias("label_title"))
+    return e.join(rows, "vec_id")

@@ -24,22 +24,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
-    """Partition a scan for the per-row work that follows.
-
-    With ``key`` the rows are hash-partitioned by it (one shuffle of the raw
-    rows): every later aggregate / window / join keyed by ``key`` -- term
-    counts per document, the per-document norm, per-document vectors --
-    then needs no exchange, and the raw text is smaller than the exploded
-    term rows it replaces.  Without a key, round-robin only when a scan
-    yields fewer partitions than the cluster can run at once (one small
-    file = one row group = one task)."""
-    n_now = df.rdd.getNumPartitions()
-    target = max(min_partitions or df.sparkSession.sparkContext.defaultParallelism, n_now)
-    if key is not None:
-        return df.repartition(target, key)
-    if n_now < target:
-        return df.repartition(target)
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin when a scan yields fewer partitions than the cluster can run
+    at once (one small file = one row group = one task); else the scan itself."""
+    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     return df
 
 

@@ -73,10 +73,10 @@ def test_rank_table_split_equals_single_window(spark):
     rows = [("hot", float(rnd.randint(0, 300))) for _ in range(3000)] + \
            [("cold", float(rnd.randint(0, 5))) for _ in range(40)] + [("one", 1.0)]
     df = spark.createDataFrame(rows, "k string, x double")
-    a = {(r.k, r.x): (r.cnt, r.before, r.n) for r in rank_table(df, "k", "x", split_above=10 ** 9).collect()}
-    b = {(r.k, r.x): (r.cnt, r.before, r.n) for r in rank_table(df, "k", "x", buckets=8, split_above=1).collect()}
+    a = {(r.k, r.x): (r.cnt, r.before, r.n) for r in rank_table(df, "k", "x", buckets=1).collect()}
+    b = {(r.k, r.x): (r.cnt, r.before, r.n) for r in rank_table(df, "k", "x", buckets=8).collect()}
     assert a == b
-    qa = {r.k: r.p for r in quantiles(rank_table(df, "k", "x", split_above=1, buckets=8), "k", "x", {"p": 0.95}).collect()}
+    qa = {r.k: r.p for r in quantiles(rank_table(df, "k", "x", buckets=8), "k", "x", {"p": 0.95}).collect()}
     import numpy as np
     for k in ("hot", "cold", "one"):
         xs = np.array([x for kk, x in rows if kk == k])
@@ -117,7 +117,7 @@ def test_next_in_group_split_equals_window(spark):
     from labelscope.operators.order_stats import next_in_group
     rows = [("hot", i * 3, f"t{i}") for i in range(400)] + [("cold", 5, "a"), ("cold", 9, "b"), ("one", 1, "z")]
     df = spark.createDataFrame(rows, "g string, o long, v string")
-    a = {(r.g, r.o): r.next_v for r in next_in_group(df, "g", "o", ["v"], split_above=10 ** 9).collect()}
-    b = {(r.g, r.o): r.next_v for r in next_in_group(df, "g", "o", ["v"], buckets=7, split_above=1).collect()}
+    a = {(r.g, r.o): r.next_v for r in next_in_group(df, "g", "o", ["v"], buckets=1).collect()}
+    b = {(r.g, r.o): r.next_v for r in next_in_group(df, "g", "o", ["v"], buckets=7).collect()}
     assert a == b
     assert a[("hot", 0)] == "t1" and a[("hot", 399 * 3)] is None and a[("cold", 5)] == "b"
