@@ -79,24 +79,24 @@ def build_analysis(bridge: DataFrame, occ: DataFrame, labels: DataFrame, items:
                    bridge_order: list[str]) -> DataFrame:
     """Item-label bridge enriched with occupation, label title and item text;
     one row per (item, label) -- the first in bridge order; text normalised
-    and word-counted.  Columns: soc_code, occ_title, task_id, task_text,
-    task_len, dwa_id, dwa_title (+ the bridge ordering columns)."""
+    and word-counted.  Columns: occ_id, occ_title, item_id, item_text,
+    item_len, label_id, label_title (+ the bridge ordering columns)."""
     # dimensions are de-duplicated first (first row per key; ties by the other
     # columns), so the many-to-one joins cannot fan out
-    occ_d = dedupe_keep(occ.select("soc_code", "occ_title", "occ_description"),
-                        ["soc_code"], ["occ_title", "occ_description"])
-    lab_d = dedupe_keep(labels.select("dwa_id", "dwa_title"), ["dwa_id"], ["dwa_title"])
-    itm_d = dedupe_keep(items.select("task_id", "task_text"), ["task_id"], ["task_text"])
+    occ_d = dedupe_keep(occ.select("occ_id", "occ_title", "occ_description"),
+                        ["occ_id"], ["occ_title", "occ_description"])
+    lab_d = dedupe_keep(labels.select("label_id", "label_title"), ["label_id"], ["label_title"])
+    itm_d = dedupe_keep(items.select("item_id", "item_text"), ["item_id"], ["item_text"])
     # the joins are many-to-one and the dimensions unique: reduce the bridge before
     # it gets its texts, and normalise each item's text once
-    firsts = dedupe_keep(bridge, ["task_id", "dwa_id"], bridge_order)
-    itm_d = normalize_and_count(itm_d, "task_text", "task_len")
-    out = enrich(firsts, [(occ_d, "soc_code"), (lab_d, "dwa_id"), (itm_d, "task_id")], validate=False)
-    return out.select("soc_code", "occ_title", "task_id", "task_text", "task_len",
-                      "dwa_id", "dwa_title", *bridge_order)
+    firsts = dedupe_keep(bridge, ["item_id", "label_id"], bridge_order)
+    itm_d = normalize_and_count(itm_d, "item_text", "item_len")
+    out = enrich(firsts, [(occ_d, "occ_id"), (lab_d, "label_id"), (itm_d, "item_id")], validate=False)
+    return out.select("occ_id", "occ_title", "item_id", "item_text", "item_len",
+                      "label_id", "label_title", *bridge_order)
 
 
-def dedupe_label_text(df: DataFrame, label: str = "dwa_id", text: str = "task_text",
-                      item: str = "task_id") -> DataFrame:
+def dedupe_label_text(df: DataFrame, label: str = "label_id", text: str = "item_text",
+                      item: str = "item_id") -> DataFrame:
     """One text per label: keep the smallest item id (string order) per (label, text)."""
     return dedupe_keep(df, [label, text], [item])

@@ -94,7 +94,7 @@ def assert_aligned(rows: DataFrame, vectors: DataFrame, row_id: str, vec_id: str
         raise ValidationError(f"several vectors for id {dup[0][0]}")
 
 
-def top_ambiguous(purity: DataFrame, text: str = "task_text", n: int = 5) -> DataFrame:
+def top_ambiguous(purity: DataFrame, text: str = "item_text", n: int = 5) -> DataFrame:
     """Texts mapped to more than one label, top ``n`` by label count (Q9)."""
     return (purity.filter(F.col("n_labels") > 1)
                   .orderBy(F.col("n_labels").desc(), F.col(text).asc())

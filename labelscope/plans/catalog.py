@@ -168,16 +168,16 @@ def deduped_analysis(spark, sf):
     return prep.dedupe_label_text(analysis_table(spark, sf))
 
 
-_ANALYSIS_COLS = ["soc_code", "occ_title", "task_id", "task_text", "task_len", "dwa_id", "dwa_title"]
+_ANALYSIS_COLS = ["occ_id", "occ_title", "item_id", "item_text", "item_len", "label_id", "label_title"]
 
 
 @query("enrich_bridge")
 def q_enrich_bridge(spark, sf):
     out = prep.enrich(fx.bridge(spark, sf),
-                      [(fx.occupations(spark, sf), "soc_code"), (fx.label_titles(spark, sf), "dwa_id"),
-                       (fx.item_texts(spark, sf), "task_id")], validate=True)
-    return out.select("soc_code", "task_id", "dwa_id", "l_linenumber", "occ_title",
-                      "occ_description", "dwa_title", "task_text")
+                      [(fx.occupations(spark, sf), "occ_id"), (fx.label_titles(spark, sf), "label_id"),
+                       (fx.item_texts(spark, sf), "item_id")], validate=True)
+    return out.select("occ_id", "item_id", "label_id", "l_linenumber", "occ_title",
+                      "occ_description", "label_title", "item_text")
 
 
 @query("analysis_table")
@@ -211,80 +211,80 @@ def q_short_texts(spark, sf):
 
 @query("duplicate_keys")
 def q_duplicate_keys(spark, sf):
-    return quality.duplicate_keys(fx.bridge(spark, sf), ["task_id", "dwa_id"])
+    return quality.duplicate_keys(fx.bridge(spark, sf), ["item_id", "label_id"])
 
 
 @query("null_profile")
 def q_null_profile(spark, sf):
     out = prep.enrich(fx.bridge(spark, sf),
-                      [(fx.occupations(spark, sf), "soc_code"), (fx.label_titles(spark, sf), "dwa_id"),
-                       (fx.item_texts(spark, sf), "task_id")], validate=False)
-    return quality.null_profile(out.select("soc_code", "task_id", "dwa_id", "occ_title",
-                                           "occ_description", "dwa_title", "task_text"))
+                      [(fx.occupations(spark, sf), "occ_id"), (fx.label_titles(spark, sf), "label_id"),
+                       (fx.item_texts(spark, sf), "item_id")], validate=False)
+    return quality.null_profile(out.select("occ_id", "item_id", "label_id", "occ_title",
+                                           "occ_description", "label_title", "item_text"))
 
 
 @query("describe_word_count")
 def q_describe_word_count(spark, sf):
-    return rnd(quality.describe(analysis_table(spark, sf), "task_len"))
+    return rnd(quality.describe(analysis_table(spark, sf), "item_len"))
 
 
 @query("one_to_one_violations")
 def q_one_to_one_violations(spark, sf):
-    return quality.one_to_one_violations(analysis_table(spark, sf), "task_id", "task_text")
+    return quality.one_to_one_violations(analysis_table(spark, sf), "item_id", "item_text")
 
 
 @query("label_title_one_to_one")
 def q_label_title_one_to_one(spark, sf):
-    ok = quality.one_to_one_violations(analysis_table(spark, sf), "dwa_id", "dwa_title")
+    ok = quality.one_to_one_violations(analysis_table(spark, sf), "label_id", "label_title")
     return ok.agg((F.count(F.lit(1)) == 0).alias("is_one_to_one"),
                   F.count(F.lit(1)).alias("n_violations"))
 
 
 @query("text_purity")
 def q_text_purity(spark, sf):
-    p = profile.text_purity(analysis_table(spark, sf), "task_text", "task_id", "dwa_id")
-    return p.select("task_text", "n_rows", "n_items", "n_labels",
+    p = profile.text_purity(analysis_table(spark, sf), "item_text", "item_id", "label_id")
+    return p.select("item_text", "n_rows", "n_items", "n_labels",
                     F.array_join("labels", "|").alias("labels"), "pure")
 
 
 @query("text_purity_share")
 def q_text_purity_share(spark, sf):
-    p = profile.text_purity(analysis_table(spark, sf), "task_text", "task_id", "dwa_id")
+    p = profile.text_purity(analysis_table(spark, sf), "item_text", "item_id", "label_id")
     return rnd(profile.purity_share(p))
 
 
 @query("ambiguous_texts_topn")
 def q_ambiguous_texts_topn(spark, sf):
-    p = profile.text_purity(analysis_table(spark, sf), "task_text", "task_id", "dwa_id")
-    return quality.top_ambiguous(p, "task_text", 5).select(
-        "task_text", "n_rows", "n_items", "n_labels", F.array_join("labels", "|").alias("labels"))
+    p = profile.text_purity(analysis_table(spark, sf), "item_text", "item_id", "label_id")
+    return quality.top_ambiguous(p, "item_text", 5).select(
+        "item_text", "n_rows", "n_items", "n_labels", F.array_join("labels", "|").alias("labels"))
 
 
 @query("table_profile")
 def q_table_profile(spark, sf):
-    return profile.table_profile(deduped_analysis(spark, sf), "task_id", "dwa_id", "task_text")
+    return profile.table_profile(deduped_analysis(spark, sf), "item_id", "label_id", "item_text")
 
 
 @query("texts_per_label")
 def q_texts_per_label(spark, sf):
-    return profile.distinct_per_group(deduped_analysis(spark, sf), "dwa_id", "task_text", "n_texts")
+    return profile.distinct_per_group(deduped_analysis(spark, sf), "label_id", "item_text", "n_texts")
 
 
 @query("labels_per_text_hist")
 def q_labels_per_text_hist(spark, sf):
-    return profile.count_histogram(deduped_analysis(spark, sf), "task_text", "dwa_id",
+    return profile.count_histogram(deduped_analysis(spark, sf), "item_text", "label_id",
                                    out="n_texts", value="n_labels")
 
 
 @query("small_label_counts")
 def q_small_label_counts(spark, sf):
-    sizes = profile.distinct_per_group(deduped_analysis(spark, sf), "dwa_id", "task_text", "n_texts")
+    sizes = profile.distinct_per_group(deduped_analysis(spark, sf), "label_id", "item_text", "n_texts")
     return profile.small_group_counts(sizes, "n_texts")
 
 
 @query("group_sizes_topn")
 def q_group_sizes_topn(spark, sf):
-    return profile.group_sizes_top_bottom(deduped_analysis(spark, sf), "dwa_id", 10)
+    return profile.group_sizes_top_bottom(deduped_analysis(spark, sf), "label_id", 10)
 
 
 @query("hist_word_count")
@@ -295,15 +295,15 @@ def q_hist_word_count(spark, sf):
 
 @query("hist_label_sizes")
 def q_hist_label_sizes(spark, sf):
-    sizes = profile.distinct_per_group(deduped_analysis(spark, sf), "dwa_id", "task_text", "n_texts")
+    sizes = profile.distinct_per_group(deduped_analysis(spark, sf), "label_id", "item_text", "n_texts")
     return rnd(profile.histogram(sizes, "n_texts", 20))
 
 
 @query("sample_rows")
 def q_sample_rows(spark, sf):
     a = deduped_analysis(spark, sf)
-    return profile.sample_rows(a, 5, SEED, ["dwa_id", "task_text"]).select(
-        "occ_title", "dwa_title", "task_text")
+    return profile.sample_rows(a, 5, SEED, ["label_id", "item_text"]).select(
+        "occ_title", "label_title", "item_text")
 
 
 @query("sample_per_group")
@@ -627,7 +627,7 @@ def q_crosstab_top_log1p(spark, sf):
 def item_clusters(spark, sf):
     """Item-level cluster ids for F-A: the item's brand."""
     p = read_table(spark, sf, "part")
-    return p.select(F.col("p_partkey").cast("string").alias("task_id"), F.col("p_brand").alias("cluster_id"))
+    return p.select(F.col("p_partkey").cast("string").alias("item_id"), F.col("p_brand").alias("cluster_id"))
 
 
 @query("crosstab_top5_log1p")
@@ -637,15 +637,15 @@ def q_crosstab_top5_log1p(spark, sf):
 
 @query("clusters_joined_back")
 def q_clusters_joined_back(spark, sf):
-    a = deduped_analysis(spark, sf).select("dwa_id", "task_text", "task_id")
-    return compose.join_back(a, item_clusters(spark, sf), "task_id", ["cluster_id"])
+    a = deduped_analysis(spark, sf).select("label_id", "item_text", "item_id")
+    return compose.join_back(a, item_clusters(spark, sf), "item_id", ["cluster_id"])
 
 
 @query("item_level_rollup")
 def q_item_level_rollup(spark, sf):
     a = deduped_analysis(spark, sf)
-    first = dense.first_vector_per_item(a, "task_id", ["dwa_id", "task_text"])
-    return first.select("task_id", "dwa_id", "task_text")
+    first = dense.first_vector_per_item(a, "item_id", ["label_id", "item_text"])
+    return first.select("item_id", "label_id", "item_text")
 
 
 # ------------------------------------------------------------ multi-label (F-E)

@@ -104,45 +104,45 @@ def _wc(c: str) -> str:
 
 
 _BRIDGE = """
-b AS (SELECT CAST(l_orderkey AS VARCHAR) AS soc_code, CAST(l_partkey AS VARCHAR) AS task_id,
-             CAST(l_suppkey AS VARCHAR) AS dwa_id, l_orderkey, l_linenumber, l_partkey, l_suppkey
+b AS (SELECT CAST(l_orderkey AS VARCHAR) AS occ_id, CAST(l_partkey AS VARCHAR) AS item_id,
+             CAST(l_suppkey AS VARCHAR) AS label_id, l_orderkey, l_linenumber, l_partkey, l_suppkey
       FROM lineitem),
-occ AS (SELECT CAST(o_orderkey AS VARCHAR) AS soc_code, o_orderstatus AS occ_title,
+occ AS (SELECT CAST(o_orderkey AS VARCHAR) AS occ_id, o_orderstatus AS occ_title,
                o_orderpriority AS occ_description FROM orders),
-dw AS (SELECT CAST(s_suppkey AS VARCHAR) AS dwa_id, s_name AS dwa_title FROM supplier),
-tk AS (SELECT CAST(p_partkey AS VARCHAR) AS task_id, p_name AS task_text FROM part),
-j AS (SELECT b.*, occ.occ_title, occ.occ_description, dw.dwa_title, tk.task_text
-      FROM b LEFT JOIN occ ON b.soc_code = occ.soc_code LEFT JOIN dw ON b.dwa_id = dw.dwa_id
-             LEFT JOIN tk ON b.task_id = tk.task_id)
+dw AS (SELECT CAST(s_suppkey AS VARCHAR) AS label_id, s_name AS label_title FROM supplier),
+tk AS (SELECT CAST(p_partkey AS VARCHAR) AS item_id, p_name AS item_text FROM part),
+j AS (SELECT b.*, occ.occ_title, occ.occ_description, dw.label_title, tk.item_text
+      FROM b LEFT JOIN occ ON b.occ_id = occ.occ_id LEFT JOIN dw ON b.label_id = dw.label_id
+             LEFT JOIN tk ON b.item_id = tk.item_id)
 """
 
 _ANALYSIS = _BRIDGE + """,
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id, dwa_id
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, label_id
                      ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn FROM j) WHERE rn = 1),
-a0 AS (SELECT soc_code, occ_title, task_id, """ + _norm("task_text") + """ AS task_text,
-              dwa_id, dwa_title FROM f),
-a AS (SELECT soc_code, occ_title, task_id, task_text,
-             CAST(""" + _wc("task_text") + """ AS INTEGER) AS task_len, dwa_id, dwa_title FROM a0),
-dd AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY dwa_id, task_text
-                                   ORDER BY task_id) AS rn FROM a) WHERE rn = 1)
+a0 AS (SELECT occ_id, occ_title, item_id, """ + _norm("item_text") + """ AS item_text,
+              label_id, label_title FROM f),
+a AS (SELECT occ_id, occ_title, item_id, item_text,
+             CAST(""" + _wc("item_text") + """ AS INTEGER) AS item_len, label_id, label_title FROM a0),
+dd AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY label_id, item_text
+                                   ORDER BY item_id) AS rn FROM a) WHERE rn = 1)
 """
 
 _PURITY = """,
-pur AS (SELECT task_text, count(*) AS n_rows, count(DISTINCT task_id) AS n_items,
-               count(DISTINCT dwa_id) AS n_labels,
-               array_to_string(list_sort(list_distinct(list(dwa_id))), '|') AS labels,
-               count(DISTINCT dwa_id) = 1 AS pure
-        FROM a GROUP BY task_text)
+pur AS (SELECT item_text, count(*) AS n_rows, count(DISTINCT item_id) AS n_items,
+               count(DISTINCT label_id) AS n_labels,
+               array_to_string(list_sort(list_distinct(list(label_id))), '|') AS labels,
+               count(DISTINCT label_id) = 1 AS pure
+        FROM a GROUP BY item_text)
 """
 
 SQL["enrich_bridge"] = "WITH" + _BRIDGE + """
-SELECT soc_code, task_id, dwa_id, l_linenumber, occ_title, occ_description, dwa_title, task_text FROM j"""
+SELECT occ_id, item_id, label_id, l_linenumber, occ_title, occ_description, label_title, item_text FROM j"""
 
 SQL["analysis_table"] = "WITH" + _ANALYSIS + """
-SELECT soc_code, occ_title, task_id, task_text, task_len, dwa_id, dwa_title FROM a"""
+SELECT occ_id, occ_title, item_id, item_text, item_len, label_id, label_title FROM a"""
 
 SQL["dedupe_label_text"] = "WITH" + _ANALYSIS + """
-SELECT soc_code, occ_title, task_id, task_text, task_len, dwa_id, dwa_title FROM dd"""
+SELECT occ_id, occ_title, item_id, item_text, item_len, label_id, label_title FROM dd"""
 
 SQL["text_normalize"] = "SELECT doc_id, " + _norm("text") + " AS text_norm FROM documents"
 
@@ -153,35 +153,35 @@ SQL["short_texts"] = ("SELECT * FROM (SELECT doc_id, " + _norm("text") + " AS te
                       + _wc(_norm("text")) + " AS n_words FROM documents) WHERE n_words < 6")
 
 SQL["duplicate_keys"] = """
-SELECT CAST(l_partkey AS VARCHAR) AS task_id, CAST(l_suppkey AS VARCHAR) AS dwa_id,
+SELECT CAST(l_partkey AS VARCHAR) AS item_id, CAST(l_suppkey AS VARCHAR) AS label_id,
        count(*) AS n_rows, count(*) - 1 AS n_extra
 FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1"""
 
 SQL["null_profile"] = "WITH" + _BRIDGE + """
-SELECT * FROM (UNPIVOT (SELECT count(*) FILTER (WHERE soc_code IS NULL) AS soc_code,
-       count(*) FILTER (WHERE task_id IS NULL) AS task_id, count(*) FILTER (WHERE dwa_id IS NULL) AS dwa_id,
+SELECT * FROM (UNPIVOT (SELECT count(*) FILTER (WHERE occ_id IS NULL) AS occ_id,
+       count(*) FILTER (WHERE item_id IS NULL) AS item_id, count(*) FILTER (WHERE label_id IS NULL) AS label_id,
        count(*) FILTER (WHERE occ_title IS NULL) AS occ_title,
        count(*) FILTER (WHERE occ_description IS NULL) AS occ_description,
-       count(*) FILTER (WHERE dwa_title IS NULL) AS dwa_title,
-       count(*) FILTER (WHERE task_text IS NULL) AS task_text FROM j)
+       count(*) FILTER (WHERE label_title IS NULL) AS label_title,
+       count(*) FILTER (WHERE item_text IS NULL) AS item_text FROM j)
   ON COLUMNS(*) INTO NAME "column" VALUE n_null)"""
 
 SQL["describe_word_count"] = "WITH" + _ANALYSIS + """
-SELECT count(task_len) AS count, round(avg(task_len), 6) AS mean, round(stddev_samp(task_len), 6) AS std,
-       round(CAST(min(task_len) AS DOUBLE), 6) AS min, round(quantile_cont(task_len, 0.25), 6) AS p25,
-       round(quantile_cont(task_len, 0.5), 6) AS p50, round(quantile_cont(task_len, 0.75), 6) AS p75,
-       round(CAST(max(task_len) AS DOUBLE), 6) AS max FROM a"""
+SELECT count(item_len) AS count, round(avg(item_len), 6) AS mean, round(stddev_samp(item_len), 6) AS std,
+       round(CAST(min(item_len) AS DOUBLE), 6) AS min, round(quantile_cont(item_len, 0.25), 6) AS p25,
+       round(quantile_cont(item_len, 0.5), 6) AS p50, round(quantile_cont(item_len, 0.75), 6) AS p75,
+       round(CAST(max(item_len) AS DOUBLE), 6) AS max FROM a"""
 
 SQL["one_to_one_violations"] = "WITH" + _ANALYSIS + """,
-p AS (SELECT DISTINCT task_id, task_text FROM a WHERE task_id IS NOT NULL AND task_text IS NOT NULL)
-SELECT 'task_id' AS side, task_id AS key, count(*) AS n_distinct FROM p GROUP BY task_id HAVING count(*) > 1
+p AS (SELECT DISTINCT item_id, item_text FROM a WHERE item_id IS NOT NULL AND item_text IS NOT NULL)
+SELECT 'item_id' AS side, item_id AS key, count(*) AS n_distinct FROM p GROUP BY item_id HAVING count(*) > 1
 UNION ALL
-SELECT 'task_text' AS side, task_text AS key, count(*) AS n_distinct FROM p GROUP BY task_text HAVING count(*) > 1"""
+SELECT 'item_text' AS side, item_text AS key, count(*) AS n_distinct FROM p GROUP BY item_text HAVING count(*) > 1"""
 
 SQL["label_title_one_to_one"] = "WITH" + _ANALYSIS + """,
-p AS (SELECT DISTINCT dwa_id, dwa_title FROM a WHERE dwa_id IS NOT NULL AND dwa_title IS NOT NULL),
-v AS (SELECT dwa_id AS key FROM p GROUP BY dwa_id HAVING count(*) > 1
-      UNION ALL SELECT dwa_title FROM p GROUP BY dwa_title HAVING count(*) > 1)
+p AS (SELECT DISTINCT label_id, label_title FROM a WHERE label_id IS NOT NULL AND label_title IS NOT NULL),
+v AS (SELECT label_id AS key FROM p GROUP BY label_id HAVING count(*) > 1
+      UNION ALL SELECT label_title FROM p GROUP BY label_title HAVING count(*) > 1)
 SELECT count(*) = 0 AS is_one_to_one, count(*) AS n_violations FROM v"""
 
 SQL["text_purity"] = "WITH" + _ANALYSIS + _PURITY + "SELECT * FROM pur"
@@ -191,30 +191,30 @@ SELECT count(*) FILTER (WHERE pure) AS n_pure, count(*) FILTER (WHERE NOT pure)
        round(avg(CASE WHEN pure THEN 1.0 ELSE 0.0 END), 6) AS share_pure FROM pur"""
 
 SQL["ambiguous_texts_topn"] = "WITH" + _ANALYSIS + _PURITY + """
-SELECT task_text, n_rows, n_items, n_labels, labels FROM pur WHERE n_labels > 1
-ORDER BY n_labels DESC, task_text LIMIT 5"""
+SELECT item_text, n_rows, n_items, n_labels, labels FROM pur WHERE n_labels > 1
+ORDER BY n_labels DESC, item_text LIMIT 5"""
 
 SQL["table_profile"] = "WITH" + _ANALYSIS + """
-SELECT count(*) AS n_rows, count(DISTINCT task_id) AS n_items, count(DISTINCT dwa_id) AS n_labels,
-       count(DISTINCT task_text) AS n_texts FROM dd"""
+SELECT count(*) AS n_rows, count(DISTINCT item_id) AS n_items, count(DISTINCT label_id) AS n_labels,
+       count(DISTINCT item_text) AS n_texts FROM dd"""
 
 SQL["texts_per_label"] = "WITH" + _ANALYSIS + """
-SELECT dwa_id, count(DISTINCT task_text) AS n_texts FROM dd WHERE dwa_id IS NOT NULL GROUP BY dwa_id"""
+SELECT label_id, count(DISTINCT item_text) AS n_texts FROM dd WHERE label_id IS NOT NULL GROUP BY label_id"""
 
 SQL["labels_per_text_hist"] = "WITH" + _ANALYSIS + """,
-per AS (SELECT task_text, count(DISTINCT dwa_id) AS n_labels FROM dd WHERE task_text IS NOT NULL GROUP BY task_text)
+per AS (SELECT item_text, count(DISTINCT label_id) AS n_labels FROM dd WHERE item_text IS NOT NULL GROUP BY item_text)
 SELECT n_labels, count(*) AS n_texts FROM per GROUP BY n_labels"""
 
 SQL["small_label_counts"] = "WITH" + _ANALYSIS + """,
-s AS (SELECT dwa_id, count(DISTINCT task_text) AS n FROM dd WHERE dwa_id IS NOT NULL GROUP BY dwa_id)
+s AS (SELECT label_id, count(DISTINCT item_text) AS n FROM dd WHERE label_id IS NOT NULL GROUP BY label_id)
 SELECT count(*) FILTER (WHERE n = 1) AS n_eq_1, count(*) FILTER (WHERE n < 5) AS n_lt_5,
        count(*) FILTER (WHERE n < 10) AS n_lt_10 FROM s"""
 
 SQL["group_sizes_topn"] = "WITH" + _ANALYSIS + """,
-s AS (SELECT dwa_id, count(*) AS n_rows FROM dd GROUP BY dwa_id)
-SELECT * FROM (SELECT dwa_id, n_rows, 'largest' AS "end" FROM s ORDER BY n_rows DESC, dwa_id LIMIT 10)
+s AS (SELECT label_id, count(*) AS n_rows FROM dd GROUP BY label_id)
+SELECT * FROM (SELECT label_id, n_rows, 'largest' AS "end" FROM s ORDER BY n_rows DESC, label_id LIMIT 10)
 UNION ALL
-SELECT * FROM (SELECT dwa_id, n_rows, 'smallest' AS "end" FROM s ORDER BY n_rows, dwa_id DESC LIMIT 10)"""
+SELECT * FROM (SELECT label_id, n_rows, 'smallest' AS "end" FROM s ORDER BY n_rows, label_id DESC LIMIT 10)"""
 
 
 def _hist_sql(src: str, col: str, bins: int = 20) -> str:
@@ -235,12 +235,12 @@ SQL["hist_word_count"] = "WITH" + _hist_sql(
     "SELECT " + _wc("text") + " AS n_words FROM documents", "n_words")
 
 SQL["hist_label_sizes"] = "WITH" + _ANALYSIS + "," + _hist_sql(
-    "SELECT dwa_id, count(DISTINCT task_text) AS n_texts FROM dd WHERE dwa_id IS NOT NULL GROUP BY dwa_id",
+    "SELECT label_id, count(DISTINCT item_text) AS n_texts FROM dd WHERE label_id IS NOT NULL GROUP BY label_id",
     "n_texts")
 
 SQL["sample_rows"] = "WITH" + _ANALYSIS + """
-SELECT occ_title, dwa_title, task_text FROM dd
-ORDER BY md5(concat_ws('|', '6740', coalesce(dwa_id, ''), coalesce(task_text, ''))) LIMIT 5"""
+SELECT occ_title, label_title, item_text FROM dd
+ORDER BY md5(concat_ws('|', '6740', coalesce(label_id, ''), coalesce(item_text, ''))) LIMIT 5"""
 
 SQL["sample_per_group"] = """
 WITH h AS (SELECT source, doc_id, md5(concat_ws('|', '6740', CAST(doc_id AS VARCHAR))) AS h FROM documents),
@@ -540,12 +540,12 @@ SELECT rows_.lang, top.source, coalesce(cnt.n, 0) AS n, round(ln(1 + coalesce(cn
 FROM rows_ CROSS JOIN top LEFT JOIN cnt ON cnt.lang = rows_.lang AND cnt.source = top.source"""
 
 SQL["clusters_joined_back"] = "WITH" + _ANALYSIS + """
-SELECT dd.dwa_id, dd.task_text, dd.task_id, p.p_brand AS cluster_id
-FROM dd LEFT JOIN part p ON CAST(p.p_partkey AS VARCHAR) = dd.task_id"""
+SELECT dd.label_id, dd.item_text, dd.item_id, p.p_brand AS cluster_id
+FROM dd LEFT JOIN part p ON CAST(p.p_partkey AS VARCHAR) = dd.item_id"""
 
 SQL["item_level_rollup"] = "WITH" + _ANALYSIS + """
-SELECT task_id, dwa_id, task_text FROM (SELECT *, row_number() OVER (PARTITION BY task_id
-       ORDER BY dwa_id, task_text) AS r FROM dd) WHERE r = 1"""
+SELECT item_id, label_id, item_text FROM (SELECT *, row_number() OVER (PARTITION BY item_id
+       ORDER BY label_id, item_text) AS r FROM dd) WHERE r = 1"""
 
 # ------------------------------------------------------------ multi-label (F-E)
 

@@ -15,29 +15,29 @@ BRIDGE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 def bridge(spark: SparkSession, sf: str) -> DataFrame:
     """F-A base: occupation = order, item = part, label = supplier (string ids)."""
     li = read_table(spark, sf, "lineitem")
-    return li.select(F.col("l_orderkey").cast("string").alias("soc_code"),
-                     F.col("l_partkey").cast("string").alias("task_id"),
-                     F.col("l_suppkey").cast("string").alias("dwa_id"),
+    return li.select(F.col("l_orderkey").cast("string").alias("occ_id"),
+                     F.col("l_partkey").cast("string").alias("item_id"),
+                     F.col("l_suppkey").cast("string").alias("label_id"),
                      *BRIDGE_ORDER)
 
 
 def occupations(spark: SparkSession, sf: str) -> DataFrame:
     o = read_table(spark, sf, "orders")
-    return o.select(F.col("o_orderkey").cast("string").alias("soc_code"),
+    return o.select(F.col("o_orderkey").cast("string").alias("occ_id"),
                     F.col("o_orderstatus").alias("occ_title"),
                     F.col("o_orderpriority").alias("occ_description"))
 
 
 def label_titles(spark: SparkSession, sf: str) -> DataFrame:
     s = read_table(spark, sf, "supplier")
-    return s.select(F.col("s_suppkey").cast("string").alias("dwa_id"),
-                    F.col("s_name").alias("dwa_title"))
+    return s.select(F.col("s_suppkey").cast("string").alias("label_id"),
+                    F.col("s_name").alias("label_title"))
 
 
 def item_texts(spark: SparkSession, sf: str) -> DataFrame:
     p = read_table(spark, sf, "part")
-    return p.select(F.col("p_partkey").cast("string").alias("task_id"),
-                    F.col("p_name").alias("task_text"))
+    return p.select(F.col("p_partkey").cast("string").alias("item_id"),
+                    F.col("p_name").alias("item_text"))
 
 
 def labelled_vectors(spark: SparkSession, sf: str) -> DataFrame:

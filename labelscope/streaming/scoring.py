@@ -8,14 +8,11 @@ serve a streaming DataFrame (stream-static join; no state).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from labelscope.functions.vector import as_double_array, dot, unit_norm
+from labelscope.operators.dense import own_distance, unit_vectors
 
 
 def score_stream(stream: DataFrame, centroids: DataFrame, label: str = "label",
                  vec: str = "embedding") -> DataFrame:
     """Append ``dist`` (1 - cosine to the own label's centroid) to each streamed row."""
-    c = centroids.select(label, F.col("centroid").alias("_c"))
-    s = stream.withColumn(vec, unit_norm(as_double_array(vec)))
-    return s.join(c, label, "left").withColumn("dist", F.lit(1.0) - dot(vec, "_c")).drop("_c")
+    return own_distance(unit_vectors(stream, vec), centroids, label, vec)

@@ -31,11 +31,11 @@ def test_tokens_unicode_and_stopwords(spark):
 
 def test_dedupe_keep_string_order(spark):
     rows = [("9", "d1", "x"), ("10", "d1", "x"), ("3", "d2", "x")]
-    df = spark.createDataFrame(rows, "task_id string, dwa_id string, task_text string")
-    out = prep.dedupe_label_text(df).orderBy("dwa_id").collect()
-    assert [(r.dwa_id, r.task_id) for r in out] == [("d1", "10"), ("d2", "3")]   # '10' < '9' (T3)
+    df = spark.createDataFrame(rows, "item_id string, label_id string, item_text string")
+    out = prep.dedupe_label_text(df).orderBy("label_id").collect()
+    assert [(r.label_id, r.item_id) for r in out] == [("d1", "10"), ("d2", "3")]   # '10' < '9' (T3)
     with pytest.raises(ValueError):
-        prep.dedupe_keep(df, ["dwa_id"], [])
+        prep.dedupe_keep(df, ["label_id"], [])
 
 
 def test_enrich_validates_dimension(spark):
@@ -49,9 +49,9 @@ def test_enrich_validates_dimension(spark):
 
 
 def test_tidy_columns(spark):
-    df = spark.createDataFrame([(1, 2)], "`O*NET-SOC Code` int, ` Task  ID ` int")
-    assert prep.tidy_columns(df).columns == ["o_net_soc_code", "task_id"]
-    assert prep.tidy_columns(df, "spaces").columns == ["o*net-soc_code", "task_id"]
+    df = spark.createDataFrame([(1, 2)], "`Shop*A-B Code` int, ` Row  ID ` int")
+    assert prep.tidy_columns(df).columns == ["shop_a_b_code", "row_id"]
+    assert prep.tidy_columns(df, "spaces").columns == ["shop*a-b_code", "row_id"]
 
 
 def test_read_tsv_keeps_empty(spark, tmp_path):
