@@ -77,4 +77,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_token_output, op3_quality_rules, op4_decontamination, op5_license_scan,
                                   op6_mixing, op7_secret_scan, op8_near_duplicates, op9_chat_format, op10_token_counts)}
 
-SQL: dict[str, str] = {}
+_MARKS = r"</?s>|\[/?(SYS|INST|OUT|ANON|ROLE|TEXT)\]"
+_LENGTH = "(length({0}) + length({0}) - length(replace({0}, '\\', '')) + len(regexp_extract_all({0}, '" + _MARKS + "')))"
+
+SQL: dict[str, str] = {"op9_chat_format": f"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+           UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m AS (SELECT *, CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END AS c,
+             {_LENGTH.format('text')} + CASE WHEN role IS NULL THEN 23 WHEN role IN ('system', 'assistant') THEN 21
+                WHEN role = 'user' THEN 23 ELSE 38 + {_LENGTH.format('role')} END AS n_chars FROM t),
+g AS (SELECT conv_id, count(*) AS n_turns,
+             string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+             coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+             string_agg(c, '' ORDER BY turn, role, text) AS roles, CAST(sum(n_chars) AS BIGINT) AS formatted_chars
+      FROM m GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
+       regexp_full_match(roles, 's?(ua)+') AS valid,
+       CASE WHEN regexp_full_match(roles, 's?(ua)+') THEN 'answered' WHEN regexp_full_match(roles, 's?(ua)*u') THEN 'asked'
+            WHEN roles = 's' THEN 'briefed' ELSE 'broken' END AS end_state
+FROM g"""}
