@@ -350,9 +350,12 @@ def q_tfidf_items(spark, sf):
 
 @query("tfidf_transform_new")
 def q_tfidf_transform_new(spark, sf):
+    """New texts weighed with a vocabulary that was stored and loaded again."""
+    from labelscope.session import cut_lineage
     _, vocab = doc_tfidf(spark, sf)
+    stored = cut_lineage(vocab, "vocabulary")
     bench = read_table(spark, sf, "benchmark")
-    return rnd(sparse.tfidf_transform(bench, vocab, "item_id", "text"))
+    return rnd(sparse.tfidf_transform(bench, stored, "item_id", "text"))
 
 
 @query("top_ngrams_by_group")
