@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.llm import text_kernel as tk
-from labelscope.llm.scratch import parked, save, scratch_path, shared_file_path
+from labelscope.llm.scratch import Buckets, parked, save, scratch_path, shared_file_path
 
 BEGIN, END = np.uint64(0x5BD1E995A3C59AC3), np.uint64(0xC2B2AE3D27D4EB4F)
 HELD = 3_000_000  # n-grams that a counting task holds before it passes runs on
@@ -244,18 +244,16 @@ def lookup_files(files: str, name: str, bucket: int) -> tuple[np.ndarray, np.nda
 class Mapped:
     """The memory-mapped arrays of one order."""
 
-    def __init__(self, files: str, name: str, bits: int, columns: tuple[str, ...]):
-        self.parts = []
-        for b in range(1 << bits):
-            base = f"{files}/{name}-{b:05d}"
-            self.parts.append([np.load(f"{base}.{c}", mmap_mode="r") for c in columns] if os.path.exists(f"{base}.{columns[0]}") else None)
+    def __init__(self, files: str, name: str, columns: tuple[str, ...]):
+        self.buckets = Buckets(files, name, columns)
 
     def find(self, keys: np.ndarray, buckets: np.ndarray) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
         """(arrays, rows of ``keys`` that are in them, their places), bucket by bucket."""
         order = np.lexsort((keys, buckets))
-        edges = np.searchsorted(buckets[order], np.arange(len(self.parts) + 1))
-        for part, a, b in zip(self.parts, edges, edges[1:]):
-            if part is None or a == b or not len(part[0]):
+        ids, first = np.unique(buckets[order], return_index=True)
+        for bucket, a, b in zip(ids, first, [*first[1:], len(order)]):
+            part = self.buckets.part(int(bucket))
+            if part is None or not len(part[0]):
                 continue
             rows = order[a:b]
             at = np.minimum(np.searchsorted(part[0], keys[rows]), len(part[0]) - 1)
@@ -277,10 +275,10 @@ class Scorer:
     """Looks up a model's arrays; one per task."""
 
     def __init__(self, model: dict):
-        self.m, bits, files = model, model["bits"], model["files"]
-        self.words = Mapped(files, "vocabulary", bits, ("gram", "count", "large"))
-        self.grams = {k: Mapped(files, f"order{k}", bits, ("gram", "count", "large")) for k in model["levels"]}
-        self.contexts = {k: Mapped(files, f"order{k}", bits, ("context", "total", "more")) for k in model["levels"] if k > 1}
+        self.m, files = model, model["files"]
+        self.words = Mapped(files, "vocabulary", ("gram", "count", "large"))
+        self.grams = {k: Mapped(files, f"order{k}", ("gram", "count", "large")) for k in model["levels"]}
+        self.contexts = {k: Mapped(files, f"order{k}", ("context", "total", "more")) for k in model["levels"] if k > 1}
 
     def word_counts(self, words: np.ndarray) -> np.ndarray:
         """Training count of each token."""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import mmap
 import os
+import sys
 import uuid
+from functools import lru_cache
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -34,10 +37,40 @@ def save(path: str, array: np.ndarray) -> None:
     """Write an array under a temporary name and rename it: a repeated task leaves one whole file."""
     temporary = f"{path}.{uuid.uuid4().hex}"
     with open(temporary, "wb") as f:
-        np.save(f, array)
+        np.save(f, np.ascontiguousarray(array))
     os.replace(temporary, path)
 
 
+def map_array(path: str) -> np.ndarray:
+    """An array file, memory-mapped without keeping the file open (from Python 3.13 on)."""
+    with open(path, "rb") as f:
+        np.lib.format.read_magic(f)
+        shape, _, dtype = np.lib.format.read_array_header_1_0(f)
+        start, n = f.tell(), int(np.prod(shape))
+        if n == 0:
+            return np.zeros(shape, dtype)
+        free = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+        return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **free), dtype, n, start).reshape(shape)
+
+
+class Buckets:
+    """Memory-mapped arrays ``<files>/<name>-<bucket>.<column>``, mapped when
+    they are first used; of more than ``OPEN`` buckets the longest unused go."""
+
+    OPEN = 1024 if sys.version_info >= (3, 13) else 64
+
+    def __init__(self, files: str, name: str, columns: tuple[str, ...]):
+        self.base, self.columns = f"{files}/{name}", columns
+        self.part = lru_cache(maxsize=self.OPEN)(self._part)
+
+    def _part(self, bucket: int) -> list[np.ndarray] | None:
+        """The bucket's arrays; None if it has none."""
+        base = f"{self.base}-{bucket:05d}"
+        if not os.path.exists(f"{base}.{self.columns[-1]}"):
+            return None
+        return [map_array(f"{base}.{c}") for c in self.columns]
+
+
 def parked(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the
     lineage ends there and a lost executor costs nothing."""

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from labelscope.llm import encoding
 from labelscope.llm import text_kernel as tk
-from labelscope.llm.scratch import parked, save, scratch_path, shared_file_path
+from labelscope.llm.scratch import Buckets, parked, save, scratch_path, shared_file_path
 
 EVERY = 128
 LIMIT = 18
@@ -150,11 +150,8 @@ class Dictionary:
     """The memory-mapped pieces; turns slabs of text into ids."""
 
     def __init__(self, files: str, bits: int, path: str, end_id: int):
-        self.path, self.end_id, self.bits, self.parts = path, end_id, bits, []
-        for b in range(1 << bits):
-            base = f"{files}/pieces-{b:05d}"
-            self.parts.append([np.load(f"{base}.{x}", mmap_mode="r") for x in ("hash", "start", "ids")]
-                              if os.path.exists(f"{base}.hash") else None)
+        self.path, self.end_id, self.bits = path, end_id, bits
+        self.buckets = Buckets(files, "pieces", ("start", "ids", "hash"))
 
     def ids(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents with their end ids, number of each)."""
@@ -166,16 +163,18 @@ class Dictionary:
         size = np.full(len(h), -1, np.int64)
         edges = np.searchsorted(h, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
         flat, begin, total = [], np.zeros(len(h), np.int64), 0
-        for part, a, b in zip(self.parts, [0, *edges], [*edges, len(h)]):
-            if part is None or a == b:
+        for bucket, (a, b) in enumerate(zip([0, *edges], [*edges, len(h)])):
+            part = self.buckets.part(bucket) if b > a else None
+            if part is None:
                 continue
-            at = np.minimum(np.searchsorted(part[0], h[a:b]), len(part[0]) - 1)
-            hit = np.flatnonzero(part[0][at] == h[a:b])
+            starts_of, ids_of, hashes = part
+            at = np.minimum(np.searchsorted(hashes, h[a:b]), len(hashes) - 1)
+            hit = np.flatnonzero(hashes[at] == h[a:b])
             at = at[hit]
-            start, stop = part[1][at], part[1][at + 1]
+            start, stop = starts_of[at], starts_of[at + 1]
             size[a + hit] = stop - start
             begin[a + hit] = total + np.cumsum(stop - start) - (stop - start)
-            flat.append(part[2][tk.ragged(start, stop - start)])
+            flat.append(ids_of[tk.ragged(start, stop - start)])
             total += len(flat[-1])
         for i in np.flatnonzero(size < 0):
             ids, _ = encode_pieces(self.path, [data[first[one[i]]:last[one[i]] + 1].tobytes()])
