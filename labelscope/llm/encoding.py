@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from labelscope.llm.scratch import worker_store
 
-MEMO = 400_000  # remembered pieces per worker; the memory is emptied when it is full
+MEMO = 800_000  # remembered pieces per worker; the memory is emptied when it is full
 LONGEST = 48    # longer pieces are encoded each time
 
 

@@ -81,8 +81,15 @@ def counts(tokenizer, path: str, texts: list[str], chunk: int, overlap: int) ->
             pieces.append([t[a:b] for a, b in zip(cuts, cuts[1:])])
         else:
             pieces.append(t.replace(" ", "\x01 ").replace("\n", "\x01\n").split("\x01"))
-    memo = encoding.remembered(("token_counts", path), pieces, lambda p: [
-        len(e) for e in tokenizer.encode_batch_fast(p, add_special_tokens=False)])
+    def encode(missing: list[str]) -> list[int]:
+        # a full stop or comma after a letter a-z ends its piece: a pre-token of its own, and one token
+        stems = [p[:-1] if len(p) > 2 and p[-1] in ".," and "a" <= p[-2] <= "z" else p for p in missing]
+        each = list({s for s in stems if s not in known})
+        new = dict(zip(each, map(len, tokenizer.encode_batch_fast(each, add_special_tokens=False))))
+        return [(known[s] if s in known else new[s]) + (len(s) < len(p)) for s, p in zip(stems, missing)]
+
+    known = encoding.worker_store().get(("token_counts", path), {})
+    memo = encoding.remembered(("token_counts", path), pieces, encode)
     return [n or sum(map(memo.__getitem__, p)) for n, p in zip(out, pieces)]
 
 
