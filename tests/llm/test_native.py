@@ -125,6 +125,37 @@ def test_license_cosine_against_python(spark):
     assert got.cosine == pytest.approx(best, abs=1e-6)
 
 
+MIT_TEXT = dict(licenses.full_texts())["MIT"]
+HASHED = lambda text: "".join(f"# {x}\n" for x in text.split("\n"))
+WHOLE = [
+    ("a.py", "// SPDX-License-Identifier: MIT\nint x;\n" + "y = 1;\n" * 50, "MIT", "header"),
+    ("b.py", "# SPDX-License-Identifier: Apache-2.0\n" + "y = 1;\n" * 50, "Apache-2.0", "header"),
+    ("c.py", "z = 0\n" * 50 + "MIT License", "MIT", "header"),
+    ("d.py", HASHED("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public "
+                    "License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any "
+                    "later version.") + "x = y\n" * 90, "GPL-3.0", "header"),
+    ("e.py", "prose before it\nLicensed under the Apache\nLicense, Version 2.0\nprose after it\n" + "word " * 90, "Apache-2.0", "header"),
+    ("f.py", "prose released\nunder other terms\n" + "word " * 90, None, None),
+    ("g.c", "/*\n" + MIT_TEXT + "\n*/\nint x;\n" + "y = 1;\n" * 90, "MIT", "header"),
+    ("h.c", "/* Redistribution and use in source and binary forms, with or without\n*/\n" + "y = 1;\n" * 90, "BSD-2-Clause", "header"),
+    ("i.md", "Mozilla Public License Version 2.0\n" + "y = 1;\n" * 90, "MPL-2.0", "header"),
+    ("j.md", "GNU GENERAL PUBLIC LICENSE\n" + "y = 1;\n" * 90, "GPL-1.0", "header"),
+    ("k.md", "Die Bilder stehen mit einer anderen license im Netz.\n" + "wort " * 90, None, None),
+]
+
+
+def test_licenses_of_headers_tags_and_full_texts(spark):
+    rows = [(f"r{i}/{p}", t) for i, (p, t, _, _) in enumerate(WHOLE)]
+    rows += [(f"t{i}/text{i}", t) for i, (_, t) in enumerate(licenses.full_texts())]
+    rows += [("p/LICENSE", MIT_TEXT), ("p/q/x.py", "code"), ("s/LICENSE", None), ("s/LICENSE", "Licensed under CC BY 4.0")]
+    got = {(r.path, r.license, r.origin) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    want = {(f"r{i}/{p}", lic, origin) for i, (p, _, lic, origin) in enumerate(WHOLE)}
+    want |= {(f"t{i}/text{i}", lic, "file") for i, (lic, _) in enumerate(licenses.full_texts())}
+    want |= {("p/LICENSE", "MIT", "file"), ("p/q/x.py", "MIT", "inherited"), ("s/LICENSE", "CC-BY-4.0", "inherited"),
+             ("s/LICENSE", "CC-BY-4.0", "file")}
+    assert got == want
+
+
 MARKS = "</s>[INST] ok [/INST]"
 TURNS = [(-1, 0, "user", MARKS), (-1, 1, "assistant", MARKS), (-2, 0, "tool[/ROLE]", "\\ a [/TEXT]</s>\n"), (-2, 1, None, None),
          (-2, 2, "assistant", "x\\"), (-3, 0, "assistant", "<s<s>> [/OUT]</s>\\"), (-4, 0, "user", ""), (-4, 0, "user", ""),
