@@ -3,7 +3,8 @@
 Counting.  Tokens are the words of a text (A-Z as a-z) and one end mark; n - 1
 begin marks stand before the first.  Tasks count n-grams locally (sorted
 64-bit hashes), cut the sorted runs into hash buckets, and Spark shuffles one
-binary run per task and bucket.  Each bucket is merged in one group whose size
+binary run per task and bucket (its words once, n-grams as compressed numbers
+of them).  Each bucket is merged in one group whose size
 follows ``bucket_bytes``, not the corpus.  From a bucket of order k come its
 n-grams with their counts, the totals and the numbers of continuations (N1, N2,
 N3+) of its contexts, the counts of counts for the discounts, and the runs of
@@ -44,7 +45,7 @@ from labelscope.llm import text_kernel as tk
 from labelscope.llm.scratch import Buckets, parked, save, scratch_path, shared_file_path
 
 BEGIN, END = np.uint64(0x5BD1E995A3C59AC3), np.uint64(0xC2B2AE3D27D4EB4F)
-HELD = 3_000_000  # n-grams that a counting task holds before it passes runs on
+HELD = 6_000_000  # words of n-grams that a counting task holds before it passes runs on
 SCORE_SLAB = 1 << 22
 
 
@@ -104,14 +105,40 @@ def runs(columns: np.ndarray, grams: np.ndarray, counts: np.ndarray, bits: int,
     edges = np.append(first, len(bucket))
     return pa.RecordBatch.from_arrays(
         [pa.array([f"run{order}"] * len(ids)), pa.array(ids, pa.int32()),
-         pa.array([b"".join([columns[:, a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()]) for a, b in zip(edges, edges[1:])],
-                  pa.binary())], ["kind", "bucket", "run"])
+         pa.array([pack_run(columns[:, a:b], counts[a:b]) for a, b in zip(edges, edges[1:])], pa.binary())], ["kind", "bucket", "run"])
+
+
+def pack_run(columns: np.ndarray, counts: np.ndarray) -> bytes:
+    """A run as its different words, the n-grams as numbers of words (the first, in order, as steps), and its counts."""
+    coded = pa.array(columns.ravel()).dictionary_encode()
+    words = coded.dictionary.to_numpy().astype(np.uint64)
+    index = coded.indices.to_numpy().reshape(columns.shape)
+    width = 2 if len(words) <= 1 << 16 else 4
+    rest = index[1:].astype(f"<u{width}").view(np.uint8).reshape(-1, width).T  # byte planes
+    large = np.flatnonzero(counts > 254)
+    size = np.array([columns.shape[1], len(words), len(large), width], np.int64)
+    data = b"".join(np.ascontiguousarray(x).tobytes() for x in (
+        size, words, large.astype(np.int64), counts[large].astype(np.int64), np.minimum(counts, 255).astype(np.uint8),
+        np.diff(index[0], prepend=0).astype(np.int32).view(np.uint8).reshape(-1, 4).T, rest))
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
 
 
 def read_run(run: bytes, order: int) -> tuple[np.ndarray, np.ndarray]:
-    n = len(run) // (8 * order + 4)
-    return (np.frombuffer(run, np.uint64, n * order).reshape(order, n),
-            np.frombuffer(run, np.uint32, n, 8 * order * n).astype(np.int64))
+    data = pa.Codec("zstd").decompress(run[8:], int.from_bytes(run[:8], "little"))
+    n, m, n_large, width = (int(x) for x in np.frombuffer(data, np.int64, 4))
+    at = 32
+
+    def take(dtype, k: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(data, dtype, k, at)
+        at += out.nbytes
+        return out
+    words, large, more = take(np.uint64, m), take(np.int64, n_large), take(np.int64, n_large)
+    counts = take(np.uint8, n).astype(np.int64)
+    counts[large] = more
+    steps = np.ascontiguousarray(take(np.uint8, 4 * n).reshape(4, n).T).view(np.int32).ravel()
+    rest = np.ascontiguousarray(take(np.uint8, width * n * (order - 1)).reshape(width, -1).T).view(f"<u{width}").reshape(order - 1, n)
+    return words[np.concatenate([np.cumsum(steps)[None], rest.astype(np.int64)])], counts
 
 
 def count_runs(docs: DataFrame, order: int, bits: int, hot: np.ndarray) -> DataFrame:
@@ -128,7 +155,7 @@ def count_runs(docs: DataFrame, order: int, bits: int, hot: np.ndarray) -> DataF
                 columns, _ = token_stream(*tk.word_hashes(data, starts), order)
                 columns, _, counts = merged(columns, np.ones(columns.shape[1], np.int64))
                 held.append((columns, counts))
-                n += len(counts)
+                n += order * len(counts)
                 if n > HELD:
                     yield flush()
                     held, n = [], 0
@@ -137,6 +164,11 @@ def count_runs(docs: DataFrame, order: int, bits: int, hot: np.ndarray) -> DataF
     return docs.select("text").mapInArrow(run, "kind string, bucket int, run binary")
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """The counts in the smallest type that holds them all."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
 def merge_buckets(counted: DataFrame, order: int, folder: str, bits: int, hot: np.ndarray, name: str) -> DataFrame:
     """Merge each bucket's runs, write its arrays, and return what other steps
     need: (kind, bucket, run, hot, numbers) with the runs of the next lower
@@ -161,8 +193,8 @@ def merge_buckets(counted: DataFrame, order: int, folder: str, bits: int, hot: n
             total = [np.add.reduceat(x, first) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))]
             context, burning = context[first], burning[first]
             cold = ~burning
-            save(f"{base}.context", context[cold]), save(f"{base}.total", total[0][cold].astype(np.uint64))
-            save(f"{base}.more", np.stack(total[1:])[:, cold].astype(np.uint32))
+            save(f"{base}.context", context[cold]), save(f"{base}.total", narrow(total[0][cold]))
+            save(f"{base}.more", narrow(np.stack(total[1:])[:, cold]))
             for i in np.flatnonzero(burning):
                 kinds.append("hot"), buckets.append(bucket), out_runs.append(None), numbers.append(None)
                 hots.append([int(context[i].view(np.int64))] + [int(t[i]) for t in total])
@@ -188,7 +220,7 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.05, [1, 2, 3])
 
 
-def train(docs: DataFrame, order: int = 2, bucket_bytes: int = 16 << 20) -> dict:
+def train(docs: DataFrame, order: int = 3, bucket_bytes: int = 16 << 20) -> dict:
     """Count ``docs`` (text) and write the model; returns its small description."""
     if order < 2:
         raise ValueError("order must be 2 or more")
@@ -340,7 +372,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def perplexity_report(docs: DataFrame, order: int = 2) -> DataFrame:
+def perplexity_report(docs: DataFrame, order: int = 3) -> DataFrame:
     """Train on the documents outside the held-out tenth and score every row."""
     docs = docs.select("doc_id", "text")
     model = train(docs.where(~held_out(F.col("doc_id"))), order)

@@ -232,6 +232,30 @@ def test_lm_scores_against_plain_kneser_ney(docs, texts, order):
     assert got == want
 
 
+def test_lm_query_uses_trigrams(spark):
+    from labelscope.llm.queries import op1_lm_scoring
+    from labelscope.sources.tables import read_table
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents")
+    got = {r.doc_id: r.score for r in op1_lm_scoring(spark, "/root/testdata/sf0.001").collect()}
+    scores = {n: {r.doc_id: r.score for r in lm_scoring.perplexity_report(docs, n).collect()} for n in (2, 3)}
+    assert got == pytest.approx(scores[3]) and got != pytest.approx(scores[2])
+
+
+@pytest.mark.parametrize("order,vocabulary", [(1, 50), (2, 300), (3, 3000), (4, 200_000)])
+def test_lm_runs_are_small_and_read_back(order, vocabulary):
+    rnd = np.random.default_rng(order)
+    words = rnd.integers(0, 1 << 63, vocabulary).astype(np.uint64)
+    columns = np.sort(rnd.choice(words, (order, 60_000)), axis=1)
+    for c in columns[1:]:
+        rnd.shuffle(c)
+    counts = rnd.choice([1, 2, 254, 255, 70_000], 60_000, p=[0.9, 0.07, 0.01, 0.01, 0.01])
+    run = lm_scoring.pack_run(columns, counts)
+    again = lm_scoring.read_run(run, order)
+    assert (again[0] == columns).all() and (again[1] == counts).all()
+    assert vocabulary > 3000 or len(run) < (8 * order + 4) * 60_000 / 2
+    assert all((x == y).all() for x, y in zip(lm_scoring.read_run(lm_scoring.pack_run(columns[:, :0], counts[:0]), order), (columns[:, :0], counts[:0])))
+
+
 def test_lm_probabilities_sum_to_one(spark, docs, texts):
     model = lm_scoring.train(docs.select("text"), 2)
     scorer = lm_scoring.Scorer(model)
