@@ -100,7 +100,7 @@ def multilabel_scores(truth: DataFrame, pred: DataFrame, item: str, labels: Data
 
 # ------------------------------------------------------------- folds (M4)
 
-MAX_LABELS = 4096   # of the baseline's prevalence list, which becomes part of the plan
+MAX_LABELS = 4096   # of the baseline's prevalence list as part of the plan; more are joined
 
 
 def hash_unit(seed: int, *cols):
@@ -269,12 +269,14 @@ def knn_vote(neighbors: DataFrame, train_labels: DataFrame, item: str) -> DataFr
 def random_prevalence(items_labels: DataFrame, items: DataFrame, item: str, seed: int) -> DataFrame:
     """Predict each (item, label) with probability = label prevalence, from a
     hashed uniform (reproducible): returns predicted long (item, label).
-    The prevalence list is label-sized; each item expands over it."""
+    Up to ``MAX_LABELS`` labels, the prevalence list is part of the plan and
+    each item expands over it; more are joined as a table, with the same draws."""
     distinct = items.select(item).distinct()
     n = distinct.count()
-    prev = items_labels.groupBy("label").agg((F.count(F.lit(1)) / F.lit(float(n))).alias("p")).limit(MAX_LABELS + 1).collect()
+    table = items_labels.groupBy("label").agg((F.count(F.lit(1)) / F.lit(float(n))).alias("p")).where("label is not null")
+    prev = table.limit(MAX_LABELS + 1).collect()
     if len(prev) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels for the baseline's prevalence list")
+        return distinct.join(table, hash_unit_of(seed, F.col(item), F.col("label")) < F.col("p")).select(item, "label")
     if not prev:
         return items_labels.limit(0).select(item, "label")
     drawn = F.array_compact(F.array(*[

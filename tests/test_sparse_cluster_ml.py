@@ -140,3 +140,14 @@ def test_sparse_dot_block_matches_dense():
         S = sparse_dot_block(rq, cq, Q[rq, cq], nq, rr, cr, R[rr, cr], nr, budget_bytes=4096,
                              dense_ratio=ratio)
         assert np.allclose(S, Q @ R.T)
+
+
+def test_random_prevalence_of_many_labels_gives_the_same_rows(spark, monkeypatch):
+    from labelscope.operators import multilabel
+    rows = [(i, f"l{j}") for i in range(60) for j in range(9) if (i * 7 + j * 3) % (j + 2) == 0] + [(i, None) for i in range(60)]
+    truth = spark.createDataFrame(rows, "item long, label string")
+    draw = lambda: sorted(tuple(r) for r in multilabel.random_prevalence(
+        truth, truth.select("item").union(spark.createDataFrame([(None,)], "item long")), "item", 3).collect() if r.item is not None)
+    few = draw()
+    monkeypatch.setattr(multilabel, "MAX_LABELS", 4)
+    assert few and draw() == few
