@@ -74,8 +74,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from labelscope.llm.divergence import audit
+    return audit(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_token_output, op3_quality_rules, op4_decontamination, op5_license_scan,
-                                  op6_mixing, op7_secret_scan, op8_near_duplicates, op9_chat_format, op10_token_counts)}
+                                  op6_mixing, op7_secret_scan, op8_near_duplicates, op9_chat_format, op10_token_counts, op11_source_divergence)}
 
 _MARKS = r"</?s>|\[/?(SYS|INST|OUT|ANON|ROLE|TEXT)\]"
 _LENGTH = "(length({0}) + length({0}) - length(replace({0}, '\\', '')) + len(regexp_extract_all({0}, '" + _MARKS + "')))"
@@ -96,4 +101,25 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
        regexp_full_match(roles, 's?(ua)+') AS valid,
        CASE WHEN regexp_full_match(roles, 's?(ua)+') THEN 'answered' WHEN regexp_full_match(roles, 's?(ua)*u') THEN 'asked'
             WHEN roles = 's' THEN 'briefed' ELSE 'broken' END AS end_state
-FROM g"""}
+FROM g""", "op11_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+langs AS (SELECT lang, sum(lang_n) AS lang_total, CAST(count(*) AS HUGEINT) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+             1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (coalesce(t.total, 0) + 5 * l.v) AS p,
+             1 + (1000000000 * (k.lang_n + 5)) // (l.lang_total + 5 * l.v) AS q
+      FROM g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source
+           LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+           LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+s AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM s WHERE part = 'pair' OR rank <= 50"""}
