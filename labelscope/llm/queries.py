@@ -85,9 +85,14 @@ def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from labelscope.llm.whitening import whiten
+    return whiten(read_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_token_output, op3_quality_rules, op4_decontamination, op5_license_scan,
                                   op6_mixing, op7_secret_scan, op8_near_duplicates, op9_chat_format, op10_token_counts, op11_source_divergence,
-                                  op12_bpe_round_trip)}
+                                  op12_bpe_round_trip, op13_embedding_whitening)}
 
 _MARKS = r"</?s>|\[/?(SYS|INST|OUT|ANON|ROLE|TEXT)\]"
 _LENGTH = "(length({0}) + length({0}) - length(replace({0}, '\\', '')) + len(regexp_extract_all({0}, '" + _MARKS + "')))"
