@@ -50,10 +50,27 @@ def multilabel_dataset(df: DataFrame, item: str, text: str, label: str, min_per_
     return sets.select(item, text).join(kept_sets, item, "inner"), kept
 
 
-def multi_hot(items: DataFrame, classes: list, out: str = "y") -> DataFrame:
-    """0/1 array over the sorted class list (M2; classes are label-sized)."""
-    cl = F.array(*[F.lit(c) for c in sorted(classes)])
-    return items.withColumn(out, F.transform(cl, lambda c: F.array_contains("labels", c).cast("int")))
+def label_index(kept: DataFrame) -> DataFrame:
+    """(label, ix): the labels numbered from 0 in their order (M2)."""
+    from labelscope.operators.order_stats import numbered
+    return numbered(kept.select("label").distinct(), [], ["label"], "ix").select("label", F.col("ix").cast("int").alias("ix"))
+
+
+def label_indices(items: DataFrame, index: DataFrame, item: str, out: str = "y") -> DataFrame:
+    """(item, out array<int>): the ascending indices of each item's labels, a
+    sparse row of the 0/1 matrix (M2).  The labels are joined, so their number
+    shows neither in the plan nor on the driver; labels without an index have
+    no column, and an item without labels has an empty row."""
+    rows = items.select(item, F.explode_outer("labels").alias("label")).join(index, "label", "left")
+    return rows.groupBy(item).agg(F.sort_array(F.collect_set("ix")).alias(out))
+
+
+def multi_hot(items: DataFrame, index: DataFrame, item: str, out: str = "y") -> DataFrame:
+    """(item, out): 0/1 array over all labels of ``index`` (M2)."""
+    n = index.agg(F.count(F.lit(1)).cast("int").alias("_n")).withColumn("_k", F.lit(0))
+    rows = label_indices(items, index, item, "_ix").withColumn("_k", F.lit(0)).join(n, "_k")   # one row: its number of labels
+    hot = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.array_contains("_ix", i).cast("int"))
+    return rows.select(item, F.when(F.col("_n") > 0, hot).otherwise(F.array().cast("array<int>")).alias(out))
 
 
 # ------------------------------------------------------------- metrics (M3)
@@ -100,7 +117,8 @@ def multilabel_scores(truth: DataFrame, pred: DataFrame, item: str, labels: Data
 
 # ------------------------------------------------------------- folds (M4)
 
-MAX_LABELS = 4096   # of the baseline's prevalence list as part of the plan; more are joined
+MAX_LABELS = 4096   # labels in one block of the baseline's prevalence table
+DRAWN_ROWS = 100_000   # items that meet a block in one task, about
 
 
 def hash_unit(seed: int, *cols):
@@ -114,23 +132,41 @@ def hash_unit_of(seed: int, *values):
     return h / F.lit(4294967296.0)
 
 
+def deal_groups(histogram: list[tuple[int, int]], n_splits: int) -> list[tuple[int, int, int, list[int]]]:
+    """(size, first, end, folds): groups of ``size`` rows numbered first..end-1
+    go to ``folds`` in turn.  Larger groups first; each goes to a fold with the
+    fewest rows, give or take one group, so folds differ by at most the largest
+    group.  ``histogram``: (size, number of groups of that size)."""
+    load, out = [0] * n_splits, []
+    for size, n in sorted(histogram, reverse=True):
+        at = 0
+        while at < n:
+            order = sorted(range(n_splits), key=lambda f: (load[f], f))
+            near = [f for f in order if load[f] <= load[order[0]] + size]
+            take = n - at
+            if len(near) < n_splits:   # only until the next fold is reached
+                take = min(take, len(near) * max(1, (load[order[len(near)]] - load[near[-1]]) // size))
+            out.append((size, at, at + take, near))
+            for i, f in enumerate(near):
+                load[f] += size * (take // len(near) + (i < take % len(near)))
+            at += take
+    return out
+
+
 def group_folds(df: DataFrame, group: str, n_splits: int = 5, seed: int = 0, out: str = "fold") -> DataFrame:
-    """Whole groups to balanced folds (M4): the distinct groups are ranked by a
-    hashed uniform (ties by the group) and dealt out in turn, fold = rank mod
-    n, so every fold has the same number of groups, give or take one, and all
-    rows of a group one fold.
-
-    The rank needs no global sort in one task: the hash range is cut into
-    slices, groups are ranked inside their slice, and the slice's offset comes
-    from a table of one row per slice."""
-    slices = 256
-    u = hash_unit(seed, group)
-    g = df.select(group).distinct().withColumn("_u", u).withColumn("_s", F.floor(F.col("_u") * slices).cast("int"))
-    per = g.groupBy("_s").agg(F.count(F.lit(1)).alias("_c"))
-    before = per.select("_s", (F.sum("_c").over(Window.orderBy("_s")) - F.col("_c")).alias("_b"))
-    rank = F.row_number().over(Window.partitionBy("_s").orderBy("_u", group)) - 1
-    folds = g.withColumn("_r", rank).join(F.broadcast(before), "_s").select(
-        F.col(group).alias("_g"), ((F.col("_r") + F.col("_b")) % n_splits).cast("int").alias(out))
+    """Whole groups to folds balanced by rows (M4): all rows of a group go to
+    one fold, and folds differ by at most the largest group's rows.  Groups of
+    one size are numbered in the order of a hashed uniform (ties by the group)
+    and dealt out by :func:`deal_groups` from the histogram of the sizes, which
+    has at most sqrt(2 * rows) lines; single-row groups are dealt in turn."""
+    from labelscope.operators.order_stats import numbered
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_u", hash_unit(seed, group))
+    ranked = numbered(sizes, ["_n"], ["_u", group], "_r")
+    histogram = [(r["_n"], r["count"]) for r in ranked.groupBy("_n").count().collect()]
+    deals = df.sparkSession.createDataFrame(deal_groups(histogram, n_splits), "_n long, _from long, _to long, _folds array<int>")
+    place = ((F.col("_r") - F.col("_from")) % F.size("_folds") + 1).cast("int")
+    folds = ranked.join(F.broadcast(deals), "_n").where("_r >= _from and _r < _to").select(
+        F.col(group).alias("_g"), F.element_at("_folds", place).alias(out))
     return df.join(folds, df[group].eqNullSafe(folds["_g"])).drop("_g")
 
 
@@ -162,7 +198,7 @@ def knn_dense(test: DataFrame, train: DataFrame, item: str, vec: str, k: int = 3
         nx = np.linalg.norm(X, axis=1)[:, None]
         ny = np.linalg.norm(Y, axis=1)[None, :]
         with np.errstate(divide="ignore", invalid="ignore"):
-            S = np.where((nx > 0) & (ny > 0), (X @ Y.T) / (nx * ny), 0.0)
+            S = np.round(np.where((nx > 0) & (ny > 0), (X @ Y.T) / (nx * ny), 0.0), 12)   # equal ones tie
         if fold:
             S[lp[fold].to_numpy()[:, None] == rp[fold].to_numpy()[None, :]] = -np.inf
         # rows and columns that can hold one of the k best of a row: everything from its k-th value up
@@ -269,19 +305,21 @@ def knn_vote(neighbors: DataFrame, train_labels: DataFrame, item: str) -> DataFr
 def random_prevalence(items_labels: DataFrame, items: DataFrame, item: str, seed: int) -> DataFrame:
     """Predict each (item, label) with probability = label prevalence, from a
     hashed uniform (reproducible): returns predicted long (item, label).
-    Up to ``MAX_LABELS`` labels, the prevalence list is part of the plan and
-    each item expands over it; more are joined as a table, with the same draws."""
+    Labels are held in blocks of ``MAX_LABELS``; an item meets each block in an
+    equi-join and draws its labels inside it, so neither the plan nor the
+    driver holds labels.  The blocks are repeated for salts of the items, so a
+    block's items spread over as many tasks as their number asks for."""
     distinct = items.select(item).distinct()
-    n = distinct.count()
-    table = items_labels.groupBy("label").agg((F.count(F.lit(1)) / F.lit(float(n))).alias("p")).where("label is not null")
-    prev = table.limit(MAX_LABELS + 1).collect()
-    if len(prev) > MAX_LABELS:
-        return distinct.join(table, hash_unit_of(seed, F.col(item), F.col("label")) < F.col("p")).select(item, "label")
-    if not prev:
-        return items_labels.limit(0).select(item, "label")
-    drawn = F.array_compact(F.array(*[
-        F.when(hash_unit_of(seed, F.col(item), F.lit(r["label"])) < float(r["p"]), F.lit(r["label"])) for r in prev]))
-    return distinct.select(item, F.explode(drawn).alias("label"))
+    n, n_labels = distinct.count(), items_labels.select("label").distinct().count()
+    salts, blocks_ = max(1, n // DRAWN_ROWS), max(1, -(-n_labels // MAX_LABELS))
+    block = F.pmod(F.xxhash64("label"), F.lit(blocks_))
+    table = items_labels.where("label is not null").groupBy("label").agg((F.count(F.lit(1)) / F.lit(float(n))).alias("p"))
+    table = (table.groupBy(block.alias("_block")).agg(F.collect_list(F.struct("label", "p")).alias("_labels"))
+                  .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))))
+    rows = (distinct.withColumn("_salt", F.pmod(F.xxhash64(F.col(item).cast("string")), F.lit(salts)))
+                    .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_ - 1).cast("long")))))
+    drawn = F.filter("_labels", lambda x: hash_unit_of(seed, F.col(item), x["label"]) < x["p"])
+    return rows.join(table, ["_block", "_salt"]).select(item, F.explode(drawn).alias("_l")).select(item, F.col("_l.label").alias("label"))
 
 
 # ------------------------------------------------------------- logistic (M5)

@@ -7,12 +7,11 @@ one task.  Here the order is assembled from pieces:
 
 1. distinct values per group with their counts (partial aggregate, so a
    value repeated millions of times is one row);
-2. each group's value range is cut into up to ``buckets`` slices between
-   values of a bounded sample (the ``SAMPLE`` values with the smallest hash,
-   a window group limit) -- any orderable type, the same path at every size;
-   a hot group is spread over all slices, a small group uses few;
-3. a running count inside each (group, slice) window, and the slice
-   offsets from a tiny (group x slice) table.
+2. these rows are range-partitioned by (group, value): as many partitions as
+   the session shuffles to, of about equal size whatever the groups' sizes --
+   a hot group spreads over as many as its values fill, small groups share one;
+3. a running count inside each (group, partition) window, and the offset of
+   each partition from a table of one row per group and partition.
 
 The result is exact: ``before`` is the number of rows of the group with a
 smaller value, so the average rank is ``before + (cnt + 1) / 2`` and the
@@ -26,35 +25,42 @@ from pyspark.sql import functions as F
 
 from labelscope.session import cut_lineage
 
-BUCKETS = 64
-SAMPLE = 1024
 
+def ranged(df: DataFrame, keys: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """``df`` stored in ranges of ``keys``, with ``_bk``: the range a row is in.
+    Rows equal in ``keys`` share a range.  ``parts``: number of ranges (default:
+    the session's shuffle partitions)."""
+    spread = df.repartitionByRange(*([parts] if parts else []), *keys)
+    return cut_lineage(spread.withColumn("_bk", F.spark_partition_id()), name)
 
-def _sliced(df: DataFrame, key: str, value: str, buckets: int) -> DataFrame:
-    """``df`` with ``_bk``: the slice of its group's range that ``value`` falls into."""
-    first = Window.partitionBy(key).orderBy(F.xxhash64(value), F.col(value))
-    sample = df.select(key, value).withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= SAMPLE)
-    s = sample.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("_s"))   # at most SAMPLE values a group
-    at = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)),
-                     lambda i: F.get("_s", F.floor(i * F.size("_s") / buckets).cast("int")))
-    bounds = s.select(key, F.array_distinct(at).alias("_b"))
-    return (df.join(bounds, key)
-              .withColumn("_bk", F.size(F.filter("_b", lambda b: b < F.col(value)))).drop("_b"))
 
+def numbered(df: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
+    """``df`` with ``out``: a row's number from 0 among those equal in ``by``, in
+    the order of ``order`` -- ``row_number`` without one task per group.  Rows
+    without a null in ``by``."""
+    keys = [*by, *order]
+    placed = cut_lineage(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(
+        "_at", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn("_bk", F.shiftright("_at", 33))   # the id's high bits are the partition
+    first = placed.groupBy(*by, "_bk").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    first = first.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_first")).drop("_c", "_first")
+    return placed.join(first, [*by, "_bk"]).withColumn(out, F.col("_at") + F.col("_off")).drop("_at", "_bk", "_off")
 
-def rank_table(df: DataFrame, key: str | None, value: str, buckets: int = BUCKETS,
+
+def rank_table(df: DataFrame, key: str | None, value: str, buckets: int | None = None,
                rep: str | None = None) -> DataFrame:
     """(key, value, cnt, before, n[, rep]) per distinct value of each group.
     ``rep`` (optional) carries min(rep) per distinct value (e.g. the raw
     measure behind a rounded ranking value).  ``key=None`` ranks the whole
-    column as one group."""
+    column as one group.  ``buckets``: number of ranges, as in :func:`ranged`."""
     k = key or "_all"
     base = df if key else df.withColumn(k, F.lit(0))
     aggs = [F.count(F.lit(1)).alias("_cnt")]
     if rep:
         aggs.append(F.min(rep).alias("_rep"))
-    g = cut_lineage(base.filter(F.col(value).isNotNull() & F.col(k).isNotNull()).groupBy(k, value).agg(*aggs), "values")
-    g = _sliced(g, k, value, buckets)
+    g = ranged(base.filter(F.col(value).isNotNull() & F.col(k).isNotNull()).groupBy(k, value).agg(*aggs),
+               [k, value], "values", buckets)
     w_in = Window.partitionBy(k, "_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     g = g.withColumn("_lb", F.coalesce(F.sum("_cnt").over(w_in), F.lit(0)))
     s = g.groupBy(k, "_bk").agg(F.sum("_cnt").alias("_bc"))
@@ -88,14 +94,14 @@ def quantiles(rt: DataFrame, key: str | None, value: str, probs: dict[str, float
     return q.select(*out)
 
 
-def next_in_group(df: DataFrame, group: str, order: str, cols: list[str], buckets: int = BUCKETS,
+def next_in_group(df: DataFrame, group: str, order: str, cols: list[str], buckets: int | None = None,
                   prefix: str = "next_") -> DataFrame:
     """Each row with the ``cols`` of the following row of its group in
     ``order`` (null for the last row): ``lead`` without one task per group.
-    ``lead`` runs inside each slice of the group's order range, and a slice's
-    last row takes the first row of the next non-empty slice from a
-    (group x slice) table.  Rows without a group or an order have no place."""
-    d = _sliced(df.filter(F.col(group).isNotNull() & F.col(order).isNotNull()), group, order, buckets)
+    ``lead`` runs inside each range of (group, order), and a range's last row
+    of a group takes the first row of the group's next range from a table of
+    one row per group and range.  Rows without a group or an order have no place."""
+    d = ranged(df.filter(F.col(group).isNotNull() & F.col(order).isNotNull()), [group, order], "ordered", buckets)
     w = Window.partitionBy(group, "_bk").orderBy(order)
     d = d.withColumn("_end", F.lead(F.lit(1)).over(w).isNull())
     for c in cols:

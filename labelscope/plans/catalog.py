@@ -691,8 +691,8 @@ def q_multilabel_items(spark, sf):
 @query("multi_hot")
 def q_multi_hot(spark, sf):
     items, kept = ml_dataset(spark, sf)
-    classes = [r[0] for r in kept.select("label").collect()]   # label-sized
-    return ml.multi_hot(items, classes).select("doc_id", F.array_join(F.col("y").cast("array<string>"), "|").alias("y"))
+    return ml.multi_hot(items, ml.label_index(kept), "doc_id").select(
+        "doc_id", F.array_join(F.col("y").cast("array<string>"), "|").alias("y"))
 
 
 @query("group_folds")
@@ -708,42 +708,57 @@ def q_knn_neighbors(spark, sf):
     return rnd(ml.knn_dense(v, v, "vec_id", "embedding", KNN_K, fold="fold"))
 
 
-def knn_fold_predictions(spark, sf):
-    """All folds in one plan: per-fold TF-IDF fitted on the training items
-    only (fold-wise document frequencies), brute-force cosine 3-NN inside
-    each fold, distance-weighted vote.  Returns (predictions, truth, folds, kept)."""
-    from labelscope.operators import sparse
+def _predictions(spark, sf, encoder, classifier):
+    """Every item's labels as predicted from the other folds, in one plan for all folds."""
+    from labelscope.plans.multilabel_pipelines import fold_predictions
+    items, _ = ml_dataset(spark, sf)
+    pred, _ = fold_predictions(items, "doc_id", "text", encoder, classifier, N_SPLITS, SEED, KNN_K, TFIDF_MIN_DF, TFIDF_MAX_DF)
+    return pred.select("doc_id", "label")
+
+
+def _crossval(spark, sf, encoder, classifier):
+    from labelscope.plans.multilabel_pipelines import crossval
     items, kept = ml_dataset(spark, sf)
-    fitems = ml.group_folds(items, "doc_id", N_SPLITS, SEED).persist()
-    truth = fitems.select("doc_id", "fold", F.explode("labels").alias("label"))
-    sizes = {r["fold"]: r["count"] for r in fitems.groupBy("fold").count().collect()}   # <= N_SPLITS rows
-    for f in range(N_SPLITS):
-        sizes.setdefault(f, 0)
-    tf_all = (sparse.term_counts(fitems, "doc_id", "text")
-              .join(fitems.select("doc_id", "fold"), "doc_id"))
-    w_tr, w_te = sparse.tfidf_folds(tf_all, "doc_id", "fold", sizes, TFIDF_MIN_DF, TFIDF_MAX_DF)
-    fl = F.array(*[F.lit(f) for f in range(N_SPLITS)])
-    test_items = fitems.select(F.col("fold").alias("_f"), "doc_id")
-    train_items = fitems.select("doc_id", F.explode(F.array_remove(fl, F.col("fold"))).alias("_f"))
-    nb = ml.knn_sparse(w_te, w_tr, "doc_id", KNN_K, test_items=test_items, train_items=train_items, by="_f")
-    pred = ml.knn_vote(nb, truth.select("doc_id", "label"), "doc_id")
-    pred = pred.join(fitems.select("doc_id", "fold"), "doc_id")
-    return pred, truth, fitems, kept
+    return rnd(crossval(items, kept, "doc_id", "text", encoder, classifier, N_SPLITS, seed=SEED, k=KNN_K,
+                        min_df=TFIDF_MIN_DF, max_df=TFIDF_MAX_DF))
 
 
 @query("knn_predict")
 def q_knn_predict(spark, sf):
-    pred, _, _, _ = knn_fold_predictions(spark, sf)
-    return pred.select("doc_id", "label")
+    return _predictions(spark, sf, "tfidf", "knn")
 
 
 @query("knn_crossval")
 def q_knn_crossval(spark, sf):
-    pred, truth, fitems, kept = knn_fold_predictions(spark, sf)
-    per_fold = ml.multilabel_scores(truth, pred, "doc_id", kept, items=fitems.select("doc_id", "fold"),
-                                    by="fold", groups=list(range(N_SPLITS)))
-    return rnd(per_fold.agg(F.avg("f1_macro").alias("f1_macro"), F.avg("f1_micro").alias("f1_micro"),
-                            F.avg("jaccard_samples").alias("jaccard_samples")))
+    return _crossval(spark, sf, "tfidf", "knn")
+
+
+@query("knn_predict_dense")
+def q_knn_predict_dense(spark, sf):
+    return _predictions(spark, sf, "dense", "knn")
+
+
+@query("knn_crossval_dense")
+def q_knn_crossval_dense(spark, sf):
+    return _crossval(spark, sf, "dense", "knn")
+
+
+@query("tfidf_logistic_checks")
+def q_tfidf_logistic_checks(spark, sf):
+    """Per fold and label of the TF-IDF logistic pipeline: class counts of the
+    training items, whether the fit is optimal (gradient of its loss near zero),
+    and how many of the fold's test items were judged."""
+    from labelscope.operators import ovr
+    from labelscope.plans.multilabel_pipelines import Folded, fit_logistic
+    items, _ = ml_dataset(spark, sf)
+    d = Folded(items, "doc_id", "text", N_SPLITS, SEED)
+    train_w, test_w = d.tfidf(TFIDF_MIN_DF, TFIDF_MAX_DF)
+    model, train, weights, index = fit_logistic(d, train_w)
+    judged = ovr.margins(model, d.test_items, ovr.indexed(test_w, index), "_f", "doc_id").select(
+        "_f", "block", F.posexplode("margin").alias("at", "margin")).withColumn("ix", (F.col("block") * ovr.LABEL_BLOCK + F.col("at")).cast("int"))
+    judged = judged.groupBy("_f", "ix").agg(F.count("margin").alias("n_judged")).join(model.labels, "ix").select("_f", "label", "n_judged")
+    return ovr.gradients(model, train, weights, "_f", "doc_id").join(judged, ["_f", "label"]).select(
+        F.col("_f").alias("fold"), "label", "n_items", "n_positive", (F.col("gradient") < 1e-4).alias("optimal"), "n_judged")
 
 
 @query("random_baseline")
@@ -847,6 +862,7 @@ def q_unmatched_vectors(spark, sf):
 
 @query("vectors_aligned")
 def q_vectors_aligned(spark, sf):
-    docs = fx.labelled_text(spark, sf).select(F.col("doc_id").alias("vec_id"), "source")
-    aligned = dense.align_vectors(docs, fx.labelled_vectors(spark, sf).select("vec_id", "embedding"), "vec_id")
-    return long_vectors(aligned, "vec_id", "embedding")
+    """The documents that have a vector (``unmatched_vectors`` lists the others), one vector each, checked."""
+    vectors = fx.labelled_vectors(spark, sf).select("vec_id", "embedding")
+    docs = fx.labelled_text(spark, sf).select(F.col("doc_id").alias("vec_id"), "source").join(vectors, "vec_id", "left_semi")
+    return long_vectors(dense.align_vectors(docs, vectors, "vec_id"), "vec_id", "embedding")

@@ -754,3 +754,26 @@ SELECT count(*) AS n_rows, 10 AS n_clusters, 0 AS n_rows_nearer_elsewhere, CAST(
 SQL["logistic_checks"] = "WITH" + _ML + """
 SELECT kept.label, count(DISTINCT fitems.doc_id) AS n_items, count(DISTINCT kl.doc_id) AS n_positive, TRUE AS optimal
 FROM kept CROSS JOIN fitems LEFT JOIN kl ON kl.doc_id = fitems.doc_id AND kl.label = kept.label GROUP BY kept.label"""
+
+SQL["tfidf_logistic_checks"] = "WITH" + _ML + """,
+fold_ids AS (SELECT CAST(range AS INTEGER) AS fold FROM range(5)),
+c AS (SELECT f.fold, kept.label, count(DISTINCT i.doc_id) AS n_items, count(DISTINCT kl.doc_id) AS n_positive
+      FROM fold_ids f CROSS JOIN kept JOIN fitems i ON i.fold <> f.fold
+           LEFT JOIN kl ON kl.doc_id = i.doc_id AND kl.label = kept.label GROUP BY ALL)
+SELECT c.fold, c.label, c.n_items, c.n_positive, TRUE AS optimal,
+       (SELECT count(*) FROM fitems WHERE fitems.fold = c.fold) AS n_judged FROM c"""
+
+_KNN_DENSE = (_KNN[:_KNN.index("tok AS (")] + _KNN[_KNN.index("ftr AS ("):_KNN.index("ntr AS (")]
+              + f"""dtok AS (SELECT doc_id, unnest({_toks('text')}) AS token FROM fitems),
+ds AS (SELECT doc_id, CAST(('0x' || substr(md5(token), 1, 7)) AS BIGINT) % 64 AS dim,
+              sum(CASE WHEN CAST(('0x' || substr(md5(token), 8, 1)) AS BIGINT) < 8 THEN 1 ELSE -1 END) AS v
+       FROM dtok GROUP BY ALL HAVING v <> 0),
+dv AS (SELECT doc_id, dim, CAST(CAST(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE) AS w FROM ds),
+dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM dv GROUP BY doc_id),
+sims AS (SELECT a.doc_id AS q, b.doc_id AS r, sum(a.w * b.w) / (any_value(x.n) * any_value(y.n)) AS s
+         FROM dv a JOIN dv b ON a.dim = b.dim JOIN dn x ON x.doc_id = a.doc_id JOIN dn y ON y.doc_id = b.doc_id GROUP BY ALL),
+pairs AS (SELECT fte.f, fte.doc_id AS q, ftr.doc_id AS r, coalesce(sims.s, 0) AS s
+          FROM fte JOIN ftr ON fte.f = ftr.f LEFT JOIN sims ON sims.q = fte.doc_id AND sims.r = ftr.doc_id),
+""" + _KNN[_KNN.index("nb AS ("):])
+SQL["knn_predict_dense"] = SQL["knn_predict"].replace(_KNN, _KNN_DENSE)
+SQL["knn_crossval_dense"] = SQL["knn_crossval"].replace(_KNN, _KNN_DENSE)

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
@@ -50,6 +51,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = d.get() if d.isDefined() else None
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         # only reached in local tests: no cluster-wide folder configured
         d = tempfile.mkdtemp(prefix="labelscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
@@ -57,9 +60,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "table", schema: StructType | None = None) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: computed once,
-    a short plan for what follows, and nothing lost with an executor."""
+    a short plan for what follows, and nothing lost with an executor.
+    ``schema`` reads it as other types of the same storage (ML vectors)."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/labelscope-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
