@@ -13,19 +13,19 @@ Weights follow the usual smoothed TF-IDF: ``tf' = 1 + ln(tf)`` (sublinear),
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelscope.functions.stopwords import STOP_WORDS_EN
 from labelscope.functions.text import ngrams, tokens
-from labelscope.operators import blocks
+from labelscope.operators.order_stats import next_in_group, numbered
+from labelscope.session import cut_lineage
 
-
-ROW_BYTES = 256   # of a (label, term, weight) row in pandas: two strings, a number, the frame's own
+LABEL_BLOCK = 64   # labels whose centroid entries of a term share one vector
 
 
 def doc_tokens(df: DataFrame, item: str, text: str, stop_words=STOP_WORDS_EN) -> DataFrame:
@@ -44,10 +44,10 @@ def doc_ngrams(df: DataFrame, item: str, text: str, stop_words=STOP_WORDS_EN,
 
 def term_counts(df: DataFrame, item: str, text: str, stop_words=STOP_WORDS_EN,
                 bigrams: bool = True) -> DataFrame:
-    """(item, term, tf) (X4 input).  Rows of one document sit in one input
-    partition, so the partial aggregate already reduces them to distinct terms
-    before the shuffle."""
-    return (doc_ngrams(df, item, text, stop_words, bigrams)
+    """(item, term, tf) (X4 input).  The texts are dealt out by item before they
+    are cut into n-grams, several times their size: the counts, and the norms
+    that follow, then need no shuffle of their own."""
+    return (doc_ngrams(df.select(item, text).repartition(F.col(item)), item, text, stop_words, bigrams)
             .groupBy(item, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -66,17 +66,32 @@ def fit_vocabulary(tf: DataFrame, n_docs: int, min_df=1, max_df=1.0) -> DataFram
 
 def weigh(tf: DataFrame, vocab: DataFrame, item: str, sublinear: bool = True,
           norm: bool = True) -> DataFrame:
-    """(item, term, weight): tf' x idf over the vocabulary, rows L2-normalised."""
-    tfw = F.lit(1.0) + F.log(F.col("tf")) if sublinear else F.col("tf").cast("double")
-    w = (tf.join(vocab.select("term", "idf"), "term", "inner")
-           .select(item, "term", (tfw * F.col("idf")).alias("weight")))
+    """(item, term, weight): tf' x idf over the vocabulary, rows L2-normalised.
+    The unnormalised weights are stored, as the norms -- a key-sized aggregate
+    joined back, so a group holding most of the terms is summed map-side -- read
+    them too.  For items that are single texts: :func:`weigh_items`."""
+    w = _raw_weights(tf, vocab, item, sublinear)
     if not norm:
         return w
-    # a key-sized aggregate joined back: a group holding most of the terms is summed map-side
+    w = cut_lineage(w, "raw-weights")
     nrm = w.groupBy(item).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_nrm"))
     return w.join(nrm, item).select(item, "term", (F.col("weight") / F.col("_nrm")).alias("weight"))
 
 
+def _raw_weights(tf: DataFrame, vocab: DataFrame, item: str, sublinear: bool) -> DataFrame:
+    tfw = F.lit(1.0) + F.log(F.col("tf")) if sublinear else F.col("tf").cast("double")
+    return tf.join(vocab.select("term", "idf"), "term", "inner").select(item, "term", (tfw * F.col("idf")).alias("weight"))
+
+
+def weigh_items(tf: DataFrame, vocab: DataFrame, item: str, sublinear: bool = True) -> DataFrame:
+    """:func:`weigh` where an item is one text: its terms meet in one row, which
+    is normalised and opened again, so the weights are computed once."""
+    rows = _raw_weights(tf, vocab, item, sublinear).groupBy(item).agg(F.collect_list(F.struct("term", "weight")).alias("_t"))
+    rows = rows.withColumn("_nrm", F.sqrt(F.aggregate("_t", F.lit(0.0), lambda s, t: s + t["weight"] * t["weight"])))
+    return rows.select(item, "_nrm", F.explode("_t").alias("_e")).select(
+        item, F.col("_e.term").alias("term"), (F.col("_e.weight") / F.col("_nrm")).alias("weight"))
+
+
 def tfidf_fit_transform(df: DataFrame, item: str, text: str, min_df=1, max_df=1.0,
                         stop_words=STOP_WORDS_EN, sublinear: bool = True,
                         bigrams: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -89,7 +104,7 @@ def tfidf_fit_transform(df: DataFrame, item: str, text: str, min_df=1, max_df=1.
         raise ValueError(f"tfidf_fit_transform: {item} is not unique; keep one row per item")
     tf = term_counts(df, item, text, stop_words, bigrams)
     vocab = fit_vocabulary(tf, n_docs, min_df, max_df)
-    return weigh(tf, vocab, item, sublinear), vocab
+    return weigh_items(tf, vocab, item, sublinear), vocab
 
 
 def tfidf_fit_counts(tf: DataFrame, n_docs: int, item: str, min_df=1, max_df=1.0,
@@ -97,14 +112,14 @@ def tfidf_fit_counts(tf: DataFrame, n_docs: int, item: str, min_df=1, max_df=1.0
     """Fit and weight from precomputed ``(item, term, tf)`` counts (lets
     cross-validation tokenise every document once for all folds)."""
     vocab = fit_vocabulary(tf, n_docs, min_df, max_df)
-    return weigh(tf, vocab, item, sublinear), vocab
+    return weigh_items(tf, vocab, item, sublinear), vocab
 
 
 def tfidf_transform(df: DataFrame, vocab: DataFrame, item: str, text: str,
                     stop_words=STOP_WORDS_EN, sublinear: bool = True,
                     bigrams: bool = True) -> DataFrame:
     """Weight new rows with a fitted ``(term, idf)`` table."""
-    return weigh(term_counts(df, item, text, stop_words, bigrams), vocab, item, sublinear)
+    return weigh_items(term_counts(df, item, text, stop_words, bigrams), vocab, item, sublinear)
 
 
 def group_term_counts(df: DataFrame, group: str, text: str, order_by: str,
@@ -117,7 +132,6 @@ def group_term_counts(df: DataFrame, group: str, text: str, order_by: str,
     ends = (toks.filter(F.size("_t") > 0)
                 .select(group, order_by, F.element_at("_t", 1).alias("_first"),
                         F.element_at("_t", -1).alias("_last")))
-    from labelscope.operators.order_stats import next_in_group
     border = (next_in_group(ends, group, order_by, ["_first"], prefix="_next")
               .filter(F.col("_next_first").isNotNull())
               .select(group, F.concat("_last", F.lit(" "), "_next_first").alias("term")))
@@ -178,74 +192,44 @@ def own_distance_sparse(weights: DataFrame, labels: DataFrame, centroids: DataFr
                   .select(item, label, (F.lit(1.0) - F.coalesce("_dot", F.lit(0.0))).alias(out)))
 
 
+def label_blocks(centroids: DataFrame, label: str, block: int = LABEL_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """((term, block, vector), (label, ix)): every term's centroid entries as one
+    sparse vector per block of ``block`` successive labels that hold it."""
+    index = cut_lineage(numbered(centroids.select(label).distinct(), [], [label], "ix"), "label-index")
+    placed = centroids.join(index, label).groupBy("term", F.floor(F.col("ix") / block).cast("int").alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct((F.col("ix") % block).cast("int").alias("at"), "centroid"))).alias("_c"))
+    stored = placed.select("term", "block", F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(block).alias("size"),
+        F.col("_c.at").alias("indices"), F.col("_c.centroid").alias("values")).alias("vector"))
+    schema = T.StructType([T.StructField(f.name, VectorUDT()) if f.name == "vector" else f for f in stored.schema.fields])
+    return cut_lineage(stored, "label-blocks", schema), index
+
+
 def nearest_centroid_sparse(weights: DataFrame, items: DataFrame, centroids: DataFrame,
                             item: str, label: str, out_label: str = "nearest_label",
-                            out_dist: str = "nearest_dist") -> DataFrame:
+                            out_dist: str = "nearest_dist", block: int = LABEL_BLOCK) -> DataFrame:
     """Most similar label centroid for every item of ``items`` (V5, sparse).
 
     ``items`` are (item, label) rows: every label of theirs takes part, also
     one whose centroid has no kept term.  Similarities are rounded to 12
     digits; ties and items with no shared term go to the smallest label
-    (distance 1.0).  The centroid table is counted first; if it is under the
-    broadcast limit (``ROW_BYTES`` a row, as pandas holds it) it is shipped to
-    every task and each partition keeps only its items' best label; beyond
-    that limit the same result comes from the distributed term join.
+    (distance 1.0).
+
+    One way at every size: each term's centroid entries are a sparse vector per
+    block of labels, an item's terms meet them in a join, and one weighted
+    vector sum per (item, block) -- combined before it is shuffled -- gives the
+    similarities to the block's labels, of which only the best goes on.
     """
-    spark = weights.sparkSession
     label_type = centroids.schema[label].dataType
+    vectors, index = label_blocks(centroids, label, block)
     first = items.agg(F.min(label)).first()[0]
-    n_rows = centroids.count()
-    if 0 < n_rows <= blocks.broadcast_limit(spark) // ROW_BYTES:
-        cpdf = centroids.select(label, "term", "centroid").toPandas()
-        lab_sorted = sorted(cpdf[label].unique().tolist())
-        pos = {v: i for i, v in enumerate(lab_sorted)}
-        cpdf["_li"] = cpdf[label].map(pos).astype(np.int64)
-        bc = spark.sparkContext.broadcast((cpdf[["term", "_li", "centroid"]], np.array(lab_sorted, dtype=object)))
-        item_type = weights.schema[item].dataType
-        schema = T.StructType([T.StructField(item, item_type), T.StructField(out_label, label_type),
-                               T.StructField(out_dist, T.DoubleType())])
-
-        def kern(batches):
-            cent, labs = bc.value
-            nl = len(labs)
-            for b in batches:
-                n = b.num_rows
-                if n == 0:
-                    continue
-                ids = b.column(0).to_pandas()
-                terms_col, w_col = b.column(1), b.column(2)
-                lens = np.diff(terms_col.offsets.to_numpy())
-                flat = pd.DataFrame({"_row": np.repeat(np.arange(n), lens),
-                                     "term": terms_col.flatten().to_pandas(),
-                                     "w": w_col.flatten().to_numpy(zero_copy_only=False)})
-                m = flat.merge(cent, on="term", how="inner")
-                step = max(1, 4_000_000 // max(nl, 1))
-                best_i = np.zeros(n, dtype=np.int64)
-                best_s = np.zeros(n)
-                rows = m["_row"].to_numpy()
-                li = m["_li"].to_numpy()
-                prod = m["w"].to_numpy() * m["centroid"].to_numpy()
-                for s0 in range(0, n, step):
-                    sel = (rows >= s0) & (rows < s0 + step)
-                    S = np.zeros((min(step, n - s0), nl))
-                    np.add.at(S, (rows[sel] - s0, li[sel]), prod[sel])
-                    S = np.round(S, 12)
-                    j = np.argmax(S, axis=1)
-                    best_i[s0:s0 + len(j)] = j
-                    best_s[s0:s0 + len(j)] = S[np.arange(len(j)), j]
-                keep = best_s > 0
-                yield blocks.to_batch(pd.DataFrame({
-                    item: ids[keep], out_label: labs[best_i[keep]], out_dist: 1.0 - best_s[keep]}), schema)
-
-        vecs = weights.groupBy(item).agg(F.collect_list("term").alias("_t"),
-                                         F.collect_list("weight").alias("_w"))
-        best = vecs.mapInArrow(kern, schema)
-    else:
-        prods = (weights.join(centroids, "term", "inner")
-                        .groupBy(item, label).agg(F.round(F.sum(F.col("weight") * F.col("centroid")), 12).alias("_s"))
-                        .filter("_s > 0"))
-        b = prods.groupBy(item).agg(F.min(F.struct((-F.col("_s")).alias("s"), F.col(label).alias("l"))).alias("_b"))
-        best = b.select(item, F.col("_b.l").alias(out_label), (F.lit(1.0) + F.col("_b.s")).alias(out_dist))
+    sums = weights.join(vectors, "term").groupBy(item, "block").agg(
+        vector_to_array(Summarizer.sum(F.col("vector"), F.col("weight"))).alias("_s"))
+    near = F.transform("_s", lambda x: F.round(x, 12))
+    best = sums.select(item, "block", near.alias("_s")).withColumn("_m", F.array_max("_s")).where("_m > 0").select(
+        item, F.struct((-F.col("_m")).alias("s"), (F.col("block") * block + F.array_position("_s", F.col("_m")) - 1).alias("ix")).alias("_b"))
+    best = best.groupBy(item).agg(F.min("_b").alias("_b")).select(item, F.col("_b.ix").alias("ix"), (F.lit(1.0) + F.col("_b.s")).alias(out_dist))
+    best = best.join(index.withColumnRenamed(label, out_label), "ix").drop("ix")
     # items without any weighted term: smallest label, distance 1.0
     return (items.select(item).distinct().join(best, item, "left")
                  .select(item, F.coalesce(F.col(out_label), F.lit(first).cast(label_type)).alias(out_label),

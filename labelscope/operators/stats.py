@@ -102,11 +102,13 @@ def label_summary(df: DataFrame, label: str, title: str, item: str) -> DataFrame
                 F.count_if("mismatch_either").alias("mismatch_either")))
     from labelscope.operators.prep import dedupe_keep
     s = s.join(dedupe_keep(df.select(label, title, item), [label], [item]).select(label, title), label)
-    # exact p95 (linear interpolation) from rank tables: no group buffered in one task
+    # exact p95 (linear interpolation) from one rank table of both measures: no group buffered in one task
     from labelscope.operators.order_stats import quantiles, rank_table
-    for m in ("tfidf", "dense"):
-        q = quantiles(rank_table(df, label, f"dist_{m}"), label, f"dist_{m}", {f"p95_{m}": 0.95})
-        s = s.join(q, label, "left")
+    both = df.select(F.explode(F.array(*[F.struct(F.struct(F.col(label).alias("l"), F.lit(m).alias("m")).alias("_k"),
+                                                  F.col(f"dist_{m}").cast("double").alias("_x")) for m in ("tfidf", "dense")])).alias("_e"))
+    q = quantiles(rank_table(both.select("_e.*").where("_k.l is not null"), "_k", "_x"), "_k", "_x", {"p95": 0.95})
+    s = s.join(q.groupBy(F.col("_k.l").alias(label)).agg(
+        *[F.max(F.when(F.col("_k.m") == m, F.col("p95"))).alias(f"p95_{m}") for m in ("tfidf", "dense")]), label, "left")
     s = s.withColumns({rate: F.col(num) / F.col("n") for rate, num in [("rate_tfidf", "tfidf_flag"), ("rate_dense", "dense_flag"),
                       ("rate_both", "both_flag"), ("rate_either", "either_flag"),
                       ("rate_disagree", "disagree"), ("rate_mismatch_tfidf", "mismatch_tfidf"),

@@ -17,6 +17,7 @@ from labelscope.sources import fixtures as fx
 from labelscope.sources.tables import read_table
 from labelscope.operators import dense, stats
 from labelscope.plans.label_quality import dense_label_quality
+from labelscope.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -351,7 +352,6 @@ def q_tfidf_items(spark, sf):
 @query("tfidf_transform_new")
 def q_tfidf_transform_new(spark, sf):
     """New texts weighed with a vocabulary that was stored and loaded again."""
-    from labelscope.session import cut_lineage
     _, vocab = doc_tfidf(spark, sf)
     stored = cut_lineage(vocab, "vocabulary")
     bench = read_table(spark, sf, "benchmark")
@@ -384,9 +384,9 @@ def q_own_distance_sparse(spark, sf):
 
 @query("nearest_centroid_sparse")
 def q_nearest_centroid_sparse(spark, sf):
-    w, _ = doc_tfidf(spark, sf)
+    w = cut_lineage(doc_tfidf(spark, sf)[0], "weights")   # read by the centroids and by the items
     lab = fx.labelled_text(spark, sf).select("doc_id", "source")
-    c = sparse.sparse_centroids(w, lab, "doc_id", "source")
+    c = cut_lineage(sparse.sparse_centroids(w, lab, "doc_id", "source"), "centroids")
     return rnd(sparse.nearest_centroid_sparse(w, lab, c, "doc_id", "source"))
 
 
