@@ -179,3 +179,22 @@ def sparse_dot_block(rq, cq, wq, nq, rr, cr, wr, nr, budget_bytes: int = DEFAULT
             S += np.bincount(qi * nr + r_r[ridx], weights=prod, minlength=nq * nr).reshape(nq, nr)
         lo = hi
     return S
+
+
+ROWS_PER_SALT = 100_000
+
+
+def meet_blocks(rows: DataFrame, table: DataFrame, key: str, entry, block_size: int, out: str = "_entries") -> DataFrame:
+    """Every row beside every block of a small table's entries: ``rows`` with
+    ``out``, an array of at most about ``block_size`` structs of ``table``.
+
+    ``table`` (hashed into blocks by the column ``entry``) is repeated for salts
+    of the rows' ``key``, and both meet in an equi-join, so nothing is collected
+    and a block's rows spread over as many tasks as their number asks for."""
+    n, size = rows.count(), table.count()
+    salts, n_blocks = max(1, n // ROWS_PER_SALT), max(1, -(-size // block_size))
+    longs = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    blocked = table.groupBy(F.pmod(F.xxhash64(F.col(entry).cast("string")), F.lit(n_blocks)).alias("_block")).agg(
+        F.collect_list(F.struct(*table.columns)).alias(out)).withColumn("_salt", longs(salts))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(salts))).withColumn("_block", longs(n_blocks)).join(
+        blocked, ["_block", "_salt"]).drop("_block", "_salt")

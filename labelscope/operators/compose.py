@@ -3,6 +3,9 @@ summaries (A9, A10, A12, J6, X10, X12)."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,22 +68,61 @@ def group_prompts(df: DataFrame, group: str, text: str, n: int, seed: int, key_c
                     F.concat(F.lit(head + "- "), F.col("sampled"), F.lit(tail)).alias("prompt"))
 
 
-def summarize_groups(prompts: DataFrame, group: str, summarizer=None, out: str = "summary") -> DataFrame:
-    """One summary per group (X12).  ``summarizer(list[str]) -> list[str]``
-    runs on the executors over Arrow batches (e.g. a call to a hosted model);
-    with none, the summary is the group's top terms, computed in Spark."""
+def summarize_groups(prompts: DataFrame, group: str, summarizer=None, out: str = "summary", store: str | None = None,
+                     version: str = "", batch_size: int = 16) -> DataFrame:
+    """One summary per group (X12): (group, out).
+
+    ``summarizer(list[str]) -> list[str]`` runs on the executors (e.g. a call to
+    a hosted model).  Every distinct prompt is asked once: its answer is kept
+    under the hash of ``version`` and the prompt in the folder ``store``, written
+    whole and renamed, and looked up before the function is called.  So a repeated
+    task, a lost executor, another action or another run with the same store pays
+    for unanswered prompts only; a failing call loses its own batch only.
+    ``store`` is a folder that the executors see as files (default: one in the
+    shared checkpoint folder).  A null prompt has a null summary."""
     if summarizer is None:
         raise ValueError("pass a summarizer, or use top_terms_summary")
-    import pandas as pd
-    from pyspark.sql import types as T
-    gtype = prompts.schema[group].dataType
-    schema = T.StructType([T.StructField(group, gtype), T.StructField(out, T.StringType())])
+    from labelscope.session import checkpoint_dir, shared_folder
+    spark = prompts.sparkSession
+    folder = shared_folder(store or f"{checkpoint_dir(spark).rstrip('/')}/labelscope-summaries")
+    keyed = prompts.select(group, F.sha2(F.concat(F.lit(version), F.lit("\n"), "prompt"), 256).alias("_key"), "prompt")
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({group: pdf[group].values, out: list(summarizer(pdf["prompt"].tolist()))})
-
-    return prompts.select(group, "prompt").mapInPandas(run, schema)
+            answers = {}
+            for at in range(0, len(pdf), batch_size):
+                part = pdf.iloc[at:at + batch_size]
+                known = {k: _answer(folder, k) for k in part["_key"]}
+                asked = part[[known[k] is None for k in part["_key"]]]
+                if len(asked):
+                    said = list(summarizer(asked["prompt"].tolist()))
+                    if len(said) != len(asked):
+                        raise ValueError(f"the summarizer gave {len(said)} answers to {len(asked)} prompts")
+                    for k, text in zip(asked["_key"], said):
+                        _keep_answer(folder, k, text)
+                        known[k] = text
+                answers.update(known)
+            yield pdf[["_key"]].assign(**{out: [answers[k] for k in pdf["_key"]]})
+
+    answered = keyed.where("prompt is not null").select("_key", "prompt").distinct().mapInPandas(run, f"_key string, {out} string")
+    return keyed.join(answered, "_key", "left").select(group, out)
+
+
+def _answer(folder: str, key: str) -> str | None:
+    try:
+        with open(f"{folder}/{key[:2]}/{key}", encoding="utf-8", newline="") as f:
+            return f.read()
+    except FileNotFoundError:
+        return None
+
+
+def _keep_answer(folder: str, key: str, text: str) -> None:
+    """Written under another name and renamed: a reader sees a whole answer or none."""
+    os.makedirs(f"{folder}/{key[:2]}", exist_ok=True)
+    part = f"{folder}/{key[:2]}/.{key}-{uuid.uuid4().hex}"
+    with open(part, "w", encoding="utf-8", newline="") as f:
+        f.write(text)
+    os.replace(part, f"{folder}/{key[:2]}/{key}")
 
 
 def top_terms_summary(top_terms: DataFrame, group: str, out: str = "summary") -> DataFrame:

@@ -118,7 +118,6 @@ def multilabel_scores(truth: DataFrame, pred: DataFrame, item: str, labels: Data
 # ------------------------------------------------------------- folds (M4)
 
 MAX_LABELS = 4096   # labels in one block of the baseline's prevalence table
-DRAWN_ROWS = 100_000   # items that meet a block in one task, about
 
 
 def hash_unit(seed: int, *cols):
@@ -310,16 +309,11 @@ def random_prevalence(items_labels: DataFrame, items: DataFrame, item: str, seed
     driver holds labels.  The blocks are repeated for salts of the items, so a
     block's items spread over as many tasks as their number asks for."""
     distinct = items.select(item).distinct()
-    n, n_labels = distinct.count(), items_labels.select("label").distinct().count()
-    salts, blocks_ = max(1, n // DRAWN_ROWS), max(1, -(-n_labels // MAX_LABELS))
-    block = F.pmod(F.xxhash64("label"), F.lit(blocks_))
+    n = distinct.count()
     table = items_labels.where("label is not null").groupBy("label").agg((F.count(F.lit(1)) / F.lit(float(n))).alias("p"))
-    table = (table.groupBy(block.alias("_block")).agg(F.collect_list(F.struct("label", "p")).alias("_labels"))
-                  .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))))
-    rows = (distinct.withColumn("_salt", F.pmod(F.xxhash64(F.col(item).cast("string")), F.lit(salts)))
-                    .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_ - 1).cast("long")))))
     drawn = F.filter("_labels", lambda x: hash_unit_of(seed, F.col(item), x["label"]) < x["p"])
-    return rows.join(table, ["_block", "_salt"]).select(item, F.explode(drawn).alias("_l")).select(item, F.col("_l.label").alias("label"))
+    return blocks.meet_blocks(distinct, table, item, "label", MAX_LABELS, "_labels").select(
+        item, F.explode(drawn).alias("_l")).select(item, F.col("_l.label").alias("label"))
 
 
 # ------------------------------------------------------------- logistic (M5)

@@ -7,6 +7,7 @@ value; vectors are returned in long form ``(id, dim, value)``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from labelscope.sources import fixtures as fx
 from labelscope.sources.tables import read_table
 from labelscope.operators import dense, stats
 from labelscope.plans.label_quality import dense_label_quality
-from labelscope.session import cut_lineage
+from labelscope.session import checkpoint_dir, cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -315,7 +316,7 @@ def q_sample_per_group(spark, sf):
 
 # ------------------------------------------------------------- sparse text (F-C)
 
-from labelscope.operators import sparse  # noqa: E402
+from labelscope.operators import sparse, vectorizer  # noqa: E402
 
 TFIDF_MIN_DF, TFIDF_MAX_DF = 3, 0.8      # item-level vectoriser
 TOPN_MIN_DF, TOPN_MAX_DF, TOPN_K = 2, 0.9, 7   # group-level top n-grams
@@ -351,11 +352,10 @@ def q_tfidf_items(spark, sf):
 
 @query("tfidf_transform_new")
 def q_tfidf_transform_new(spark, sf):
-    """New texts weighed with a vocabulary that was stored and loaded again."""
-    _, vocab = doc_tfidf(spark, sf)
-    stored = cut_lineage(vocab, "vocabulary")
-    bench = read_table(spark, sf, "benchmark")
-    return rnd(sparse.tfidf_transform(bench, stored, "item_id", "text"))
+    """New texts weighed with a vectoriser that was stored and loaded again."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/labelscope-vectorizer-{uuid.uuid4().hex}"
+    vectorizer.save(vectorizer.fit(fx.labelled_text(spark, sf), "doc_id", "text", TFIDF_MIN_DF, TFIDF_MAX_DF), path)
+    return rnd(vectorizer.load(spark, path).transform(read_table(spark, sf, "benchmark"), "item_id", "text"))
 
 
 @query("top_ngrams_by_group")
@@ -522,6 +522,11 @@ def q_silhouette_mean(spark, sf):
     return rnd(cluster.silhouette_mean(_vectors(spark, sf), "vec_id", "label", "embedding"))
 
 
+@query("silhouette_fast")
+def q_silhouette_fast(spark, sf):
+    return rnd(cluster.silhouette_fast(_vectors(spark, sf), "vec_id", "label", "embedding"))
+
+
 @query("dist_to_center")
 def q_dist_to_center(spark, sf):
     d = cluster.dist_to_center(_vectors(spark, sf), "label", "embedding")
@@ -589,15 +594,21 @@ def q_kmeans_checks(spark, sf):
         F.abs(F.round(F.sum(F.get("d", F.col("cluster"))) - F.lit(cost), 4)).alias("inertia_difference"))
 
 
+GRID_DIMS, GRID_KS = [20, 50, 100, 200], [200, 400]   # both k are in the list below, so 20 components are covered
 K_LIST = [50, 100, 200, 300, 400, 500, 600, 700, 800, 900, 1000]
 
 
 @query("kmeans_sweep")
 def q_kmeans_sweep(spark, sf):
-    """The k list as far as there are more rows than clusters."""
+    """The k list at 20 components, then the grid of components and k: as far as
+    there are more rows than clusters and the vectors are longer than the components."""
     v = _vectors(spark, sf)
-    n = v.count()
-    return rnd(cluster.kmeans_sweep(v, "vec_id", "embedding", ks=[k for k in K_LIST if k < n], dims=[20], seed=SEED))
+    n, width = v.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    sweep = cluster.kmeans_sweep(v, "vec_id", "embedding", ks=[k for k in K_LIST if k < n], dims=[20], seed=SEED)
+    dims = [d for d in GRID_DIMS if d != 20 and d <= (width or 0)]
+    if dims:
+        sweep = sweep.unionByName(cluster.kmeans_sweep(v, "vec_id", "embedding", ks=[k for k in GRID_KS if k < n], dims=dims, seed=SEED))
+    return rnd(sweep)
 
 
 @query("cluster_composition")

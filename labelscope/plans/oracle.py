@@ -777,3 +777,11 @@ pairs AS (SELECT fte.f, fte.doc_id AS q, ftr.doc_id AS r, coalesce(sims.s, 0) AS
 """ + _KNN[_KNN.index("nb AS ("):])
 SQL["knn_predict_dense"] = SQL["knn_predict"].replace(_KNN, _KNN_DENSE)
 SQL["knn_crossval_dense"] = SQL["knn_crossval"].replace(_KNN, _KNN_DENSE)
+
+SQL["silhouette_fast"] = """
+WITH p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT a.vec_id, a.label, b.label AS other, list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v) - 2 * list_dot_product(a.v, b.v) AS d2
+      FROM p a JOIN p b ON a.vec_id <> b.vec_id),
+m AS (SELECT vec_id, label, other, avg(d2) AS m FROM d GROUP BY ALL),
+ab AS (SELECT vec_id, label, max(CASE WHEN other = label THEN m END) AS a, min(CASE WHEN other <> label THEN m END) AS b FROM m GROUP BY ALL)
+SELECT vec_id, label, round(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM ab"""

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -60,6 +61,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def shared_folder(uri: str) -> str:
+    """The path under which the driver and all executors open ``uri`` as plain files."""
+    u = urlparse(uri)
+    if u.scheme not in ("", "file"):
+        raise ValueError(f"{uri}: a folder mounted on the driver and the executors is needed here")
+    return unquote(u.path) if u.scheme else uri
+
+
 def cut_lineage(df: DataFrame, name: str = "table", schema: StructType | None = None) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: computed once,
     a short plan for what follows, and nothing lost with an executor.

@@ -72,7 +72,7 @@ def test_folds_balance_rows_of_repeated_groups(spark):
 
 def test_baseline_has_no_nested_loop_join(spark, monkeypatch):
     monkeypatch.setattr(ml, "MAX_LABELS", 3)
-    monkeypatch.setattr(ml, "DRAWN_ROWS", 10)
+    monkeypatch.setattr(ml.blocks, "ROWS_PER_SALT", 10)
     rows = [(i, f"l{j}") for i in range(60) for j in range(9) if (i + j) % (j + 2) == 0]
     truth = spark.createDataFrame(rows, "item long, label string")
     pred = ml.random_prevalence(truth, truth.select("item"), "item", 5)
