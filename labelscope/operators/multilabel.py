@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 from labelscope.functions.vector import as_double_array
 from labelscope.operators import blocks
+from labelscope.operators.order_stats import numbered
+from labelscope.session import cut_lineage
 
 
 # ------------------------------------------------------------- dataset (M1)
@@ -52,7 +54,6 @@ def multilabel_dataset(df: DataFrame, item: str, text: str, label: str, min_per_
 
 def label_index(kept: DataFrame) -> DataFrame:
     """(label, ix): the labels numbered from 0 in their order (M2)."""
-    from labelscope.operators.order_stats import numbered
     return numbered(kept.select("label").distinct(), [], ["label"], "ix").select("label", F.col("ix").cast("int").alias("ix"))
 
 
@@ -158,7 +159,6 @@ def group_folds(df: DataFrame, group: str, n_splits: int = 5, seed: int = 0, out
     one size are numbered in the order of a hashed uniform (ties by the group)
     and dealt out by :func:`deal_groups` from the histogram of the sizes, which
     has at most sqrt(2 * rows) lines; single-row groups are dealt in turn."""
-    from labelscope.operators.order_stats import numbered
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_u", hash_unit(seed, group))
     ranked = numbered(sizes, ["_n"], ["_u", group], "_r")
     histogram = [(r["_n"], r["count"]) for r in ranked.groupBy("_n").count().collect()]
@@ -224,10 +224,14 @@ def knn_sparse(test_w: DataFrame, train_w: DataFrame, item: str, k: int = 3,
     spark = test_w.sparkSession
     ttype = test_w.schema[item].dataType
     g = [by] if by else []
-    lt = test_w.groupBy(*g, item).agg(F.collect_list("term").alias("_t"), F.collect_list("weight").alias("_w"))
-    rt = train_w.groupBy(*g, item).agg(F.collect_list("term").alias("_t"), F.collect_list("weight").alias("_w"))
+    # terms travel as numbers; one that no training item has adds nothing
+    train_w = cut_lineage(train_w.select(*g, item, "term", "weight"), "train-weights")
+    index = numbered(train_w.select("term").distinct(), [], ["term"], "_ix").select("term", F.col("_ix").cast("int").alias("_ix"))
+    index = cut_lineage(index, "terms")
+    lt, rt = (w.join(index, "term").groupBy(*g, item).agg(F.collect_list("_ix").alias("_t"), F.collect_list("weight").alias("_w"))
+              for w in (test_w, train_w))
     # rows without any kept term are still queries / candidates (similarity 0)
-    empty_t = F.array().cast("array<string>")
+    empty_t = F.array().cast("array<int>")
     empty_w = F.array().cast("array<double>")
     if test_items is not None:
         lt = (test_items.select(*g, item).distinct().join(lt, [*g, item], "left")
@@ -236,8 +240,7 @@ def knn_sparse(test_w: DataFrame, train_w: DataFrame, item: str, k: int = 3,
         rt = (train_items.select(*g, item).distinct().join(rt, [*g, item], "left")
               .select(*g, item, F.coalesce("_t", empty_t).alias("_t"), F.coalesce("_w", empty_w).alias("_w")))
     # the size check below reads both sides once; keep them for the cogroup
-    lt = lt.persist(StorageLevel.MEMORY_AND_DISK)
-    rt = rt.persist(StorageLevel.MEMORY_AND_DISK)
+    lt, rt = cut_lineage(lt, "queries"), cut_lineage(rt, "candidates")
     # block sizes per key value (e.g. per fold): only rows of one key ever meet
     nnz_col = F.sum(F.size("_t"))
     if by:
@@ -258,10 +261,7 @@ def knn_sparse(test_w: DataFrame, train_w: DataFrame, item: str, k: int = 3,
         rp = rp.sort_values(item, kind="stable")          # ties at equal similarity -> smaller id
         lq = lp["_t"].map(len).to_numpy()
         lr = rp["_t"].map(len).to_numpy()
-        tq = np.array([t for ts in lp["_t"] for t in ts], dtype=object)
-        tr = np.array([t for ts in rp["_t"] for t in ts], dtype=object)
-        wq = np.fromiter((w for wl in lp["_w"] for w in wl), dtype=float, count=int(lq.sum()))
-        wr = np.fromiter((w for wl in rp["_w"] for w in wl), dtype=float, count=int(lr.sum()))
+        tq, tr, wq, wr = (np.concatenate(p[c].to_list()) for c in ("_t", "_w") for p in (lp, rp))
         nq, nr = len(lp), len(rp)
         if len(tq) and len(tr):
             codes, _ = pd.factorize(np.concatenate([tq, tr]))
