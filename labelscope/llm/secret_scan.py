@@ -38,6 +38,8 @@ CLASSES = {"entropy_hex": ("^(?:[0-9a-f]+|[0-9A-F]+)$", 20, 2.8), "entropy_alnum
            "entropy_mixed": (".", 20, 3.6)}
 ALLOW = ("(?i)example|sample|dummy|placeholder|change_?me|redacted|your[_-]|test[_-]?key"
          "|0123456789|123456789|abcdefghij|qwertyuiop|(.)\\1{7}")
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"  # of a candidate
+PIECE = 256  # matches whose spans are placed together
 SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
 
@@ -45,14 +47,23 @@ def spans_of(text: Column, regex: str, kind: int, group: int = 0) -> Column:
     """Leftmost non-overlapping matches as (start, kind, stop, value of ``group``)."""
     def walk(m, gaps, values):
         steps = F.zip_with(F.arrays_zip(m.alias("m"), values.alias("v")), F.slice(gaps, 1, F.size(m)),
-                           lambda x, g: F.struct(x["m"].alias("m"), x["v"].alias("v"), F.char_length(g).alias("g")))
+                           lambda x, g: F.struct(x["v"].alias("v"), F.char_length(g).alias("gap"), F.char_length(x["m"]).alias("n")))
+        return let(steps, lambda s: let(F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / PIECE).cast("int")),
+                                                    lambda i: placed(F.slice(s, i * PIECE + 1, PIECE))), shifted))
+
+    def placed(part):
+        """(end, out): the spans of some matches, counted from where they begin.  Lists stay short, so appending does."""
         empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-        return F.aggregate(steps, empty, lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + F.char_length(x["m"])).alias("at"),
+        return F.aggregate(part, empty, lambda acc, x: F.struct(
+            (acc["at"] + x["gap"] + x["n"]).alias("at"),
             F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + x["g"]).alias("start"), F.lit(kind).alias("kind"),
-                (acc["at"] + x["g"] + F.char_length(x["m"])).alias("stop"), x["v"].alias("value")))).alias("out")),
-            lambda acc: acc["out"])
+                (acc["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"),
+                (acc["at"] + x["gap"] + x["n"]).alias("stop"), x["v"].alias("value")))).alias("out")))
+
+    def shifted(parts):
+        start = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + p["at"])))
+        return F.flatten(F.zip_with(parts, F.slice(start, 1, F.size(parts)), lambda p, at: F.transform(p["out"], lambda x: F.struct(
+            (x["start"] + at).alias("start"), x["kind"].alias("kind"), (x["stop"] + at).alias("stop"), x["value"].alias("value")))))
 
     found = let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda m: let(
         F.split(text, regex, -1), lambda g: let(
@@ -64,30 +75,36 @@ def _f(k: Column) -> Column:
     return F.when(k > 1, k * F.log2(k)).otherwise(F.lit(0.0))
 
 
-def _count(window: Column, c: Column) -> Column:
-    return F.length(window) - F.length(F.replace(window, c, F.lit("")))
-
-
 def entropy_span(value: Column, width: int, bits: float) -> Column:
-    """(first, stop) of the windows of ``width`` characters with ``bits`` of entropy or more, else null."""
-    def slide(v):
-        first = F.substring(v, 1, width)
-        total = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda acc, c: acc + _f(_count(first, c)))
+    """(first, stop) of the windows of ``width`` characters with ``bits`` of entropy or more, else null.
+    The characters are numbered once; the counts of a window are an array that
+    each step changes in the two places of the character that leaves and the one that enters."""
+    def slide(codes):
+        first = F.slice(codes, 1, width)
+        counts = F.transform(F.array_repeat(F.lit(0), len(ALPHABET) + 1), lambda _, j: F.size(F.filter(first, lambda c: c == j)))
+        return let(counts, lambda n: windows(codes, n))
+
+    def windows(codes, counts):
+        total = F.aggregate(counts, F.lit(0.0), lambda acc, k: acc + _f(k))
         limit = (F.log2(F.lit(width)) - bits) * width + 1e-9  # of the sum
+        start = F.when(total <= limit, F.lit(0)).cast("int")
 
         def step(acc, i):
-            inner = F.substring(v, i + 1, width - 1)  # what stays when character i - 1 leaves
-            out, new = F.substring(v, i, 1), F.substring(v, i + width, 1)
-            k_out, k_in = _count(inner, out), _count(inner, new)
-            s = acc["s"] - _f(k_out + 1) + _f(k_out) - _f(k_in) + _f(k_in + 1)
-            return F.struct(s.alias("s"), F.when(acc["a"].isNull() & (s <= limit), i).otherwise(acc["a"]).alias("a"),
-                            F.when(s <= limit, i).otherwise(acc["b"]).alias("b"))
-
-        start = F.when(total <= limit, F.lit(0))
-        more = F.when(F.length(v) > width, F.sequence(F.lit(1), F.length(v) - width)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(more, F.struct(total.alias("s"), start.cast("int").alias("a"), start.cast("int").alias("b")), step,
+            out, new = F.get(codes, i - 1), F.get(codes, i + width - 1)
+            k_out, k_in = F.get(acc["n"], out), F.get(acc["n"], new)
+            s = F.when(out == new, acc["s"]).otherwise(acc["s"] - _f(k_out) + _f(k_out - 1) - _f(k_in) + _f(k_in + 1))
+            n = F.when(out == new, acc["n"]).otherwise(F.transform(
+                acc["n"], lambda k, j: k - F.when(j == out, 1).otherwise(0) + F.when(j == new, 1).otherwise(0)))
+            hit = let(s, lambda x: F.struct(x.alias("s"), (x <= limit).alias("low")))
+            return let(hit, lambda h: F.struct(
+                h["s"].alias("s"), F.when(acc["a"].isNull() & h["low"], i).otherwise(acc["a"]).alias("a"),
+                F.when(h["low"], i).otherwise(acc["b"]).alias("b"), n.alias("n")))
+
+        more = F.when(F.size(codes) > width, F.sequence(F.lit(1), F.size(codes) - width)).otherwise(F.array().cast("array<int>"))
+        begin = F.struct(total.alias("s"), start.alias("a"), start.alias("b"), counts.alias("n"))
+        return F.aggregate(more, begin, step,
                            lambda acc: F.when(acc["a"].isNotNull(), F.struct(acc["a"].alias("a"), (acc["b"] + width).alias("b"))))
-    return let(value, slide)
+    return let(F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c)), slide)
 
 
 def entropy_spans(text: Column, base: Column) -> Column:
