@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.llm.scratch import parked, word_array
+from labelscope.operators.order_stats import numbered
 
 SLICES = 1024
 
@@ -176,14 +177,20 @@ def report(docs: DataFrame, **params) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, **params) -> DataFrame:
-    """The documents as often as the mix takes them, with their own columns."""
+    """The documents as often as the mix takes them, with their own columns.
+    Rows that share id, text and source share the copies of all of them as
+    evenly as whole numbers allow, the first in the order of their hash getting one more."""
     seed = params.get("seed", 13)
-    chosen = parked(mix(docs.select("doc_id", "source", "text"), **params).groupBy(
-        F.col("doc.doc_id").alias("__id"), F.col("h").alias("__h")).agg(
-        F.sum("copies").cast("int").alias("copies"), F.count(F.lit(1)).alias("rows")), "chosen")
-    key = F.xxhash64(F.lit(seed), "doc_id", "text")
-    if chosen.where("rows > 1").limit(1).count():  # repeated rows: one of them carries the copies of all
-        docs = docs.withColumn("__k", key).dropDuplicates(["doc_id", "__k"]).drop("__k")
-    chosen = chosen.where("copies > 0").drop("rows")
-    taken = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__h")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    of = lambda doc, source, h: F.concat_ws("|", F.coalesce(doc.cast("string"), F.lit("null")), h.cast("string"),
+                                            F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("null")))
+    chosen = mix(docs.select("doc_id", "source", "text"), **params).groupBy(of(F.col("doc.doc_id"), F.col("doc.source"), F.col("h")).alias("__k")).agg(
+        F.sum("copies").cast("long").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    chosen = parked(chosen.where("__copies > 0"), "chosen")
+    keyed = docs.select("*", of(F.col("doc_id"), F.col("source"), F.xxhash64(F.lit(seed), "doc_id", "text")).alias("__k"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    single = keyed.join(chosen.where("__rows = 1"), "__k").withColumn("__n", F.col("__copies"))
+    several = keyed.join(chosen.where("__rows > 1"), "__k").withColumn("__h", F.xxhash64(*columns))
+    several = numbered(several, ["__k"], ["__h"], "__at").withColumn("__n", F.floor(F.col("__copies") / F.col("__rows")) + F.when(
+        F.col("__at") < F.col("__copies") % F.col("__rows"), 1).otherwise(0))
+    taken = single.select(*columns, "__n").union(several.select(*columns, "__n")).where("__n > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*columns)

@@ -22,8 +22,9 @@ with one set (exact copies) are one representative throughout.
 
 Defined results: null or empty text has 0 shingles and is its own component; a
 null ``doc_id`` is linked with nothing, its component is null and it is kept;
-repeated rows of a ``doc_id`` are that document again; an empty table gives an
-empty result.  Extra columns pass through :func:`filter_documents`.
+rows that repeat a ``doc_id`` with the same text are that document again, with
+another text a vertex of their own, linked with what is near that text; an
+empty table gives an empty result.  Extra columns pass through :func:`filter_documents`.
 """
 
 from __future__ import annotations
@@ -52,6 +53,11 @@ def signatures(h: np.ndarray, ix: np.ndarray, size: int, seed: int = 11) -> np.n
     return out
 
 
+def fingerprints(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each non-empty set, in two numbers."""
+    return tuple(np.add.reduceat(tk.mix(x), at[:-1]).view(np.int64) for x in (h, h ^ np.uint64(tk.ODD)))
+
+
 def describe(docs: DataFrame, k: int, size: int) -> DataFrame:
     """(doc_id, n_shingles, fp_a, fp_b, sig): the set's size, 128-bit fingerprint and signature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,16 +67,15 @@ def describe(docs: DataFrame, k: int, size: int) -> DataFrame:
                 h, ix = tk.shingle_sets(words, ds, k)
                 n = np.diff(ix)
                 full = np.flatnonzero(n)
-                a, b, sig = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64), [None] * len(n)
+                a, b, sig = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), [None] * len(n)
                 if len(full):
                     at = ix[np.append(full, len(n))]
-                    a[full] = np.add.reduceat(tk.mix(h), at[:-1])
-                    b[full] = np.add.reduceat(tk.mix(h ^ np.uint64(tk.ODD)), at[:-1])
+                    a[full], b[full] = fingerprints(h, at)
                     for j, s in zip(full, signatures(h, at, size)):
                         sig[j] = s.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(row, len(n)).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a.view(np.int64)),
-                     pa.array(b.view(np.int64)), pa.array(sig, pa.binary())],
+                    [batch["doc_id"].slice(row, len(n)).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b),
+                     pa.array(sig, pa.binary())],
                     ["doc_id", "n_shingles", "fp_a", "fp_b", "sig"])
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(
         run, "doc_id long, n_shingles long, fp_a long, fp_b long, sig binary")
@@ -134,7 +139,7 @@ def confirmed_links(docs: DataFrame, families: DataFrame, k: int, size: int, per
     """Links (u, v) of every candidate family, confirmed on full sets."""
     n = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     placed = families.join(n, "family").withColumn("mine", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,8 +147,13 @@ def confirmed_links(docs: DataFrame, families: DataFrame, k: int, size: int, per
                 words, ds = tk.word_hashes(data, starts)
                 h, ix = tk.shingle_sets(words, ds, k)
                 full = np.flatnonzero(np.diff(ix))
-                sig = signatures(h, ix[np.append(full, len(ix) - 1)], size) if len(full) else None
-                part = batch.slice(row, len(ds) - 1).select(["rep", "family", "blocks", "mine"]).take(pa.array(full))
+                rows = batch.slice(row, len(ds) - 1)
+                if len(full):  # a document's other texts are of other classes
+                    a, b = fingerprints(h, ix[np.append(full, len(ix) - 1)])
+                    sig = signatures(h, ix[np.append(full, len(ix) - 1)], size)
+                    own = (rows["fp_a"].to_numpy()[full] == a) & (rows["fp_b"].to_numpy()[full] == b)
+                    full, sig = full[own], sig[own]
+                part = rows.select(["rep", "family", "blocks", "mine"]).take(pa.array(full))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array([h[ix[j]:ix[j + 1]].tobytes() for j in full], pa.binary()),
                      pa.array([s.tobytes() for s in sig] if len(full) else [], pa.binary())],
@@ -159,7 +169,7 @@ def confirmed_links(docs: DataFrame, families: DataFrame, k: int, size: int, per
         return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
 
     # the families grow with the documents: the same shuffled join at every size
-    full = texts.join(placed.hint("merge"), "rep").select("rep", "text", "family", "blocks", "mine").mapInArrow(
+    full = texts.join(placed.hint("merge"), "doc").select("rep", "text", "fp_a", "fp_b", "family", "blocks", "mine").mapInArrow(
         sets, "rep long, family long, blocks int, mine int, shingles binary, sig binary")
     pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "family", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "rep", "mine", "shingles", "sig")
@@ -172,16 +182,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, chunks: int
     size = chunks * chunk_len
     described = parked(describe(docs, k, size), "signatures")
     real = described.where("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("fp_a", "fp_b", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("first")).select(
-        "fp_a", "fp_b", "n_shingles", F.col("first.doc_id").alias("rep"), F.col("first.sig").alias("sig"))
-    classes = parked(classes, "classes")
-    families = parked(candidate_families(classes.select("rep", "sig"), chunks, chunk_len), "families")
+    key = ["fp_a", "fp_b", "n_shingles"]
+    classes = real.groupBy(*key).agg(F.min(F.struct("doc_id", "sig")).alias("first")).select(
+        *key, F.col("first.doc_id").alias("doc"), F.col("first.sig").alias("sig"), F.monotonically_increasing_id().alias("rep"))
+    classes = parked(classes, "classes")   # numbered: one document may have several texts, so several classes
+    families = candidate_families(classes.select("rep", "sig"), chunks, chunk_len)
+    families = parked(families.join(classes.select("rep", "doc", "fp_a", "fp_b"), "rep"), "families")
     links = confirmed_links(docs, families, k, size, percent, 2 * chunks - 1, block)
-    tree = connected_components(links)
-    least = classes.select("fp_a", "fp_b", "n_shingles", "rep").join(
-        tree.select(F.col("u").alias("rep"), F.col("v").alias("least")), "rep", "left").select(
-        "fp_a", "fp_b", "n_shingles", F.coalesce("least", "rep").alias("component_id"))
-    out = described.select("doc_id", "n_shingles", "fp_a", "fp_b").join(least, ["fp_a", "fp_b", "n_shingles"], "left")
+    tree = connected_components(links).withColumnRenamed("u", "rep").withColumnRenamed("v", "root")
+    rooted = classes.select(*key, "doc", "rep").join(tree, "rep", "left").select(*key, "doc", F.coalesce("root", "rep").alias("root"))
+    least = rooted.join(rooted.groupBy("root").agg(F.min("doc").alias("component_id")), "root").select(*key, "component_id")
+    out = described.select("doc_id", *key).join(least, key, "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
