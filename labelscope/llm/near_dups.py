@@ -2,7 +2,7 @@
 
 A document is the set of its distinct 5-word shingles (fewer words: the whole
 sequence; no word: the empty set, linked with nothing).  Its signature is
-``chunks * chunk_len`` MinHash symbols of 8 bits.
+``chunks * chunk_len`` MinHash symbols of ``BITS`` = 16 bits.
 
 Multi-index join.  The signature is split into ``chunks`` chunks.  Two
 signatures that differ in at most ``d = 2 * chunks - 1`` symbols have, by
@@ -10,7 +10,11 @@ pigeonhole, a chunk that differs in at most one symbol.  Enumerating that one
 allowed error -- a key per chunk and left-out position -- puts every such pair
 into a common bucket, so no pair within the bound is missed.  With 10 chunks
 of 5 symbols d is 19 of 50: a pair at Jaccard 0.85 exceeds it with a
-probability of about 3e-5.
+probability of about 3e-5.  A key holds 4 symbols, 64 bits, so among N unlike
+documents one meets 50 N / 2^64 others by chance: none worth counting at any N
+(8-bit symbols would give 1.2 at 1e8 documents, and families that grow
+together).  Documents alike at J < 0.85 still meet, with a probability of
+about 50 J^4; such links are dropped when they are confirmed.
 
 Links are confirmed on full sets.  Buckets with two or more members tie their
 members into candidate families (a star per bucket, then connected
@@ -41,15 +45,18 @@ from labelscope.llm.components import connected_components
 from labelscope.llm.scratch import parked
 
 
-def signatures(h: np.ndarray, ix: np.ndarray, size: int, seed: int = 11) -> np.ndarray:
-    """MinHash symbols (one byte each) of non-empty sets, one row a set."""
+BITS = 16  # of a symbol
+
+
+def signatures(h: np.ndarray, ix: np.ndarray, size: int, seed: int = 11, bits: int = BITS) -> np.ndarray:
+    """MinHash symbols (two bytes each) of non-empty sets, one row a set."""
     rng = np.random.default_rng(seed)
     flips = rng.integers(0, 1 << 32, size, dtype=np.uint32)
     factors = rng.integers(0, 1 << 32, size, dtype=np.uint32) | np.uint32(1)
-    x, out = (h >> np.uint64(32)).astype(np.uint32), np.empty((len(ix) - 1, size), np.uint8)
+    x, out = (h >> np.uint64(32)).astype(np.uint32), np.empty((len(ix) - 1, size), np.uint16)
     for k in range(size):
         least = np.minimum.reduceat((x ^ flips[k]) * factors[k], ix[:-1])
-        out[:, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
+        out[:, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
     return out
 
 
@@ -83,9 +90,9 @@ def describe(docs: DataFrame, k: int, size: int) -> DataFrame:
 
 def bucket_keys(sig, chunks: int, chunk_len: int):
     """The signature's keys: each chunk without each of its symbols in turn."""
+    at = lambda symbol, n: F.substring(sig, 2 * symbol + 1, 2 * n)
     return F.array(*[
-        F.xxhash64(F.lit(c * chunk_len + p), F.substring(sig, c * chunk_len + 1, p),
-                   F.substring(sig, c * chunk_len + p + 2, chunk_len - 1 - p))
+        F.xxhash64(F.lit(c * chunk_len + p), at(c * chunk_len, p), at(c * chunk_len + p + 1, chunk_len - 1 - p))
         for c in range(chunks) for p in range(chunk_len)])
 
 
@@ -165,7 +172,7 @@ def confirmed_links(docs: DataFrame, families: DataFrame, k: int, size: int, per
         table, mine, ids = table.take(first), mine[first], ids[first]
         a, b = table["a"][0].as_py(), table["b"][0].as_py()
         found = _forest(ids, (mine == b) & (a != b), [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()],
-                        np.stack([np.frombuffer(x, np.uint8) for x in table["sig"].to_pylist()]), percent, bound)
+                        np.stack([np.frombuffer(x, np.uint16) for x in table["sig"].to_pylist()]), percent, bound)
         return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
 
     # the families grow with the documents: the same shuffled join at every size

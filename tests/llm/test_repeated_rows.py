@@ -3,6 +3,8 @@ import hashlib
 import random
 from collections import Counter
 
+import pytest
+
 from labelscope.llm import mixing, near_dups, secret_scan
 from tests.llm.test_native import secrets
 
@@ -19,6 +21,19 @@ def test_near_duplicates_of_each_text_of_a_document(spark):
     assert got == Counter([(1, 1), (1, 1), (2, 1), (3, 1), (5, 1), (4, 4), (5, 4), (7, 4), (7, 4), (8, 4), (9, 9)])
 
 
+@pytest.mark.parametrize("bits", [2, 16])
+def test_near_duplicates_when_symbols_collide(spark, monkeypatch, bits):
+    """Two-bit symbols put most documents into common buckets: more is compared, the components stay."""
+    monkeypatch.setattr(near_dups.signatures, "__defaults__", (11, bits))
+    rnd = random.Random(6)
+    rows = []
+    for g in range(30):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(40)]
+        rows += [(len(rows) + k, " ".join(base + ["x"] * (k % 2))) for k in range(3)]
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()}
+    assert got == {i: i - i % 3 for i, _ in rows}
+
+
 def test_mixed_documents_keep_each_sources_words(spark):
     rnd = random.Random(2)
     rows = [(i, " ".join("w" * rnd.randint(1, 3) for _ in range(rnd.randint(3, 30))), f"s{i % 2}", i) for i in range(40)]
