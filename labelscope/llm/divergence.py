@@ -45,7 +45,7 @@ from labelscope.llm import text_kernel as tk
 from labelscope.llm.scratch import parked
 
 SCALE, PRIOR = 1_000_000_000, 5
-SLAB = 4 << 20
+SLAB = 12 << 20
 SLICE, BLOCK = 2048, 128  # terms of a slice and sources of a block, about
 WAYS = 16                 # slices of a group in the first merge of skybands
 CHUNK = 1024              # points that are compared with a skyband at once
