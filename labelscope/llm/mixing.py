@@ -34,11 +34,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from labelscope.llm.scratch import parked, word_array
-from labelscope.operators.order_stats import numbered
 
 SLICES = 1024
 
@@ -163,7 +163,8 @@ def mix(docs: DataFrame, seed: int = 13, **params) -> DataFrame:
         F.when(F.col("extra") >= F.col("n"), F.lit(SLICES)).otherwise(F.coalesce("upto", F.lit(-1))).alias("upto"),
         F.coalesce("border", F.lit(-1)).alias("border"), F.coalesce("want", F.lit(0)).alias("want"))
     ruled = sized.join(rule, sized["source"].eqNullSafe(rule["r_source"]) & (sized["size"] == rule["r_size"])).drop("r_source", "r_size")
-    rank = F.row_number().over(Window.partitionBy("source", "size").orderBy("h", "doc.doc_id"))
+    ties = ["doc.__row"] if "__row" in keys else []
+    rank = F.row_number().over(Window.partitionBy("source", "size").orderBy("h", "doc.doc_id", *ties))
     at_border = ruled.where("slice = border").withColumn("once", (rank <= F.col("want")).cast("int"))
     clear = ruled.where("slice <> border").withColumn("once", (F.col("slice") <= F.col("upto")).cast("int"))
     return at_border.unionByName(clear).select(
@@ -178,19 +179,21 @@ def report(docs: DataFrame, **params) -> DataFrame:
 
 def mix_documents(docs: DataFrame, **params) -> DataFrame:
     """The documents as often as the mix takes them, with their own columns.
-    Rows that share id, text and source share the copies of all of them as
-    evenly as whole numbers allow, the first in the order of their hash getting one more."""
+    Rows that are equal in every column are one row with the copies of all of
+    them; they are reduced before the texts are shuffled, once, to meet their copies."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     seed = params.get("seed", 13)
-    of = lambda doc, source, h: F.concat_ws("|", F.coalesce(doc.cast("string"), F.lit("null")), h.cast("string"),
-                                            F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("null")))
-    chosen = mix(docs.select("doc_id", "source", "text"), **params).groupBy(of(F.col("doc.doc_id"), F.col("doc.source"), F.col("h")).alias("__k")).agg(
-        F.sum("copies").cast("long").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    hashed = [c.cast("string") if isinstance(f.dataType, MapType) else c for c, f in zip(columns, docs.schema.fields)]
+    marked = docs.withColumn("__row", F.xxhash64(*hashed)).select(
+        "*", _row_key("doc_id", "source", F.xxhash64(F.lit(seed), "doc_id", "text"), "__row").alias("__k"))
+    chosen = mix(marked.select("doc_id", "source", "text", "__row"), **params).groupBy(
+        _row_key("doc.doc_id", "doc.source", F.col("h"), "doc.__row").alias("__k")).agg(F.sum("copies").cast("int").alias("__copies"))
     chosen = parked(chosen.where("__copies > 0"), "chosen")
-    keyed = docs.select("*", of(F.col("doc_id"), F.col("source"), F.xxhash64(F.lit(seed), "doc_id", "text")).alias("__k"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    single = keyed.join(chosen.where("__rows = 1"), "__k").withColumn("__n", F.col("__copies"))
-    several = keyed.join(chosen.where("__rows > 1"), "__k").withColumn("__h", F.xxhash64(*columns))
-    several = numbered(several, ["__k"], ["__h"], "__at").withColumn("__n", F.floor(F.col("__copies") / F.col("__rows")) + F.when(
-        F.col("__at") < F.col("__copies") % F.col("__rows"), 1).otherwise(0))
-    taken = single.select(*columns, "__n").union(several.select(*columns, "__n")).where("__n > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*columns)
+    taken = marked.dropDuplicates(["__k"]).join(chosen, "__k")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+
+
+def _row_key(doc_id: str, source: str, text_hash: Column, row: str) -> Column:
+    """A row's id, source, text hash and hash of all columns as one string; nulls are values of their own."""
+    said = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    return F.concat_ws("|", said(doc_id), text_hash.cast("string"), F.col(row).cast("string"), said(source))
