@@ -79,6 +79,45 @@ def parked(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Parking:
+    """Parked tables of one job: ``leave`` deletes one when it is no longer
+    read, the end of the ``with`` block the others; and each query's shuffle
+    files go when the query ends, as its result is parked."""
+
+    CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Parking:
+        self.before = self.spark.conf.get(self.CLEAN, None)
+        self.spark.conf.set(self.CLEAN, "true")
+        return self
+
+    def __exit__(self, *error) -> None:
+        if self.before is None:
+            self.spark.conf.unset(self.CLEAN)
+        else:
+            self.spark.conf.set(self.CLEAN, self.before)
+        for _, path in self.paths:
+            self._delete(path)
+
+    def park(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        out = parked(df, name, path)
+        self.paths.append((out, path))
+        return out
+
+    def leave(self, df: DataFrame) -> None:
+        for entry in [e for e in self.paths if e[0] is df]:
+            self.paths.remove(entry)
+            self._delete(entry[1])
+
+    def _delete(self, path: str) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def word_array(text):
     """Words ``[^\\x20\\x09-\\x0D]+`` of a string column (null: none)."""
     t = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS))
