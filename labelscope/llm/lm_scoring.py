@@ -86,6 +86,17 @@ def firsts(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the different keys in order, a row of each, the place of every row's key among them)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], back
+
+
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first) if len(first) else np.zeros(0, np.int64)
 
@@ -122,21 +133,25 @@ class Routes:
         low = np.uint64(64) - self.bits
         return (route >> low << low) | (own >> self.bits)
 
-    def keys(self, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(key, context's key, whether the context is spread) of n-grams; a spread context's key is its hash."""
-        own, k = hash_columns(columns), len(columns)
-        if k == 1:
-            return own, own, np.ones(len(own), bool)
-        route, open_rows = own.copy(), np.ones(len(own), bool)
-        for j in range(1, k):
-            context = hash_columns(columns[k - 1 - j:k - 1])
-            cold = open_rows & ~self.hot(context)
-            route[cold] = context[cold]
-            open_rows &= ~cold
-        return self.key(route, own), np.where(open_rows, context, self.key(route, context)), open_rows
-
-    def bucket(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> (np.uint64(64) - self.bits)).astype(np.int64)
+    def ends(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of contexts: (hash of the shortest end that is not hot, whether there is none: the
+        context is spread, the context's key: its hash if it is spread)."""
+        k = len(context)
+        route, spread = np.zeros(context.shape[1], np.uint64), np.ones(context.shape[1], bool)
+        for j in range(1, k + 1):
+            h = hash_columns(context[k - j:])
+            cold = spread & ~self.hot(h)
+            route[cold] = h[cold]
+            spread &= ~cold
+        return route, spread, np.where(spread, h, self.key(route, h))
+
+    def keys(self, columns: np.ndarray) -> np.ndarray:
+        """Keys of n-grams."""
+        own = hash_columns(columns)
+        if len(columns) == 1:
+            return own
+        route, spread, _ = self.ends(columns[:-1])
+        return np.where(spread, own, self.key(route, own))
 
 
 def hot_file(context: np.ndarray, bits: int) -> np.ndarray:
@@ -320,9 +335,9 @@ class Words:
 
     def numbers(self, words: np.ndarray) -> np.ndarray:
         """Numbers of distinct words by hash."""
-        out = np.full(len(words), UNKNOWN)
-        for bucket, _, rows, at in self.vocabulary.find(words):
-            out[rows] = (self.base[bucket] + at + 1 + FREQUENT).astype(np.uint64)
+        out, order = np.full(len(words), UNKNOWN), np.argsort(words)
+        for bucket, _, rows, at in self.vocabulary.find(words[order]):
+            out[order[rows]] = (self.base[bucket] + at + 1 + FREQUENT).astype(np.uint64)
         known, rank = self.frequent.part(0)
         if len(known):
             at = np.minimum(np.searchsorted(known, words), len(known) - 1)
@@ -362,7 +377,7 @@ def count_grams(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, routes = Words(model), Routes(files, bits)
         for columns in flushes(batches, order, words.numbers):
-            yield run_rows(f"run{order}", *merged(columns, routes.keys(columns)[0], None), bits)
+            yield run_rows(f"run{order}", *merged(columns, routes.keys(columns), None), bits)
     return docs.select("text").mapInArrow(run, "kind string, bucket int, run binary")
 
 
@@ -379,7 +394,7 @@ def merge_buckets(counted: DataFrame, order: int, files: str, bits: int, parking
     def group(table: pa.Table) -> pa.Table:
         routes, bucket = Routes(files, bits), table["bucket"][0].as_py()
         columns, counts = read_runs(table["run"].to_pylist(), order)
-        columns, keys, counts = merged(columns, routes.keys(columns)[0], counts)
+        columns, keys, counts = merged(columns, routes.keys(columns), counts)
         base = f"{files}/order{order}-{bucket:05d}"
         large = np.flatnonzero(counts > 254)
         save_keys(base, keys, bits), save(f"{base}.count", clipped(counts))
@@ -387,7 +402,7 @@ def merge_buckets(counted: DataFrame, order: int, files: str, bits: int, parking
         kinds, buckets, out_runs = ["stats"], [bucket], [None]
         numbers = [[int(counts.sum()), len(counts)] + [int((counts == k).sum()) for k in (1, 2, 3, 4)]]
         if order > 1:
-            _, context, spread = routes.keys(columns)
+            _, spread, context = routes.ends(columns[:-1])
             place = np.argsort(context)
             context, n, spread = context[place], counts[place], spread[place]
             first = firsts(context)
@@ -398,7 +413,7 @@ def merge_buckets(counted: DataFrame, order: int, files: str, bits: int, parking
                 kinds.append("spread"), buckets.append(bucket), out_runs.append(None)
                 numbers.append([int(context[i].view(np.int64)), *total[:, i].tolist()])
             lower = columns[1:]
-            below = run_rows(f"run{order - 1}", *merged(lower, routes.keys(lower)[0], None), bits)
+            below = run_rows(f"run{order - 1}", *merged(lower, routes.keys(lower), None), bits)
             kinds += below["kind"].to_pylist()
             buckets += below["bucket"].to_pylist()
             out_runs += below["run"].to_pylist()
@@ -480,17 +495,15 @@ class Mapped:
         self.buckets, self.bits = Buckets(files, name, columns), bits
 
     def find(self, keys: np.ndarray) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
-        """(bucket, arrays, rows of ``keys`` that are in them, their places), bucket by bucket."""
-        order = np.argsort(keys)
-        bucket = (keys[order] >> np.uint64(64 - self.bits)).astype(np.int64)
+        """(bucket, arrays, rows of ascending ``keys`` that are in them, their places), bucket by bucket."""
+        bucket = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         first = firsts(bucket)
         for a, b in zip(first, np.append(first[1:], len(bucket))):
             part = self.buckets.part(int(bucket[a]))
             if part is None:
                 continue
-            rows = order[a:b]
-            hit, at = self.search(part, keys[rows])
-            yield int(bucket[a]), part, rows[hit], at[hit]
+            hit, at = self.search(part, keys[a:b])
+            yield int(bucket[a]), part, a + np.flatnonzero(hit), at[hit]
 
     def search(self, part: list, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.buckets.columns[0] == "low":
@@ -524,22 +537,23 @@ class Scorer:
 
     def word_counts(self, words: np.ndarray) -> np.ndarray:
         """Training count of each token."""
-        distinct, back = np.unique(words, return_inverse=True)
-        out = np.zeros(len(distinct), np.int64)
-        for _, (_, count, large), rows, at in self.words.vocabulary.find(distinct):
-            out[rows] = whole(count, at, distinct[rows], large)
-        return out[back]
+        coded = pa.array(words).dictionary_encode()
+        keys, _, back = distinct(coded.dictionary.to_numpy().astype(np.uint64))
+        out = np.zeros(len(keys), np.int64)
+        for _, (_, count, large), rows, at in self.words.vocabulary.find(keys):
+            out[rows] = whole(count, at, keys[rows], large)
+        return out[back][coded.indices.to_numpy()]
 
     def gram_counts(self, k: int, keys: np.ndarray) -> np.ndarray:
-        distinct, back = np.unique(keys, return_inverse=True)
-        out = np.zeros(len(distinct), np.int64)
-        for _, part, rows, at in self.grams[k].find(distinct):
+        keys, _, back = distinct(keys)
+        out = np.zeros(len(keys), np.int64)
+        for _, part, rows, at in self.grams[k].find(keys):
             out[rows] = whole(part[3], at, at, part[4])
         return out[back]
 
-    def context_numbers(self, k: int, keys: np.ndarray, spread: np.ndarray) -> np.ndarray:
-        """(total, N1, N2, N3+) of each n-gram's context; zeros for one never seen."""
-        keys, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    def context_numbers(self, k: int, keys: np.ndarray, spread: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(total, what the discounts ``d`` leave to the lower order) of each n-gram's context; zeros for one never seen."""
+        keys, first, back = distinct(keys)
         out, spread = np.zeros((4, len(keys))), spread[first]
         cold, hot = np.flatnonzero(~spread), np.flatnonzero(spread)
         for _, part, rows, at in self.contexts[k].find(keys[cold]):
@@ -552,29 +566,32 @@ class Scorer:
             out[:, rows[big]] = large[1:, np.searchsorted(large[0], at[big])]
         for _, (_, stats), rows, at in self.spread[k].find(keys[hot]):
             out[:, hot[rows]] = stats[:, at]
-        return out[:, back]
+        return out[0][back], (d @ out[1:])[back]
 
     def log10(self, columns: np.ndarray) -> np.ndarray:
         """log10 probability of each token after the n - 1 before it."""
         m = self.m
         p = np.full(columns.shape[1], 1.0 / (m["distinct"] + 1))
         coded = pa.array(columns.ravel()).dictionary_encode()
-        columns = self.words.numbers(coded.dictionary.to_numpy().astype(np.uint64))[coded.indices.to_numpy()].reshape(columns.shape)
+        words, index = self.words.numbers(coded.dictionary.to_numpy().astype(np.uint64)), coded.indices.to_numpy().reshape(columns.shape)
+        columns = words[index]
         for k in range(1, m["order"] + 1):
-            level, part = m["levels"][k], columns[m["order"] - k:]
+            level = m["levels"][k]
             d = np.concatenate([[0.0], level["discounts"]])
-            keys, context, spread = self.routes.keys(part)
-            c = self.gram_counts(k, keys)
-            own = np.maximum(c - d[np.minimum(c, 3)], 0.0)
             if k == 1:
+                c = self.gram_counts(1, hash_columns(words[None]))[index[-1]]
                 if level["total"]:
                     n = np.array([level["seen"][0], level["seen"][1], level["distinct"] - level["seen"][0] - level["seen"][1]], float)
-                    p = (own + (d[1:] * n).sum() * p) / level["total"]
+                    p = (np.maximum(c - d[np.minimum(c, 3)], 0.0) + (d[1:] * n).sum() * p) / level["total"]
                 continue
-            total, *n = self.context_numbers(k, context, spread)
-            seen = total > 0
-            back_off = d[1] * n[0] + d[2] * n[1] + d[3] * n[2]
-            p[seen] = (own[seen] + back_off[seen] * p[seen]) / total[seen]
+            one = k == 2  # contexts of one word are looked up once a word
+            route, spread, context = self.routes.ends(words[None] if one else columns[m["order"] - k:-1])
+            total, back_off = self.context_numbers(k, context, spread, d[1:])
+            if one:
+                route, spread, total, back_off = (x[index[-2]] for x in (route, spread, total, back_off))
+            own = hash_columns(columns[m["order"] - k:])
+            c = self.gram_counts(k, np.where(spread, own, self.routes.key(route, own)))
+            p = np.where(total > 0, (np.maximum(c - d[np.minimum(c, 3)], 0.0) + back_off * p) / np.maximum(total, 1), p)
         return np.log10(p)
 
 
