@@ -14,19 +14,21 @@ that overlap by half, the distinct item positions that hit are counted per
 document, window and band, and only regions with T or more are verified, by an
 edit-distance alignment confined to the band.  The filter loses nothing.
 
-The benchmark is read in blocks of about ``block_chars`` characters, each a
-bounded index that travels to the tasks; documents are only mapped, never
-shuffled or joined.
+The benchmark is cut into blocks of about ``block_chars`` characters.  Tasks
+write each block's index as array files into the shared folder, workers
+memory-map them, and one scan of the documents folds and hashes each text once
+and looks it up in all blocks; documents are never shuffled or joined.
 
 Defined results: null and empty texts leak nothing; items shorter than ``q``
-(after normalisation) and null item texts are never found; repeated rows are
-reported or dropped one by one; empty tables give empty results; documents of
-any length are scanned whole.  Extra columns pass through
-:func:`filter_documents`.
+(after normalisation), null item ids and null item texts are never found; equal
+benchmark rows count once; repeated documents are reported or dropped one by
+one; empty tables give empty results; documents of any length are scanned
+whole.  Extra columns pass through :func:`filter_documents`.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.llm import text_kernel as tk
-from labelscope.llm.scratch import worker_store
+from labelscope.llm.scratch import Buckets, save, scratch_path, shared_file_path, worker_store
 
 BITS = 22
+HITS = 1 << 16  # shared q-grams whose windows are looked at together
+#: Windows of the usual 13 words; a stride of no more than the edits plus one leaves no passage between two starts.
+SHORT = {"window": 64, "stride": 4}
 SEPARATOR = np.uint32(0x110000)  # no code point
 
 
@@ -92,37 +97,54 @@ def gram_hashes(x: np.ndarray, q: int) -> np.ndarray:
 
 
 class Index:
-    """q-grams, windows and normalised texts of one block of benchmark items."""
+    """q-grams, windows and normalised texts of one block of benchmark items, as arrays."""
+
+    COLUMNS = ("ids", "gram", "first", "owner", "place", "win", "win_of", "win_key", "least", "flag", "points", "text_of")
 
     def __init__(self, items: list[tuple[int, str]], q: int, window: int, stride: int, rate: float):
-        self.q, hashes, owner, place, self.text = q, [], [], [], []
+        hashes, owner, place, texts, least = [], [], [], [], []
         win = []  # item, start, length, edits, shared q-grams needed
         for k, (_, text) in enumerate(items):
             raw = np.frombuffer((text or "").strip().encode(), np.uint8)
             x, _ = normalise(raw, np.array([0, len(raw)]))
             x = x[:-1]
-            self.text.append(x)
+            texts.append(x)
+            least.append(1 << 30)
             if len(x) < q:
                 continue
             h = gram_hashes(x, q)
             hashes.append(h), owner.append(np.full(len(h), k)), place.append(np.arange(len(h)))
             m = min(window, len(x))
             e = max(0, min(int(rate * m), (m - q) // q))
+            least[k] = m + 1 - q * (e + 1)
             for a in sorted({*range(0, len(x) - m + 1, stride), len(x) - m}):
-                win.append((k, a, m, e, m + 1 - q * (e + 1)))
-        self.ids = np.array([i for i, _ in items], np.int64)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+                win.append((k, a, m, e, least[k]))
+        join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+        self.ids, self.least = np.array([i for i, _ in items], np.int64), np.array(least, np.int64)
+        h = join(hashes, np.uint64)
         order = np.argsort(h, kind="stable")
-        self.gram, self.first = np.unique(h[order], return_index=True)
-        self.first = np.append(self.first, len(h))
-        self.owner = (np.concatenate(owner) if owner else np.zeros(0, np.int64))[order]
-        self.place = (np.concatenate(place) if place else np.zeros(0, np.int64))[order]
+        self.gram, first = np.unique(h[order], return_index=True)
+        self.first = np.append(first, len(h))
+        self.owner, self.place = join(owner, np.int64)[order], join(place, np.int64)[order]
         self.win = np.array(win, np.int64).reshape(-1, 5)
         self.win_of = np.searchsorted(self.win[:, 0], np.arange(len(items) + 1))
-        self.edits = self.win[:, 3].max(initial=0)
-        self.least = np.array([self.win[a:b, 4].min(initial=1 << 30) for a, b in zip(self.win_of, self.win_of[1:])])
+        self.win_key = self.win[:, 0] << 32 | self.win[:, 1]
         self.flag = np.zeros(1 << BITS, bool)
         self.flag[(self.gram >> np.uint64(64 - BITS)).astype(np.int64)] = True
+        self.points, self.text_of = join(texts, np.uint32), np.cumsum([0, *map(len, texts)])
+
+    def write(self, files: str, block: int) -> None:
+        for name in self.COLUMNS:
+            save(f"{files}/items-{block:05d}.{name}", getattr(self, name))
+
+    @classmethod
+    def mapped(cls, buckets: Buckets, block: int) -> Index | None:
+        """The block's index over memory-mapped arrays; None if the block has no item."""
+        index, parts = cls.__new__(cls), buckets.part(block)
+        if parts is None:
+            return None
+        index.__dict__.update(zip(cls.COLUMNS, parts))
+        return index
 
 
 def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,10 +180,9 @@ def banded_edits(x: np.ndarray, at: np.ndarray, stop: np.ndarray, pattern: np.nd
     return cost.min(axis=1)
 
 
-def find_leaks(index: Index, data: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(document, item number, windows found, least edits) of one slab of texts."""
-    x, ds = normalise(data, starts)
-    h = gram_hashes(x, index.q)
+def find_leaks(index: Index, x: np.ndarray, ds: np.ndarray, h: np.ndarray, q: int) -> list[tuple[int, int, int, int]]:
+    """(document, item number, windows found, least edits) of one slab of texts:
+    its code points, the documents' starts in them and the q-grams' hashes."""
     at = np.flatnonzero(index.flag[(h >> np.uint64(64 - BITS)).astype(np.int64)])
     if not len(at) or not len(index.gram):
         return []
@@ -173,93 +194,126 @@ def find_leaks(index: Index, data: np.ndarray, starts: np.ndarray) -> list[tuple
     posting = index.first[g][row] + k
     at, item, j = at[row], index.owner[posting], index.place[posting]
     doc = np.searchsorted(ds, at, "right") - 1
-    # a pair of document and item needs as many hits as its easiest window
+    # a pair of document and item needs as many hits as a window does
     group, n = _count_groups((doc * len(index.ids) + item)[:, None])
     ok = n[group] >= index.least[item]
     doc, item, j, at = doc[ok], item[ok], j[ok], at[ok]
     if not len(doc):
         return []
-    # windows that hold the q-gram, and the two bands that hold its diagonal
-    row, k = _spread(np.diff(index.win_of)[item])
-    w = index.win_of[item[row]] + k
-    a, m, e = index.win[w, 1], index.win[w, 2], index.win[w, 3]
-    ok = (j[row] >= a) & (j[row] + index.q <= a + m)
-    row, w, e = row[ok], w[ok], e[ok]
-    diagonal = at[row] - j[row]
-    half = e + 1
-    band = np.concatenate([diagonal // half, diagonal // half - 1])
-    row, w = np.concatenate([row, row]), np.concatenate([w, w])
-    key = np.stack([doc[row], w, band, j[row]], axis=1)
-    key = key[np.lexsort((key[:, 3], key[:, 2], key[:, 1], key[:, 0]))]
+    # so does each of the two bands that hold a hit's diagonal; all windows of an item allow as many edits
+    half = index.win[index.win_of[item], 3] + 1
+    cell = (at - j) // half
+    key = np.stack([np.tile(doc, 2), np.tile(item, 2), np.concatenate([cell, cell - 1]), np.tile(j, 2)], axis=1)
+    key = key[np.lexsort(key.T[::-1])]
+    key = key[_changes(key)]  # an item position counts once
+    begin = np.flatnonzero(_changes(key[:, :3]))
+    n = np.diff(np.append(begin, len(key)))
+    ok = n >= index.least[key[begin, 1]]
+    begin, n = begin[ok], n[ok]
+    found: dict[tuple[int, int], list] = {}  # windows, least edits
+    part = (np.cumsum(n) - n) // HITS  # bands are verified by parts: a band holds no more hits than its item has positions
+    for p in np.unique(part):
+        of_part = part == p
+        row, k = _spread(n[of_part])
+        _verify(index, x, ds, q, key[begin[of_part][row] + k], found)
+    return [(d, i, len(wins), c) for (d, i), (wins, c) in sorted(found.items())]
+
+
+def _changes(key: np.ndarray) -> np.ndarray:
+    """Whether a row of a sorted key differs from the one before."""
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]).any(axis=1)
-    key = key[new, :3]
-    first = np.ones(len(key), bool)
-    first[1:] = (key[1:] != key[:-1]).any(axis=1)
-    begin = np.flatnonzero(first)
-    shared = np.diff(np.append(begin, len(key)))
-    region = key[begin]
+    return new
+
+
+def _verify(index: Index, x: np.ndarray, ds: np.ndarray, q: int, key: np.ndarray, found: dict) -> None:
+    """Align the windows of the (document, item, band, item position) rows of
+    whole bands that share enough q-grams, and note those within their edits."""
+    item, j = key[:, 1], key[:, 3]
+    m = index.win[index.win_of[item], 2]
+    low = np.searchsorted(index.win_key, item << 32 | np.maximum(j + q - m, 0))
+    high = np.searchsorted(index.win_key, item << 32 | j, "right")  # the windows that hold the q-gram
+    row, k = _spread(high - low)
+    region = np.stack([key[row, 0], low[row] + k, key[row, 2]], axis=1)
+    region = region[np.lexsort(region.T[::-1])]
+    begin = np.flatnonzero(_changes(region))
+    shared = np.diff(np.append(begin, len(region)))
+    region = region[begin]
     region = region[shared >= index.win[region[:, 1], 4]]
-    found: dict[tuple[int, int], list[int]] = {}
-    done: set[tuple[int, int]] = set()
     for m, e in np.unique(index.win[region[:, 1], 2:4], axis=0):
         part = region[(index.win[region[:, 1], 2] == m) & (index.win[region[:, 1], 3] == e)]
         for s in range(0, len(part), 4096):
             r = part[s:s + 4096]
             start = index.win[r[:, 1], 1]
-            texts = np.stack([index.text[index.win[b, 0]][c:c + m] for b, c in zip(r[:, 1], start)])
+            texts = index.points[(index.text_of[index.win[r[:, 1], 0]] + start)[:, None] + np.arange(m)]
             origin = r[:, 2] * (e + 1) + start - e
             cost = banded_edits(x, origin, np.stack([ds[r[:, 0]], ds[r[:, 0] + 1] - 1], axis=1), texts, 2 * (e + 1) + 2 * e)
-            for (d, b, _), c in zip(r[cost <= e], cost[cost <= e]):
-                i = (int(d), int(index.win[b, 0]))
-                got = found.setdefault(i, [0, int(c)])
-                got[0] += (int(d), int(b)) not in done
-                got[1] = min(got[1], int(c))
-                done.add((int(d), int(b)))
-    return [(d, i, n, c) for (d, i), (n, c) in sorted(found.items())]
-
-
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items in blocks of about ``block_chars`` characters."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+            for (d, w, _), c in zip(r[cost <= e].tolist(), cost[cost <= e].tolist()):
+                seen = found.setdefault((d, int(index.win[w, 0])), [set(), c])
+                seen[0].add(w)
+                seen[1] = min(seen[1], c)
+
+
+def write_index(benchmark: DataFrame, q: int, window: int, stride: int, rate: float, block_chars: int) -> tuple[str, int]:
+    """(folder, number of blocks) of the benchmark's index files, written by the tasks."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(
+        "item_id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_chars))
-    for b in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id", F.lit(5)), F.lit(n)) == b).orderBy("item_id", "text")
-        yield [tuple(r) for r in part.collect()]
+    files = shared_file_path(scratch_path(spark, "benchmark"))
+    os.makedirs(files, exist_ok=True)
+
+    def build(table: pa.Table) -> pa.Table:
+        block = table["block"][0].as_py()
+        rows = sorted(zip(table["item_id"].to_pylist(), table["text"].to_pylist()))
+        Index(rows, q, window, stride, rate).write(files, block)
+        return pa.table({"block": pa.array([block], pa.int32())})
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")
+    items.withColumn("block", block).groupBy("block").applyInArrow(build, "block int").count()
+    return files, n
+
+
+def slab_leaks(buckets: Buckets, blocks: int, q: int, data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item id, windows found, least edits) of one slab of texts, folded and hashed once for all blocks."""
+    x, ds = normalise(data, starts)
+    h = gram_hashes(x, q)
+    for block in range(blocks):
+        index = Index.mapped(buckets, block)
+        if index is not None:
+            for d, i, n, c in find_leaks(index, x, ds, h, q):
+                yield d, int(index.ids[i]), n, c
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 12, window: int = 100, stride: int = 25, rate: float = 0.05,
           block_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id, n_windows, least_edits): a row for each row of ``docs`` and item it leaks."""
-    out = None
-    for items in _blocks(benchmark, block_chars):
-        def run(batches, items=items):
-            index = Index(items, q, window, stride, rate)
-            for batch in batches:
-                for row, data, starts in tk.text_slabs(batch["text"]):
-                    got = find_leaks(index, data, starts)
-                    if got:
-                        d, i, n, c = zip(*got)
-                        yield pa.RecordBatch.from_arrays(
-                            [batch["doc_id"].take(pa.array([row + k for k in d])).cast(pa.int64()), pa.array(index.ids[list(i)]),
-                             pa.array(n, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "item_id", "n_windows", "least_edits"])
-        part = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, n_windows long, least_edits long")
-        out = part if out is None else out.union(part)
-    return out
+    files, blocks = write_index(benchmark, q, window, stride, rate, block_chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = Buckets(files, "items", Index.COLUMNS)
+        for batch in batches:
+            for row, data, starts in tk.text_slabs(batch["text"]):
+                got = list(slab_leaks(buckets, blocks, q, data, starts))
+                if got:
+                    d, i, n, c = zip(*got)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch["doc_id"].take(pa.array([row + k for k in d])).cast(pa.int64()), pa.array(i, pa.int64()),
+                         pa.array(n, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "item_id", "n_windows", "least_edits"])
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, n_windows long, least_edits long")
 
 
 def filter_documents(docs: DataFrame, benchmark: DataFrame, q: int = 12, window: int = 100, stride: int = 25,
                      rate: float = 0.05, block_chars: int = 4_000_000) -> DataFrame:
     """The documents that leak no item, with all their columns."""
-    for items in _blocks(benchmark, block_chars):
-        def run(batches, items=items):
-            index = Index(items, q, window, stride, rate)
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for row, data, starts in tk.text_slabs(batch["text"]):
-                    for d, *_ in find_leaks(index, data, starts):
-                        keep[row + d] = False
-                yield batch.filter(pa.array(keep))
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    files, blocks = write_index(benchmark, q, window, stride, rate, block_chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = Buckets(files, "items", Index.COLUMNS)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for row, data, starts in tk.text_slabs(batch["text"]):
+                for d, *_ in slab_leaks(buckets, blocks, q, data, starts):
+                    keep[row + d] = False
+            yield batch.filter(pa.array(keep))
+    return docs.mapInArrow(run, docs.schema)

@@ -28,8 +28,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from labelscope.llm.decontam import leaks
-    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    from labelscope.llm.decontam import SHORT, leaks
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), **SHORT)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
