@@ -22,8 +22,8 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
-    from labelscope.llm.decontam import filter_documents
-    return filter_documents(docs, read_table(spark, sf_dir, "benchmark"))
+    from labelscope.llm.decontam import SHORT, filter_documents
+    return filter_documents(docs, read_table(spark, sf_dir, "benchmark"), **SHORT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
