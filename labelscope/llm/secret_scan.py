@@ -5,15 +5,19 @@ Patterns (spans of the whole match, code points, end exclusive):
 ``access`` an access key id of 20 or more; ``hex`` a run of 24 or more.
 
 Entropy.  Candidates are the runs of 20 or more of ``[A-Za-z0-9+/_=-]`` with a
-digit.  Each is put in a character class -- ``hex``, ``alnum`` (lower case and
-digits) or ``mixed`` -- with its own window and threshold.  A window of W
+digit, and those of 20 or more letters, 30 to 70 % of them upper case (names in
+camel case have fewer).  Each is put in a character class -- ``hex``, ``alnum``
+(lower case and digits), ``letters`` or ``mixed`` -- with its own window and
+threshold, that of ``letters`` the highest.  A window of W
 characters slides over the candidate; only the counts of the character that
 leaves and the one that enters change, so with f(k) = k log2 k the sum of
 f(count) is updated by two differences and the entropy is log2 W - sum / W.
 The span reported runs from the first to the last window at or above the
-threshold.  A candidate that matches the allow list (placeholders, counting
-sequences, one repeated character) or overlaps a pattern's span is suppressed;
-pattern spans always stay.
+threshold.  A candidate that overlaps a pattern's span is suppressed; pattern
+spans always stay.  The allow list (placeholders, counting sequences, one
+repeated character) is held against the parts between ``=`` and ``/``: what
+follows the last part that matches is judged as a candidate of its own, so a
+word in a key's name or path does not hide the value behind it.
 
 Only DataFrame functions run.  Positions come from the lengths of the matches
 and of the pieces between them.  Defined results: null and empty texts have no
@@ -31,13 +35,16 @@ from labelscope.llm.scratch import let
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{16,}"  # a match fails as a whole when its run is too short, so the length can be asked for here
 HEX = "[0-9a-f]{24,}"
-CANDIDATE = "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
-KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_alnum", "entropy_mixed"]
+CANDIDATE = ("(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+             "|(?<![A-Za-z0-9+_-])[A-Za-z]{20,}(?![A-Za-z0-9+_-])")
+LEAST = 20  # characters of a candidate
+KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_alnum", "entropy_mixed", "entropy_letters"]
 #: class -> (pattern of the whole candidate, window, bits)
 CLASSES = {"entropy_hex": ("^(?:[0-9a-f]+|[0-9A-F]+)$", 20, 2.8), "entropy_alnum": ("^[0-9a-z]+$", 20, 3.4),
-           "entropy_mixed": (".", 20, 3.6)}
+           "entropy_letters": ("^[A-Za-z]+$", 20, 3.9), "entropy_mixed": (".", 20, 3.6)}
 ALLOW = ("(?i)example|sample|dummy|placeholder|change_?me|redacted|your[_-]|test[_-]?key"
-         "|0123456789|123456789|abcdefghij|qwertyuiop|(.)\\1{7}")
+         "|0123456789|123456789|abcdefghij|qwertyuiop|([^=/])\\1{7}")
+ALLOWED = ALLOW.replace("(?i)", "(?i)^.*(?:") + ")[^=/]*[=/]*"  # up to the end of the last part that matches
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"  # of a candidate
 PIECE = 256  # matches whose spans are placed together
 SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
@@ -121,9 +128,18 @@ def entropy_spans(text: Column, base: Column) -> Column:
         return out
 
     def fresh(x):
-        return ~F.regexp_like(x["value"], F.lit(ALLOW)) & ~F.exists(
-            base, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
-    candidates = F.filter(spans_of(text, CANDIDATE, 3), fresh)
+        return ~F.exists(base, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
+
+    def rest(x):
+        return let(F.regexp_replace(x["value"], F.lit(ALLOWED), F.lit("")), lambda v: F.struct(
+            (x["stop"] - F.char_length(v)).alias("start"), v.alias("value")))
+
+    def likely(x):
+        n = F.char_length(x["value"])
+        upper = F.char_length(F.regexp_replace(x["value"], F.lit("[^A-Z]"), F.lit("")))
+        letters = F.regexp_like(x["value"], F.lit(CLASSES["entropy_letters"][0])) & (10 * upper >= 3 * n) & (10 * upper <= 7 * n)
+        return (n >= LEAST) & (F.regexp_like(x["value"], F.lit("[0-9]")) | letters)
+    candidates = F.filter(F.transform(F.filter(spans_of(text, CANDIDATE, 3), fresh), rest), likely)
     return F.filter(F.transform(candidates, judged), lambda x: x.isNotNull())
 
 
