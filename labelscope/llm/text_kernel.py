@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -85,10 +86,12 @@ def word_spans(data: np.ndarray, starts: np.ndarray, split_stops: bool = False)
     return np.flatnonzero(begins), np.flatnonzero(ends)
 
 
-def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, fold: bool = True) -> np.ndarray:
-    """Hash of the bytes of every span; ``fold``: A-Z as a-z."""
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, fold: bool = True, second: bool = False) -> np.ndarray:
+    """Hash of the bytes of every span; ``fold``: A-Z as a-z; ``second``: another hash, of other byte values."""
     n = len(data)
     value, _, power, back = _tables(n + 1)
+    if second:
+        value = mix(value ^ np.uint64(ODD)) | np.uint64(1)
     if fold:
         value = value.copy()
         value[65:91] = value[97:123]
@@ -100,6 +103,27 @@ def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, fold: boo
     return mix(h + (last - first + 1).astype(np.uint64) * np.uint64(ODD))
 
 
+def distinct_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, 32 bits of a second hash, a span, number of each span) of the
+    distinct spans by hash; spans equal in one hash only stay apart."""
+    h = span_hashes(data, first, last, fold=False)
+    check = (span_hashes(data, first, last, fold=False, second=True) >> np.uint64(32)).astype(np.uint32)
+    back, found = pd.factorize(h)
+    one = np.empty(len(found), np.int64)
+    one[back[::-1]] = np.arange(len(h))[::-1]
+    other = np.flatnonzero(check != check[one[back]])
+    if len(other):
+        _, at, number = np.unique(np.stack([h[other], check[other].astype(np.uint64)], axis=1), axis=0,
+                                  return_index=True, return_inverse=True)
+        back[other] = len(one) + number.ravel()
+        one = np.concatenate([one, other[at]])
+    order = np.argsort(h[one], kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    one = one[order]
+    return h[one], check[one], one, place[back]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word in order, index of each document's first word, with the end)."""
     if len(data) == 0:

@@ -21,7 +21,8 @@ distinct pieces with counts, Spark shuffles them by hash, and each is encoded
 once by the library.  That gives the global counts of the ids -- one row per id
 and bucket -- from which the driver makes the code, whose size is the
 vocabulary's; and a dictionary of sorted arrays in the shared folder, which
-workers memory-map to code whole texts.  The coded documents are shuffled into
+workers memory-map to code whole texts.  Pieces are told apart by 96 bits, 64
+that the dictionary is sorted by and 32 of a second hash.  The coded documents are shuffled into
 ascending ``doc_id`` order.  Pieces of over ``LONGEST`` bytes stay out of the
 dictionary and are encoded where they stand.
 
@@ -64,16 +65,26 @@ def encode_pieces(path: str, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), (np.concatenate(sizes) if sizes else np.zeros(0, np.int64))
 
 
-def merge_pieces(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, count, size, bytes) of the distinct pieces, by hash, from parts of the same form."""
-    h, n, size, data = (np.concatenate(x) for x in zip(*parts))
+def merge_pieces(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, check, count, size, bytes) of the distinct pieces, by hash, from parts of the same form."""
+    h, check, n, size, data = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(h)
-    sorted_h = h[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    alike = h[order][1:] == h[order][:-1]
+    if (alike & (check[order][1:] != check[order][:-1])).any():  # pieces that share a hash: put equal ones together
+        order = np.lexsort((check, h))
+        alike = (h[order][1:] == h[order][:-1]) & (check[order][1:] == check[order][:-1])
+    first = np.flatnonzero(np.concatenate([[True], ~alike])) if len(h) else np.zeros(0, np.int64)
     total = np.add.reduceat(n[order], first) if len(h) else n
     one = order[first]
     begin = np.cumsum(size) - size
-    return h[one], total, size[one], data[tk.ragged(begin[one], size[one])]
+    return h[one], check[one], total, size[one], data[tk.ragged(begin[one], size[one])]
+
+
+def bucket_runs(h: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(bucket, start, stop) of the buckets that occur in ascending hashes."""
+    bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return list(zip(bucket[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(h)]))
 
 
 def distinct_pieces(docs: DataFrame, path: str, bits: int, end_id: int) -> DataFrame:
@@ -82,12 +93,10 @@ def distinct_pieces(docs: DataFrame, path: str, bits: int, end_id: int) -> DataF
         held, n_held, n_docs, known = [], 0, 0, []
 
         def flush() -> pa.RecordBatch:
-            h, n, size, data = merge_pieces(held)
-            edges = np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-            edges = np.concatenate([[0], edges, [len(h)]])
+            h, check, n, size, data = merge_pieces(held)
             at = np.concatenate([[0], np.cumsum(size)])
-            rows = [(b, np.int64(e - s).tobytes() + h[s:e].tobytes() + n[s:e].tobytes() + size[s:e].astype(np.uint16).tobytes()
-                     + data[at[s]:at[e]].tobytes()) for b, (s, e) in enumerate(zip(edges, edges[1:])) if e > s]
+            rows = [(b, np.int64(e - s).tobytes() + h[s:e].tobytes() + n[s:e].tobytes() + check[s:e].tobytes()
+                     + size[s:e].astype(np.uint16).tobytes() + data[at[s]:at[e]].tobytes()) for b, s, e in bucket_runs(h, bits)]
             k = len(rows)
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()),
@@ -102,11 +111,11 @@ def distinct_pieces(docs: DataFrame, path: str, bits: int, end_id: int) -> DataF
                 long = np.flatnonzero(last - first >= LONGEST)
                 if len(long):
                     known.append(encode_pieces(path, [data[first[i]:last[i] + 1].tobytes() for i in long])[0])
-                h, at, n = np.unique(tk.span_hashes(data, first, last, fold=False), return_index=True, return_counts=True)
-                size = (last - first + 1)[at]
+                h, check, at, back = tk.distinct_spans(data, first, last)
+                n, size = np.bincount(back, minlength=len(h)), (last - first + 1)[at]
                 ok = size <= LONGEST
-                h, at, n, size = h[ok], at[ok], n[ok], size[ok]
-                held.append((h, n, size, data[tk.ragged(first[at], size)]))
+                h, check, at, n, size = h[ok], check[ok], at[ok], n[ok], size[ok]
+                held.append((h, check, n, size, data[tk.ragged(first[at], size)]))
                 n_held += len(h)
                 if n_held > HELD:
                     yield flush()
@@ -120,10 +129,10 @@ def distinct_pieces(docs: DataFrame, path: str, bits: int, end_id: int) -> DataF
     return docs.select("text").mapInArrow(run, "bucket int, run binary, ids array<long>, n array<long>")
 
 
-def read_pieces(run: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def read_pieces(run: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     k = int(np.frombuffer(run, np.int64, 1)[0])
-    return (np.frombuffer(run, np.uint64, k, 8), np.frombuffer(run, np.int64, k, 8 + 8 * k),
-            np.frombuffer(run, np.uint16, k, 8 + 16 * k).astype(np.int64), np.frombuffer(run, np.uint8, -1, 8 + 18 * k))
+    return (np.frombuffer(run, np.uint64, k, 8), np.frombuffer(run, np.uint32, k, 8 + 16 * k), np.frombuffer(run, np.int64, k, 8 + 8 * k),
+            np.frombuffer(run, np.uint16, k, 8 + 20 * k).astype(np.int64), np.frombuffer(run, np.uint8, -1, 8 + 22 * k))
 
 
 def dictionary(pieces: DataFrame, path: str, files: str) -> DataFrame:
@@ -132,12 +141,12 @@ def dictionary(pieces: DataFrame, path: str, files: str) -> DataFrame:
         bucket = table["bucket"][0].as_py()
         if bucket < 0:
             return table.select(["ids", "n"])
-        h, n, size, data = merge_pieces([read_pieces(x) for x in table["run"].to_pylist()])
+        h, check, n, size, data = merge_pieces([read_pieces(x) for x in table["run"].to_pylist()])
         at = np.concatenate([[0], np.cumsum(size)])
         raw = data.tobytes()
         ids, sizes = encode_pieces(path, [raw[a:b] for a, b in zip(at, at[1:])])
         base = f"{files}/pieces-{bucket:05d}"
-        save(f"{base}.start", np.concatenate([[0], np.cumsum(sizes)])), save(f"{base}.ids", ids), save(f"{base}.hash", h)
+        save(f"{base}.start", np.concatenate([[0], np.cumsum(sizes)])), save(f"{base}.ids", ids), save(f"{base}.check", check), save(f"{base}.hash", h)
         count = np.bincount(ids, weights=np.repeat(n, sizes)).astype(np.int64)
         seen = np.flatnonzero(count)
         return pa.table([pa.array([seen.tolist()], pa.list_(pa.int64())), pa.array([count[seen].tolist()], pa.list_(pa.int64()))],
@@ -151,7 +160,7 @@ class Dictionary:
 
     def __init__(self, files: str, bits: int, path: str, end_id: int):
         self.path, self.end_id, self.bits = path, end_id, bits
-        self.buckets = Buckets(files, "pieces", ("start", "ids", "hash"))
+        self.buckets = Buckets(files, "pieces", ("start", "ids", "check", "hash"))
 
     def ids(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents with their end ids, number of each)."""
@@ -159,24 +168,23 @@ class Dictionary:
         if not len(data):
             return np.full(n_docs, self.end_id, np.int64), np.ones(n_docs, np.int64)
         first, last = tk.word_spans(data, starts, split_stops=True)
-        h, one, back = np.unique(tk.span_hashes(data, first, last, fold=False), return_index=True, return_inverse=True)
+        h, check, one, back = tk.distinct_spans(data, first, last)
         size = np.full(len(h), -1, np.int64)
-        edges = np.searchsorted(h, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
         flat, begin, total = [], np.zeros(len(h), np.int64), 0
-        for bucket, (a, b) in enumerate(zip([0, *edges], [*edges, len(h)])):
-            part = self.buckets.part(bucket) if b > a else None
+        for bucket, a, b in bucket_runs(h, self.bits):
+            part = self.buckets.part(bucket)
             if part is None:
                 continue
-            starts_of, ids_of, hashes = part
+            starts_of, ids_of, checks, hashes = part
             at = np.minimum(np.searchsorted(hashes, h[a:b]), len(hashes) - 1)
-            hit = np.flatnonzero(hashes[at] == h[a:b])
+            hit = np.flatnonzero((hashes[at] == h[a:b]) & (checks[at] == check[a:b]))
             at = at[hit]
             start, stop = starts_of[at], starts_of[at + 1]
             size[a + hit] = stop - start
             begin[a + hit] = total + np.cumsum(stop - start) - (stop - start)
             flat.append(ids_of[tk.ragged(start, stop - start)])
             total += len(flat[-1])
-        for i in np.flatnonzero(size < 0):
+        for i in np.flatnonzero(size < 0):  # too long, or not the first of those that share a hash
             ids, _ = encode_pieces(self.path, [data[first[one[i]]:last[one[i]] + 1].tobytes()])
             size[i], begin[i] = len(ids), total
             flat.append(ids)
@@ -301,19 +309,20 @@ def assemble(coded: DataFrame, shards: int, block_tokens: int) -> DataFrame:
         if held:
             yield flush()
 
-    n = max(1, min(shards, 4096))
-    ordered = coded.repartition(n, "shard").sortWithinPartitions(
+    ordered = coded.repartition(shards, "shard").sortWithinPartitions(
         "shard", F.col("doc_id").asc_nulls_first(), "n_tokens", F.crc32("payload"))
     return ordered.mapInArrow(run, schema)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_tokens: int = 1 << 16,
-                 shard_tokens: int = 1 << 22, max_shards: int = 8192, bucket_bytes: int = 16 << 20) -> None:
-    """Encode ``docs`` (doc_id, text) into the folder ``path``."""
+                 shard_tokens: int = 1 << 25, bucket_bytes: int = 16 << 20) -> None:
+    """Encode ``docs`` (doc_id, text) into the folder ``path``: shards of about
+    ``shard_tokens`` (the driver holds a number for each, two for each task at
+    least) and a dictionary bucket for each ``bucket_bytes`` of text, at any size."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dict_bits = max(3, min(16, (chars // bucket_bytes).bit_length()))
+    dict_bits = max(3, (chars // bucket_bytes).bit_length())
     files = shared_file_path(scratch_path(spark, "pieces"))
     os.makedirs(files, exist_ok=True)
     counts = dictionary(distinct_pieces(docs, tokenizer, dict_bits, end_id), tokenizer, files).orderBy("id").collect()  # a row per id
@@ -321,14 +330,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_
     bits = code_lengths(n, max(LIMIT, int(len(n)).bit_length() + 1))
     spark.createDataFrame([(int(i), int(b)) for i, b in zip(ids, bits)], "id long, bits int").coalesce(1) \
         .write.parquet(f"{path}/codes")
-    shards = int(min(max_shards, max(1, n.sum() // shard_tokens, spark.sparkContext.defaultParallelism * 2)))
+    shards = int(max(1, n.sum() // shard_tokens, spark.sparkContext.defaultParallelism * 2))
     # range borders of doc_id; a border only moves documents between neighbouring shards
     borders = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 10 * shards).alias("b")).first()["b"]
     borders = np.unique(np.array(borders or [], np.int64))
     coded = code_documents(docs, tokenizer, files, dict_bits, end_id, ids, bits, borders)
     assemble(coded, shards, block_tokens).write.option("compression", "none").parquet(f"{path}/blocks")
     totals = spark.read.parquet(f"{path}/blocks").select("shard", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("t")) \
-        .groupBy("shard").agg(F.sum("t").alias("t")).orderBy("shard").collect()  # at most max_shards rows
+        .groupBy("shard").agg(F.sum("t").alias("t")).orderBy("shard").collect()  # a row per shard
     first = np.cumsum([0] + [r["t"] for r in totals])
     spark.createDataFrame([(r["shard"], int(f)) for r, f in zip(totals, first)], "shard int, first long").coalesce(1) \
         .write.parquet(f"{path}/shards")
