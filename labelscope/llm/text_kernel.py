@@ -12,13 +12,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
 from labelscope.llm.scratch import worker_store
 
 SLAB = 1 << 20
+STEP = 1 << 14
 M1, M2, ODD = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 
 
@@ -86,16 +86,19 @@ def word_spans(data: np.ndarray, starts: np.ndarray, split_stops: bool = False)
     return np.flatnonzero(begins), np.flatnonzero(ends)
 
 
-def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, fold: bool = True, second: bool = False) -> np.ndarray:
-    """Hash of the bytes of every span; ``fold``: A-Z as a-z; ``second``: another hash, of other byte values."""
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Hash of the bytes of every span; ``fold``: A-Z as a-z."""
     n = len(data)
     value, _, power, back = _tables(n + 1)
-    if second:
-        value = mix(value ^ np.uint64(ODD)) | np.uint64(1)
     if fold:
         value = value.copy()
         value[65:91] = value[97:123]
-    total = np.cumsum(value[data] * power[:n], dtype=np.uint64)
+    total, carry = np.empty(n, np.uint64), np.uint64(0)
+    for s in range(0, n, STEP):  # in pieces that stay in the processor's cache
+        part = total[s:s + STEP]
+        np.cumsum(value[data[s:s + STEP]] * power[s:s + len(part)], out=part)
+        part += carry
+        carry = part[-1]
     h = total[last]
     nz = first > 0
     h[nz] -= total[first[nz] - 1]
@@ -103,25 +106,30 @@ def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, fold: boo
     return mix(h + (last - first + 1).astype(np.uint64) * np.uint64(ODD))
 
 
+def span_ends(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A number for the size and the first and last 8 bytes of every span."""
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    size = last - first + 1
+    mask = np.uint64((1 << 64) - 1) >> (64 - 8 * np.minimum(size, 8)).astype(np.uint64)
+    head, tail = eight[first] & mask, eight[np.maximum(last - 7, first)] & mask
+    return (head * np.uint64(ODD)) ^ tail ^ (size.astype(np.uint64) << np.uint64(40))
+
+
 def distinct_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, 32 bits of a second hash, a span, number of each span) of the
-    distinct spans by hash; spans equal in one hash only stay apart."""
-    h = span_hashes(data, first, last, fold=False)
-    check = (span_hashes(data, first, last, fold=False, second=True) >> np.uint64(32)).astype(np.uint32)
-    back, found = pd.factorize(h)
-    one = np.empty(len(found), np.int64)
-    one[back[::-1]] = np.arange(len(h))[::-1]
-    other = np.flatnonzero(check != check[one[back]])
-    if len(other):
-        _, at, number = np.unique(np.stack([h[other], check[other].astype(np.uint64)], axis=1), axis=0,
-                                  return_index=True, return_inverse=True)
-        back[other] = len(one) + number.ravel()
-        one = np.concatenate([one, other[at]])
-    order = np.argsort(h[one], kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    one = one[order]
-    return h[one], check[one], one, place[back]
+    """(hash, 32 bits of the size and ends, a span, number of each span) of the
+    distinct spans by hash; spans of one hash that differ in size or ends stay apart."""
+    h, ends = span_hashes(data, first, last, fold=False), span_ends(data, first, last)
+    order = np.argsort(h)
+    new = np.ones(len(h), bool)
+    new[1:] = np.diff(h[order]) != 0
+    one, back = order[new], np.empty(len(h), np.int64)
+    back[order] = np.cumsum(new) - 1
+    if (ends != ends[one][back]).any():  # spans that share a hash: put equal ones together
+        order = np.lexsort((ends, h))
+        new[1:] = (np.diff(h[order]) != 0) | (np.diff(ends[order]) != 0)
+        one = order[new]
+        back[order] = np.cumsum(new) - 1
+    return h[one], (mix(ends[one]) >> np.uint64(32)).astype(np.uint32), one, back
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

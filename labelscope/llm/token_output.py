@@ -21,8 +21,9 @@ distinct pieces with counts, Spark shuffles them by hash, and each is encoded
 once by the library.  That gives the global counts of the ids -- one row per id
 and bucket -- from which the driver makes the code, whose size is the
 vocabulary's; and a dictionary of sorted arrays in the shared folder, which
-workers memory-map to code whole texts.  Pieces are told apart by 96 bits, 64
-that the dictionary is sorted by and 32 of a second hash.  The coded documents are shuffled into
+workers memory-map to code whole texts.  Pieces are told apart by 96 bits: a
+hash of 64 that the dictionary is sorted by, and 32 of their size and their
+first and last 8 bytes.  The coded documents are shuffled into
 ascending ``doc_id`` order.  Pieces of over ``LONGEST`` bytes stay out of the
 dictionary and are encoded where they stand.
 
@@ -315,10 +316,11 @@ def assemble(coded: DataFrame, shards: int, block_tokens: int) -> DataFrame:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_tokens: int = 1 << 16,
-                 shard_tokens: int = 1 << 25, bucket_bytes: int = 16 << 20) -> None:
-    """Encode ``docs`` (doc_id, text) into the folder ``path``: shards of about
-    ``shard_tokens`` (the driver holds a number for each, two for each task at
-    least) and a dictionary bucket for each ``bucket_bytes`` of text, at any size."""
+                 shard_tokens: int = 1 << 22, bucket_bytes: int = 16 << 20) -> None:
+    """Encode ``docs`` (doc_id, text) into the folder ``path``: shards of
+    ``shard_tokens`` or, with n tokens, n^(2/3) (the driver holds a number for
+    each; two for each task at least) and a dictionary bucket for each
+    ``bucket_bytes`` of text, at any size."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -330,7 +332,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_
     bits = code_lengths(n, max(LIMIT, int(len(n)).bit_length() + 1))
     spark.createDataFrame([(int(i), int(b)) for i, b in zip(ids, bits)], "id long, bits int").coalesce(1) \
         .write.parquet(f"{path}/codes")
-    shards = int(max(1, n.sum() // shard_tokens, spark.sparkContext.defaultParallelism * 2))
+    shards = int(max(1, n.sum() // max(shard_tokens, float(n.sum()) ** (2 / 3)), spark.sparkContext.defaultParallelism * 2))
     # range borders of doc_id; a border only moves documents between neighbouring shards
     borders = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 10 * shards).alias("b")).first()["b"]
     borders = np.unique(np.array(borders or [], np.int64))
@@ -388,7 +390,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decoder(ids, bits)
         for batch in batches:
-            for x in batch.to_pylist():
+            for x in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # a block at a time
                 sizes = np.array(x["n_tokens"], np.int64)
                 got = decode(x["payload"], np.frombuffer(x["checkpoints"], np.uint64), sizes, table)
                 stop = np.cumsum(sizes)
