@@ -144,3 +144,33 @@ def test_sorted_reports_are_in_order(spark):
     rows = QUERIES["label_distance_summary"](spark, "/root/testdata/sf0.001").collect()
     key = [(-r.rate_either, r.label) for r in rows]
     assert len(key) > 1 and key == sorted(key)
+
+
+def test_counts_need_no_shuffle_of_terms_and_add_up_over_rows(spark):
+    from labelscope.operators import sparse
+    rows = [(1, "red fox red fox"), (2, "blue sky"), (2, "blue sea"), (None, "red fox"), (None, "red"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["term"], r["tf"]) for r in sparse.term_counts(df, "doc_id", "text").collect()))
+    assert got == [(0, "fox", 1), (0, "red", 2), (0, "red fox", 1), (1, "fox", 2), (1, "fox red", 1), (1, "red", 2),
+                   (1, "red fox", 2), (2, "blue", 2), (2, "blue sea", 1), (2, "blue sky", 1), (2, "sea", 1), (2, "sky", 1)]
+    once = sparse.term_counts(df.where("doc_id in (1, 3, 4)"), "doc_id", "text")
+    assert "Aggregate" not in once._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_cut_in_bounded_tasks(spark, monkeypatch):
+    from labelscope.operators import sparse
+    df = spark.createDataFrame([(i, "word " * 200) for i in range(64)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(sparse, "DEAL_BYTES", 4096)
+    assert sparse.dealt(df, "doc_id", "text").rdd.getNumPartitions() == 16
+    monkeypatch.setattr(sparse, "DEAL_BYTES", 1 << 20)
+    assert sparse.dealt(df, "doc_id", "text").rdd.getNumPartitions() == 1
+
+
+def test_weights_count_and_meet_their_terms_in_one_shuffle(spark):
+    from labelscope.operators import sparse
+    df = spark.createDataFrame([(i, f"word{i % 5} word{i % 3} same") for i in range(40)], "doc_id long, text string")
+    w, vocab = sparse.tfidf_fit_transform(df, "doc_id", "text", 2, 0.9)
+    w.collect()
+    plan = w._jdf.queryExecution().executedPlan().toString()
+    assert "Reused" in plan
+    assert {r["term"] for r in w.collect()} == {r["term"] for r in vocab.collect()}
