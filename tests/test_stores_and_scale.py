@@ -174,3 +174,78 @@ def test_weights_count_and_meet_their_terms_in_one_shuffle(spark):
     plan = w._jdf.queryExecution().executedPlan().toString()
     assert "Reused" in plan
     assert {r["term"] for r in w.collect()} == {r["term"] for r in vocab.collect()}
+
+
+def test_best_columns_takes_the_leftmost_of_equal_ones():
+    import numpy as np
+    from labelscope.operators.blocks import best_columns
+    S = np.array([[1.0, 1.0, 1.0, 2.0], [-np.inf, 0.0, -np.inf, -np.inf]])
+    q, r, v = best_columns(S, 3)
+    assert sorted(zip(q.tolist(), r.tolist(), v.tolist())) == [(0, 0, 1.0), (0, 1, 1.0), (0, 3, 2.0), (1, 1, 0.0)]
+
+
+def test_large_blocks_copy_rows_few_times(spark):
+    from labelscope.operators import blocks
+    left, right = blocks.tiled_counts(240_000, 240_000, 64, spark, per_row=10)
+    assert left <= 10 and right <= 10      # copies of a row; block_counts asks for 83
+    left, right = blocks.tiled_counts(5_000, 240_000, 64, spark)
+    assert left == 1
+    assert all((t.stop - t.start) * 32768 * 8 <= blocks.DEFAULT_BLOCK_BYTES // 4 for t in blocks.tiles(32768, 32768))
+
+
+def test_silhouette_in_blocks_and_tiles(spark, monkeypatch):
+    import numpy as np
+    from labelscope.operators import blocks, cluster
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 4)).round(3)
+    x[10:20] = x[0]
+    c = [f"c{int(i)}" for i in rng.integers(0, 4, 90)]
+    df = spark.createDataFrame([(i, c[i], x[i].tolist()) for i in range(90)], "i long, c string, v array<double>")
+    monkeypatch.setattr(blocks, "block_bytes", lambda spark: 8192)
+    got = {r.i: r.silhouette for r in cluster.silhouette_rows(df, "i", "c", "v").collect()}
+    D = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for i in range(90):
+        mean = {k: np.mean([D[i, j] for j in range(90) if c[j] == k and j != i]) for k in set(c)}
+        a, b = mean[c[i]], min(v for k, v in mean.items() if k != c[i])
+        assert abs(got[i] - (b - a) / max(a, b)) < 1e-6
+
+
+def test_folds_share_stored_items_and_find_the_same_neighbours(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from labelscope.operators import blocks, multilabel, sparse
+    import random
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, i % 3, " ".join(rnd.choice(words) for _ in range(rnd.randrange(0, 12)))) for i in range(60)]
+    rows += [(100 + i, i % 3, rows[i][2]) for i in range(20)]       # copies: ties
+    items = spark.createDataFrame(rows, "id long, fold int, text string")
+    sizes = {r["fold"]: r["count"] for r in items.groupBy("fold").count().collect()}
+    tf = sparse.term_counts(items, "id", "text", unique=True, keep=("fold",))
+    train, test = sparse.tfidf_folds(tf, "id", "fold", sizes, 2, 0.9)
+    others = items.select("id", F.explode(F.array_remove(F.array(*[F.lit(f) for f in range(3)]), F.col("fold"))).alias("_f"))
+    want = multilabel.knn_sparse(test, train, "id", 3, items.select(F.col("fold").alias("_f"), "id"), others, by="_f")
+    want = {(r.id, r.neighbor): round(r.sim, 9) for r in want.collect()}
+    monkeypatch.setattr(blocks, "block_bytes", lambda spark: 4096)
+    got = multilabel.knn_tfidf_folds(tf, items.select("id", "fold"), "id", "fold", sizes, 3, 2, 0.9)
+    assert {(r.id, r.neighbor): round(r.sim, 9) for r in got.collect()} == want
+    some = multilabel.knn_tfidf_folds(tf, items.select("id", "fold"), "id", "fold", sizes, 3, 2, 0.9, F.col("id") % 10 == 0)
+    assert {(r.id, r.neighbor): round(r.sim, 9) for r in some.collect()} == {k: v for k, v in want.items() if k[0] % 10 == 0}
+
+
+def test_dense_neighbours_in_blocks_with_ties(spark, monkeypatch):
+    import numpy as np
+    from labelscope.operators import blocks, multilabel
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(70, 3)).round(2)
+    x[20:50] = x[3]
+    df = spark.createDataFrame([(i, i % 4, x[i].tolist()) for i in range(70)], "id long, fold int, v array<double>")
+    monkeypatch.setattr(blocks, "block_bytes", lambda spark: 8192)
+    got = {}
+    for r in multilabel.knn_dense(df.where("id % 5 = 0"), df, "id", "v", 3, fold="fold").collect():
+        got.setdefault(r.id, set()).add(r.neighbor)
+    n = np.linalg.norm(x, axis=1)
+    S = np.round(x @ x.T / (n[:, None] * n), 12)
+    for i in range(0, 70, 5):
+        order = sorted((j for j in range(70) if j % 4 != i % 4), key=lambda j: (-S[i, j], j))
+        assert got[i] == set(order[:3])
+    assert set(got) == set(range(0, 70, 5))
