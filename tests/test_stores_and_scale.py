@@ -249,3 +249,11 @@ def test_dense_neighbours_in_blocks_with_ties(spark, monkeypatch):
         order = sorted((j for j in range(70) if j % 4 != i % 4), key=lambda j: (-S[i, j], j))
         assert got[i] == set(order[:3])
     assert set(got) == set(range(0, 70, 5))
+
+
+def test_dense_features_are_read_from_a_store(spark):
+    from labelscope.plans import catalog
+    feats, _ = catalog._dense_features(spark, "/root/testdata/sf0.001")
+    plan = feats._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "regexp" not in plan
+    assert feats.count() == catalog.ml_dataset(spark, "/root/testdata/sf0.001")[0].count()
