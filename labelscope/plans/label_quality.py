@@ -47,13 +47,15 @@ def both_measures_quality(df: DataFrame, item: str = "vec_id", label: str = "lab
     dq = dense_label_quality(base, item, label, vec, "dense", keep=(title,))
     labs = base.select(item, label).distinct()
     # one text per item: the vocabulary counts an item once, whatever its number of labels
-    w, _ = sparse.tfidf_fit_transform(base.select(item, text).dropDuplicates([item]), item, text, min_df, max_df)
+    texts = cut_lineage(base.select(item, text).dropDuplicates([item]), "texts")   # counted, and cut into n-grams for one shuffle
+    w, _ = sparse.tfidf_fit_transform(texts, item, text, min_df, max_df)
     w = cut_lineage(w, "weights")   # read by the centroids, the distances and the nearest label
     cents = cut_lineage(sparse.sparse_centroids(w, labs, item, label), "centroids")
-    ds = cut_lineage(sparse.own_distance_sparse(w, labs, cents, item, label, "dist_tfidf"), "distances")
+    matches = sparse.centroid_matches(w, labs, cents, item, label)   # both distances from one pass
+    ds = cut_lineage(sparse.own_distance_sparse(w, labs, cents, item, label, "dist_tfidf", matches), "distances")
     ds = stats.add_group_stats(ds, label, "dist_tfidf", "tfidf")
     ns = sparse.nearest_centroid_sparse(w, labs, cents, item, label,
-                                        "nearest_label_tfidf", "nearest_dist_tfidf")
+                                        "nearest_label_tfidf", "nearest_dist_tfidf", matches=matches)
     titles = base.select(label, title).filter(F.col(title).isNotNull()).distinct()
     from labelscope.operators.prep import dedupe_keep
     titles = dedupe_keep(titles, [label], [title])

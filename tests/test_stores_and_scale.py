@@ -257,3 +257,55 @@ def test_dense_features_are_read_from_a_store(spark):
     plan = feats._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "regexp" not in plan
     assert feats.count() == catalog.ml_dataset(spark, "/root/testdata/sf0.001")[0].count()
+
+
+def test_both_sparse_distances_from_one_pass(spark, monkeypatch):
+    from labelscope.operators import sparse
+    from labelscope.plans import label_quality
+    import random
+    rnd = random.Random(4)
+    w = spark.createDataFrame([(i, f"t{t}", rnd.random()) for i in range(40) for t in rnd.sample(range(12), 4)], "id int, term string, weight double")
+    labs = spark.createDataFrame([(i, lab) for i in range(43) for lab in rnd.sample("abcdefg", 1 + i % 2)], "id int, label string")
+    c = sparse.sparse_centroids(w, labs, "id", "label")
+    both = sparse.centroid_matches(w, labs, c, "id", "label", 2)
+    for operator in (sparse.own_distance_sparse, sparse.nearest_centroid_sparse):
+        rows = [sorted((r[0], r[1], round(r[2], 9)) for r in operator(w, labs, c, "id", "label", **o).collect()) for o in ({}, {"matches": both})]
+        assert rows[0] == rows[1] and len(rows[0]) >= 43
+    got, fit = [], sparse.tfidf_fit_transform
+
+    def seen(df, *a, **o):
+        got.append(df._jdf.queryExecution().executedPlan().toString())
+        return fit(df, *a, **o)
+
+    monkeypatch.setattr(sparse, "tfidf_fit_transform", seen)
+    df = spark.createDataFrame([(i, f"l{i % 2}", f"title{i % 2}", f"word{i % 3} word{i % 2}", [1.0, float(i)]) for i in range(12)],
+                               "vec_id long, label string, label_title string, text string, embedding array<double>")
+    assert label_quality.both_measures_quality(df, min_df=1, max_df=1.0).count() == 12
+    assert "Aggregate" not in got[0] and "Exchange" not in got[0]     # the texts are stored once
+
+
+def test_fold_weights_are_weighed_in_their_rows(spark):
+    import math
+    from labelscope.operators import sparse
+    items = spark.createDataFrame([(i, i % 3, f"w{i % 4} w{i % 5} w{i % 2}") for i in range(30)], "id long, fold int, text string")
+    tf = sparse.term_counts(items, "id", "text", unique=True, keep=("fold",))
+    counts = {}
+    for r in tf.collect():
+        counts.setdefault((r.id, r.fold), {})[r.term] = r.tf
+    for w, test in zip(sparse.tfidf_folds(tf, "id", "fold", {0: 10, 1: 10, 2: 10}, 2, 0.9), (False, True)):
+        plan = w._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+        got = {(r._f, r.id, r.term): r.weight for r in w.collect()}
+        want = {}
+        for f in range(3):
+            df = {}
+            for (_, fold), terms in counts.items():
+                for t in terms:
+                    df[t] = df.get(t, 0) + (fold != f)
+            idf = {t: math.log(21 / (1 + n)) + 1 for t, n in df.items() if 2 <= n <= 18}
+            for (i, fold), terms in counts.items():
+                if (fold == f) == test:
+                    x = {t: (1 + math.log(n)) * idf[t] for t, n in terms.items() if t in idf}
+                    norm = math.sqrt(sum(v * v for v in x.values()))
+                    want |= {(f, i, t): v / norm for t, v in x.items()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
