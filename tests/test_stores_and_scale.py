@@ -309,3 +309,22 @@ def test_fold_weights_are_weighed_in_their_rows(spark):
                     norm = math.sqrt(sum(v * v for v in x.values()))
                     want |= {(f, i, t): v / norm for t, v in x.items()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_neighbour_queries_ask_for_every_row(spark, tmp_path):
+    import random
+    from labelscope.plans.catalog import QUERIES
+    rnd = random.Random(5)
+    words = {lang: [f"{lang}{i}" for i in range(9)] for lang in ("aa", "bb")}
+    langs = ["aa", "bb"]
+    docs = [(i, " ".join(rnd.choice(words[langs[i % 2]]) for _ in range(12)), langs[i % 2]) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, i % 2, [rnd.random() for _ in range(4)]) for i in range(60)],
+                          "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    near = QUERIES["knn_neighbors"](spark, str(tmp_path)).collect()
+    assert sorted(r.vec_id for r in near) == sorted(3 * list(range(60)))
+    for name in ("knn_predict", "knn_predict_dense"):
+        assert {(r.doc_id, r.label) for r in QUERIES[name](spark, str(tmp_path)).collect()} == {(i, f"lang_{lang}") for i, _, lang in docs}
+    for name in ("knn_crossval", "knn_crossval_dense"):
+        assert [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()] == [(1.0, 1.0, 1.0)]
