@@ -339,3 +339,23 @@ def test_sweep_over_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(blocks, "block_bytes", lambda spark: 8192)
     got = [tuple(r) for r in cluster.kmeans_sweep(df, "i", "v", [3, 5], [2], seed=1).collect()]
     assert np.allclose(got, want, atol=1e-9)
+
+
+def test_weights_are_made_beside_their_part_of_the_texts(spark, monkeypatch):
+    import math
+    import random
+    from collections import Counter
+    from labelscope.operators import sparse
+    monkeypatch.setattr(sparse, "DEAL_BYTES", 256)
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choice("abcdefgh") * 3 for _ in range(rnd.randrange(0, 15))) or None, rnd.choice(["x", None])) for i in range(80)]
+    df = spark.createDataFrame(rows, "i long, text string, s string")
+    w, _ = sparse.tfidf_fit_transform(df, "i", "text", 2, 0.9, keep=("s",))
+    plan = w._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "collect_list" not in plan     # neither counts nor weights are dealt by term or item
+    toks = {i: (t or "").split() for i, t, _ in rows}
+    tf = {i: Counter(t + [f"{a} {b}" for a, b in zip(t, t[1:])]) for i, t in toks.items()}
+    df_ = Counter(x for c in tf.values() for x in c)
+    raw = {i: {t: (1 + math.log(n)) * (math.log(81 / (1 + df_[t])) + 1) for t, n in c.items() if 2 <= df_[t] <= 72} for i, c in tf.items()}
+    want = {(i, s, t): round(x / math.sqrt(sum(y * y for y in raw[i].values())), 9) for i, _, s in rows for t, x in raw[i].items()}
+    assert {(r.i, r.s, r.term): round(r.weight, 9) for r in w.collect()} == want
