@@ -359,3 +359,21 @@ def test_weights_are_made_beside_their_part_of_the_texts(spark, monkeypatch):
     raw = {i: {t: (1 + math.log(n)) * (math.log(81 / (1 + df_[t])) + 1) for t, n in c.items() if 2 <= df_[t] <= 72} for i, c in tf.items()}
     want = {(i, s, t): round(x / math.sqrt(sum(y * y for y in raw[i].values())), 9) for i, _, s in rows for t, x in raw[i].items()}
     assert {(r.i, r.s, r.term): round(r.weight, 9) for r in w.collect()} == want
+
+
+def test_group_terms_are_dealt_by_term_once(spark, monkeypatch):
+    import re
+    from collections import Counter
+    from labelscope.operators import sparse
+    monkeypatch.setattr(sparse, "DEAL_BYTES", 256)
+    rows = [(i, f"g{i % 3}" if i % 7 else None, " ".join(f"w{(i * j) % 5}w" for j in range(i % 6))) for i in range(60)]
+    df = spark.createDataFrame(rows, "i long, g string, text string")
+    tf = sparse.group_term_counts(df, "g", "text", "i")
+    keys = re.findall(r"hashpartitioning\(([^)]*), \d+\)", tf._jdf.queryExecution().executedPlan().toString())
+    assert [re.sub(r"#\d+", "", k) for k in keys if "term" in k] == ["term"]
+    want = Counter()
+    for g in ("g0", "g1", "g2", None):
+        texts = [t.split() for _, x, t in rows if x == g]
+        for t in ([sum(texts, [])] if g else texts):      # rows without a group are not joined to one text
+            want.update((g, x) for x in t + [f"{a} {b}" for a, b in zip(t, t[1:])])
+    assert {(r.g, r.term): r.tf for r in tf.collect()} == dict(want)
