@@ -377,3 +377,13 @@ def test_group_terms_are_dealt_by_term_once(spark, monkeypatch):
         for t in ([sum(texts, [])] if g else texts):      # rows without a group are not joined to one text
             want.update((g, x) for x in t + [f"{a} {b}" for a, b in zip(t, t[1:])])
     assert {(r.g, r.term): r.tf for r in tf.collect()} == dict(want)
+
+
+def test_products_are_summed_in_a_task_a_core(spark):
+    from labelscope.operators import sparse
+    docs = spark.createDataFrame([(i, f"red fish{i % 4} blue fish{i % 3}", f"g{i % 2}") for i in range(40)], "i long, text string, s string")
+    w, _ = sparse.tfidf_fit_transform(docs, "i", "text", keep=("s",))
+    c = sparse.sparse_centroids(w, docs, "i", "s")
+    for df in (sparse.own_distance_sparse(w, docs, c, "i", "s"), sparse.nearest_centroid_sparse(w, docs, c, "i", "s")):
+        assert f"Coalesce {spark.sparkContext.defaultParallelism}" in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == 40
